@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, warc
+from . import bpe, decontam, ids, secrets, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
         "op2_bpe": bpe.op2_bpe,
+        "op4_ids": ids.op4_ids,
+        "op6_decontam": decontam.op6_decontam,
+        "op8_secrets": secrets.op8_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op6_decontam": decontam.OP6_SQL}
