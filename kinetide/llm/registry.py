@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, ids, secrets, warc
+from . import bpe, decontam, ids, quality, secrets, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
         "op2_bpe": bpe.op2_bpe,
+        "op3_quality": quality.op3_quality,
         "op4_ids": ids.op4_ids,
         "op6_decontam": decontam.op6_decontam,
         "op8_secrets": secrets.op8_secrets,
