@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, ids, quality, secrets, warc
+from . import bpe, decontam, ids, lang, quality, secrets, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op2_bpe": bpe.op2_bpe,
         "op3_quality": quality.op3_quality,
         "op4_ids": ids.op4_ids,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_decontam": decontam.op6_decontam,
         "op8_secrets": secrets.op8_secrets,
+        "op9_lang": lang.op9_lang,
     }
 
 
