@@ -15,21 +15,36 @@ import functools
 import hashlib
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_text, stored
+from .common import bitmap_of, in_bitmap, keyed_text, stored
 
-#: Words kept by a worker process; twice as many at most.
-CACHE_WORDS = 250_000
+#: Words that a worker process keeps, and slots of the table that tells which it has met.
+CACHE_WORDS, MET = 500_000, 1 << 22
 #: Fixed values of the cutter: mean chunk 2**CUT_BITS bytes, none below LEAST but a text's last, none above MOST.
 CUT_BITS, LEAST, MOST = 10, 64, 1 << 16
 GEAR = np.random.RandomState(7).randint(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
-#: Bits of the bitmap: 2 MB, whatever the corpus.
-MAP_BITS = 24
+#: Marks that may end a word; the apostrophe is not one, as patterns join it with letters.
+MARKS = b".,;:!?#*$%&|)"
+
+
+def _plain_words() -> re.Pattern:
+    """Words, in words joined by a space, that are lower-case letters below U+0250 and then MARKS; each as (letters, marks)."""
+    tails: dict[bytes, bytes] = {}
+    for c in map(chr, range(0x80, 0x250)):
+        if c.isalpha() and c.lower() == c:
+            b = c.encode()
+            tails[b[:1]] = tails.get(b[:1], b"") + b[1:]
+    other = b"|".join(lead + b"[" + tail + b"]" for lead, tail in tails.items())
+    return re.compile(rb"(?<![^ ])((?:[a-z]+|" + other + rb")+)([" + re.escape(MARKS) + rb"]*)(?![^ ])")
+
+
+PLAIN = _plain_words()
 #: ASCII white space, as bytes.split() takes it.
 SPACE = b" \t\n\r\x0b\x0c"
 
@@ -44,7 +59,7 @@ class Encoder:
     """A tokenizer file as a map from bytes to ids, which are little-endian and two bytes wide if the vocabulary allows.
 
     Where the file's own pre-tokenizer drops white space, a text's ids are its words' ids in order, so words are looked
-    up in a cache of two generations and only new ones are encoded. Other files encode whole texts.
+    up in a cache and only new ones are encoded. Other files encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -56,51 +71,96 @@ class Encoder:
         self.tok.no_truncation()
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         with open(path, encoding="utf-8") as f:
-            pre = json.load(f).get("pre_tokenizer") or {}
+            file = json.load(f)
+        pre = file.get("pre_tokenizer") or {}
         first = (pre.get("pretokenizers") or [pre])[0]
         regex = first.get("pattern", {}).get("Regex", "") if first.get("type") == "Split" else ""
         self.by_word = first.get("behavior") == "Removed" and bool(first.get("invert")) and regex.endswith(r"[^\s\p{L}\p{N}]+") and r"\s+" not in regex
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.met, self.marked = bytearray(MET), 0
+        self.words = None
+        if self.by_word and self.tok.model.end_of_word_suffix:
+            from tokenizers import Tokenizer, pre_tokenizers
+            from tokenizers.models import BPE
+
+            # For words of plain lower-case letters, normalising and splitting by pattern change nothing, and words that
+            # the caches here don't have are too rare for the library's.
+            model = BPE(file["model"]["vocab"], [tuple(m.split(" ") if isinstance(m, str) else m) for m in file["model"]["merges"]], cache_capacity=0, end_of_word_suffix=self.tok.model.end_of_word_suffix)
+            self.words, self.ascii = Tokenizer(model), Tokenizer(model)
+            self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+            for token, k in self.tok.get_vocab().items():
+                self.ends[k] = token.endswith(self.tok.model.end_of_word_suffix)
 
     def _plain(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.new) + len(words) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing, ended = [], []
-        for w in words:
-            if w in new:
+    def _letters(self, words: list[bytes], tok) -> list[bytes]:
+        """Words of plain letters, many in one call; each ends where a token has the end-of-word mark."""
+        out: list[bytes] = []
+        size = self.dtype.itemsize
+        for k in range(0, len(words), 300):
+            some = words[k : k + 300]
+            ids = np.array(tok.encode_batch_fast([b" ".join(some).decode("utf-8")], add_special_tokens=False)[0].ids, self.dtype)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+            if len(ends) != len(some) or ends[-1] != size * len(ids):
+                out += self._plain(some)
                 continue
-            ids = old.get(w)
-            if ids is not None:
-                new[w] = ids
-            elif w[-1:] in (b".", b",") and w[-2:-1].isalnum():
-                ended.append(w)  # a full stop after a letter or digit is a token of its own
-            else:
-                missing.append(w)
-        cores = {w[:-1] for w in ended} | {w[-1:] for w in ended}
-        missing += [w for w in cores.difference(words) if w not in new]
-        new.update(zip(missing, self._plain(missing), strict=True))
-        for w in ended:
-            new[w] = new[w[:-1]] + new[w[-1:]]
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _learn(self, words: set[bytes]) -> list[bytes]:
+        """Have the ids of all ``words``; returns those met for the first time, which are to be forgotten again: most words
+        of a corpus occur once, and a cache without them stays small and quick."""
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = words.difference(known)
+        if self.words is not None:
+            found = PLAIN.findall(b" ".join(new))
+            cores = {c for c, _ in found}.difference(known)
+            for tok, some in ((self.ascii, [c for c in cores if c.isascii()]), (self.words, [c for c in cores if not c.isascii()])):
+                if some:
+                    known.update(zip(some, self._letters(some, tok), strict=True))
+            marks = list({m for _, m in found}.difference(known))
+            known.update(zip(marks, self._plain(marks), strict=True))
+            known.update([(c + m, known[c] + known[m]) for c, m in found if m])  # marks after a letter are a token run of their own
+            rest = list(new.difference(known))
+            new |= cores
+            new.update(marks)
+        else:
+            rest = list(new)
+        if rest:
+            known.update(zip(rest, self._plain(rest), strict=True))
+        met, once = self.met, []
+        for w in new:
+            k = hash(w) & MET - 1
+            if not met[k]:
+                met[k] = 1
+                once.append(w)
+        self.marked += len(once)
+        if self.marked > MET // 2:
+            self.met, self.marked = bytearray(MET), 0
+        return once
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes."""
         if not self.by_word:
             return self._plain(texts)
         out: list[bytes] = []
-        for k in range(0, len(texts), 100):
+        for k in range(0, len(texts), 200):
             words = []
-            for t in texts[k : k + 100]:
+            for t in texts[k : k + 200]:
                 # Letters before combining marks stay as they are: composing comes before lower case.
                 low = t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower()
                 words.append(low.split())
-            self._learn(set().union(*words))
-            get = self.new.__getitem__
+            once = self._learn(set().union(*words))
+            get = self.known.__getitem__
             out += [b"".join(map(get, ws)) for ws in words]
+            for w in once:
+                del self.known[w]
         return out
 
     def decode(self, ids: list[bytes]) -> list[str]:
@@ -148,21 +208,12 @@ def chunks(data: bytes) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def _bit(digest: bytes) -> int:
-    return int.from_bytes(digest[:4], "big") >> (32 - MAP_BITS)
-
-
-def _set(bitmap: bytes, digest: bytes) -> bool:
-    k = _bit(digest)
-    return bool(bitmap[k >> 3] >> (k & 7) & 1)
-
-
 def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
 
 
 def shared_chunks(rows: DataFrame) -> bytes:
-    """The bitmap of chunks that occur twice or more. At most 2**MAP_BITS / 8 of its bytes come to the driver."""
+    """The bitmap of chunks that occur twice or more."""
 
     def digests(batches):
         for batch in batches:
@@ -173,12 +224,7 @@ def shared_chunks(rows: DataFrame) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["digest", "n"])
 
     twice = rows.select("text").mapInArrow(digests, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
-    place = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint")
-    bits = twice.select(F.shiftright(place, 32 - MAP_BITS).alias("bit")).selectExpr("cast(bit div 8 as int) byte", "shiftleft(1, cast(bit % 8 as int)) one").groupBy("byte").agg(F.bit_or("one").alias("bits"))
-    out = bytearray(1 << MAP_BITS - 3)
-    for r in bits.collect():  # bounded by the bitmap, not by the corpus
-        out[r["byte"]] = r["bits"]
-    return bytes(out)
+    return bitmap_of(twice, "digest")
 
 
 def _ends(part: bytes) -> tuple[bytes, bytes | None]:
@@ -223,7 +269,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     names = [x.split()[0] for x in schema.split(",")]
 
     def has_shared(t: bytes) -> bool:
-        return any(_set(bitmap.value, d) for d, _ in chunks(t))
+        return any(in_bitmap(bitmap.value, d) for d, _ in chunks(t))
 
     def apart(batches):  # texts without a shared chunk
         enc = encoder(path)
@@ -239,7 +285,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             seen: dict[bytes, bytes] = {}
             for t in _texts(batch):
-                seen.update((d, p) for d, p in chunks(t) if _set(bitmap.value, d))
+                seen.update((d, p) for d, p in chunks(t) if in_bitmap(bitmap.value, d))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], ["digest", "part"])
 
     def encoded(batches):
@@ -254,11 +300,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             alone: list[bytes] = []
             for row, key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), strict=True):
                 found = chunks(t)
-                if not any(_set(bitmap.value, d) for d, _ in found):
+                if not any(in_bitmap(bitmap.value, d) for d, _ in found):
                     continue
                 for pos, (d, p) in enumerate(found):
                     head, tail = _ends(p)
-                    mine = not _set(bitmap.value, d)
+                    mine = not in_bitmap(bitmap.value, d)
                     for column, x in zip(out, (row, key, pos, b"%d:%d" % (row, pos) if mine else d, head, tail, None), strict=True):
                         column.append(x)
                     if mine:

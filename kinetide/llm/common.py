@@ -48,3 +48,22 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """``body`` of a value computed once for the row, as higher-order functions would otherwise compute it per element."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Bits of a bitmap of digests: 2 MB at any size of the corpus. A bit that is set by chance must only cost work.
+MAP_BITS = 24
+
+
+def bitmap_of(digests: DataFrame, column: str) -> bytes:
+    """The bitmap of a column of digests. At most 2**MAP_BITS / 8 bytes come to the driver, whatever their number."""
+    place = F.shiftright(F.conv(F.hex(F.substring(column, 1, 4)), 16, 10).cast("bigint"), 32 - MAP_BITS)
+    bits = digests.select(place.alias("bit")).selectExpr("cast(bit div 8 as int) byte", "shiftleft(1, cast(bit % 8 as int)) one").groupBy("byte").agg(F.bit_or("one").alias("bits"))
+    out = bytearray(1 << MAP_BITS - 3)
+    for r in bits.collect():
+        out[r["byte"]] = r["bits"]
+    return bytes(out)
+
+
+def in_bitmap(bitmap: bytes, digest: bytes) -> bool:
+    k = int.from_bytes(digest[:4], "big") >> (32 - MAP_BITS)
+    return bool(bitmap[k >> 3] >> (k & 7) & 1)

@@ -16,7 +16,7 @@ def truth(text):
 
 def hard_texts():
     r = random.Random(5)
-    bits = ["Word", "it's", "DON'T", "a.", "b,", ").", "x..", "1234.", "é", "É", "H̱", "ẞ", "İ", "Σς", "<|endoftext|>", "<|ENDOFTEXT|>.", " ", "　", "日本語", "\x1c", "\x85", "\n", "\t", "🙂", "n.", "٣,"]
+    bits = ["Word", "word###", "É***", "éa,", "…,", "ª.", "ŉ;", "x',", "日.", "end.)", "it's", "DON'T", "a.", "b,", ").", "x..", "1234.", "é", "É", "H̱", "ẞ", "İ", "Σς", "<|endoftext|>", "<|ENDOFTEXT|>.", " ", "　", "日本語", "\x1c", "\x85", "\n", "\t", "🙂", "n.", "٣,"]
     base = " ".join(r.choice(bits) + r.choice(["", " ", "\n", "x"]) for _ in range(2000))
     long = "".join(r.choice("abcdefghij") for _ in range(200_000))
     out = [None, "", " ", "one", base, base[:5000], "pre " + base, base[100:] + "post", base.replace(" ", ""), "k" + base.replace(" ", ""), "a" * 150_000, long, long[5:] + " x"]
