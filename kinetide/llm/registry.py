@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, ids, lang, quality, secrets, toxicity, warc
+from . import bpe, decontam, ids, lang, neardup, quality, secrets, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_decontam": decontam.op6_decontam,
         "op8_secrets": secrets.op8_secrets,
         "op9_lang": lang.op9_lang,
+        "op10_neardup": neardup.op10_neardup,
     }
 
 
