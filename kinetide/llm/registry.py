@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, ids, lang, neardup, quality, secrets, toxicity, warc
+from . import bpe, decontam, ids, lang, neardup, quality, secrets, substring, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_ids": ids.op4_ids,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_decontam": decontam.op6_decontam,
+        "op7_substring": substring.op7_substring,
         "op8_secrets": secrets.op8_secrets,
         "op9_lang": lang.op9_lang,
         "op10_neardup": neardup.op10_neardup,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op6_decontam": decontam.OP6_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op6_decontam": decontam.OP6_SQL, "op7_substring": substring.OP7_SQL}
