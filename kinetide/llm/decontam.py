@@ -143,7 +143,7 @@ def _segments(bench: DataFrame, window: int, id_col: str, text_col: str) -> Data
 
 
 def matches(docs: DataFrame, bench: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """For each row of ``docs``: row, key, n_words, spans (array of [start, end) in words: all inside an occurrence of
+    """For each row of ``docs``: row, key, hash (of the text), n_words, spans (array of [start, end) in words: all inside an occurrence of
     ``window`` consecutive words of an item, or of a whole shorter item) and items (their distinct ids, ascending).
 
     Null texts have no words, items without words match nothing, an item with a null id counts in spans but is not listed,
@@ -153,8 +153,8 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = 13, id_col: str = "
     segments = _segments(bench, window, item_col, item_text)
     blocks = max(1, -(-(segments.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS))
     segments = segments.withColumn("block", F.pmod(F.xxhash64("item", "at"), F.lit(blocks)))
-    rows = keyed_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "key", "text")
-    schema = "row long, key long, n_words long, spans array<struct<s:int,e:int>>, items array<bigint>"
+    rows = keyed_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "key", F.xxhash64("text").alias("hash"), "text")
+    schema = "row long, key long, hash long, n_words long, spans array<struct<s:int,e:int>>, items array<bigint>"
     pair = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
     found = None
     for b in range(blocks):
@@ -171,7 +171,7 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = 13, id_col: str = "
                     sizes.append(len(words))
                     spans.append([{"s": x, "e": y} for x, y in s])
                     items.append(sorted(i - {None}))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(spans, pair), pa.array(items, pa.list_(pa.int64()))], ["row", "key", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(spans, pair), pa.array(items, pa.list_(pa.int64()))], ["row", "key", "hash", "n_words", "spans", "items"])
 
         one = rows.mapInArrow(scan, schema)
         found = one if found is None else found.unionByName(one)
@@ -181,7 +181,7 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = 13, id_col: str = "
     def merge(batches):
         for batch in batches:
             spans = []
-            for x in batch.column(3).to_pylist():
+            for x in batch.column(4).to_pylist():
                 out: list[dict] = []
                 for r in sorted(x, key=lambda r: r["s"]):
                     if out and out[-1]["e"] >= r["s"]:
@@ -189,9 +189,9 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = 13, id_col: str = "
                     else:
                         out.append(dict(r))
                 spans.append(out)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, pair), batch.column(4)], batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(spans, pair), batch.column(5)], batch.schema.names)
 
-    both = found.groupBy("row", "key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    both = found.groupBy("row", "key", "hash").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return both.mapInArrow(merge, schema)
 
 

@@ -43,7 +43,7 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def sketches(rows: DataFrame, words: int) -> DataFrame:
-    """key, n, node (digest of the set; null if it is empty) and sig (once for each task's batch and node)."""
+    """key, hash (of the text), n, node (digest of the set; null if it is empty) and sig (once for each task's batch and node)."""
 
     def sketch(batches):
         for batch in batches:
@@ -55,9 +55,9 @@ def sketches(rows: DataFrame, words: int) -> DataFrame:
                 node.append(d)
                 sig.append(None if d is None or d in seen else signature(s))
                 seen.add(d)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], ["key", "n", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], ["key", "hash", "n", "node", "sig"])
 
-    return rows.mapInArrow(sketch, "key long, n long, node binary, sig binary")
+    return rows.select("key", F.xxhash64("text").alias("hash"), "text").mapInArrow(sketch, "key long, hash long, n long, node binary, sig binary")
 
 
 def sets_of(rows: DataFrame, words: int, bitmap) -> DataFrame:
@@ -175,7 +175,7 @@ def links(rows: DataFrame, sketched: DataFrame, words: int, share: int) -> DataF
 
 
 def clusters(docs: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row of ``docs``: key, n_shingles, component_id (the least key of its component), kept (it has that key),
+    """For each row of ``docs``: key, hash (of the text), n_shingles, component_id (the least key of its component), kept (it has that key),
     node (digest of its set).
 
     Texts are linked whose sets have 100 * intersection >= share * union. Null texts and texts without words have an empty
@@ -189,8 +189,8 @@ def clusters(docs: DataFrame, words: int = 5, share: int = 80, id_col: str = "do
     classes = stored(classes, "neardup-least")
     heads = classes.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "hr")
     classes = classes.join(heads, F.col("root") == F.col("hr")).select(F.col("node").alias("cn"), "component_id")
-    some = found.where("node is not null").join(classes, F.col("node") == F.col("cn")).select("key", F.col("n").alias("n_shingles"), "component_id", "node")
-    none = found.where("node is null").select("key", F.col("n").alias("n_shingles"), F.col("key").alias("component_id"), "node")
+    some = found.where("node is not null").join(classes, F.col("node") == F.col("cn")).select("key", "hash", F.col("n").alias("n_shingles"), "component_id", "node")
+    none = found.where("node is null").select("key", "hash", F.col("n").alias("n_shingles"), F.col("key").alias("component_id"), "node")
     return some.unionByName(none).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _texts
-from .common import fresh_path, keyed_text
+from .common import fresh_path, keyed_text, stored
 
 #: Fixed patterns of the base kinds: name, version, pattern, flags, group and least length of that group.
 BASE = (
@@ -92,6 +92,7 @@ def redact(docs: DataFrame, ledger: str, mark: str = "[SECRET]", id_col: str = "
     """``docs`` with every span of its texts (overlapping ones as one) replaced by ``mark``; other columns and rows as they
     are, null texts stay null."""
     found = scan(docs, ledger, id_col=id_col, text_col=text_col).where("size(spans) > 0").dropDuplicates(["key", "blob"]).select(F.col("key").alias("_key"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    found = stored(found, "secrets-found")
     own = F.unhex(F.sha2(F.col(text_col).cast("string"), 256))
     both = docs.join(found, F.col(id_col).cast("bigint").eqNullSafe(F.col("_key")) & (own == F.col("_blob")), "left")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
