@@ -2,9 +2,11 @@
 
 Texts with equal shingle sets are one class, and only classes are compared. A class's signature is the minima of HASHES
 universal hash functions; classes that share a band of ROWS of them share a bucket. Buckets are never expanded into all
-pairs: in each round, a bucket that still holds several components compares its members with one pivot, and what is
-linked becomes one component. When what is left to compare is few against the classes, or ROUNDS are over, all untested
-pairs of different components are compared, so no link within a bucket is lost. A pair is read in full only if its
+pairs: in each round, a bucket that still holds several components compares the members outside its pivot's with the
+pivot, and what is linked becomes one component. A pivot is the member with the most neighbours in all its buckets, such
+as the text that others were copied from; after two rounds, a random one. When what is left to compare is few against the
+classes, or ROUNDS are over, members outside the pivot's component are compared with all of other components in their
+buckets, so no link within a bucket is lost. A pair is read in full only if its
 signatures agree in all but so many places as five standard deviations below the threshold's mean allow.
 """
 
@@ -21,10 +23,11 @@ from .bpe import _texts
 from .common import bitmap_of, in_bitmap, keyed_text, stored
 from .shingle import mix, shingles
 
-#: A pair shares no band with probability (1 - 0.8**4)**30 = 1e-7 at a similarity of 0.8, 2e-10 at 0.85.
-BANDS, ROWS = 30, 4
+#: A pair shares no band with probability (1 - 0.85**5)**32 = 7e-9 at a similarity of 0.85, 3e-6 at 0.8.
+BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
-ROUNDS, FEW = 4, 8
+#: Bands of the first round, rounds with pivots after it, and pairs for each class that are few.
+FIRST, ROUNDS, FEW = 8, 4, 20
 _R = np.random.RandomState(11)
 A = (_R.randint(0, 2**62, HASHES).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 B = _R.randint(0, 2**63, HASHES).astype(np.uint64)
@@ -86,13 +89,14 @@ def components(edges: DataFrame) -> DataFrame:
         return pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct().checkpoint()
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    edges = stored(edges, "neardup-stars")
     before = state(edges)
     while True:
         near = both(edges)
-        large = near.join(least(near), F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().checkpoint()
+        large = stored(near.join(least(near), F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "neardup-large")
         small = large.join(least(large), F.col("a") == F.col("u"))
-        edges = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct().checkpoint()
+        edges = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "neardup-stars")
         now = state(edges)
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -132,42 +136,47 @@ def links(rows: DataFrame, sketched: DataFrame, words: int, share: int) -> DataF
     spark = rows.sparkSession
     classes = stored(sketched.where("sig is not null").groupBy("node").agg(F.first("sig").alias("sig")), "neardup-classes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    bands = classes.select("node", F.explode(keys).alias("bucket"))
-    full = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("bucket").alias("fb"))
-    members = stored(bands.join(full, F.col("bucket") == F.col("fb")).select("bucket", "node"), "neardup-members")
-    sets = None
-    edges = tested = roots = None
-    for turn in range(ROUNDS + 1):
-        own = members
+    bands = classes.select("node", F.posexplode(keys).alias("band", "bucket"))
+    full = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("bucket").alias("fb"), "n")
+    members = bands.join(full, F.col("bucket") == F.col("fb")).select("bucket", "band", "node", "n")
+    members = stored(members, "neardup-members")
+    degree = members.groupBy(F.col("node").alias("dn")).agg(F.sum("n").alias("degree"))
+    members = stored(members.join(degree, F.col("node") == F.col("dn")).select("bucket", "band", "node", "degree"), "neardup-members")
+    if members.isEmpty():
+        return spark.createDataFrame([], "node binary, root binary")
+    bitmap = spark.sparkContext.broadcast(bitmap_of(members, "node"))
+    sets = stored(sets_of(rows, words, bitmap), "neardup-sets")
+    tested = roots = None
+    for turn in range(ROUNDS + 2):
+        own = members if turn else members.where(F.col("band") < FIRST)
         if roots is not None:
-            own = own.join(roots.select(F.col("node").alias("rn"), "root"), F.col("node") == F.col("rn"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+            own = own.join(roots.select(F.col("node").alias("rn"), "root"), F.col("node") == F.col("rn"), "left").select("bucket", "node", "degree", F.coalesce("root", "node").alias("root"))
         else:
             own = own.withColumn("root", F.col("node"))
-        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("p")
+        pivot = F.max(F.struct(*([F.xxhash64("node", F.lit(turn)).alias("h")] if turn > 1 else ["degree"]), "node", "root")).alias("p")
         sizes = own.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"), pivot)
-        open_ = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.min("p").alias("p")).where("parts > 1")
-        open_ = stored(open_.select(F.col("bucket").alias("ob"), "p", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("left")), "neardup-open")
+        open_ = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.max("p").alias("p")).where("parts > 1")
+        open_ = stored(open_.select(F.col("bucket").alias("ob"), F.col("p.node").alias("pn"), F.col("p.root").alias("pr"), ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("left")), "neardup-open")
         todo = open_.agg(F.sum("left")).first()[0]
         if not todo:
-            break
-        last = turn == ROUNDS or (turn and todo <= FEW * classes.count())
-        held = own.join(open_, F.col("bucket") == F.col("ob"))
+            if turn:
+                break
+            continue
+        last = turn > ROUNDS or (turn > 1 and todo <= FEW * classes.count())
+        stray = own.join(open_, (F.col("bucket") == F.col("ob")) & (F.col("root") != F.col("pr")))
         if last:
             other = own.select(F.col("bucket").alias("xb"), F.col("node").alias("xn"), F.col("root").alias("xr"))
-            pairs = held.join(other, (F.col("bucket") == F.col("xb")) & (F.col("root") != F.col("xr")) & (F.col("node") < F.col("xn"))).select(F.col("node").alias("a"), F.col("xn").alias("b"))
+            once = (F.col("xr") == F.col("pr")) | (F.col("node") < F.col("xn"))
+            pairs = stray.join(other, (F.col("bucket") == F.col("xb")) & (F.col("root") != F.col("xr")) & once).select(F.col("node").alias("a"), F.col("xn").alias("b"))
         else:
-            pairs = held.where(F.col("root") != F.col("p.root")).select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b"))
+            pairs = stray.select(F.col("node").alias("a"), F.col("pn").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select(F.col("a").alias("ta"), F.col("b").alias("tb")), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
         pairs = stored(pairs, "neardup-pairs")
-        if sets is None:
-            bitmap = spark.sparkContext.broadcast(bitmap_of(members, "node"))
-            sets = stored(sets_of(rows, words, bitmap), "neardup-sets")
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = stored(_verified(pairs, classes, sets, share), "neardup-edges")
-        edges = new if edges is None else edges.unionByName(new)
-        stars = edges if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        stars = new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = stored(components(stars), "neardup-roots")
         if last:
             break

@@ -85,18 +85,17 @@ def fit(positive: list[list[int]], unlabelled: list[list[int]], width: int, prio
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
-    """Kept slots, their weights and the bias. Held-out rows are never read for it; the samples are the rows whose ids hash
-    lowest (about POSITIVES and UNLABELLED of them), with whole texts. Null labels are no labels, repeated ones count as
+    """Kept slots, their weights and the bias. Held-out rows are never read for it; the samples are the rows of the
+    POSITIVES and UNLABELLED ids that hash lowest, with whole texts. Null labels are no labels, repeated ones count as
     toxic if any is; without a toxic row there are no features and every score is near the prior."""
     marks = labels.where(~held_out(id_col)).groupBy(F.col(id_col).alias("k")).agg(F.max(F.col(toxic_col).cast("int")).alias("toxic")).where("toxic is not null")
     n, ones = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = min(0.9, max(0.001, ones / n)) if n else 0.001
     rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    total = rows.count()
-    part = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
-    toxic = marks.where("toxic = 1").where(part_of("k", POSITIVES, ones)).select("k")
-    positive = rows.join(toxic, F.col("key") == F.col("k"), "left_semi").select("text", F.lit(True).alias("p"))
-    sample = stored(positive.unionByName(rows.where(part * max(total, 1) < UNLABELLED * (1 << 20)).select("text", F.lit(False).alias("p"))), "toxic-sample")
+    first = lambda ids, n: F.broadcast(ids.orderBy(F.xxhash64("k"), "k").limit(n))  # noqa: E731  at most n ids
+    picked = first(marks.where("toxic = 1").select("k"), POSITIVES), first(docs.where(~held_out(id_col)).select(F.col(id_col).alias("k")), UNLABELLED)
+    both = [rows.join(ids, F.col("key") == F.col("k"), "left_semi").select("text", F.lit(flag).alias("p")) for ids, flag in zip(picked, (True, False), strict=True)]
+    sample = stored(both[0].unionByName(both[1]), "toxic-sample")
 
     def slots(batches):
         for batch in batches:
@@ -127,11 +126,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return kept, w, b
 
 
-def part_of(column: str, bound: int, n: int):
-    """About ``bound`` of ``n`` rows, by hash."""
-    return F.pmod(F.xxhash64(column), F.lit(1 << 20)) * max(n, 1) < bound * (1 << 20)
-
-
 def predict(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, held_out, score (0 to 1) and predicted for each row of ``docs``; null and empty texts have the score of no
     feature; repeated rows get a result each; other columns are not read."""
