@@ -140,7 +140,7 @@ def _edges(near: DataFrame, share: float) -> DataFrame:
 
 def _step(rows: DataFrame, model: DataFrame, share: float) -> DataFrame:
     near = _distances(rows, model)
-    near = near.join(_edges(near, share), F.col("cell") == F.col("ec")).where("bin <= edge")
+    near = near.join(stored(_edges(near, share), "quality-edges"), F.col("cell") == F.col("ec")).where("bin <= edge")
     sums = {f"m{i}": F.col(NAMES[i]) for i in range(D)} | {f"v{i}{j}": F.col(NAMES[i]) * F.col(NAMES[j]) for i in range(D) for j in range(i + 1)}
     flat = near.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     flat = flat.select("cell", *[(F.col(k) / F.col("n")).alias(k) for k in sums])
