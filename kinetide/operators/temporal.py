@@ -147,7 +147,7 @@ def action_chunks(segments: DataFrame, start: str, end: str, horizon: int, clamp
     ``clamp`` - 1) repeated: ``anchor``, ``k``, ``frame``, ``padded``."""
     stop = F.col(clamp or end)
     rows = segments.withColumn("anchor", F.explode(F.sequence(F.col(start), F.col(end) - 1))).where(F.col(end) > F.col(start))
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).cast("bigint"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(horizon - 1).cast("bigint"))))
     at = F.col("anchor") + F.col("k")
     return rows.withColumns({"frame": F.least(at, stop - 1), "padded": at > stop - 1})
 

@@ -5,19 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-FLAGSHIP = "label_counts"
+from . import tables, temporal, vectors
 
-
-def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+FLAGSHIP = "interval_report"
+ALL = temporal.QUERIES | vectors.QUERIES | tables.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"label_counts": label_counts}
+    return {name: run for name, (run, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"label_counts": "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag"}
+    """SQL for DuckDB; draws by hash and walks through a key's rows in order have none."""
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
