@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _texts
+from .common import stored
 
 #: Hashed trigrams, added count for each, EM rounds, and the cost of a language more in units of log(number of trigrams).
 SLOTS, ADD, ROUNDS, COST = 1 << 15, 0.02, 30, 6.0
@@ -86,7 +87,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Languages in order and their trigram probabilities (SLOTS by languages), from whole texts of about ``sample`` rows
     of each language: those whose id hashes lowest. Held-out rows, null texts and null languages are left out."""
     rows = docs.where(~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("h")).where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "l")
+    sizes = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "l"), "lang-sizes")  # a row for each language
     rows = rows.join(sizes, F.col("lang") == F.col("l")).where(F.pmod("h", F.lit(1 << 20)) * F.col("n") < sample * (1 << 20))
 
     def count(batches):
