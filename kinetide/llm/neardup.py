@@ -2,12 +2,18 @@
 
 Texts with equal shingle sets are one class, and only classes are compared. A class's signature is the minima of HASHES
 universal hash functions; classes that share a band of ROWS of them share a bucket. Buckets are never expanded into all
-pairs: in each round, a bucket that still holds several components compares the members outside its pivot's with the
-pivot, and what is linked becomes one component. A pivot is the member with the most neighbours in all its buckets, such
-as the text that others were copied from; after two rounds, a random one. When what is left to compare is few against the
-classes, or ROUNDS are over, members outside the pivot's component are compared with all of other components in their
-buckets, so no link within a bucket is lost. A pair is read in full only if its
-signatures agree in all but so many places as five standard deviations below the threshold's mean allow.
+pairs:
+  bound    u of a class's n shingles are in no other class that shares any bucket. Two classes have at most
+           min(n1 - u1, n2 - u2) shingles in common and at least max(n1 + u2, n2 + u1) together, so those whose quotient
+           is below the threshold are no candidates, and a class with 100 * (n - u) < share * n has no partner at all.
+  pivots   in each round, a bucket that still holds several components compares the members outside its pivot's with the
+           pivot, and what is linked becomes one component. A pivot is the member with the least share of shingles of its
+           own, such as the text that others were copied from; after two rounds, a random one.
+  rest     members outside the pivot's component are compared with all of other components in their buckets that the
+           bound allows, so no link within a bucket is lost. Members are grouped by size and u first, and only groups
+           that the bound allows are joined: many altered copies of one text, alike but below the threshold, have none.
+A pair is read in full only if its signatures agree in all but so many places as five standard deviations below the
+threshold's mean allow.
 """
 
 from __future__ import annotations
@@ -26,8 +32,9 @@ from .shingle import mix, shingles
 #: A pair shares no band with probability (1 - 0.85**5)**32 = 7e-9 at a similarity of 0.85, 3e-6 at 0.8.
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
-#: Bands of the first round, rounds with pivots after it, and pairs for each class that are few.
-FIRST, ROUNDS, FEW = 8, 4, 20
+#: Bands of the first round, rounds with pivots after it, and pairs for each class that are few. Groups of members for the
+#: bound: as many for each e-fold of size, and for the share of a class's own shingles.
+FIRST, ROUNDS, FEW, SIZES, OWN = 8, 3, 2, 50, 50
 _R = np.random.RandomState(11)
 A = (_R.randint(0, 2**62, HASHES).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 B = _R.randint(0, 2**63, HASHES).astype(np.uint64)
@@ -131,44 +138,84 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, share: int)
     return both(near, sets.select("node", "set")).mapInArrow(check, "a binary, b binary")
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """nid (hash of the node) and u, the shingles that no other of ``sets`` (node, set) has; none: no row."""
+
+    def tokens(batches):
+        for batch in batches:
+            parts = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            nid = np.repeat(batch.column(0).to_numpy(), [len(x) for x in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)), pa.array(nid)], ["token", "nid"])
+
+    each = sets.select(F.xxhash64("node").alias("nid"), "set").mapInArrow(tokens, "token long, nid long").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("nid").alias("nid"))
+    return each.where("df = 1").groupBy("nid").agg(F.count(F.lit(1)).alias("u"))
+
+
+def _possible(a: tuple[str, str, str], b: tuple[str, str, str], share: int):
+    """The bound, from columns (most shingles that may be shared, size, u) of two members or groups of members."""
+    (ha, na, ua), (hb, nb, ub) = (tuple(map(F.col, x)) for x in (a, b))
+    return 100 * F.least(ha, hb) >= share * F.greatest(na + ub, nb + ua)
+
+
+def _rest(own: DataFrame, open_: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) of members outside the pivot's component with members of other components that the bound allows."""
+    every = own.join(open_.select("ob", "pr"), F.col("bucket") == F.col("ob")).drop("ob")
+    every = every.withColumns({"size": F.floor(F.log("n") * SIZES).cast("int"), "part": F.floor(F.col("u") * OWN / F.col("n")).cast("int")})
+    every = stored(every, "neardup-rest")
+    groups = every.groupBy("bucket", "size", "part").agg(F.max("h").alias("h"), F.min("n").alias("n"), F.min("u").alias("u"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    groups = stored(groups, "neardup-groups")
+    other = groups.toDF(*[f"y{c}" for c in groups.columns])
+    alone = (F.col("r0") == F.col("r1")) & (F.col("yr0") == F.col("yr1")) & (F.col("r0") == F.col("yr0"))
+    allowed = groups.join(other, (F.col("bucket") == F.col("ybucket")) & _possible(("h", "n", "u"), ("yh", "yn", "yu"), share) & ~alone)
+    allowed = stored(allowed.select(F.col("bucket").alias("gb"), F.col("size").alias("gs"), F.col("part").alias("gp"), "ysize", "ypart"), "neardup-allowed")
+    stray = every.where("root != pr").join(allowed, (F.col("bucket") == F.col("gb")) & (F.col("size") == F.col("gs")) & (F.col("part") == F.col("gp")))
+    stray = stray.select("bucket", "node", "root", "h", "n", "u", "ysize", "ypart")
+    other = every.select(*[F.col(c).alias(f"x{c}") for c in every.columns])
+    once = (F.col("xroot") == F.col("xpr")) | (F.col("node") < F.col("xnode"))
+    same = (F.col("bucket") == F.col("xbucket")) & (F.col("ysize") == F.col("xsize")) & (F.col("ypart") == F.col("xpart"))
+    found = stray.join(other, same & (F.col("root") != F.col("xroot")) & once & _possible(("h", "n", "u"), ("xh", "xn", "xu"), share))
+    return found.select(F.col("node").alias("a"), F.col("xnode").alias("b"))
+
+
 def links(rows: DataFrame, sketched: DataFrame, words: int, share: int) -> DataFrame:
     """node, root for the classes that are linked with others."""
     spark = rows.sparkSession
-    classes = stored(sketched.where("sig is not null").groupBy("node").agg(F.first("sig").alias("sig")), "neardup-classes")
+    classes = stored(sketched.where("sig is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.first("n").alias("n")), "neardup-classes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    bands = classes.select("node", F.posexplode(keys).alias("band", "bucket"))
-    full = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("bucket").alias("fb"), "n")
-    members = bands.join(full, F.col("bucket") == F.col("fb")).select("bucket", "band", "node", "n")
-    members = stored(members, "neardup-members")
-    degree = members.groupBy(F.col("node").alias("dn")).agg(F.sum("n").alias("degree"))
-    members = stored(members.join(degree, F.col("node") == F.col("dn")).select("bucket", "band", "node", "degree"), "neardup-members")
+    bands = classes.select("node", "n", F.posexplode(keys).alias("band", "bucket"))
+    full = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("bucket").alias("fb"))
+    members = stored(bands.join(full, F.col("bucket") == F.col("fb")).select("bucket", "band", "node", "n"), "neardup-members")
     if members.isEmpty():
         return spark.createDataFrame([], "node binary, root binary")
     bitmap = spark.sparkContext.broadcast(bitmap_of(members, "node"))
     sets = stored(sets_of(rows, words, bitmap), "neardup-sets")
+    own_ = stored(own_shingles(sets), "neardup-own").withColumnRenamed("nid", "on")
+    members = members.join(own_, F.xxhash64("node") == F.col("on"), "left").withColumn("u", F.coalesce("u", F.lit(0).cast("bigint")))
+    members = members.withColumn("h", F.col("n") - F.col("u")).where(100 * F.col("h") >= share * F.col("n"))
+    members = stored(members.select("bucket", "band", "node", "n", "u", "h"), "neardup-members")
     tested = roots = None
     for turn in range(ROUNDS + 2):
         own = members if turn else members.where(F.col("band") < FIRST)
         if roots is not None:
-            own = own.join(roots.select(F.col("node").alias("rn"), "root"), F.col("node") == F.col("rn"), "left").select("bucket", "node", "degree", F.coalesce("root", "node").alias("root"))
+            own = own.join(roots.select(F.col("node").alias("rn"), "root"), F.col("node") == F.col("rn"), "left").select("bucket", "node", "n", "u", "h", F.coalesce("root", "node").alias("root"))
         else:
             own = own.withColumn("root", F.col("node"))
-        pivot = F.max(F.struct(*([F.xxhash64("node", F.lit(turn)).alias("h")] if turn > 1 else ["degree"]), "node", "root")).alias("p")
+        first = F.xxhash64("node", F.lit(turn)) if turn > 1 else -F.floor(1000 * F.col("u") / F.col("n"))
+        pivot = F.max(F.struct(first.alias("first"), F.xxhash64("node").alias("tie"), "node", "root", "n", "u", "h")).alias("p")
         sizes = own.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"), pivot)
         open_ = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.max("p").alias("p")).where("parts > 1")
-        open_ = stored(open_.select(F.col("bucket").alias("ob"), F.col("p.node").alias("pn"), F.col("p.root").alias("pr"), ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("left")), "neardup-open")
+        open_ = open_.select(F.col("bucket").alias("ob"), F.col("p.node").alias("pn"), F.col("p.root").alias("pr"), *[F.col(f"p.{c}").alias(f"q{c}") for c in "nuh"], ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("left"))
+        open_ = stored(open_, "neardup-open")
         todo = open_.agg(F.sum("left")).first()[0]
         if not todo:
             if turn:
                 break
             continue
         last = turn > ROUNDS or (turn > 1 and todo <= FEW * classes.count())
-        stray = own.join(open_, (F.col("bucket") == F.col("ob")) & (F.col("root") != F.col("pr")))
         if last:
-            other = own.select(F.col("bucket").alias("xb"), F.col("node").alias("xn"), F.col("root").alias("xr"))
-            once = (F.col("xr") == F.col("pr")) | (F.col("node") < F.col("xn"))
-            pairs = stray.join(other, (F.col("bucket") == F.col("xb")) & (F.col("root") != F.col("xr")) & once).select(F.col("node").alias("a"), F.col("xn").alias("b"))
+            pairs = _rest(own, open_, share)
         else:
+            stray = own.join(open_, (F.col("bucket") == F.col("ob")) & (F.col("root") != F.col("pr")) & _possible(("h", "n", "u"), ("qh", "qn", "qu"), share))
             pairs = stray.select(F.col("node").alias("a"), F.col("pn").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
