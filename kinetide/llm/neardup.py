@@ -10,8 +10,9 @@ pairs:
            pivot, and what is linked becomes one component. A pivot is the member with the least share of shingles of its
            own, such as the text that others were copied from; after two rounds, a random one.
   rest     members outside the pivot's component are compared with all of other components in their buckets that the
-           bound allows, so no link within a bucket is lost. Members are grouped by size and u first, and only groups
-           that the bound allows are joined: many altered copies of one text, alike but below the threshold, have none.
+           bound allows, so no link within a bucket is lost; u is now what a member's whole component has alone. Members
+           are grouped by size and u first, and only groups that the bound allows are joined: many altered copies of one
+           text, alike but below the threshold, have none.
 A pair is read in full only if its signatures agree in all but so many places as five standard deviations below the
 threshold's mean allow.
 """
@@ -138,17 +139,29 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, share: int)
     return both(near, sets.select("node", "set")).mapInArrow(check, "a binary, b binary")
 
 
+def _tokens(batches):
+    for batch in batches:
+        parts = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        nid = np.repeat(batch.column(0).to_numpy(), [len(x) for x in parts])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)), pa.array(nid)], ["token", "nid"])
+
+
 def own_shingles(sets: DataFrame) -> DataFrame:
     """nid (hash of the node) and u, the shingles that no other of ``sets`` (node, set) has; none: no row."""
+    each = sets.select(F.xxhash64("node").alias("nid"), "set").mapInArrow(_tokens, "token long, nid long").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("nid").alias("nid"))
+    return each.where("df = 1").groupBy("nid").agg(F.count(F.lit(1)).alias("u"))
 
-    def tokens(batches):
-        for batch in batches:
-            parts = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-            nid = np.repeat(batch.column(0).to_numpy(), [len(x) for x in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)), pa.array(nid)], ["token", "nid"])
 
-    each = sets.select(F.xxhash64("node").alias("nid"), "set").mapInArrow(tokens, "token long, nid long").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("nid").alias("nid"))
-    return each.where("df = 1").groupBy("nid").agg(F.count(F.lit(1)).alias("u"))
+def apart_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nid and u of ``nodes`` (node, root), where u are the shingles that only nodes of its component have: no pair of
+    members of two components has them in common."""
+    known = nodes.select("node", F.xxhash64("node").alias("nid"), F.xxhash64("root").alias("rid"))
+    own = sets.select(F.col("node").alias("sn"), "set").join(known, F.col("sn") == F.col("node"))
+    tokens = own.select("nid", "set").mapInArrow(_tokens, "token long, nid long")
+    tokens = tokens.join(known.select(F.col("nid").alias("kn"), "rid"), F.col("nid") == F.col("kn")).select("token", "nid", "rid")
+    tokens = stored(tokens, "neardup-tokens")
+    apart = tokens.groupBy("token").agg(F.min("rid").alias("r0"), F.max("rid").alias("r1")).where("r0 = r1").select(F.col("token").alias("at"))
+    return tokens.join(apart, F.col("token") == F.col("at"), "left_semi").groupBy("nid").agg(F.count(F.lit(1)).alias("u"))
 
 
 def _possible(a: tuple[str, str, str], b: tuple[str, str, str], share: int):
@@ -157,9 +170,13 @@ def _possible(a: tuple[str, str, str], b: tuple[str, str, str], share: int):
     return 100 * F.least(ha, hb) >= share * F.greatest(na + ub, nb + ua)
 
 
-def _rest(own: DataFrame, open_: DataFrame, share: int) -> DataFrame:
-    """Pairs (a, b) of members outside the pivot's component with members of other components that the bound allows."""
-    every = own.join(open_.select("ob", "pr"), F.col("bucket") == F.col("ob")).drop("ob")
+def _rest(own: DataFrame, open_: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) of members outside the pivot's component with members of other components that the bound allows, where
+    u now counts the shingles of a member's component alone."""
+    every = stored(own.join(open_.select("ob", "pr"), F.col("bucket") == F.col("ob")).select("bucket", "node", "root", "n", "pr"), "neardup-every")
+    apart = stored(apart_shingles(sets, every.select("node", "root").distinct()), "neardup-apart").withColumnRenamed("nid", "on")
+    every = every.join(apart, F.xxhash64("node") == F.col("on"), "left").withColumn("u", F.coalesce("u", F.lit(0).cast("bigint"))).drop("on")
+    every = every.withColumn("h", F.col("n") - F.col("u")).where(100 * F.col("h") >= share * F.col("n"))
     every = every.withColumns({"size": F.floor(F.log("n") * SIZES).cast("int"), "part": F.floor(F.col("u") * OWN / F.col("n")).cast("int")})
     every = stored(every, "neardup-rest")
     groups = every.groupBy("bucket", "size", "part").agg(F.max("h").alias("h"), F.min("n").alias("n"), F.min("u").alias("u"), F.min("root").alias("r0"), F.max("root").alias("r1"))
@@ -213,7 +230,7 @@ def links(rows: DataFrame, sketched: DataFrame, words: int, share: int) -> DataF
             continue
         last = turn > ROUNDS or (turn > 1 and todo <= FEW * classes.count())
         if last:
-            pairs = _rest(own, open_, share)
+            pairs = _rest(own, open_, sets, share)
         else:
             stray = own.join(open_, (F.col("bucket") == F.col("ob")) & (F.col("root") != F.col("pr")) & _possible(("h", "n", "u"), ("qh", "qn", "qu"), share))
             pairs = stray.select(F.col("node").alias("a"), F.col("pn").alias("b"))

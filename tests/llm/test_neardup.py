@@ -76,6 +76,25 @@ def test_all_untested_pairs_are_compared_at_the_end(spark, monkeypatch):
     assert run(spark, rows, 85) == truth(rows, 85)
 
 
+def test_altered_copies_below_the_threshold(spark, monkeypatch):
+    """A group of copies, and copies of those, of which many pairs are alike but not linked; all rounds end in the last one."""
+    monkeypatch.setattr(neardup, "FEW", 10**6)
+    r = random.Random(5)
+    base = [f"b{k}" for k in range(150)]
+    rows, key = [(0, " ".join(base))], 1
+    for _ in range(120):
+        own = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5, 7])):
+            own[r.randrange(len(own))] = f"x{r.randrange(3000)}"
+        for _ in range(r.choice([1, 1, 3])):
+            more = list(own)
+            more[r.randrange(len(more))] = f"y{r.randrange(3000)}"
+            rows.append((key, " ".join(more[: r.choice([150, 150, 140, 128])])))
+            key += 1
+    for share in (80, 85):
+        assert run(spark, rows, share) == truth(rows, share)
+
+
 def test_empty_and_whole_table(spark, sf_dir):
     assert run(spark, [], 85) == []
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
