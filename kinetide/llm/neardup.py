@@ -170,13 +170,19 @@ def _possible(a: tuple[str, str, str], b: tuple[str, str, str], share: int):
     return 100 * F.least(ha, hb) >= share * F.greatest(na + ub, nb + ua)
 
 
-def _rest(own: DataFrame, open_: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+def _buckets():
+    """The bucket of each band, from ``sig``."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+
+
+def _rest(own: DataFrame, open_: DataFrame, classes: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Pairs (a, b) of members outside the pivot's component with members of other components that the bound allows, where
-    u now counts the shingles of a member's component alone."""
-    every = stored(own.join(open_.select("ob", "pr"), F.col("bucket") == F.col("ob")).select("bucket", "node", "root", "n", "pr"), "neardup-every")
+    u now counts the shingles of a member's component alone. A pair is found in the first bucket it shares only."""
+    every = stored(own.join(open_.select("ob", "pr"), F.col("bucket") == F.col("ob")).select("bucket", "band", "node", "root", "n", "pr"), "neardup-every")
     apart = stored(apart_shingles(sets, every.select("node", "root").distinct()), "neardup-apart").withColumnRenamed("nid", "on")
     every = every.join(apart, F.xxhash64("node") == F.col("on"), "left").withColumn("u", F.coalesce("u", F.lit(0).cast("bigint"))).drop("on")
     every = every.withColumn("h", F.col("n") - F.col("u")).where(100 * F.col("h") >= share * F.col("n"))
+    every = every.join(classes.select(F.col("node").alias("cn"), _buckets().alias("all")), F.col("node") == F.col("cn")).drop("cn")
     every = every.withColumns({"size": F.floor(F.log("n") * SIZES).cast("int"), "part": F.floor(F.col("u") * OWN / F.col("n")).cast("int")})
     every = stored(every, "neardup-rest")
     groups = every.groupBy("bucket", "size", "part").agg(F.max("h").alias("h"), F.min("n").alias("n"), F.min("u").alias("u"), F.min("root").alias("r0"), F.max("root").alias("r1"))
@@ -186,11 +192,12 @@ def _rest(own: DataFrame, open_: DataFrame, sets: DataFrame, share: int) -> Data
     allowed = groups.join(other, (F.col("bucket") == F.col("ybucket")) & _possible(("h", "n", "u"), ("yh", "yn", "yu"), share) & ~alone)
     allowed = stored(allowed.select(F.col("bucket").alias("gb"), F.col("size").alias("gs"), F.col("part").alias("gp"), "ysize", "ypart"), "neardup-allowed")
     stray = every.where("root != pr").join(allowed, (F.col("bucket") == F.col("gb")) & (F.col("size") == F.col("gs")) & (F.col("part") == F.col("gp")))
-    stray = stray.select("bucket", "node", "root", "h", "n", "u", "ysize", "ypart")
+    stray = stray.select("bucket", "band", "all", "node", "root", "h", "n", "u", "ysize", "ypart")
     other = every.select(*[F.col(c).alias(f"x{c}") for c in every.columns])
     once = (F.col("xroot") == F.col("xpr")) | (F.col("node") < F.col("xnode"))
     same = (F.col("bucket") == F.col("xbucket")) & (F.col("ysize") == F.col("xsize")) & (F.col("ypart") == F.col("xpart"))
-    found = stray.join(other, same & (F.col("root") != F.col("xroot")) & once & _possible(("h", "n", "u"), ("xh", "xn", "xu"), share))
+    before = F.exists(F.zip_with(F.slice("all", F.lit(1), F.col("band")), F.slice("xall", F.lit(1), F.col("band")), lambda x, y: x == y), lambda x: x)
+    found = stray.join(other, same & (F.col("root") != F.col("xroot")) & once & _possible(("h", "n", "u"), ("xh", "xn", "xu"), share) & ~before)
     return found.select(F.col("node").alias("a"), F.col("xnode").alias("b"))
 
 
@@ -198,8 +205,7 @@ def links(rows: DataFrame, sketched: DataFrame, words: int, share: int) -> DataF
     """node, root for the classes that are linked with others."""
     spark = rows.sparkSession
     classes = stored(sketched.where("sig is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.first("n").alias("n")), "neardup-classes")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    bands = classes.select("node", "n", F.posexplode(keys).alias("band", "bucket"))
+    bands = classes.select("node", "n", F.posexplode(_buckets()).alias("band", "bucket"))
     full = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("bucket").alias("fb"))
     members = stored(bands.join(full, F.col("bucket") == F.col("fb")).select("bucket", "band", "node", "n"), "neardup-members")
     if members.isEmpty():
@@ -214,7 +220,7 @@ def links(rows: DataFrame, sketched: DataFrame, words: int, share: int) -> DataF
     for turn in range(ROUNDS + 2):
         own = members if turn else members.where(F.col("band") < FIRST)
         if roots is not None:
-            own = own.join(roots.select(F.col("node").alias("rn"), "root"), F.col("node") == F.col("rn"), "left").select("bucket", "node", "n", "u", "h", F.coalesce("root", "node").alias("root"))
+            own = own.join(roots.select(F.col("node").alias("rn"), "root"), F.col("node") == F.col("rn"), "left").select("bucket", "band", "node", "n", "u", "h", F.coalesce("root", "node").alias("root"))
         else:
             own = own.withColumn("root", F.col("node"))
         first = F.xxhash64("node", F.lit(turn)) if turn > 1 else -F.floor(1000 * F.col("u") / F.col("n"))
@@ -230,7 +236,7 @@ def links(rows: DataFrame, sketched: DataFrame, words: int, share: int) -> DataF
             continue
         last = turn > ROUNDS or (turn > 1 and todo <= FEW * classes.count())
         if last:
-            pairs = _rest(own, open_, sets, share)
+            pairs = _rest(own, open_, classes, sets, share)
         else:
             stray = own.join(open_, (F.col("bucket") == F.col("ob")) & (F.col("root") != F.col("pr")) & _possible(("h", "n", "u"), ("qh", "qn", "qu"), share))
             pairs = stray.select(F.col("node").alias("a"), F.col("pn").alias("b"))
