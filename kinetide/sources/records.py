@@ -125,7 +125,7 @@ def write_stats(stats: DataFrame, path: str, keys: list[str]) -> None:
     """For each key one JSON line with the arrays mean, std, q01, q99 in order of the components."""
     row = F.array_sort(F.collect_list(F.struct("dim", "mean", "std", "q01", "q99"))).alias("r")
     flat = stats.groupBy(*keys).agg(row) if keys else stats.agg(row)
-    flat.select(*keys, *[F.transform("r", lambda x, c=c: x[c]).alias(c) for c in ("mean", "std", "q01", "q99")]).write.json(path)
+    flat.select(*keys, *[F.col(f"r.{c}").alias(c) for c in ("mean", "std", "q01", "q99")]).write.json(path)
 
 
 def read_stats(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
