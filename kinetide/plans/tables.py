@@ -108,6 +108,16 @@ def lookup_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOOKUP_SQL = "SELECT c_custkey, coalesce(n_name, 'UNMAPPED') AS nation FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey"
 
 
+def lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nation of every customer, from all nations."""
+    customers, nations = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "nation")
+    found = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return found.select("c_custkey", F.coalesce("n_name", F.lit("UNMAPPED")).alias("nation"))
+
+
+LOOKUP_ALL_SQL = "SELECT c_custkey, coalesce(n_name, 'UNMAPPED') AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"
+
+
 def semi_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that have lines of more than 49 pieces."""
     lines = _read(spark, sf_dir, "lineitem").where("l_quantity > 49").select("l_orderkey")
@@ -279,6 +289,7 @@ QUERIES = {
     "rollup_counts": (rollup_counts, ROLLUP_SQL),
     "drop_reasons": (drop_reasons, REASONS_SQL),
     "lookup_left": (lookup_left, LOOKUP_SQL),
+    "lookup_all": (lookup_all, LOOKUP_ALL_SQL),
     "semi_filter": (semi_filter, SEMI_SQL),
     "anti_missing": (anti_missing, ANTI_MISSING_SQL),
     "class_weights": (class_weights, WEIGHTS_SQL),

@@ -143,6 +143,19 @@ NEXT_SQL = f"""WITH {E} SELECT CAST(user_id // 2 AS BIGINT) AS pair, event_id, u
 FROM e WHERE event_type = 'purchase' AND user_id % 2 = 0"""
 
 
+def next_of_either_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every purchase, the next click of the other side of its pair; the side is a column."""
+    rows = events(spark, sf_dir).select(F.floor(F.col("user_id") / 2).alias("pair"), F.pmod("user_id", F.lit(2)).alias("side"), "event_id", "event_type", "us")
+    left = rows.where("event_type = 'purchase'").select("pair", "side", "event_id", "us")
+    right = rows.where("event_type = 'click'").select("pair", (1 - F.col("side")).alias("side"), "us", F.col("us").alias("next_us"))
+    return T.asof_next(left, right, ["pair", "side"], "us", "next_us").withColumnRenamed("following", "next_us")
+
+
+EITHER_SQL = f"""WITH {E}, p AS (SELECT *, CAST(floor(user_id / 2) AS BIGINT) AS pair, user_id - 2 * CAST(floor(user_id / 2) AS BIGINT) AS side FROM e)
+SELECT pair, side, event_id, us, (SELECT min(o.us) FROM p o WHERE o.event_type = 'click' AND o.pair = p.pair AND o.side <> p.side AND o.us > p.us) AS next_us
+FROM p WHERE event_type = 'purchase'"""
+
+
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.islands(events(spark, sf_dir), ["user_id"], "us", _high(), least=2).select("user_id", F.col("first").alias("start_us"), F.col("last").alias("end_us"))
 
@@ -267,6 +280,7 @@ QUERIES = {
     "sustained_match": (sustained_match, SUSTAINED_SQL),
     "asof_prev_release": (asof_prev_release, ASOF_SQL),
     "next_other_side": (next_other_side, NEXT_SQL),
+    "next_of_either_side": (next_of_either_side, EITHER_SQL),
     "range_join": (range_join, RANGE_SQL),
     "anti_range": (anti_range, ANTI_SQL),
     "frame_alignment": (frame_alignment, FRAME_SQL),

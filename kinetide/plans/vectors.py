@@ -112,6 +112,15 @@ RESAMPLED_SQL = f"""WITH v AS (SELECT vec_id, list_transform(embedding[1:9], lam
 SELECT vec_id, {TEXT.format('list_transform(range(17), lambda k: v[k // 2 + 1] + (v[least(k // 2 + 2, 9)] - v[k // 2 + 1]) * ((k % 2) * 0.5))')} AS chunk FROM v"""
 
 
+def resampled_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components of each vector, at twice as many places less one."""
+    return vectors(spark, sf_dir).select("vec_id", _text(V.resample(F.col("v"), 127)).alias("chunk"))
+
+
+WHOLE_SQL = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
+SELECT vec_id, {TEXT.format('list_transform(range(2 * len(v) - 1), lambda k: v[k // 2 + 1] + (v[least(k // 2 + 2, len(v))] - v[k // 2 + 1]) * ((k % 2) * 0.5))')} AS chunk FROM v"""
+
+
 def finite_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).groupBy("label").agg(F.count_if(V.finite(F.col("v"))).alias("n"))
 
@@ -173,6 +182,7 @@ QUERIES = {
     "state_slices": (state_slices, SLICES_SQL),
     "discretize_256": (discretize_256, BINS_SQL),
     "resampled": (resampled, RESAMPLED_SQL),
+    "resampled_whole": (resampled_whole, WHOLE_SQL),
     "finite_vectors": (finite_vectors, FINITE_SQL),
     "action_chunks": (action_chunks, CHUNK_SQL),
     "chunk_zero_pad": (chunk_zero_pad, ZERO_PAD_SQL),
