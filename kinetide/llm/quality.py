@@ -2,7 +2,8 @@
 
 Everything is DataFrame expressions. A text's counts come from arrays within its row; a row of integers per document is
 stored, and all that follows reads only this table:
-  cells       rows of one language and source; cells below ``least`` rows are pooled by language, then all together
+  cells       rows of one language and source; cells below ``least`` rows are pooled by language, then all together; a
+              last pool that is still too small is judged against all rows
   start       each statistic's median and quartile distance, from exact counts of its integer values
   C-steps     ``steps`` times: distance of every row, the nearest ``share`` of a cell's rows, their mean and covariance
   verdict     a squared Mahalanobis distance above ``cutoff``; where ``share`` of a cell lies further out than a
@@ -24,10 +25,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Least standard deviation of each statistic in thousandths: below it, differences don't matter.
-FLOORS = {"x_length": 80, "x_symbols": 40, "x_lines": 150, "x_repeats": 150}
+#: Least standard deviation of each statistic in thousandths: below it, differences don't matter. A statistic alone can
+#: pass the cutoff of 40 within its range (1000; 548 for repeats, by the base rules) only if its floor is below range / 6.3.
+FLOORS = {"x_length": 80, "x_symbols": 40, "x_lines": 100, "x_repeats": 80}
 NAMES = list(FLOORS)
 D = len(NAMES)
+#: The cell of all rows; others are named by JSON arrays.
+ALL = "*"
 #: Chi-squared with four degrees of freedom at 0.75, and the bins for each doubling of a squared distance.
 CHI_75, BINS = 5.385, 16
 
@@ -152,7 +156,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     base_failed: fewer than 20 words, or over 30 % of them in repeated windows. Other rows are kept unless their scaled d2
     is above ``cutoff``. Null languages and sources are values of their own; where not even all small cells together have
-    ``least`` rows, there is no estimate, d2 is null and rows that pass the base rules are kept. Null and empty texts have
+    ``least`` rows, they are judged against all rows. Where those are fewer too, there is no estimate, d2 is null and rows
+    that pass the base rules are kept. Null and empty texts have
     no words and fail. Repeated rows count as often as they occur. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
@@ -161,6 +166,9 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     found = stored(found, "quality-counts")
     good = stored(_cells(found.where("not base_failed"), least), "quality-rows")
     rows = good.where("cell is not null").select("cell", *NAMES)
+    if not good.where("cell is null").isEmpty() and good.count() >= least:
+        rows = rows.unionByName(good.select(F.lit(ALL).alias("cell"), *NAMES))
+        good = good.withColumn("cell", F.coalesce("cell", F.lit(ALL)))
     model = stored(_start(rows), "quality-model")
     for _ in range(steps):
         model = stored(_step(rows, model, share), "quality-model")

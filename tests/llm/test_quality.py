@@ -83,3 +83,25 @@ def test_nulls_repeats_clashes_and_empty(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = quality.op3_quality(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def _plain(k):
+    return " ".join(f"{(7 * k + i) % 1000:03d}" for i in range(100))
+
+
+def test_repeats_and_lines_alone_are_outliers(spark):
+    words = _plain(0).split()
+    lines = "\n".join(x for i in range(0, 90, 3) for x in (" ".join(words[i : i + 3]), "991 992 993"))
+    repeats = " ".join([*words[:14], *words[:86]])
+    rows = [(k, _plain(k)) for k in range(300)] + [(1000, lines), (1001, repeats)]
+    docs = spark.createDataFrame([(k, t, "en", "a") for k, t in rows], "doc_id long, text string, lang string, source string")
+    found = quality.judged(docs)
+    assert not found.where("base_failed").count()
+    assert sorted(r["key"] for r in found.where("not kept").collect()) == [1000, 1001]
+
+
+def test_last_small_pool_is_judged_against_all_rows(spark):
+    rows = [(k, _plain(k), "en", "a") for k in range(150)] + [(500, _plain(500), "zz", "b"), (501, _plain(501).replace(" ", " ### "), "zz", "b")]
+    found = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert found.count() == 152 and not found.where("d2 is null").count()
+    assert [r["key"] for r in found.where("not kept").collect()] == [501]
