@@ -8,6 +8,8 @@ passes over all texts; their spans are merged by text.
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,6 +204,56 @@ def verdicts(found: DataFrame) -> DataFrame:
     return found.withColumns({"n_hit": hit, "n_items": F.size("items").cast("bigint"), "items_sha256": F.sha2(said, 256)}).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``text`` without the words of ``spans`` ([start, end) in words, ascending) and what separates them from the next word."""
+    starts = [m.start() for m in re.finditer(rb"[^ ]+", text.translate(NORMAL))] + [len(text)]
+    out, last = [], 0
+    for s, e in spans:
+        out.append(text[last : starts[s]])
+        last = starts[e]
+    return b"".join([*out, text[last:]])
+
+
+def removed(docs: DataFrame, bench: DataFrame, window: int = 13, longest: int = 0, share: float = 0.0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """For each row of ``docs``: key, n_removed (words) and text without its spans (see matches).
+
+    A span goes if it has more than ``longest`` words, and all of a text's go if they are more than ``share`` of its words;
+    by default every span goes. What a cut joins is searched again until nothing more goes. Null texts are empty;
+    repeated rows get a result each; a span at the end goes with the marks behind it.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            texts, gone = [], []
+            for t, n, spans in zip(_texts(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                some = [(x["s"], x["e"]) for x in spans]
+                if sum(e - s for s, e in some) <= share * n:
+                    some = [(s, e) for s, e in some if e - s > longest]
+                texts.append(without_spans(t, some))
+                gone.append(sum(e - s for s, e in some))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(gone, pa.int64())], ["row", "text", "gone"])
+
+    keyed = stored(keyed_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "key", "text"), "decontam-rows")
+    left, done = keyed.select("row", "text"), []
+    while True:
+        found = matches(left, bench, window, "row", "text", item_col, item_text).where("size(spans) > 0").select(F.col("key").alias("r"), "n_words", "spans")
+        found = stored(found, "decontam-spans")
+        new = left.join(found, F.col("row") == F.col("r")).select("row", "text", "n_words", "spans").mapInArrow(cut, "row long, text string, gone long").where("gone > 0")
+        new = stored(new, "decontam-cut")
+        if new.isEmpty():
+            break
+        done.append(new.withColumn("round", F.lit(len(done))))
+        left = new.select("row", "text")
+    if not done:
+        return keyed.select("key", F.lit(0).cast("bigint").alias("n_removed"), "text")
+    all_cuts = done[0]
+    for x in done[1:]:
+        all_cuts = all_cuts.unionByName(x)
+    last = all_cuts.groupBy(F.col("row").alias("r")).agg(F.sum("gone").alias("gone"), F.max_by("text", "round").alias("clean"))
+    both = keyed.join(last, F.col("row") == F.col("r"), "left")
+    return both.select("key", F.coalesce("gone", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("clean", "text").alias("text"))
+
+
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return verdicts(found).select(F.col("key").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -65,3 +65,26 @@ def test_whole_table(spark, sf_dir):
     get = lambda t, k: [(r[k], r["text"]) for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").collect()]
     got = sorted(str(tuple(r)) for r in decontam.op6_decontam(spark, sf_dir).collect())
     assert got == truth(get("documents", "doc_id"), get("benchmark", "item_id"))
+
+
+def cleaned(spark, docs, items, **limits):
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    return {r["key"]: (r["n_removed"], r["text"]) for r in decontam.removed(d, spark.createDataFrame(items, "item_id long, text string"), **limits).collect()}
+
+
+def test_short_passages_are_cut_from_long_texts(spark):
+    item = " ".join(f"q{i}" for i in range(45))
+    before, after = " ".join(f"a{i}" for i in range(500)), " ".join(f"é{i}" for i in range(455))
+    half = item.split()
+    docs = [(1, f"{before}. {item.upper()}! {after}?"), (2, before), (3, None), (4, item), (5, " ".join(half[:12] + half[20:40] + half[12:20]) + " end")]
+    assert cleaned(spark, docs, [(7, item)]) == {1: (45, f"{before}. {after}?"), 2: (0, before), 3: (0, ""), 4: (45, ""), 5: (40, "end")}
+    assert cleaned(spark, docs, [(7, item)], longest=45, share=0.05)[1] == (0, docs[0][1])
+    assert cleaned(spark, docs, [(7, item)], longest=45, share=0.04)[1][0] == 45
+
+
+def test_nothing_is_found_in_what_is_left(spark):
+    docs, items = random_case(11)
+    docs = [(i, t) for i, (_, t) in enumerate(docs)]
+    left = [(k, t) for k, (_, t) in cleaned(spark, docs, items).items()]
+    assert len(left) == len(docs) and not any("True" in r for r in truth(left, items))
+    assert all(eval(r)[2] == 0 for r in truth(left, items))
