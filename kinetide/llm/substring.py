@@ -78,24 +78,24 @@ class Indexed:
 def _anchors(rows: DataFrame) -> DataFrame:
     def index(batches):
         for batch in batches:
-            h, c, row, key, at, n = [], [], [], [], [], []
+            h, c, text, key, at, n = [], [], [], [], [], []
             for r, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), strict=True):
                 d = Indexed(t)
                 if len(d.at):
                     h.append(d.v[d.at])
                     c.append(d.contexts())
                     at.append(d.at)
-                    row.append(np.full(len(d.at), r))
+                    text.append(np.full(len(d.at), r))
                     key.append(np.full(len(d.at), k))
                     n.append(np.full(len(d.at), d.n))
             flat = lambda x, t: pa.array(np.concatenate(x).view(t) if x else np.zeros(0, t))
-            yield pa.RecordBatch.from_arrays([flat(x, np.int64) for x in (h, c, row, key, at, n)], ["h", "c", "row", "key", "at", "n"])
+            yield pa.RecordBatch.from_arrays([flat(x, np.int64) for x in (h, c, text, key, at, n)], ["h", "c", "hash", "key", "at", "n"])
 
-    return rows.where("key is not null").mapInArrow(index, "h long, c long, row long, key long, at long, n long")
+    return rows.where("key is not null").mapInArrow(index, "h long, c long, hash long, key long, at long, n long")
 
 
 def _boundary_windows(rows: DataFrame, bitmap) -> DataFrame:
-    """h, w, row, key, at of the windows of those anchors whose (hash, key) has its bit set."""
+    """h, w, hash, key, at of the windows of those anchors whose (hash, key) has its bit set."""
 
     def check(batches):
         for batch in batches:
@@ -110,9 +110,9 @@ def _boundary_windows(rows: DataFrame, bitmap) -> DataFrame:
                     for x, y in zip(out, (np.full(len(s), h[i]), d.runs(s, s + WINDOW), np.full(len(s), r), np.full(len(s), k), s), strict=True):
                         x.append(y)
             flat = lambda x: pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([flat(x) for x in out], ["h", "w", "row", "key", "at"])
+            yield pa.RecordBatch.from_arrays([flat(x) for x in out], ["h", "w", "hash", "key", "at"])
 
-    return rows.where("key is not null").mapInArrow(check, "h long, w long, row long, key long, at long")
+    return rows.where("key is not null").mapInArrow(check, "h long, w long, hash long, key long, at long")
 
 
 def _bits(bitmap: bytes, h: np.ndarray, key: int) -> np.ndarray:
@@ -121,16 +121,19 @@ def _bits(bitmap: bytes, h: np.ndarray, key: int) -> np.ndarray:
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): row, key, text of ``docs``, and row, spans (array of [s, e) in words; they may overlap) of the words
-    in windows that a document with a smaller id also has."""
+    """(rows, spans): hash (of the text), key, text of ``docs``, and hash, key, spans (array of [s, e) in words; they may
+    overlap) of the words in windows that a document with a smaller id also has.
+
+    ``docs`` is read several times, so rows are told apart by what they hold and not by a number that depends on how files
+    are split; rows of one id and text have the same spans."""
     spark = docs.sparkSession
-    rows = keyed_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "key", "text")
+    rows = keyed_text(docs, id_col, text_col).select(F.xxhash64("text").alias("hash"), "key", "text")
     found = stored(_anchors(rows), "substring-anchors")
     shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("m"), (F.min("c") != F.max("c")).alias("many")).where("m > 1").select(F.col("h").alias("sh"), "many")
     found = stored(found.join(shared, F.col("h") == F.col("sh")).drop("sh"), "substring-shared")
     first = found.groupBy("h", "c").agg(F.min("key").alias("least")).withColumnsRenamed({"h": "fh", "c": "fc"})
     found = stored(found.join(first, (F.col("h") == F.col("fh")) & (F.col("c") == F.col("fc"))).drop("fh", "fc"), "substring-first")
-    inner = found.where("key > least").select("row", F.greatest(F.col("at") - (PLACES - 1), F.lit(0)).alias("s"), F.least(F.col("at") + WINDOW, "n").alias("e"))
+    inner = found.where("key > least").select("hash", "key", F.greatest(F.col("at") - (PLACES - 1), F.lit(0)).alias("s"), F.least(F.col("at") + WINDOW, "n").alias("e"))
     edge = found.where("key = least and many").select("h", "key").distinct()
 
     def pairs(batches):
@@ -142,8 +145,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bitmap = spark.sparkContext.broadcast(bitmap_of(edge.mapInArrow(pairs, "bit binary"), "bit"))
     windows = stored(_boundary_windows(rows, bitmap), "substring-windows")
     least = windows.groupBy("h", "w").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select(F.col("h").alias("lh"), F.col("w").alias("lw"), "least")
-    outer = windows.join(least, (F.col("h") == F.col("lh")) & (F.col("w") == F.col("lw"))).where("key > least").select("row", F.col("at").alias("s"), (F.col("at") + WINDOW).alias("e"))
-    spans = inner.unionByName(outer).groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))).alias("spans"))
+    outer = windows.join(least, (F.col("h") == F.col("lh")) & (F.col("w") == F.col("lw"))).where("key > least").select("hash", "key", F.col("at").alias("s"), (F.col("at") + WINDOW).alias("e"))
+    spans = inner.unionByName(outer).groupBy("hash", "key").agg(F.array_sort(F.collect_set(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))).alias("spans"))
     return rows, stored(spans, "substring-spans")
 
 
@@ -177,7 +180,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(merged, kind), pa.array(kept, pa.binary()).cast(pa.string())], ["key", "n_words", "n_removed", "spans", "kept"])
 
-    both = rows.join(spans.withColumnRenamed("row", "sr"), F.col("row") == F.col("sr"), "left").select("key", "text", "spans")
+    spans = spans.withColumnsRenamed({"hash": "sh", "key": "sk"})
+    both = rows.join(spans, (F.col("key") == F.col("sk")) & (F.col("hash") == F.col("sh")), "left").select("key", "text", "spans")
     return both.mapInArrow(cut, "key long, n_words long, n_removed long, spans array<struct<s:int,e:int>>, kept string")
 
 

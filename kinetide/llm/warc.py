@@ -78,13 +78,20 @@ def _cuts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _same(value: str) -> Column:
+    """What tells a cut's bytes from others, however the file was split."""
+    return F.unhex(F.sha1(F.col(value).cast("binary")))
+
+
 def _payload(block: Column) -> Column:
     """The bytes behind the HTTP header of a record's block."""
     return F.substring(block, F.instr(block.cast("string"), END) + len(END), F.octet_length(block))
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each cut: file, block, at, off, next (null without a readable header), and what the header says."""
+    """A row for each cut: file, block, at, same, off, next (null without a readable header), and what the header says.
+
+    Blocks and places hold for this one read only; a second read is joined by ``same``."""
     head = F.substring_index("value", END, 1)
     cut = _cuts(spark, path).withColumns({"head": head, "len": F.octet_length("value").cast("bigint")})
     cut = cut.withColumns({"skip": F.octet_length("head") + len(END), "clen": F.expr("try_cast(" + "nullif(regexp_extract(head, '(?im)^Content-Length:[ \\\\t]*([0-9]+)[ \\\\t]*$', 1), '') AS bigint)")})
@@ -94,7 +101,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     cut = cut.select(
         "file", "block", "at", "len", "skip", "clen", whole.alias("whole"), _field("WARC-Type").alias("type"), _field("WARC-Record-ID").alias("id"), _field("WARC-Refers-To").alias("target"),
         _field("WARC-Target-URI").alias("url"), _field("WARC-Payload-Digest").alias("said"), F.regexp_extract("value", r"(?i)\r\n\r\nHTTP[^\r\n]*\r\n(?:[^\r\n]+\r\n)*?Content-Length:[ \t]*(\d+)", 1).alias("said_bytes"),
-        F.sha1("payload").alias("digest"), F.octet_length("payload").cast("bigint").alias("bytes"),
+        F.sha1("payload").alias("digest"), F.octet_length("payload").cast("bigint").alias("bytes"), _same("value").alias("same"),
     )
     cut = stored(cut, "warc-cuts")
     size = F.col("len") + len(MAGIC)
@@ -142,9 +149,12 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     heads = found.where("ro is not null")
     split = found.join(heads.where("not whole and type = 'response'").select(F.col("file").alias("hf"), F.col("off").alias("ho")), (F.col("file") == F.col("hf")) & (F.col("record") == F.col("ho")), "left_semi")
     split = heads.where("type = 'response'") if payloads else split
-    parts = (found if payloads else split).select("file", "block", "at", "off", "record")
+    parts = (found if payloads else split).select("file", "same", "off", "record")
     if payloads or not split.isEmpty():
-        text = _cuts(spark, path).join(parts.withColumnsRenamed({"file": "pf", "block": "pb", "at": "pa"}), (F.col("file") == F.col("pf")) & (F.col("block") == F.col("pb")) & (F.col("at") == F.col("pa")))
+        wanted = parts.select(F.col("file").alias("wf"), F.col("same").alias("ws")).distinct()
+        text = _cuts(spark, path).select("file", _same("value").alias("same"), "value").join(wanted, (F.col("file") == F.col("wf")) & (F.col("same") == F.col("ws")), "left_semi")
+        text = text.groupBy("file", "same").agg(F.first("value").alias("value"))  # equal cuts are one
+        text = parts.join(text, ["file", "same"])
         text = text.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("parts"))
         text = text.select(F.col("file").alias("tf"), F.col("record").alias("tr"), F.array_join(F.col("parts.value"), MAGIC).cast("binary").alias("bytes_of"))
         heads = heads.join(text, (F.col("file") == F.col("tf")) & (F.col("off") == F.col("tr")), "left")

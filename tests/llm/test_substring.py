@@ -67,3 +67,17 @@ def test_empty_and_whole_table(spark, sf_dir):
     assert run(spark, []) == []
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted(str(tuple(r)) for r in substring.op7_substring(spark, sf_dir).collect()) == truth(rows)
+
+
+def test_files_split_otherwise_in_a_later_pass(spark, tmp_path):
+    rows = corpus(3)
+    for i in range(4):
+        spark.createDataFrame(rows[i::4], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100m")
+        found = substring.dedup(spark.read.parquet(str(tmp_path / "d"))).select("key", "n_words", "n_removed", F.sha2("kept", 256))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000b")
+        got = sorted(str(tuple(r)) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == truth(rows)

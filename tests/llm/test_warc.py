@@ -41,3 +41,18 @@ def test_junk_before_the_first_record_and_empty_tables(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "j")).count() == 0
     warc.write_warc(build(spark, []), str(tmp_path / "e"))
     assert warc.read_warc(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_files_split_otherwise_in_the_second_read(spark, tmp_path):
+    fake = "x" + warc.MAGIC + "Content-Length: 3\r\n\r\nabc" + warc.MAGIC
+    rows = [(k, "u", f"{k} {fake if k % 3 else ''} {'z' * 300}", "x", 1) for k in range(20)]
+    path = str(tmp_path / "w")
+    warc.write_warc(build(spark, rows), path)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+        found = warc.read_warc(spark, path, payloads=True)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1900b")
+        got = {r["page_id"]: bytes(r["payload"] or b"").decode() for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {k: html for k, _, html, *_ in rows}
