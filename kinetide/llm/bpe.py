@@ -6,6 +6,8 @@
    whole corpus, and every text's pieces are joined with the encoded chunks by digest.
 3. Cuts may split a word. At each join the word across it is encoded again: the ids of the left part's last word and of
    the right part's first are replaced; parts must end and begin with just those ids, else the whole text is encoded.
+   A part agrees with its ends or not whatever its neighbours, so texts to encode whole are known before they are joined.
+All this holds only where ids are those of words. With other tokenizer files every text is encoded whole where it is read.
 A bit set by another chunk only sends a text the longer way; no result depends on it.
 """
 
@@ -49,6 +51,14 @@ PLAIN = _plain_words()
 SPACE = b" \t\n\r\x0b\x0c"
 
 
+def _by_word(file: dict) -> bool:
+    """Whether a tokenizer's own pre-tokenizer drops white space, so that a text's ids are its words' ids in order."""
+    pre = file.get("pre_tokenizer") or {}
+    first = (pre.get("pretokenizers") or [pre])[0]
+    regex = first.get("pattern", {}).get("Regex", "") if first.get("type") == "Split" else ""
+    return first.get("behavior") == "Removed" and bool(first.get("invert")) and regex.endswith(r"[^\s\p{L}\p{N}]+") and r"\s+" not in regex
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -72,10 +82,7 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        pre = file.get("pre_tokenizer") or {}
-        first = (pre.get("pretokenizers") or [pre])[0]
-        regex = first.get("pattern", {}).get("Regex", "") if first.get("type") == "Split" else ""
-        self.by_word = first.get("behavior") == "Removed" and bool(first.get("invert")) and regex.endswith(r"[^\s\p{L}\p{N}]+") and r"\s+" not in regex
+        self.by_word = _by_word(file)
         self.known: dict[bytes, bytes] = {}
         self.met, self.marked = bytearray(MET), 0
         self.words = None
@@ -235,8 +242,22 @@ def _ends(part: bytes) -> tuple[bytes, bytes | None]:
     return part[: min(at)], part[max(part.rfind(SPACE[i : i + 1]) for i in range(6)) + 1 :]
 
 
-def join_parts(enc: Encoder, parts: list[tuple[bytes, bytes | None, bytes]]) -> bytes | None:
-    """The ids of a text from its parts (head, tail, ids); None if a part's ids don't agree with its ends."""
+def agreeing(enc: Encoder, parts: list[bytes], ids: list[bytes]) -> list[bool]:
+    """Whether each part's ids begin and end with those of its first and last word, so that these can be replaced."""
+    both = [_ends(p) for p in parts]
+    ends = iter(enc.encode([x for head, tail in both if tail is not None for x in (head, tail)]))
+    out = []
+    for (_, tail), x in zip(both, ids, strict=True):
+        if tail is None:
+            out.append(True)
+            continue
+        a, b = next(ends), next(ends)
+        out.append(x.startswith(a) and x.endswith(b) and len(x) >= len(a) + len(b))
+    return out
+
+
+def join_parts(enc: Encoder, parts: list[tuple[bytes, bytes | None, bytes]]) -> bytes:
+    """The ids of a text from its parts (head, tail, ids), which agree with their ends."""
     ends = enc.encode([x for head, tail, _ in parts if tail is not None for x in (head, tail)])
     out, across, todo = [], b"", []
     k = 0
@@ -247,7 +268,7 @@ def join_parts(enc: Encoder, parts: list[tuple[bytes, bytes | None, bytes]]) ->
         a, b = ends[k], ends[k + 1]
         k += 2
         if not (ids.startswith(a) and ids.endswith(b) and len(ids) >= len(a) + len(b)):
-            return None
+            raise ValueError("a part's ids don't agree with its ends")
         todo.append(across + head)
         out += [b"", ids[len(a) : len(ids) - len(b)]]
         across = tail
@@ -260,13 +281,25 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     them: a list of columns as ``schema`` names them.
 
     Null and empty texts have no ids; repeated rows and ids stay as they are, one result for each; an empty table gives an
-    empty one; other columns are not read. ``path`` must lead to the tokenizer file on every executor.
+    empty one; other columns are not read. ``path`` must lead to the tokenizer file on the driver and every executor.
     """
     spark = docs.sparkSession
     rows = keyed_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    bitmap = spark.sparkContext.broadcast(shared_chunks(rows))
     made = result or (lambda enc, ids: [pa.array(ids, pa.binary())])
     names = [x.split()[0] for x in schema.split(",")]
+    with open(path, encoding="utf-8") as f:
+        by_word = _by_word(json.load(f))
+    if not by_word:
+
+        def whole(batches):
+            enc = encoder(path)
+            for batch in batches:
+                for k in range(0, batch.num_rows, 500):
+                    part = batch.slice(k, 500)
+                    yield pa.RecordBatch.from_arrays([part.column(0), *made(enc, enc.encode(_texts(part)))], ["key", *names])
+
+        return rows.select("key", "text").mapInArrow(whole, f"key long, {schema}")
+    bitmap = spark.sparkContext.broadcast(shared_chunks(rows))
 
     def has_shared(t: bytes) -> bool:
         return any(in_bitmap(bitmap.value, d) for d, _ in chunks(t))
@@ -291,27 +324,30 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def encoded(batches):
         enc = encoder(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(enc.encode(_texts(batch, "part")), pa.binary())], ["digest", "ids"])
+            parts = _texts(batch, "part")
+            ids = enc.encode(parts)
+            ids = [x if ok else None for x, ok in zip(ids, agreeing(enc, parts, ids), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["digest", "ids"])
 
     def pieces(batches):  # of texts with a shared chunk; what lies between shared chunks is encoded here
         enc = encoder(path)
         for batch in batches:
+            texts, alone, cuts = _texts(batch), [], []
+            for t in texts:
+                found = [(d, p, in_bitmap(bitmap.value, d)) for d, p in chunks(t)]
+                cuts.append(found if any(is_shared for _, _, is_shared in found) else [])
+                alone += [p for _, p, is_shared in cuts[-1] if not is_shared]
+            ids = enc.encode(alone)
+            own = iter(zip(ids, agreeing(enc, alone, ids), strict=True))
             out: list[list] = [[] for _ in range(7)]
-            alone: list[bytes] = []
-            for row, key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), strict=True):
-                found = chunks(t)
-                if not any(in_bitmap(bitmap.value, d) for d, _ in found):
-                    continue
-                for pos, (d, p) in enumerate(found):
-                    head, tail = _ends(p)
-                    mine = not in_bitmap(bitmap.value, d)
-                    for column, x in zip(out, (row, key, pos, b"%d:%d" % (row, pos) if mine else d, head, tail, None), strict=True):
+            for row, key, t, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, cuts, strict=True):
+                made_here = [None if is_shared else next(own) for _, _, is_shared in found]
+                lines = [(row, key, pos, d if x is None else b"%d:%d" % (row, pos), *_ends(p), x and x[0]) for pos, ((d, p, _), x) in enumerate(zip(found, made_here, strict=True))]
+                if any(in_bitmap(apart_from.value, d) if x is None else not x[1] for (d, _, _), x in zip(found, made_here, strict=True)):
+                    lines = [(row, key, 0, b"%d:0" % row, t, None, b"")]  # encoded whole
+                for line in lines:
+                    for column, x in zip(out, line, strict=True):
                         column.append(x)
-                    if mine:
-                        out[6][-1] = len(alone)
-                        alone.append(p)
-            ids = enc.encode(alone)
-            out[6] = [None if i is None else ids[i] for i in out[6]]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["row", "key", "pos", "digest", "head", "tail", "own"])
 
@@ -326,6 +362,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     book = rows.select("text").mapInArrow(shared, "digest binary, part binary").groupBy("digest").agg(F.first("part").alias("part")).mapInArrow(encoded, "digest binary, ids binary")
     book = stored(book, "bpe-chunks")
+    apart_from = spark.sparkContext.broadcast(bitmap_of(book.where("ids is null"), "digest"))
     found = rows.select("row", "key", "text").mapInArrow(pieces, "row long, key long, pos int, digest binary, head binary, tail binary, own binary").join(book, "digest", "left")
     found = found.groupBy("row", "key").agg(F.array_sort(F.collect_list(F.struct("pos", "head", "tail", F.coalesce("own", "ids").alias("ids")))).alias("parts"))
     whole = found.select("key", "parts").mapInArrow(joined, f"key long, {schema}")

@@ -57,3 +57,32 @@ def test_files_that_keep_white_space_encode_whole_texts(name):
     enc = bpe.Encoder(public_tokenizers.path(name))
     assert not enc.by_word
     assert enc.encode([b"a b"]) == enc._plain([b"a b"])
+
+
+def shared_texts():
+    r = random.Random(8)
+    words = ["the cat ", "sat down ", " on", "  a\n", "mat. ", "é🙂", "don't ", "1234 "]
+    base = "".join(r.choice(words) for _ in range(6000))
+    return [None, "", " ", base, base[:9000], "pre" + base, base[777:] + " post", base[5000:15_000], "x " + base[1:]]
+
+
+def test_encode_with_a_file_that_keeps_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, texts = Tokenizer.from_file(path), shared_texts()
+    got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), path).collect()
+    size = bpe.Encoder(path).dtype
+    assert {r["key"]: bpe.np.frombuffer(r["ids"], size).tolist() for r in got} == {i: tok.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("share", [1, 3])
+def test_parts_that_disagree_are_encoded_whole(spark, monkeypatch, share):
+    texts = shared_texts()
+    real = bpe.agreeing
+    fails = lambda enc, parts, ids: [ok and len(p) % share > 0 for p, ok in zip(parts, real(enc, parts, ids), strict=True)]
+    monkeypatch.setattr(bpe, "agreeing", fails)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = bpe.encode(docs, bpe.tokenizer_file(), result=bpe.digests, schema="n_tokens long, ids_sha256 string, decoded_sha256 string").collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(str((i, *truth(t))) for i, t in enumerate(texts))
