@@ -61,7 +61,7 @@ def mixture(p: np.ndarray, c: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndar
     return w, float(c @ np.log(p @ w))
 
 
-def infer(p: np.ndarray, c: np.ndarray, tries: int = 3) -> tuple[list[int], np.ndarray, float]:
+def infer(p: np.ndarray, c: np.ndarray) -> tuple[list[int], np.ndarray, float]:
     """The languages of a text, their proportions and a score of the first, from probabilities ``p`` of its trigrams."""
     logs = c @ np.log(p)
     best = int(logs.argmax())
@@ -70,7 +70,7 @@ def infer(p: np.ndarray, c: np.ndarray, tries: int = 3) -> tuple[list[int], np.n
     while len(chosen) < p.shape[1]:
         rise = p.T @ (c / (p[:, chosen] @ w)) - n
         rise[chosen] = 0
-        more = [int(k) for k in np.argsort(-rise)[:tries] if rise[k] > 0]
+        more = [int(k) for k in np.argsort(-rise) if rise[k] > 0]
         found = max(((*mixture(p[:, [*chosen, k]], c), k) for k in more), key=lambda x: x[1], default=None)
         if found is None or found[1] - ll <= cost:
             break

@@ -55,3 +55,17 @@ def test_held_out_accuracy(spark):
     truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
     got = [r for r in lang.op9_lang(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     assert np.mean([truth[r["doc_id"]] == r["lang_pred"] for r in got]) > 0.97
+
+
+def test_every_language_that_can_rise_is_tried():
+    r = np.random.RandomState(28)
+    p = r.dirichlet(np.full(12, 0.3), 7).T + 1e-4
+    p /= p.sum(0)
+    c = r.randint(0, 60, 12).astype(float)
+    chosen, _, _ = lang.infer(p, c)
+    first = int((c @ np.log(p)).argmax())
+    one = float(c @ np.log(p[:, first]))
+    best = max(((lang.mixture(p[:, [first, k]], c)[1], k) for k in range(7) if k != first))
+    assert best[0] - one > lang.COST * np.log(c.sum() + 1) and best[1] in chosen
+    rise = p.T @ (c / p[:, first]) - c.sum()
+    assert best[1] not in np.argsort(-rise)[:3]
