@@ -1,14 +1,15 @@
 """Encoding and decoding with a public tokenizer file; chunks that documents share are encoded once.
 
 1. Every text is cut where a rolling hash of its bytes has ten zero bits, so equal passages are cut alike. Digests of the
-   chunks are counted, and those found twice set a bit of a fixed bitmap (2 MB at any size of the corpus).
-2. Texts without such a chunk are encoded where they are read. Of the others, each distinct chunk is encoded once for the
-   whole corpus, and every text's pieces are joined with the encoded chunks by digest.
-3. Cuts may split a word. At each join the word across it is encoded again: the ids of the left part's last word and of
-   the right part's first are replaced; parts must end and begin with just those ids, else the whole text is encoded.
-   A part agrees with its ends or not whatever its neighbours, so texts to encode whole are known before they are joined.
+   chunks are counted; those found twice or more, the BOOK most frequent if there are more, are a book.
+2. Each text is read once more. One without a chunk of the book is encoded where it is. Of the others, runs of other chunks
+   are encoded there, and chunks of the book are handed on, once for each task.
+3. Each chunk of the book is encoded once for the whole corpus, and texts are joined with it by digest.
+4. Cuts may split a word. At each join the word across it is encoded again: the ids of the left part's last word and of
+   the right part's first are replaced. Parts must begin and end with just those ids; where one doesn't, the stretch that
+   is encoded again is the whole text.
 All this holds only where ids are those of words. With other tokenizer files every text is encoded whole where it is read.
-A bit set by another chunk only sends a text the longer way; no result depends on it.
+A chunk that is taken for one of the book by its filter only goes the longer way; no result depends on it.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, in_bitmap, keyed_text, stored
+from .common import KeyFilter, key_filter, keyed_text, stored
 
 #: Words that a worker process keeps, and slots of the table that tells which it has met.
 CACHE_WORDS, MET = 500_000, 1 << 22
 #: Fixed values of the cutter: mean chunk 2**CUT_BITS bytes, none below LEAST but a text's last, none above MOST.
 CUT_BITS, LEAST, MOST = 10, 64, 1 << 16
+#: Most chunks of the book, as its filter is broadcast (16 bits each), and chunks that a task remembers to have handed on.
+BOOK, SEEN = KeyFilter.MOST // KeyFilter.EACH, 1 << 20
 GEAR = np.random.RandomState(7).randint(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 #: Marks that may end a word; the apostrophe is not one, as patterns join it with letters.
 MARKS = b".,;:!?#*$%&|)"
@@ -219,8 +222,12 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
 
 
-def shared_chunks(rows: DataFrame) -> bytes:
-    """The bitmap of chunks that occur twice or more."""
+def _keys(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(d[:8] for d in digests), "<i8")
+
+
+def shared_chunks(rows: DataFrame) -> KeyFilter:
+    """A filter of the digests of chunks that occur twice or more; of more than BOOK, the most frequent that fit."""
 
     def digests(batches):
         for batch in batches:
@@ -228,10 +235,19 @@ def shared_chunks(rows: DataFrame) -> bytes:
             for t in _texts(batch):
                 for d, _ in chunks(t):
                     seen[d] = seen.get(d, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["digest", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(_keys(list(seen))), pa.array(list(seen.values()), pa.int64())], ["digest", "key", "n"])
 
-    twice = rows.select("text").mapInArrow(digests, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
-    return bitmap_of(twice, "digest")
+    counted = rows.select("text").mapInArrow(digests, "digest binary, key long, n long").groupBy("digest").agg(F.first("key").alias("key"), F.sum("n").alias("n")).where("n > 1")
+    counted = stored(counted, "bpe-counts")
+    least = 2
+    by_count = counted.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("k"))
+    total = 0
+    for r in sorted(by_count.collect(), key=lambda r: -r["power"]):  # 64 rows at most
+        total += r["k"]
+        if total > BOOK:
+            least = 1 << r["power"] + 1
+            break
+    return key_filter(counted.where(F.col("n") >= least), "key")
 
 
 def _ends(part: bytes) -> tuple[bytes, bytes | None]:
@@ -257,7 +273,7 @@ def agreeing(enc: Encoder, parts: list[bytes], ids: list[bytes]) -> list[bool]:
 
 
 def join_parts(enc: Encoder, parts: list[tuple[bytes, bytes | None, bytes]]) -> bytes:
-    """The ids of a text from its parts (head, tail, ids), which agree with their ends."""
+    """The ids of a text from its parts (head, tail, ids), which agree with their ends (see agreeing)."""
     ends = enc.encode([x for head, tail, _ in parts if tail is not None for x in (head, tail)])
     out, across, todo = [], b"", []
     k = 0
@@ -267,8 +283,6 @@ def join_parts(enc: Encoder, parts: list[tuple[bytes, bytes | None, bytes]]) ->
             continue
         a, b = ends[k], ends[k + 1]
         k += 2
-        if not (ids.startswith(a) and ids.endswith(b) and len(ids) >= len(a) + len(b)):
-            raise ValueError("a part's ids don't agree with its ends")
         todo.append(across + head)
         out += [b"", ids[len(a) : len(ids) - len(b)]]
         across = tail
@@ -284,42 +298,67 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     empty one; other columns are not read. ``path`` must lead to the tokenizer file on the driver and every executor.
     """
     spark = docs.sparkSession
-    rows = keyed_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    rows = keyed_text(docs, id_col, text_col)
     made = result or (lambda enc, ids: [pa.array(ids, pa.binary())])
     names = [x.split()[0] for x in schema.split(",")]
-    with open(path, encoding="utf-8") as f:
-        by_word = _by_word(json.load(f))
-    if not by_word:
 
-        def whole(batches):
-            enc = encoder(path)
-            for batch in batches:
-                for k in range(0, batch.num_rows, 500):
-                    part = batch.slice(k, 500)
-                    yield pa.RecordBatch.from_arrays([part.column(0), *made(enc, enc.encode(_texts(part)))], ["key", *names])
-
-        return rows.select("key", "text").mapInArrow(whole, f"key long, {schema}")
-    bitmap = spark.sparkContext.broadcast(shared_chunks(rows))
-
-    def has_shared(t: bytes) -> bool:
-        return any(in_bitmap(bitmap.value, d) for d, _ in chunks(t))
-
-    def apart(batches):  # texts without a shared chunk
+    def whole(batches):
         enc = encoder(path)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                texts = _texts(part)
-                keep = [i for i, t in enumerate(texts) if not has_shared(t)]
-                key = part.column(part.schema.get_field_index("key")).take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([key, *made(enc, enc.encode([texts[i] for i in keep]))], ["key", *names])
+                yield pa.RecordBatch.from_arrays([part.column(0), *made(enc, enc.encode(_texts(part)))], ["key", *names])
 
-    def shared(batches):
+    with open(path, encoding="utf-8") as f:
+        by_word = _by_word(json.load(f))
+    if not by_word:
+        return rows.mapInArrow(whole, f"key long, {schema}")
+    book = spark.sparkContext.broadcast(shared_chunks(rows))
+    piece = pa.list_(pa.struct([("pos", pa.int32()), ("digest", pa.binary()), ("head", pa.binary()), ("tail", pa.binary()), ("own", pa.binary())]))
+    chunk = pa.list_(pa.struct([("digest", pa.binary()), ("part", pa.binary())]))
+
+    def read(batches):
+        enc, seen = encoder(path), set()
         for batch in batches:
-            seen: dict[bytes, bytes] = {}
-            for t in _texts(batch):
-                seen.update((d, p) for d, p in chunks(t) if in_bitmap(bitmap.value, d))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], ["digest", "part"])
+            for k in range(0, batch.num_rows, 500):
+                some = batch.slice(k, 500)
+                texts = _texts(some)
+                cuts = [chunks(t) for t in texts]
+                flags = iter(book.value.has(_keys([d for found in cuts for d, _ in found])).tolist())
+                plain, joined, fresh, alone = [], {}, [[] for _ in texts], []
+                for i, found in enumerate(cuts):
+                    mine = [next(flags) for _ in found]
+                    if not any(mine):
+                        plain.append(i)
+                        continue
+                    lines: list[list] = []  # (digest or None, bytes); what lies between chunks of the book is one
+                    for (d, part), is_shared in zip(found, mine, strict=True):
+                        if is_shared:
+                            lines.append([d, part])
+                            if d not in seen:
+                                seen.add(d)
+                                fresh[i].append({"digest": d, "part": part})
+                        elif lines and lines[-1][0] is None:
+                            lines[-1][1] += part
+                        else:
+                            lines.append([None, part])
+                    joined[i] = lines
+                    alone += [part for d, part in lines if d is None]
+                if len(seen) > SEEN:
+                    seen = set()
+                ids = enc.encode(alone)
+                own = iter(zip(ids, agreeing(enc, alone, ids), strict=True))
+                pieces: list[list | None] = [None] * len(texts)
+                for i, lines in joined.items():
+                    made_here = [None if d is not None else next(own) for d, _ in lines]
+                    if any(x is not None and not x[1] for x in made_here):
+                        plain.append(i)
+                    else:
+                        pieces[i] = [dict(zip(("pos", "digest", "head", "tail", "own"), (pos, d, *_ends(part), x and x[0]), strict=True)) for pos, ((d, part), x) in enumerate(zip(lines, made_here, strict=True))]
+                place = np.full(len(texts), -1)
+                place[plain] = np.arange(len(plain))
+                done = [c.take(pa.array(place, mask=place < 0)) for c in made(enc, enc.encode([texts[i] for i in plain]))]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *done, pa.array(pieces, piece), pa.array(fresh, chunk)], ["key", "hash", *names, "pieces", "fresh"])
 
     def encoded(batches):
         enc = encoder(path)
@@ -329,44 +368,28 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             ids = [x if ok else None for x, ok in zip(ids, agreeing(enc, parts, ids), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["digest", "ids"])
 
-    def pieces(batches):  # of texts with a shared chunk; what lies between shared chunks is encoded here
-        enc = encoder(path)
-        for batch in batches:
-            texts, alone, cuts = _texts(batch), [], []
-            for t in texts:
-                found = [(d, p, in_bitmap(bitmap.value, d)) for d, p in chunks(t)]
-                cuts.append(found if any(is_shared for _, _, is_shared in found) else [])
-                alone += [p for _, p, is_shared in cuts[-1] if not is_shared]
-            ids = enc.encode(alone)
-            own = iter(zip(ids, agreeing(enc, alone, ids), strict=True))
-            out: list[list] = [[] for _ in range(7)]
-            for row, key, t, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, cuts, strict=True):
-                made_here = [None if is_shared else next(own) for _, _, is_shared in found]
-                lines = [(row, key, pos, d if x is None else b"%d:%d" % (row, pos), *_ends(p), x and x[0]) for pos, ((d, p, _), x) in enumerate(zip(found, made_here, strict=True))]
-                if any(in_bitmap(apart_from.value, d) if x is None else not x[1] for (d, _, _), x in zip(found, made_here, strict=True)):
-                    lines = [(row, key, 0, b"%d:0" % row, t, None, b"")]  # encoded whole
-                for line in lines:
-                    for column, x in zip(out, line, strict=True):
-                        column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["row", "key", "pos", "digest", "head", "tail", "own"])
-
     def joined(batches):
         enc = encoder(path)
         for batch in batches:
-            ids = []
-            for found in batch.column(1).to_pylist():
-                parts = [(x["head"], x["tail"], x["ids"]) for x in found]
-                ids.append(join_parts(enc, parts))
+            ids = [join_parts(enc, [(x["head"], x["tail"], x["ids"]) for x in found]) for found in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made(enc, ids)], ["key", *names])
 
-    book = rows.select("text").mapInArrow(shared, "digest binary, part binary").groupBy("digest").agg(F.first("part").alias("part")).mapInArrow(encoded, "digest binary, ids binary")
-    book = stored(book, "bpe-chunks")
-    apart_from = spark.sparkContext.broadcast(bitmap_of(book.where("ids is null"), "digest"))
-    found = rows.select("row", "key", "text").mapInArrow(pieces, "row long, key long, pos int, digest binary, head binary, tail binary, own binary").join(book, "digest", "left")
-    found = found.groupBy("row", "key").agg(F.array_sort(F.collect_list(F.struct("pos", "head", "tail", F.coalesce("own", "ids").alias("ids")))).alias("parts"))
-    whole = found.select("key", "parts").mapInArrow(joined, f"key long, {schema}")
-    return rows.select("key", "text").mapInArrow(apart, f"key long, {schema}").unionByName(whole)
+    first = rows.withColumn("hash", F.xxhash64("text")).mapInArrow(read, f"key long, hash long, {schema}, pieces array<struct<pos:int,digest:binary,head:binary,tail:binary,own:binary>>, fresh array<struct<digest:binary,part:binary>>")
+    first = stored(first.withColumn("row", F.monotonically_increasing_id()), "bpe-read")
+    parts = first.select(F.explode("fresh").alias("x")).select("x.*").groupBy("digest").agg(F.first("part").alias("part"))
+    ids = stored(parts.mapInArrow(encoded, "digest binary, ids binary"), "bpe-book").withColumnRenamed("digest", "d")
+    lines = first.where("pieces is not null").select("row", "key", "hash", F.explode("pieces").alias("x"))
+    there = lines.where("x.digest is not null").join(ids, F.col("x.digest") == F.col("d"), "left").select("row", "key", "hash", F.struct("x.pos", "x.head", "x.tail", "ids").alias("x"))
+    here = lines.where("x.digest is null").select("row", "key", "hash", F.struct("x.pos", "x.head", "x.tail", F.col("x.own").alias("ids")).alias("x"))
+    found = there.unionByName(here).groupBy("row", "key", "hash").agg(F.array_sort(F.collect_list("x")).alias("parts"))
+    out = first.where("pieces is null").select("key", *names)
+    if ids.where("ids is null").isEmpty():
+        return out.unionByName(found.select("key", "parts").mapInArrow(joined, f"key long, {schema}"))
+    broken = F.exists("parts", lambda x: x["ids"].isNull())
+    found = stored(found, "bpe-parts")
+    again = found.where(broken).select(F.col("key").alias("k"), F.col("hash").alias("h")).distinct()
+    texts = rows.join(again, F.col("key").eqNullSafe(F.col("k")) & (F.xxhash64("text") == F.col("h")), "left_semi")
+    return out.unionByName(found.where(~broken).select("key", "parts").mapInArrow(joined, f"key long, {schema}")).unionByName(texts.mapInArrow(whole, f"key long, {schema}"))
 
 
 def digests(enc: Encoder, ids: list[bytes]) -> list[pa.Array]:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +27,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths made within each open scratch(), the innermost last.
+_MADE: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder, on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are stored within are deleted at its end; nothing that reads them may be used after it."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            dropped(spark, path)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -50,20 +78,69 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-#: Bits of a bitmap of digests: 2 MB at any size of the corpus. A bit that is set by chance must only cost work.
-MAP_BITS = 24
-
-
-def bitmap_of(digests: DataFrame, column: str) -> bytes:
-    """The bitmap of a column of digests. At most 2**MAP_BITS / 8 bytes come to the driver, whatever their number."""
-    place = F.shiftright(F.conv(F.hex(F.substring(column, 1, 4)), 16, 10).cast("bigint"), 32 - MAP_BITS)
-    bits = digests.select(place.alias("bit")).selectExpr("cast(bit div 8 as int) byte", "shiftleft(1, cast(bit % 8 as int)) one").groupBy("byte").agg(F.bit_or("one").alias("bits"))
-    out = bytearray(1 << MAP_BITS - 3)
-    for r in bits.collect():
-        out[r["byte"]] = r["bits"]
-    return bytes(out)
-
-
-def in_bitmap(bitmap: bytes, digest: bytes) -> bool:
-    k = int.from_bytes(digest[:4], "big") >> (32 - MAP_BITS)
-    return bool(bitmap[k >> 3] >> (k & 7) & 1)
+class KeyFilter:
+    """A Bloom filter of 64-bit keys, sized by their number. A key that is in by chance must only cost work."""
+
+    #: Bits for each key, bits set for each, and the most bits of a filter (32 MB).
+    EACH, HASHES, MOST = 16, 5, 1 << 28
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
+
+    @staticmethod
+    def places(keys: np.ndarray, bits: int):
+        """The places of each hash function, over a 64-bit mix of the keys."""
+        with np.errstate(over="ignore"):
+            x = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(29)
+            step = (x * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
+            for k in range(KeyFilter.HASHES):
+                yield ((x + np.uint64(k) * step) >> np.uint64(16)) & np.uint64(bits - 1)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each of ``keys`` (int64) may be in the filter."""
+        keys = np.ascontiguousarray(keys, np.int64)
+        out = np.ones(len(keys), bool)
+        for at in self.places(keys, self.bits):
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def key_filter(keys: DataFrame, column: str) -> KeyFilter | None:
+    """The filter of a bigint column (no nulls), or None where it would be larger than MOST bits: the keys then have to be
+    joined. Tasks set the bits, words are merged before and after one shuffle, and only the words come to the driver."""
+    n = keys.count()
+    if n * KeyFilter.EACH > KeyFilter.MOST:
+        return None
+    bits = max(1 << 12, 1 << (n * KeyFilter.EACH - 1).bit_length()) if n else 1 << 12
+
+    def words(batches):
+        for batch in batches:
+            own = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+            at = np.unique(np.concatenate(list(KeyFilter.places(own, bits)))) if len(own) else np.zeros(0, np.uint64)
+            place, start = np.unique((at >> np.uint64(6)).astype(np.int32), return_index=True)
+            one = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), start) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(one.view(np.int64))], ["word", "one"])
+
+    made = keys.select(F.col(column).cast("bigint").alias("key")).mapInArrow(words, "word int, one long").groupBy("word").agg(F.bit_or("one").alias("one")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[made.column("word").to_numpy()] = made.column("one").to_numpy().view(np.uint64)
+    return KeyFilter(bits, out)
+
+
+def among(docs: DataFrame, key: Column, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` in two parts: rows whose bigint ``key`` (no null) may be among ``keys``, and rows whose key is not.
+
+    Few rows besides those that are among them are in the first part, so that a join with ``keys`` moves few texts. Where
+    there are too many keys for a filter, all rows are in the first part and there is no second."""
+    found = key_filter(keys, column)
+    if found is None:
+        return docs, None
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+
+    @F.arrow_udf("boolean")
+    def has(x: pa.Array) -> pa.Array:
+        return pa.array(shared.value.has(x.to_numpy(zero_copy_only=False)))
+
+    maybe = has(key)
+    return docs.where(maybe), docs.where(~maybe)

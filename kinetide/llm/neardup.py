@@ -3,16 +3,14 @@
 Texts with equal shingle sets are one class, and only classes are compared. A class's signature is the minima of HASHES
 universal hash functions; classes that share a band of ROWS of them share a bucket. Buckets are never expanded into all
 pairs:
-  bound    u of a class's n shingles are in no other class that shares any bucket. Two classes have at most
-           min(n1 - u1, n2 - u2) shingles in common and at least max(n1 + u2, n2 + u1) together, so those whose quotient
-           is below the threshold are no candidates, and a class with 100 * (n - u) < share * n has no partner at all.
-  pivots   in each round, a bucket that still holds several components compares the members outside its pivot's with the
-           pivot, and what is linked becomes one component. A pivot is the member with the least share of shingles of its
-           own, such as the text that others were copied from; after two rounds, a random one.
-  rest     members outside the pivot's component are compared with all of other components in their buckets that the
-           bound allows, so no link within a bucket is lost; u is now what a member's whole component has alone. Members
-           are grouped by size and u first, and only groups that the bound allows are joined: many altered copies of one
-           text, alike but below the threshold, have none.
+  pivots   in each round, members of a bucket outside its pivot's component are compared with the pivot, one pivot for
+           each member, and what is linked becomes one component. The first pivot is the member that shares most places in
+           buckets, such as the text that others were copied from; later ones are random.
+  rest     when pivots no longer help, members outside the largest component of a bucket are compared with all members of
+           other components there that the bound allows, so no link within a bucket is lost. Buckets above BLOCK members
+           are dealt out in blocks.
+  bound    each shingle of a class flips one of BITS bits, so two classes differ in at least as many shingles as their
+           bits do. That is exact: it drops pairs below the threshold and no others, without reading a set.
 A pair is read in full only if its signatures agree in all but so many places as five standard deviations below the
 threshold's mean allow.
 """
@@ -20,22 +18,25 @@ threshold's mean allow.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _texts
-from .common import bitmap_of, in_bitmap, keyed_text, stored
+from .common import among, keyed_text, stored
 from .shingle import mix, shingles
 
 #: A pair shares no band with probability (1 - 0.85**5)**32 = 7e-9 at a similarity of 0.85, 3e-6 at 0.8.
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
-#: Bands of the first round, rounds with pivots after it, and pairs for each class that are few. Groups of members for the
-#: bound: as many for each e-fold of size, and for the share of a class's own shingles.
-FIRST, ROUNDS, FEW, SIZES, OWN = 8, 3, 2, 50, 50
+#: Words of 64 bits that a set's shingles flip; members of a block of a large bucket.
+WORDS, BLOCK = 16, 4096
+#: Rounds with pivots at most, and the share of strays by which a round must leave fewer for another to follow.
+ROUNDS, FEW = 4, 0.2
+BITS = 64 * WORDS
 _R = np.random.RandomState(11)
 A = (_R.randint(0, 2**62, HASHES).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 B = _R.randint(0, 2**63, HASHES).astype(np.uint64)
@@ -49,41 +50,56 @@ def signature(s: np.ndarray) -> bytes:
     return (mix(least) >> np.uint64(48)).astype("<u2").tobytes()
 
 
+def flipped(s: np.ndarray) -> np.ndarray:
+    """The bits that an odd number of a set's shingles have, in WORDS words."""
+    odd = np.bincount((s >> np.uint64(30)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def sketches(rows: DataFrame, words: int) -> DataFrame:
-    """key, hash (of the text), n, node (digest of the set; null if it is empty) and sig (once for each task's batch and node)."""
+    """key, hash (of the text), n, node (digest of the set; null if it is empty), sig and bits (once for each task's batch
+    and node)."""
 
     def sketch(batches):
         for batch in batches:
-            n, node, sig, seen = [], [], [], set()
+            n, node, sig, bits, seen = [], [], [], [], set()
             for t in _texts(batch):
                 s = shingles(t, words)
                 n.append(len(s))
                 d = _digest(s) if len(s) else None
                 node.append(d)
-                sig.append(None if d is None or d in seen else signature(s))
+                again = d is None or d in seen
+                sig.append(None if again else signature(s))
+                bits.append(None if again else flipped(s))
                 seen.add(d)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], ["key", "hash", "n", "node", "sig"])
+            made = [pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["key", "hash", "n", "node", "sig", "bits"])
 
-    return rows.select("key", F.xxhash64("text").alias("hash"), "text").mapInArrow(sketch, "key long, hash long, n long, node binary, sig binary")
+    return rows.select("key", F.xxhash64("text").alias("hash"), "text").mapInArrow(sketch, "key long, hash long, n long, node binary, sig binary, bits array<long>")
 
 
-def sets_of(rows: DataFrame, words: int, bitmap) -> DataFrame:
-    """node and its set, for nodes whose bit is set."""
+def sets_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node and its set for the rows (key, text) whose xxhash64 of key and text's hash is a ``row`` of ``wanted``. A few
+    others may be with them, and equal rows give a set each."""
 
     def sets(batches):
         for batch in batches:
             found: dict[bytes, bytes] = {}
             for t in _texts(batch):
                 s = shingles(t, words)
-                if len(s) and (d := _digest(s)) not in found and in_bitmap(bitmap.value, d):
-                    found[d] = s.tobytes()
+                if len(s):
+                    found[_digest(s)] = s.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["node", "set"])
 
-    return rows.select("text").mapInArrow(sets, "node binary, set binary").dropDuplicates(["node"])
+    own = F.xxhash64("key", F.xxhash64("text"))
+    some, others = among(rows, own, wanted, "row")
+    if others is None:
+        some = some.withColumn("own", own).join(wanted.select("row"), F.col("own") == F.col("row"), "left_semi")
+    return some.select("text").mapInArrow(sets, "node binary, set binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -136,121 +152,109 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, share: int)
     similar = share / 100
     least = int(HASHES * similar - 5.2 * (HASHES * similar * (1 - similar)) ** 0.5)
     near = stored(both(pairs, classes.select("node", "sig")).mapInArrow(agree, "a binary, b binary"), "neardup-near")
-    return both(near, sets.select("node", "set")).mapInArrow(check, "a binary, b binary")
-
-
-def _tokens(batches):
-    for batch in batches:
-        parts = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-        nid = np.repeat(batch.column(0).to_numpy(), [len(x) for x in parts])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)), pa.array(nid)], ["token", "nid"])
-
-
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """nid (hash of the node) and u, the shingles that no other of ``sets`` (node, set) has; none: no row."""
-    each = sets.select(F.xxhash64("node").alias("nid"), "set").mapInArrow(_tokens, "token long, nid long").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("nid").alias("nid"))
-    return each.where("df = 1").groupBy("nid").agg(F.count(F.lit(1)).alias("u"))
-
-
-def apart_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """nid and u of ``nodes`` (node, root), where u are the shingles that only nodes of its component have: no pair of
-    members of two components has them in common."""
-    known = nodes.select("node", F.xxhash64("node").alias("nid"), F.xxhash64("root").alias("rid"))
-    own = sets.select(F.col("node").alias("sn"), "set").join(known, F.col("sn") == F.col("node"))
-    tokens = own.select("nid", "set").mapInArrow(_tokens, "token long, nid long")
-    tokens = tokens.join(known.select(F.col("nid").alias("kn"), "rid"), F.col("nid") == F.col("kn")).select("token", "nid", "rid")
-    tokens = stored(tokens, "neardup-tokens")
-    apart = tokens.groupBy("token").agg(F.min("rid").alias("r0"), F.max("rid").alias("r1")).where("r0 = r1").select(F.col("token").alias("at"))
-    return tokens.join(apart, F.col("token") == F.col("at"), "left_semi").groupBy("nid").agg(F.count(F.lit(1)).alias("u"))
+    used = near.select(F.col("a").alias("u")).unionByName(near.select(F.col("b").alias("u"))).distinct()
+    sets = sets.join(used, F.substring("u", 10, 16) == F.col("node")).select("u", "set")
+    return stored(both(near, sets).mapInArrow(check, "a binary, b binary").distinct(), "neardup-edges")
 
 
-def _possible(a: tuple[str, str, str], b: tuple[str, str, str], share: int):
-    """The bound, from columns (most shingles that may be shared, size, u) of two members or groups of members."""
-    (ha, na, ua), (hb, nb, ub) = (tuple(map(F.col, x)) for x in (a, b))
-    return 100 * F.least(ha, hb) >= share * F.greatest(na + ub, nb + ua)
-
-
-def _buckets():
+def _buckets() -> Column:
     """The bucket of each band, from ``sig``."""
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
 
 
-def _rest(own: DataFrame, open_: DataFrame, classes: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Pairs (a, b) of members outside the pivot's component with members of other components that the bound allows, where
-    u now counts the shingles of a member's component alone. A pair is found in the first bucket it shares only."""
-    every = stored(own.join(open_.select("ob", "pr"), F.col("bucket") == F.col("ob")).select("bucket", "band", "node", "root", "n", "pr"), "neardup-every")
-    apart = stored(apart_shingles(sets, every.select("node", "root").distinct()), "neardup-apart").withColumnRenamed("nid", "on")
-    every = every.join(apart, F.xxhash64("node") == F.col("on"), "left").withColumn("u", F.coalesce("u", F.lit(0).cast("bigint"))).drop("on")
-    every = every.withColumn("h", F.col("n") - F.col("u")).where(100 * F.col("h") >= share * F.col("n"))
-    every = every.join(classes.select(F.col("node").alias("cn"), _buckets().alias("all")), F.col("node") == F.col("cn")).drop("cn")
-    every = every.withColumns({"size": F.floor(F.log("n") * SIZES).cast("int"), "part": F.floor(F.col("u") * OWN / F.col("n")).cast("int")})
-    every = stored(every, "neardup-rest")
-    groups = every.groupBy("bucket", "size", "part").agg(F.max("h").alias("h"), F.min("n").alias("n"), F.min("u").alias("u"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    groups = stored(groups, "neardup-groups")
-    other = groups.toDF(*[f"y{c}" for c in groups.columns])
-    alone = (F.col("r0") == F.col("r1")) & (F.col("yr0") == F.col("yr1")) & (F.col("r0") == F.col("yr0"))
-    allowed = groups.join(other, (F.col("bucket") == F.col("ybucket")) & _possible(("h", "n", "u"), ("yh", "yn", "yu"), share) & ~alone)
-    allowed = stored(allowed.select(F.col("bucket").alias("gb"), F.col("size").alias("gs"), F.col("part").alias("gp"), "ysize", "ypart"), "neardup-allowed")
-    stray = every.where("root != pr").join(allowed, (F.col("bucket") == F.col("gb")) & (F.col("size") == F.col("gs")) & (F.col("part") == F.col("gp")))
-    stray = stray.select("bucket", "band", "all", "node", "root", "h", "n", "u", "ysize", "ypart")
-    other = every.select(*[F.col(c).alias(f"x{c}") for c in every.columns])
-    once = (F.col("xroot") == F.col("xpr")) | (F.col("node") < F.col("xnode"))
-    same = (F.col("bucket") == F.col("xbucket")) & (F.col("ysize") == F.col("xsize")) & (F.col("ypart") == F.col("xpart"))
-    before = F.exists(F.zip_with(F.slice("all", F.lit(1), F.col("band")), F.slice("xall", F.lit(1), F.col("band")), lambda x, y: x == y), lambda x: x)
-    found = stray.join(other, same & (F.col("root") != F.col("xroot")) & once & _possible(("h", "n", "u"), ("xh", "xn", "xu"), share) & ~before)
-    return found.select(F.col("node").alias("a"), F.col("xnode").alias("b"))
-
-
-def links(rows: DataFrame, sketched: DataFrame, words: int, share: int) -> DataFrame:
-    """node, root for the classes that are linked with others."""
-    spark = rows.sparkSession
-    classes = stored(sketched.where("sig is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.first("n").alias("n")), "neardup-classes")
+def _alike(n, m, share: int) -> Column:
+    """Whether sets of these sizes can be as similar as ``share``."""
+    return 100 * F.least(n, m) >= share * F.greatest(n, m)
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` with the root of each, itself where it has no link."""
+    known = members.join(roots.select(F.col("node").alias("rn"), "root"), F.col("node") == F.col("rn"), "left")
+    return known.select(*members.columns, F.coalesce("root", "node").alias("root"))
+
+
+def _open(own: DataFrame, first: Column) -> DataFrame:
+    """Buckets (ob) that hold more than one component: pn, pr, pk (the pivot, its root and size), top (the root that most
+    members have), alone (members outside it) and all (members)."""
+    pivot = F.max(F.struct(first.alias("first"), F.xxhash64("node").alias("tie"), "node", "root", "n")).alias("p")
+    sizes = own.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), pivot)
+    top = F.max(F.struct("c", "root")).alias("top")
+    found = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all"), F.max("p").alias("p"), top).where("parts > 1")
+    found = found.select(F.col("bucket").alias("ob"), F.col("p.node").alias("pn"), F.col("p.root").alias("pr"), F.col("p.n").alias("pk"), F.col("top.root").alias("top"), (F.col("all") - F.col("top.c")).alias("alone"), "all")
+    return stored(found, "neardup-open")
+
+
+def _to_pivots(own: DataFrame, open_: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) of members outside the component of a pivot: all in buckets of two, else one for each member, with the
+    pivot it shares most buckets with."""
+    stray = own.join(open_, (F.col("bucket") == F.col("ob")) & (F.col("root") != F.col("pr")) & _alike(F.col("n"), F.col("pk"), share))
+    shared = stored(stray.groupBy("node", "pn").agg(F.count(F.lit(1)).alias("c"), F.min("all").alias("least")), "neardup-shared")
+    best = shared.groupBy(F.col("node").alias("a")).agg(F.max_by("pn", F.struct("c", "pn")).alias("b"))
+    pairs = best.unionByName(shared.where("least = 2").select(F.col("node").alias("a"), F.col("pn").alias("b")))
+    return stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "neardup-pairs")
+
+
+def _rest(own: DataFrame, open_: DataFrame, classes: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) of members outside their bucket's largest component with members of other components, in the first
+    bucket they share, as far as the bound allows."""
+    every = own.join(open_.select("ob", "top", "alone", "all"), F.col("bucket") == F.col("ob")).drop("ob")
+    every = every.join(classes.select(F.col("node").alias("cn"), _buckets().alias("every"), "bits"), F.col("node") == F.col("cn")).drop("cn", "m")
+    every = every.withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int")).drop("all", "alone")
+    every = every.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = stored(every.select("bucket", "band", "node", "root", "n", "top", "every", "blocks", "block", *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(WORDS)]), "neardup-rest")
+    stray = every.where("root != top").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("block", "blocks", "top")
+    other = every.drop("blocks")
+    other = other.select(*[F.col(c).alias(f"x{c}") for c in other.columns])
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"xb{k}"))) for k in range(WORDS)])
+    near = apart * (100 + share) <= (100 - share) * (F.col("n") + F.col("xn"))
+    once = (F.col("xroot") == F.col("xtop")) | (F.col("node") < F.col("xnode"))
+    before = F.exists(F.zip_with(F.slice("every", F.lit(1), F.col("band")), F.slice("xevery", F.lit(1), F.col("band")), lambda x, y: x == y), lambda x: x)
+    same = (F.col("bucket") == F.col("xbucket")) & (F.col("to") == F.col("xblock"))
+    found = stray.join(other, same & _alike(F.col("n"), F.col("xn"), share) & (F.col("root") != F.col("xroot")) & once & near & ~before)
+    return found.select(F.least("node", "xnode").alias("a"), F.greatest("node", "xnode").alias("b")).distinct()
+
+
+def links(rows: DataFrame, classes: DataFrame, words: int, share: int) -> DataFrame:
+    """node, root for the ``classes`` (node, n, row, sig, bits) that are linked with others."""
+    none = rows.sparkSession.createDataFrame([], "node binary, root binary")
     bands = classes.select("node", "n", F.posexplode(_buckets()).alias("band", "bucket"))
-    full = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("bucket").alias("fb"))
-    members = stored(bands.join(full, F.col("bucket") == F.col("fb")).select("bucket", "band", "node", "n"), "neardup-members")
-    if members.isEmpty():
-        return spark.createDataFrame([], "node binary, root binary")
-    bitmap = spark.sparkContext.broadcast(bitmap_of(members, "node"))
-    sets = stored(sets_of(rows, words, bitmap), "neardup-sets")
-    own_ = stored(own_shingles(sets), "neardup-own").withColumnRenamed("nid", "on")
-    members = members.join(own_, F.xxhash64("node") == F.col("on"), "left").withColumn("u", F.coalesce("u", F.lit(0).cast("bigint")))
-    members = members.withColumn("h", F.col("n") - F.col("u")).where(100 * F.col("h") >= share * F.col("n"))
-    members = stored(members.select("bucket", "band", "node", "n", "u", "h"), "neardup-members")
-    tested = roots = None
-    for turn in range(ROUNDS + 2):
-        own = members if turn else members.where(F.col("band") < FIRST)
-        if roots is not None:
-            own = own.join(roots.select(F.col("node").alias("rn"), "root"), F.col("node") == F.col("rn"), "left").select("bucket", "band", "node", "n", "u", "h", F.coalesce("root", "node").alias("root"))
-        else:
-            own = own.withColumn("root", F.col("node"))
-        first = F.xxhash64("node", F.lit(turn)) if turn > 1 else -F.floor(1000 * F.col("u") / F.col("n"))
-        pivot = F.max(F.struct(first.alias("first"), F.xxhash64("node").alias("tie"), "node", "root", "n", "u", "h")).alias("p")
-        sizes = own.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"), pivot)
-        open_ = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.max("p").alias("p")).where("parts > 1")
-        open_ = open_.select(F.col("bucket").alias("ob"), F.col("p.node").alias("pn"), F.col("p.root").alias("pr"), *[F.col(f"p.{c}").alias(f"q{c}") for c in "nuh"], ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("left"))
-        open_ = stored(open_, "neardup-open")
-        todo = open_.agg(F.sum("left")).first()[0]
-        if not todo:
-            if turn:
-                break
-            continue
-        last = turn > ROUNDS or (turn > 1 and todo <= FEW * classes.count())
-        if last:
-            pairs = _rest(own, open_, classes, sets, share)
-        else:
-            stray = own.join(open_, (F.col("bucket") == F.col("ob")) & (F.col("root") != F.col("pr")) & _possible(("h", "n", "u"), ("qh", "qn", "qu"), share))
-            pairs = stray.select(F.col("node").alias("a"), F.col("pn").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select(F.col("a").alias("ta"), F.col("b").alias("tb")), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-        pairs = stored(pairs, "neardup-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = stored(_verified(pairs, classes, sets, share), "neardup-edges")
-        stars = new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = stored(components(stars), "neardup-roots")
-        if last:
+    full = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumnRenamed("bucket", "fb")
+    members = stored(bands.join(full, F.col("bucket") == F.col("fb")).select("bucket", "band", "node", "n", "m"), "neardup-members")
+    degree = members.groupBy("node").agg(F.sum("m").alias("places"))
+    if degree.isEmpty():
+        return none
+    degree = stored(degree.join(classes.select(F.col("node").alias("cn"), "row"), F.col("node") == F.col("cn")).drop("cn"), "neardup-degree")
+    sets = stored(sets_of(rows, degree, words), "neardup-sets")
+    first = members.join(degree.select(F.col("node").alias("dn"), "places"), F.col("node") == F.col("dn")).drop("dn").withColumn("root", F.col("node"))
+    open_, roots, stray = _open(first, F.col("places")), none, None
+    for turn in range(1, ROUNDS + 1):
+        new = _verified(_to_pivots(first, open_, share), classes, sets, share)
+        if new.isEmpty() and turn > 1:
             break
-    return roots if roots is not None else spark.createDataFrame([], "node binary, root binary")
+        roots = stored(components(new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "neardup-roots")
+        # Buckets of two have no other pair than that with their pivot, which the first round has tested.
+        first = stored(_rooted(members.where("m > 2"), roots).join(open_.select("ob"), F.col("bucket") == F.col("ob"), "left_semi"), "neardup-left")
+        open_ = _open(first, F.xxhash64("node", F.lit(turn)))
+        left = open_.agg(F.coalesce(F.sum("alone"), F.lit(0))).first()[0]
+        if not left or stray is not None and left > (1 - FEW) * stray:
+            break
+        stray = left
+    pairs = stored(_rest(first, open_, classes, share), "neardup-pairs")
+    if pairs.isEmpty():
+        return roots
+    last = _verified(pairs, classes, sets, share)
+    return stored(components(last.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "neardup-roots")
+
+
+def _named(node: Column, key: Column) -> Column:
+    """A class's name: its least key (a null one is largest) and its digest, so that the least name has the least key."""
+    signed = F.hex(key.bitwiseXOR(F.lit(-(1 << 63))))
+    return F.concat(F.unhex(F.when(key.isNull(), F.lit("01" + "0" * 16)).otherwise(F.concat(F.lit("00"), F.lpad(signed, 16, "0")))), node)
+
+
+def _key_of(name: Column) -> Column:
+    key = F.conv(F.hex(F.substring(name, 2, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))
+    return F.when(F.substring(name, 1, 1) == F.unhex(F.lit("00")), key)
 
 
 def clusters(docs: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,14 +267,16 @@ def clusters(docs: DataFrame, words: int = 5, share: int = 80, id_col: str = "do
     """
     rows = keyed_text(docs, id_col, text_col)
     found = stored(sketches(rows, words), "neardup-sketches")
-    roots = links(rows, found, words, share).select(F.col("node").alias("rn"), "root")
-    classes = found.where("node is not null").groupBy("node").agg(F.min("key").alias("least")).join(roots, F.col("node") == F.col("rn"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    classes = stored(classes, "neardup-least")
-    heads = classes.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "hr")
-    classes = classes.join(heads, F.col("root") == F.col("hr")).select(F.col("node").alias("cn"), "component_id")
-    some = found.where("node is not null").join(classes, F.col("node") == F.col("cn")).select("key", "hash", F.col("n").alias("n_shingles"), "component_id", "node")
-    none = found.where("node is null").select("key", "hash", F.col("n").alias("n_shingles"), F.col("key").alias("component_id"), "node")
-    return some.unionByName(none).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))
+    one = lambda c: F.max(c).alias(c)  # noqa: E731  equal in all rows of a class that have it
+    classes = found.where("node is not null").groupBy("node").agg(F.min("key").alias("least"), one("n"), one("sig"), one("bits"), F.min(F.xxhash64("key", "hash")).alias("row"), F.count(F.lit(1)).alias("copies"))
+    classes = stored(classes.withColumn("node", _named(F.col("node"), F.col("least"))), "neardup-classes")
+    roots = links(rows, classes, words, share).select(F.col("node").alias("rn"), "root")
+    # Rows of a class of one row without links are their own component; only the others are joined.
+    many = classes.where("copies > 1").select(F.col("node").alias("mn")).join(roots, F.col("mn") == F.col("rn"), "full_outer")
+    many = many.select(F.substring(F.coalesce("mn", "rn"), 10, 16).alias("cn"), _key_of(F.coalesce("root", "mn")).alias("least"), F.lit(True).alias("grouped"))
+    many = stored(many, "neardup-grouped")
+    both = found.select("key", "hash", F.col("n").alias("n_shingles"), "node").join(many, F.col("node") == F.col("cn"), "left")
+    return both.select("key", "hash", "n_shingles", F.when(F.col("grouped"), F.col("least")).otherwise(F.col("key")).alias("component_id"), "node").withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _texts
-from .common import bitmap_of, keyed_text, stored
+from .common import key_filter, keyed_text, stored
 from .shingle import POWERS, STEPS, mix, word_hashes
 
 WINDOW, ANCHOR = 50, 10
@@ -94,8 +94,8 @@ def _anchors(rows: DataFrame) -> DataFrame:
     return rows.where("key is not null").mapInArrow(index, "h long, c long, hash long, key long, at long, n long")
 
 
-def _boundary_windows(rows: DataFrame, bitmap) -> DataFrame:
-    """h, w, hash, key, at of the windows of those anchors whose (hash, key) has its bit set."""
+def _boundary_windows(rows: DataFrame, wanted) -> DataFrame:
+    """h, w, hash, key, at of the windows of those anchors whose (hash, key) is in the filter, or of all without one."""
 
     def check(batches):
         for batch in batches:
@@ -105,7 +105,7 @@ def _boundary_windows(rows: DataFrame, bitmap) -> DataFrame:
                 if not len(d.at):
                     continue
                 h = d.v[d.at]
-                for i in np.flatnonzero(_bits(bitmap.value, h, k)).tolist():
+                for i in np.flatnonzero(wanted.value.has(_pairs(h, k))).tolist() if wanted.value else range(len(h)):
                     s = d.windows(i)
                     for x, y in zip(out, (np.full(len(s), h[i]), d.runs(s, s + WINDOW), np.full(len(s), r), np.full(len(s), k), s), strict=True):
                         x.append(y)
@@ -115,9 +115,9 @@ def _boundary_windows(rows: DataFrame, bitmap) -> DataFrame:
     return rows.where("key is not null").mapInArrow(check, "h long, w long, hash long, key long, at long")
 
 
-def _bits(bitmap: bytes, h: np.ndarray, key: int) -> np.ndarray:
-    place = (mix(h ^ np.uint64(key % 2**64) * STEPS[62]) >> np.uint64(40)).astype(np.int64)
-    return (np.frombuffer(bitmap, np.uint8)[place >> 3] >> (place & 7)) & 1
+def _pairs(h: np.ndarray, key) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(h ^ np.asarray(key, np.int64).view(np.uint64) * STEPS[62]).view(np.int64)
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -138,12 +138,11 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def pairs(batches):
         for batch in batches:
-            h, k = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            both = mix(h ^ k * STEPS[62]).astype(">u8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([both[i : i + 8] for i in range(0, len(both), 8)], pa.binary())], ["bit"])
+            h, k = (batch.column(i).to_numpy() for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_pairs(h.view(np.uint64), k))], ["pair"])
 
-    bitmap = spark.sparkContext.broadcast(bitmap_of(edge.mapInArrow(pairs, "bit binary"), "bit"))
-    windows = stored(_boundary_windows(rows, bitmap), "substring-windows")
+    wanted = spark.sparkContext.broadcast(key_filter(stored(edge.mapInArrow(pairs, "pair long"), "substring-edges"), "pair"))
+    windows = stored(_boundary_windows(rows, wanted), "substring-windows")
     least = windows.groupBy("h", "w").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select(F.col("h").alias("lh"), F.col("w").alias("lw"), "least")
     outer = windows.join(least, (F.col("h") == F.col("lh")) & (F.col("w") == F.col("lw"))).where("key > least").select("hash", "key", F.col("at").alias("s"), (F.col("at") + WINDOW).alias("e"))
     spans = inner.unionByName(outer).groupBy("hash", "key").agg(F.array_sort(F.collect_set(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))).alias("spans"))
