@@ -1,74 +1,74 @@
 """The corpus pipeline: documents to token ids, in five stages of whole tables.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it to the shared folder and the next stage
-reads that. Rows are told apart by id and text, so repeated ids and null ids keep their own verdicts.
+reads that. Texts stay where they are read: verdicts are made in the task that has the text, or only the texts that a
+verdict concerns are moved. All stages do the same with odd input: an empty table gives an empty one; a null text is kept
+null and counts as an empty one; texts of any length are read whole; rows that repeat, or share an id, are told apart by
+id and text, and get a verdict each; columns beyond those of documents pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetide.llm import bpe, decontam, neardup, quality, secrets
-from kinetide.llm.common import fresh_path, stored
+from kinetide.llm.common import among, dropped, fresh_path, scratch, stored
 
 
-def _on(found: DataFrame, docs: DataFrame, text):
-    """Conditions that join ``found`` (k, h) with ``docs``."""
-    return docs["doc_id"].cast("bigint").eqNullSafe(found["k"]) & (F.xxhash64(text) == found["h"])
+def _row(docs: DataFrame, *more: Column) -> DataFrame:
+    """``docs`` as one struct column ``row``, beside ``more``: no name of theirs can clash with one of ours."""
+    return docs.select(*more, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the outlier test of their language and source keep."""
-    bad = quality.judged(docs).where("not kept").select(F.col("key").alias("k"), F.col("hash").alias("h"), F.col("lang").alias("l"), F.col("source").alias("s")).distinct()
-    bad = stored(bad, "pipeline-bad")
-    return docs.join(bad, _on(bad, docs, docs["text"]) & docs["lang"].eqNullSafe(bad["l"]) & docs["source"].eqNullSafe(bad["s"]), "left_anti")
+    """Documents that the base rules and the outlier test of their language and source keep. Null and empty texts have no
+    words and go."""
+    return quality.judged(docs, whole=True).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the least id, and of rows that repeat it, one."""
+    """One document of each group: that with the least id, and of rows that tie at it, one. Texts without words are in no
+    group and stay."""
     found = stored(neardup.clusters(docs, words=5, share=80), "pipeline-clusters")
-    text = F.coalesce(docs["text"], F.lit(""))
-    gone = stored(found.where("not kept").select(F.col("key").alias("k"), F.col("hash").alias("h")).distinct(), "pipeline-gone")
-    left = docs.join(gone, _on(gone, docs, text), "left_anti")
-    again = found.where("kept and node is not null").groupBy("key", "component_id").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("one")).where("n > 1")
-    again = stored(again.select(F.col("key").alias("k"), "one"), "pipeline-again")
-    if again.isEmpty():
-        return left
-    texts = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    repeated = left.join(again, left["doc_id"].cast("bigint").eqNullSafe(again["k"])).where(texts.eqNullSafe(F.col("one"))).dropDuplicates(["k", "one"]).select(docs.columns)
-    once = left.join(again, left["doc_id"].cast("bigint").eqNullSafe(again["k"]), "left_anti")
-    apart = found.where("kept and node is null").select(F.col("key").alias("k"), F.col("hash").alias("h")).distinct()
-    bare = left.join(again, left["doc_id"].cast("bigint").eqNullSafe(again["k"]), "left_semi")
-    return once.unionByName(repeated).unionByName(bare.join(apart, _on(apart, bare, F.coalesce(bare["text"], F.lit(""))), "left_semi"))
+    named = F.xxhash64("key", "hash").alias("id")
+    gone = found.where("not kept").select("key", "hash", named)
+    # Of a group's rows that tie at the least id, the one with the least hash stays, and of rows that repeat it, one.
+    tied = found.where("kept and node is not null")
+    ties = stored(tied.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("one")).where("n > 1").drop("n"), "pipeline-ties")
+    tied = tied.join(ties, F.col("group") == F.col("g"))
+    marked = gone.withColumn("stays", F.lit(False)).unionByName(tied.select("key", "hash", named, (F.col("hash") == F.col("one")).alias("stays"))).distinct()
+    marked = stored(marked, "pipeline-marked").select(F.col("key").alias("mk"), F.col("hash").alias("mh"), "id", "stays")
+    key, own = F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = _row(docs, key.alias("key"), own.alias("hash"))
+    some, others = among(rows, F.xxhash64("key", "hash"), marked, "id")
+    both = some.join(marked, F.col("key").eqNullSafe(F.col("mk")) & (F.col("hash") == F.col("mh")), "left")
+    left = both.where("stays is null").select("row")
+    again = both.where("stays").groupBy("key", "hash").agg(F.first("row").alias("row")).select("row")
+    left = left.unionByName(again)
+    return (left if others is None else left.unionByName(others.select("row"))).select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies inside windows of the benchmark."""
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = decontam.verdicts(decontam.matches(docs, bench)).where("contaminated").select(F.col("key").alias("k"), F.col("hash").alias("h")).distinct()
-    bad = stored(bad, "pipeline-contaminated")
-    return docs.join(bad, _on(bad, docs, docs["text"]), "left_anti")
+    """Documents of which less than a twentieth lies inside windows of the benchmark; texts without words stay."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by a mark and n_chars of the new text."""
-    clean = secrets.redact(docs, fresh_path(spark, "ledger"))
-    return clean.withColumn("n_chars", F.when(F.contains("text", F.lit("[SECRET]")), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else clean
+    """All documents, with every secret replaced by a mark and n_chars of the new text; null texts stay null."""
+    return secrets.redact(docs, fresh_path(spark, "ledger"), count_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def _encoded(enc: bpe.Encoder, ids: list[bytes]) -> list[pa.Array]:
-    said = [hashlib.sha256(" ".join(map(str, np.frombuffer(x, enc.dtype).tolist())).encode()).hexdigest() for x in ids]
-    return [pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(said, pa.string())]
+    count, said, decoded = bpe.digests(enc, ids)
+    return [count, pa.array(ids, pa.binary()), said, decoded]
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian, 16 bits each) and ids_sha256 of every document."""
-    return bpe.encode(docs, bpe.tokenizer_file(), result=_encoded, schema="n_tokens long, ids binary, ids_sha256 string").withColumnRenamed("key", "doc_id")
+    """doc_id, n_tokens, ids (little-endian, 16 bits each), ids_sha256 and decoded_sha256 (of the text that the ids decode
+    to) of every document; null and empty texts have no ids."""
+    return bpe.encode(docs, bpe.tokenizer_file(), result=_encoded, schema="n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", "doc_id")
 
 
 STAGES = [
@@ -84,7 +84,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """STAGES applied to documents. What a stage has stored is deleted once its result is written, and the result once the
+    next stage's is."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "pipeline-stage")
+        out = fresh_path(spark, "pipeline-stage")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
+        if path:
+            dropped(spark, path)
+        docs, path = spark.read.parquet(out), out
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,23 +1,30 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
 Items are normalised to words and cut into segments of SEGMENT words (neighbours overlap by window - 1 words, so no window
-is lost), and segments are dealt by hash into blocks of about BLOCK_WORDS words. One block is an automaton of bounded size
-that is broadcast; every text is streamed past it, tracking the longest match that ends at each word. More blocks are more
-passes over all texts; their spans are merged by text.
+is lost), and segments are dealt by hash into blocks of about BLOCK_WORDS words. A block's words are broadcast and each
+worker builds its automaton, of bounded size, once; texts are streamed past it, tracking the longest match that ends at
+each word. All texts are read once, however many blocks there are: with more than one, a filter of the hashes of all
+windows picks the texts that may hold one, and only these are streamed past each block; their spans are merged by text.
 """
 
 from __future__ import annotations
 
+import functools
+import pickle
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import _texts
-from .common import keyed_text, stored
+from .common import key_filter, keyed_text, stored
+from .shingle import STEPS, mix, word_hashes
 
 BLOCK_WORDS, SEGMENT = 100_000, 4000
+SPANS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
 #: Bytes to words, as fixed: A-Z in lower case; digits, a-z and all bytes of other characters are kept, the rest separates.
 NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -144,46 +151,66 @@ def _segments(bench: DataFrame, window: int, id_col: str, text_col: str) -> Data
     return stored(keyed_text(bench, id_col, text_col).mapInArrow(cut, "item long, at long, n long, words binary"), "decontam-items")
 
 
-def matches(docs: DataFrame, bench: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """For each row of ``docs``: row, key, hash (of the text), n_words, spans (array of [start, end) in words: all inside an occurrence of
-    ``window`` consecutive words of an item, or of a whole shorter item) and items (their distinct ids, ascending).
+@functools.lru_cache(1)
+def _automaton(words: bytes, window: int) -> Automaton:
+    """A block's automaton, one at a time for each worker process."""
+    return Automaton(pickle.loads(words), window)
 
-    Null texts have no words, items without words match nothing, an item with a null id counts in spans but is not listed,
-    rows of items that share an id are one item, an empty benchmark gives no spans. Repeated rows get a result each.
-    """
-    spark = docs.sparkSession
-    segments = _segments(bench, window, item_col, item_text)
-    blocks = max(1, -(-(segments.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS))
-    segments = segments.withColumn("block", F.pmod(F.xxhash64("item", "at"), F.lit(blocks)))
-    rows = keyed_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "key", F.xxhash64("text").alias("hash"), "text")
-    schema = "row long, key long, hash long, n_words long, spans array<struct<s:int,e:int>>, items array<bigint>"
+
+def _hashes(words: list[bytes], size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words."""
+    w = word_hashes(b" ".join(words), False)
+    out = np.zeros(max(0, len(w) - size + 1), np.uint64)
+    for k in range(size if len(out) else 0):
+        out += w[k : k + len(out)] * STEPS[k % 60]
+    return mix(out + np.uint64(size)).view(np.int64)
+
+
+def _windows(segments: DataFrame, window: int) -> DataFrame:
+    """size and hash of the windows of all segments."""
+
+    def each(batches):
+        for batch in batches:
+            for words in batch.column(0).to_pylist():
+                own = words.split()
+                size = min(window, len(own))
+                h = np.unique(_hashes(own, size))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), size, np.int32)), pa.array(h)], ["size", "h"])
+
+    return stored(segments.select("words").mapInArrow(each, "size int, h long").distinct(), "decontam-windows")
+
+
+def _scanned(rows: DataFrame, block: DataFrame, window: int) -> DataFrame:
+    """``rows`` without text, but with n_words, spans and items of one block."""
+    words = pickle.dumps([(r["item"], bytes(r["words"]).split()) for r in block.select("item", "words").collect()])  # about BLOCK_WORDS words
+    shared = rows.sparkSession.sparkContext.broadcast(words)
     pair = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-    found = None
-    for b in range(blocks):
-        part = [(r["item"], bytes(r["words"]).split()) for r in segments.where(F.col("block") == b).select("item", "words").collect()]  # about BLOCK_WORDS words
-        automaton = spark.sparkContext.broadcast(Automaton(part, window))
-
-        def scan(batches, automaton=automaton):
-            own = automaton.value
-            for batch in batches:
-                sizes, spans, items = [], [], []
-                for t in _texts(batch):
-                    words = words_of(t)
-                    s, i = own.scan(words)
-                    sizes.append(len(words))
-                    spans.append([{"s": x, "e": y} for x, y in s])
-                    items.append(sorted(i - {None}))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(spans, pair), pa.array(items, pa.list_(pa.int64()))], ["row", "key", "hash", "n_words", "spans", "items"])
-
-        one = rows.mapInArrow(scan, schema)
-        found = one if found is None else found.unionByName(one)
-    if blocks == 1:
-        return found
+
+    def scan(batches):
+        own = _automaton(shared.value, window)
+        for batch in batches:
+            sizes, spans, items = [], [], []
+            for t in _texts(batch):
+                words = words_of(t)
+                s, i = own.scan(words)
+                sizes.append(len(words))
+                spans.append([{"s": x, "e": y} for x, y in s])
+                items.append(sorted(i - {None}))
+            left = batch.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*left.columns, pa.array(sizes, pa.int64()), pa.array(spans, pair), pa.array(items, pa.list_(pa.int64()))], [*left.schema.names, "n_words", "spans", "items"])
+
+    kept = T.StructType([f for f in rows.schema if f.name != "text"]).add("n_words", T.LongType()).add("spans", SPANS).add("items", T.ArrayType(T.LongType()))
+    return rows.mapInArrow(scan, kept)
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """``found`` with its spans, of several blocks, in order and joined where they touch."""
 
     def merge(batches):
         for batch in batches:
+            k = batch.schema.get_field_index("spans")
             spans = []
-            for x in batch.column(4).to_pylist():
+            for x in batch.column(k).to_pylist():
                 out: list[dict] = []
                 for r in sorted(x, key=lambda r: r["s"]):
                     if out and out[-1]["e"] >= r["s"]:
@@ -191,10 +218,65 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = 13, id_col: str = "
                     else:
                         out.append(dict(r))
                 spans.append(out)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(spans, pair), batch.column(5)], batch.schema.names)
+            yield batch.set_column(k, "spans", pa.array(spans, batch.schema.field(k).type))
+
+    return found.mapInArrow(merge, found.schema)
+
+
+def _matches(rows: DataFrame, bench: DataFrame, window: int, item_col: str, item_text: str) -> DataFrame:
+    """``rows`` (text, and what is to be kept) with n_words, spans and items instead of text."""
+    spark = rows.sparkSession
+    segments = _segments(bench, window, item_col, item_text)
+    blocks = max(1, -(-(segments.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS))
+    if blocks == 1:
+        return _scanned(rows, segments, window)
+    segments = segments.withColumn("block", F.pmod(F.xxhash64("item", "at"), F.lit(blocks)))
+    windows = _windows(segments, window)
+    sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # ``window`` at most
+    shared = spark.sparkContext.broadcast(key_filter(windows, "h"))
+
+    def look(batches):  # texts that can't hold a window lose their text
+        for batch in batches:
+            texts, counts = [], []
+            for t in _texts(batch):
+                words = words_of(t)
+                hit = shared.value is None or any(shared.value.has(_hashes(words, k)).any() for k in sizes)
+                texts.append(t if hit else None)
+                counts.append(len(words))
+            k = batch.schema.get_field_index("text")
+            yield batch.set_column(k, "text", pa.array(texts, pa.binary()).cast(pa.string())).append_column("n_words", pa.array(counts, pa.int64()))
+
+    looked = rows.mapInArrow(look, T.StructType([*rows.schema.fields, T.StructField("n_words", T.LongType())]))
+    looked = stored(looked.withColumn("_place", F.monotonically_increasing_id()), "decontam-looked")
+    some = looked.where("text is not null").select("_place", "text")
+    found = None
+    for b in range(blocks):
+        one = _scanned(some, segments.where(F.col("block") == b), window)
+        found = one if found is None else found.unionByName(one)
+    found = found.groupBy("_place").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = stored(_merged(found), "decontam-found").withColumnRenamed("_place", "_found")
+    hit = looked.where("text is not null").join(found, F.col("_place") == F.col("_found")).drop("_found")
+    none = looked.where("text is null").withColumns({"spans": F.array().cast(SPANS), "items": F.array().cast("array<bigint>")})
+    return hit.unionByName(none).drop("text", "_place")
+
+
+def matches(docs: DataFrame, bench: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """For each row of ``docs``: key, hash (of the text), n_words, spans (array of [start, end) in words: all inside an occurrence of
+    ``window`` consecutive words of an item, or of a whole shorter item) and items (their distinct ids, ascending).
+
+    Null texts have no words, texts of any length are read whole, items without words match nothing, an item with a null id
+    counts in spans but is not listed, rows of items that share an id are one item, an empty benchmark gives no spans.
+    Repeated rows get a result each; other columns are not read; an empty table gives an empty one.
+    """
+    rows = keyed_text(docs, id_col, text_col).select("key", F.xxhash64("text").alias("hash"), "text")
+    return _matches(rows, bench, window, item_col, item_text)
+
 
-    both = found.groupBy("row", "key", "hash").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return both.mapInArrow(merge, schema)
+def clean(docs: DataFrame, bench: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated (see verdicts), as they are and whatever their columns' names. Odd rows
+    are as in matches(); null texts stay."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return verdicts(_matches(rows, bench, window, item_col, item_text)).where(~F.col("contaminated")).select("row.*")
 
 
 def verdicts(found: DataFrame) -> DataFrame:

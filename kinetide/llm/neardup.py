@@ -259,7 +259,7 @@ def _key_of(name: Column) -> Column:
 
 def clusters(docs: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of ``docs``: key, hash (of the text), n_shingles, component_id (the least key of its component), kept (it has that key),
-    node (digest of its set).
+    node (digest of its set), group (of the component).
 
     Texts are linked whose sets have 100 * intersection >= share * union. Null texts and texts without words have an empty
     set, are linked with nothing and kept. Rows with equal sets are linked; repeated rows get a result each, and all rows
@@ -273,10 +273,10 @@ def clusters(docs: DataFrame, words: int = 5, share: int = 80, id_col: str = "do
     roots = links(rows, classes, words, share).select(F.col("node").alias("rn"), "root")
     # Rows of a class of one row without links are their own component; only the others are joined.
     many = classes.where("copies > 1").select(F.col("node").alias("mn")).join(roots, F.col("mn") == F.col("rn"), "full_outer")
-    many = many.select(F.substring(F.coalesce("mn", "rn"), 10, 16).alias("cn"), _key_of(F.coalesce("root", "mn")).alias("least"), F.lit(True).alias("grouped"))
+    many = many.select(F.substring(F.coalesce("mn", "rn"), 10, 16).alias("cn"), _key_of(F.coalesce("root", "mn")).alias("least"), F.substring(F.coalesce("root", "mn"), 10, 16).alias("top"))
     many = stored(many, "neardup-grouped")
     both = found.select("key", "hash", F.col("n").alias("n_shingles"), "node").join(many, F.col("node") == F.col("cn"), "left")
-    return both.select("key", "hash", "n_shingles", F.when(F.col("grouped"), F.col("least")).otherwise(F.col("key")).alias("component_id"), "node").withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))
+    return both.select("key", "hash", "n_shingles", F.when(F.col("top").isNotNull(), F.col("least")).otherwise(F.col("key")).alias("component_id"), "node", F.coalesce("top", "node").alias("group")).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

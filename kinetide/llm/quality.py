@@ -1,22 +1,25 @@
 """Quality rules: counts of whole texts, and robust multivariate outliers within each language and source.
 
-Everything is DataFrame expressions. A text's counts come from arrays within its row; a row of integers per document is
-stored, and all that follows reads only this table:
+Everything is DataFrame expressions. A text's counts come from arrays within its row; they are stored, and all that
+follows reads only the integers of this table:
+  statistics  log of the mean word length; log of distinct words over log of words; square roots of the shares of short
+              words and of marks and symbols. They vary in every text, so their covariance means something
   cells       rows of one language and source; cells below ``least`` rows are pooled by language, then all together; a
               last pool that is still too small is judged against all rows
-  start       each statistic's median and quartile distance, from exact counts of its integer values
-  C-steps     ``steps`` times: distance of every row, the nearest ``share`` of a cell's rows, their mean and covariance
-  verdict     a squared Mahalanobis distance above ``cutoff``; where ``share`` of a cell lies further out than a
-              chi-squared distribution has it, its distances are scaled down to agree
+  starts      medians and quartile distances, and small subsets that a hash draws, so a run is repeatable
+  C-steps     distance of every row, the nearest ``share`` of a cell's rows, their mean and covariance; two for every start,
+              then the start with the least determinant is kept for each cell and carried on until no determinant falls further
+  verdict     a squared Mahalanobis distance above ``cutoff``, after a factor that makes the distance at ``share`` that of a
+              chi-squared distribution, and times n / (n + SHORT), as statistics of few words vary more
 Statistics are integers (thousandths), so sums are exact and a result doesn't depend on how rows are partitioned. The share
-of nearest rows is cut in a histogram of the distance's logarithm, which merges before the shuffle whatever a cell's size.
+of nearest rows is cut in bins of the distance's logarithm, which are counted before the shuffle whatever a cell's size.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, stored
@@ -25,30 +28,38 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Least standard deviation of each statistic in thousandths: below it, differences don't matter. A statistic alone can
-#: pass the cutoff of 40 within its range (1000; 548 for repeats, by the base rules) only if its floor is below range / 6.3.
-FLOORS = {"x_length": 80, "x_symbols": 40, "x_lines": 100, "x_repeats": 80}
-NAMES = list(FLOORS)
+#: The statistics, and the least standard deviation of each in thousandths, for cells in which one doesn't vary at all.
+NAMES = ["x_length", "x_types", "x_short", "x_marks"]
+FLOOR = 5
 D = len(NAMES)
+#: Words of at most so many characters are short; marks besides SYMBOLS; words at which a distance counts half.
+SHORT_WORD, MARKS, SHORT = 3, ".,;:!?", 30
 #: The cell of all rows; others are named by JSON arrays.
 ALL = "*"
-#: Chi-squared with four degrees of freedom at 0.75, and the bins for each doubling of a squared distance.
-CHI_75, BINS = 5.385, 16
+#: Chi-squared with four degrees of freedom at 0.75 and at 1 - 1e-6, and the bins for each doubling of a squared distance.
+CHI_75, CHI_FAR, BINS = 5.385, 33.377, 64
+#: Starts besides the medians, rows of a cell that each draws, C-steps before one start is chosen, and after that at most;
+#: a fall of a determinant's logarithm by less than STILL is none.
+DRAWS, DRAWN, EARLY, LATE, STILL = 4, 24, 2, 12, 1e-3
+#: Fewest rows that give an estimate, where the whole table has no more.
+FEWEST = 20
 
 
 def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words; a null text has none."""
+    """``docs`` with n_words, word_chars, n_symbols, n_marks, n_types, n_short, n_lines, n_dup_lines and n_repeat_words; a
+    null text has none."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     few = docs.withColumns({
         "_words": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
         "word_chars": F.length(F.translate(text, SPACES, "")).cast("bigint"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint"),
+        "n_marks": (F.length(text) - F.length(F.translate(text, MARKS + SYMBOLS, ""))).cast("bigint"),
         "_lines": lines,
     })
     starts = F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1))
     hashes = F.when(F.size("_words") > WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, F.lit(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
-    few = few.withColumns({"n_words": F.size("_words").cast("bigint"), "n_lines": F.size("_lines").cast("bigint"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"), "_hashes": hashes})
+    few = few.withColumns({"n_words": F.size("_words").cast("bigint"), "n_types": F.size(F.array_distinct("_words")).cast("bigint"), "n_short": F.size(F.filter("_words", lambda x: F.length(x) <= SHORT_WORD)).cast("bigint"), "n_lines": F.size("_lines").cast("bigint"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"), "_hashes": hashes})
     repeats = F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), _repeated(F.col("_words"), F.col("_hashes"))).otherwise(F.lit(0).cast("bigint"))
     return few.withColumn("n_repeat_words", repeats).drop("_words", "_lines", "_hashes")
 
@@ -81,102 +92,127 @@ def _repeated(words: Column, hashes: Column) -> Column:
 
 
 def statistics(found: DataFrame) -> DataFrame:
-    """The statistic vector of each row, in thousandths: log of the mean word length; square roots of the shares of symbols
-    in characters, of repeated lines in lines, of words in repeated windows."""
+    """The statistic vector of each row, in thousandths."""
     root = lambda a, b: F.round(1000 * F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))).cast("bigint")
+    log = lambda c: F.log(F.greatest(F.col(c), F.lit(2)).cast("double"))
     return found.withColumns({
         "x_length": F.round(1000 * F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1)))).cast("bigint"),
-        "x_symbols": root("n_symbols", "word_chars"), "x_lines": root("n_dup_lines", "n_lines"), "x_repeats": root("n_repeat_words", "n_words"),
+        "x_types": F.round(1000 * log("n_types") / log("n_words")).cast("bigint"), "x_short": root("n_short", "n_words"), "x_marks": root("n_marks", "word_chars"),
     })
 
 
 def _cells(rows: DataFrame, least: int) -> DataFrame:
-    """``rows`` with ``cell``: language and source, or the pool of the small ones. Null where even the last is small."""
+    """cl, cs and ``cell``: the cell of a language and source, their own or a pool. Null where even the last is small."""
     sizes = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     by_lang = sizes.where(F.col("n") < least).groupBy("lang").agg(F.sum("n").alias("pool"))
     rest = by_lang.where(F.col("pool") < least).agg(F.coalesce(F.sum("pool"), F.lit(0)).alias("rest"))
-    names = (
+    return (
         sizes.alias("s").join(by_lang.alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang")), "left").join(rest, F.lit(True), "left")
         .select(F.col("s.lang").alias("cl"), F.col("s.source").alias("cs"), F.when(F.col("n") >= least, F.to_json(F.array("s.lang", "s.source"))).when(F.col("pool") >= least, F.to_json(F.array("s.lang"))).when(F.col("rest") >= least, F.lit("[]")).alias("cell"))
     )
-    return rows.join(stored(names, "quality-cells"), F.col("lang").eqNullSafe(F.col("cl")) & F.col("source").eqNullSafe(F.col("cs"))).drop("cl", "cs")
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and quartile distances as a first centre and a diagonal covariance."""
-    long = rows.select("cell", F.posexplode(F.array(*NAMES)).alias("dim", "x")).groupBy("cell", "dim", "x").agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("cell", "dim")
-    long = long.withColumns({"below": F.sum("n").over(by.orderBy("x")), "all": F.sum("n").over(by)})
-    at = lambda q: F.min(F.when(F.col("below") >= q * F.col("all"), F.col("x")))
-    each = long.groupBy("cell", "dim").agg(at(0.5).alias("mid"), ((at(0.75) - at(0.25)) / 1.349).alias("sd"))
-    pick = lambda c, k: F.max(F.when(F.col("dim") == k, F.col(c)))
-    flat = each.groupBy("cell").agg(*[pick("mid", k).cast("double").alias(f"m{k}") for k in range(D)], *[pick("sd", k).alias(f"sd{k}") for k in range(D)])
-    return _roots(flat.withColumns({f"v{i}{j}": F.col(f"sd{i}") * F.col(f"sd{i}") if i == j else F.lit(0.0) for i in range(D) for j in range(i + 1)}))
+def _starts(rows: DataFrame) -> DataFrame:
+    """Models of each cell's starts: medians and quartile distances (trial 0), means and covariances of drawn rows."""
+    at = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))  # noqa: E731  exact: integers of a small range
+    mids = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[at(c).alias(f"q{k}") for k, c in enumerate(NAMES)])
+    sd = lambda k: (F.get(f"q{k}", F.lit(2)) - F.get(f"q{k}", F.lit(0))) / 1.349
+    mids = stored(mids.withColumns({f"m{k}": F.get(f"q{k}", F.lit(1)) for k in range(D)} | {f"v{i}{j}": sd(i) * sd(i) if i == j else F.lit(0.0) for i in range(D) for j in range(i + 1)}), "quality-medians")
+    drawn = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(DRAWS)))).join(mids.select(F.col("cell").alias("mc"), "n"), F.col("cell") == F.col("mc"))
+    drawn = drawn.where(F.pmod(F.xxhash64("draw", "trial"), F.lit(1 << 30)) * F.col("n") < F.lit(DRAWN << 30)).groupBy("cell", "trial")
+    return _roots(mids.withColumn("trial", F.lit(0))).unionByName(_roots(_moments(drawn)))
+
+
+def _moments(groups) -> DataFrame:
+    """The keys of ``groups``, means m and covariances v, from exact sums."""
+    sums = {f"m{i}": F.col(NAMES[i]) for i in range(D)} | {f"v{i}{j}": F.col(NAMES[i]) * F.col(NAMES[j]) for i in range(D) for j in range(i + 1)}
+    flat = groups.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    flat = flat.select("cell", "trial", *[(F.col(k) / F.col("n")).alias(k) for k in sums])
+    return flat.withColumns({f"v{i}{j}": F.col(f"v{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i in range(D) for j in range(i + 1)})
 
 
 def _roots(flat: DataFrame) -> DataFrame:
-    """cell, means and the Cholesky factor of the covariances v (floors added)."""
+    """cell, trial, means, the Cholesky factor of the covariances v (with FLOOR) and the logarithm of their determinant."""
     for i in range(D):
         for j in range(i + 1):
-            v = F.col(f"v{i}{j}") + (F.lit(float(FLOORS[NAMES[i]] ** 2)) if i == j else F.lit(0.0))
+            v = F.col(f"v{i}{j}") + (F.lit(float(FLOOR**2)) if i == j else F.lit(0.0))
             rest = v - reduce(lambda a, b: a + b, [F.col(f"r{i}{k}") * F.col(f"r{j}{k}") for k in range(j)], F.lit(0.0))
             flat = flat.withColumn(f"r{i}{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"r{j}{j}"))
-    return flat.select("cell", *[f"m{i}" for i in range(D)], *[f"r{i}{j}" for i in range(D) for j in range(i + 1)])
+    det = reduce(lambda a, b: a + b, [2 * F.log(F.col(f"r{i}{i}")) for i in range(D)])
+    return flat.select("cell", "trial", *[f"m{i}" for i in range(D)], *[f"r{i}{j}" for i in range(D) for j in range(i + 1)], det.alias("det"))
 
 
 def _distances(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """``rows`` with d2 and its bin."""
+    """``rows`` with trial, d2 and its bin, a row for each of a cell's models."""
     out = rows.join(model.withColumnRenamed("cell", "mc"), F.col("cell") == F.col("mc"))
     for i in range(D):
         rest = F.col(NAMES[i]) - F.col(f"m{i}") - reduce(lambda a, b: a + b, [F.col(f"r{i}{k}") * F.col(f"z{k}") for k in range(i)], F.lit(0.0))
         out = out.withColumn(f"z{i}", rest / F.col(f"r{i}{i}"))
     d2 = reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)])
-    return out.withColumn("d2", d2).withColumn("bin", F.floor(BINS * F.log2(F.col("d2") + 1e-6)).cast("int")).select(*rows.columns, "d2", "bin")
+    return out.withColumn("d2", d2).withColumn("bin", F.floor(BINS * F.log2(F.col("d2") + 1e-6)).cast("int")).select(*rows.columns, "trial", "d2", "bin")
 
 
 def _edges(near: DataFrame, share: float) -> DataFrame:
-    """The bin of each cell up to which ``share`` of its rows lie."""
-    bins = near.groupBy("cell", "bin").agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("cell")
-    bins = bins.withColumns({"below": F.sum("n").over(by.orderBy("bin")), "all": F.sum("n").over(by)})
-    return bins.where(F.col("below") >= share * F.col("all")).groupBy(F.col("cell").alias("ec")).agg(F.min("bin").alias("edge"))
+    """The bin of each cell and trial up to which ``share`` of its rows lie."""
+    return near.groupBy(F.col("cell").alias("ec"), F.col("trial").alias("et")).agg(F.percentile("bin", F.lit(share)).alias("edge"))
 
 
 def _step(rows: DataFrame, model: DataFrame, share: float) -> DataFrame:
+    """The models of the rows that are nearest to ``model``."""
     near = _distances(rows, model)
-    near = near.join(stored(_edges(near, share), "quality-edges"), F.col("cell") == F.col("ec")).where("bin <= edge")
-    sums = {f"m{i}": F.col(NAMES[i]) for i in range(D)} | {f"v{i}{j}": F.col(NAMES[i]) * F.col(NAMES[j]) for i in range(D) for j in range(i + 1)}
-    flat = near.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
-    flat = flat.select("cell", *[(F.col(k) / F.col("n")).alias(k) for k in sums])
-    return _roots(flat.withColumns({f"v{i}{j}": F.col(f"v{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i in range(D) for j in range(i + 1)}))
-
-
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 4, cutoff: float = 40.0, least: int = 100) -> DataFrame:
-    """A row for each of ``docs``: key, lang, source, hash (of the text), the counts, base_failed, d2 and kept.
-
-    base_failed: fewer than 20 words, or over 30 % of them in repeated windows. Other rows are kept unless their scaled d2
-    is above ``cutoff``. Null languages and sources are values of their own; where not even all small cells together have
-    ``least`` rows, they are judged against all rows. Where those are fewer too, there is no estimate, d2 is null and rows
-    that pass the base rules are kept. Null and empty texts have
-    no words and fail. Repeated rows count as often as they occur. Other columns are not read.
+    near = near.join(stored(_edges(near, share), "quality-edges"), (F.col("cell") == F.col("ec")) & (F.col("trial") == F.col("et"))).where("bin <= edge")
+    return stored(_roots(_moments(near.groupBy("cell", "trial"))), "quality-model")
+
+
+def estimates(rows: DataFrame, share: float) -> DataFrame:
+    """cell, means, Cholesky factor and scale of each cell's minimum-covariance-determinant estimate, from ``rows`` (cell,
+    draw, statistics); ``draw`` is any number of a row's own."""
+    model = stored(_starts(rows), "quality-model")
+    for _ in range(EARLY):
+        model = _step(rows, model, share)
+    best = model.groupBy(F.col("cell").alias("bc")).agg(F.min_by("trial", F.struct("det", "trial")).alias("bt"))
+    model = stored(model.join(best, (F.col("cell") == F.col("bc")) & (F.col("trial") == F.col("bt"))).drop("bc", "bt"), "quality-model")
+    for _ in range(LATE):
+        new = _step(rows, model, share)
+        was = model.select(F.col("cell").alias("wc"), F.col("det").alias("was"))
+        if new.join(was, F.col("cell") == F.col("wc")).where(F.col("det") < F.col("was") - STILL).isEmpty():
+            break
+        model = new
+    scale = _edges(_distances(rows, model), share).select("ec", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("edge") + 1) / F.lit(float(BINS))) / CHI_75).alias("scale"))
+    return stored(model.join(scale, F.col("cell") == F.col("ec")).drop("ec"), "quality-estimates")
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, cutoff: float = CHI_FAR, least: int = 100, whole: bool = False) -> DataFrame:
+    """A row for each of ``docs``: key, lang, source, the counts, base_failed, d2 and kept, and with ``whole`` the row itself
+    (``row``, a struct of all its columns).
+
+    base_failed: fewer than 20 words, or over 30 % of them in repeated windows. Other rows are kept unless their d2 is above
+    ``cutoff``. Null languages and sources are values of their own; where not even all small cells together have ``least``
+    rows, they are judged against all rows. Below FEWEST rows in all there is no estimate, d2 is null and rows that pass the
+    base rules are kept. Null and empty texts have no words and fail; long ones are read whole. Repeated rows count as often
+    as they occur and get a result each, as do ties. Other columns are not read, whatever their names; an empty table gives
+    an empty one.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    found = statistics(counts(rows)).withColumn("hash", F.xxhash64("text")).drop("text")
+    columns = [F.col(id_col).cast("bigint").alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")]
+    rows = docs.select(*columns, *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * whole)
+    found = statistics(counts(rows)).withColumn("draw", F.xxhash64("key", "text")).drop("text")
     found = found.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     found = stored(found, "quality-counts")
-    good = stored(_cells(found.where("not base_failed"), least), "quality-rows")
-    rows = good.where("cell is not null").select("cell", *NAMES)
-    if not good.where("cell is null").isEmpty() and good.count() >= least:
-        rows = rows.unionByName(good.select(F.lit(ALL).alias("cell"), *NAMES))
-        good = good.withColumn("cell", F.coalesce("cell", F.lit(ALL)))
-    model = stored(_start(rows), "quality-model")
-    for _ in range(steps):
-        model = stored(_step(rows, model, share), "quality-model")
-    scale = stored(_edges(_distances(rows, model), share).select("ec", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("edge") + 1) / F.lit(float(BINS))) / CHI_75).alias("scale")), "quality-scale")
-    far = _distances(good.where("cell is not null"), model).join(scale, F.col("cell") == F.col("ec")).withColumn("d2", F.col("d2") / F.col("scale"))
-    columns = [*found.columns, "d2"]
-    none = found.where("base_failed").unionByName(good.where("cell is null").select(found.columns)).withColumn("d2", F.lit(None).cast("double"))
-    return far.select(columns).unionByName(none.select(columns)).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True)))
+    names = stored(_cells(found.where("not base_failed"), least), "quality-cells")
+    known = (F.col("lang").eqNullSafe(F.col("cl"))) & (F.col("source").eqNullSafe(F.col("cs")))
+    rows = stored(found.where("not base_failed").join(names, known).select("cell", "draw", *NAMES), "quality-rows")
+    total = rows.count()
+    if not rows.where("cell is null").isEmpty() and total >= FEWEST:
+        rows = rows.where("cell is not null").unionByName(rows.withColumn("cell", F.lit(ALL)))
+        names = names.withColumn("cell", F.coalesce("cell", F.lit(ALL)))
+    model = estimates(rows.where("cell is not null"), share).drop("trial", "det").withColumnRenamed("cell", "mc")
+    far = found.join(names, known & ~F.col("base_failed"), "left").join(model, F.col("cell") == F.col("mc"), "left")
+    for i in range(D):
+        rest = F.col(NAMES[i]) - F.col(f"m{i}") - reduce(lambda a, b: a + b, [F.col(f"r{i}{k}") * F.col(f"z{k}") for k in range(i)], F.lit(0.0))
+        far = far.withColumn(f"z{i}", rest / F.col(f"r{i}{i}"))
+    d2 = reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)]) / F.col("scale")
+    far = far.withColumn("d2", d2 * F.col("n_words") / (F.col("n_words") + SHORT))
+    return far.select(*found.columns, "d2").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True)))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
