@@ -43,42 +43,112 @@ def mixture(df: DataFrame, name: str, n: str, power: float = 0.4) -> DataFrame:
 
 
 def apportion(shares: list[float], total: int) -> list[int]:
-    """``total`` places by share, at least one each: floors, then the largest remainders; places too many are taken from
-    those with the smallest ``raw - given`` above one. A list of classes, so on the driver."""
+    """``total`` places by share, at least one each: floors, then the largest remainders over what is given. Places too
+    many are taken from the class with the least remainder until it has one, then from the next. Ties go by place. A list
+    of classes, so on the driver."""
     if not shares or min(shares) < 0 or sum(shares) <= 0 or total < len(shares):
         raise ValueError("shares must be positive in sum, and no more of them than places")
     raw = [s / sum(shares) * total for s in shares]
     given = [max(1, int(r)) for r in raw]
-    order = sorted(range(len(raw)), key=lambda i: (int(raw[i]) - raw[i], i))
-    k = 0
-    while sum(given) < total:
-        given[order[k % len(order)]] += 1
-        k += 1
-    while sum(given) > total:
-        i = min((i for i in range(len(raw)) if given[i] > 1), key=lambda i: (raw[i] - given[i], i))
-        given[i] -= 1
+    left = total - sum(given)
+    for i in sorted(range(len(raw)), key=lambda i: given[i] - raw[i])[: max(0, left)]:
+        given[i] += 1
+    for i in sorted(range(len(raw)), key=lambda i: raw[i] - given[i]):
+        back = min(given[i] - 1, max(0, -left))
+        given[i] -= back
+        left += back
     return given
 
 
 def apportioned(df: DataFrame, label: str, n: str, total: int) -> DataFrame:
-    """O5 over a table of classes where every share has a whole place: label, slots."""
+    """O5 over a table of classes, with the same rule: label, slots. Ties go by label."""
     rows = df.join(F.broadcast(df.agg(F.sum(n).alias("_s")))).withColumn("_raw", F.col(n) / F.col("_s") * total)
     rows = rows.withColumn("_base", F.greatest(F.lit(1), F.floor("_raw")).cast("bigint"))
-    left = F.lit(total) - F.sum("_base").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy((F.col("_raw") - F.floor("_raw")).desc(), label))  # a row for each class
-    return rows.select(label, (F.col("_base") + F.when(rank <= left, 1).otherwise(0)).alias("slots"))
-
-
-def weighted_pick(items: DataFrame, key: str, item: str, weight: str, draws: DataFrame, u: str) -> DataFrame:
-    """Each draw (key, u in [0, 1)) with the item of its key whose share of the cumulated weights holds u. Both sides
-    are sorted together by key and place, so no range join is needed."""
-    w = Window.partitionBy(key).orderBy(item)
-    total = items.groupBy(F.col(key).alias("_k")).agg(F.sum(weight).alias("_total"))
-    upto = items.withColumn("_low", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight))
-    upto = upto.join(total, F.col(key) == F.col("_k")).select(key, (F.col("_low") / F.col("_total")).alias("_at"), F.col(item).alias("_item"), F.lit(0).alias("_side"))
-    both = draws.withColumns({"_at": F.col(u), "_side": F.lit(1)}).unionByName(upto, allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy("_at", "_side", "_item").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("picked", F.last("_item", ignorenulls=True).over(order)).where("_side = 1").drop("_at", "_side", "_item")
+    rows = rows.withColumn("_left", F.lit(total) - F.sum("_base").over(Window.partitionBy()))  # a row for each class
+    rank = F.row_number().over(Window.orderBy((F.col("_raw") - F.col("_base")).desc(), label))
+    before = F.coalesce(F.sum(F.col("_base") - 1).over(Window.orderBy(F.col("_raw") - F.col("_base"), label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    back = F.greatest(F.lit(0), F.least(F.col("_base") - 1, -F.col("_left") - before))
+    return rows.select(label, (F.col("_base") + F.when(rank <= F.col("_left"), 1).otherwise(0) - back).alias("slots"))
+
+
+def count_modes(pools: list[int], batch: int, single: int | None = None, override: list[int] | None = None, proportional: bool = False, each: int = 8) -> list[int]:
+    """Slots of each class in a batch. The first mode that is asked for counts: all to a single class, given numbers, in
+    proportion to ``pools`` (rows or windows of each class), ``each`` to every class. Numbers that don't fit are errors."""
+    if single is not None:
+        if not 0 <= single < len(pools):
+            raise ValueError(f"class {single} is not below {len(pools)}")
+        return [batch if i == single else 0 for i in range(len(pools))]
+    if override is not None:
+        if len(override) != len(pools) or sum(override) != batch:
+            raise ValueError("given numbers must be one for each class and sum to the batch")
+        return list(override)
+    return apportion([float(p) for p in pools], batch) if proportional else [each] * len(pools)
+
+
+def hierarchical(plan: DataFrame, pools: DataFrame, episodes: DataFrame, seed: int) -> DataFrame:
+    """For each row of ``plan`` (step, expert, slot) a dataset of the expert by probability, an episode of the dataset and
+    a frame of the episode, both uniform: dataset, episode, frame. ``pools``: expert, dataset, p (sums to one);
+    ``episodes``: dataset, place (0 to n - 1 within it), episode, length. Draws are hashes of seed and place in the plan."""
+    u = lambda k: uniform(F.lit(seed), F.lit(k), "step", "expert", "slot")
+    drawn = weighted_pick(pools.select("expert", "dataset", "p"), "expert", "dataset", "p", plan.withColumn("u", u(0)), "u").withColumnRenamed("picked", "_d").drop("u")
+    sizes = episodes.groupBy(F.col("dataset").alias("_sd")).agg(F.count(F.lit(1)).alias("_n"))
+    drawn = drawn.join(sizes, F.col("_d") == F.col("_sd")).withColumn("_place", F.floor(u(1) * F.col("_n"))).drop("_sd", "_n")
+    found = drawn.join(episodes, (F.col("_d") == F.col("dataset")) & (F.col("_place") == F.col("place")))
+    return found.select(*plan.columns, "dataset", "episode", F.floor(u(2) * F.col("length")).alias("frame"))
+
+
+def mixed(parts: dict[str, tuple[DataFrame, float]], id_col: str, seed: int, n: int) -> DataFrame:
+    """A mixture of tables by weight, in an order that a hash draws: name, id, place (0 to n - 1). Weights must sum to
+    one. Each place draws its table, and the table's rows follow in hash order, over again when they are used up."""
+    if abs(sum(w for _, w in parts.values()) - 1) > 1e-9:
+        raise ValueError("weights must sum to one")
+    spark = next(iter(parts.values()))[0].sparkSession
+    u = uniform(F.lit(seed), "place")
+    upto, name = 0.0, None
+    for k, (_, w) in parts.items():
+        upto += w
+        name = F.when(u < upto, F.lit(k)) if name is None else name.when(u < upto, F.lit(k))
+    places = spark.range(n).withColumnRenamed("id", "place").withColumn("name", name.otherwise(F.lit(list(parts)[-1])))
+    places = places.withColumn("_i", F.row_number().over(Window.partitionBy("name").orderBy("place")) - 1)
+    rows = None
+    for k, (df, _) in parts.items():
+        one = df.select(F.lit(k).alias("_name"), F.col(id_col).alias("id"))
+        rows = one if rows is None else rows.unionByName(one)
+    w = Window.partitionBy("_name")
+    rows = rows.withColumns({"_r": F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "id"), "id")) - 1, "_n": F.count(F.lit(1)).over(w)})
+    sizes = rows.groupBy(F.col("_name").alias("_sn")).agg(F.max("_n").alias("_size"))
+    places = places.join(sizes, F.col("name") == F.col("_sn")).withColumn("_at", F.pmod("_i", "_size"))
+    return places.join(rows, (F.col("name") == F.col("_name")) & (F.col("_at") == F.col("_r"))).select("name", "id", "place")
+
+
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows by several keys; each task keeps its own first ones, so no table is sorted as a whole."""
+    return df.orderBy(*order).limit(n)
+
+
+def weighted_pick(items: DataFrame, key: str, item: str, weight: str, draws: DataFrame, u: str, part: Column | None = None) -> DataFrame:
+    """Each draw (key, u in [0, 1)) with the item of its key whose share of the cumulated weights, in order of items,
+    holds u. A negative weight is an error, and so are draws of a key without a positive weight; null keys have no draws.
+
+    ``part`` is a column that never falls as ``item`` rises and cuts a key's items into parts, some thousands for a key at
+    most: weights are summed by part first, a draw finds its part among the sums and then its item within the part, so a
+    key that has most of the rows is many tasks. Without it a key is one."""
+    part = F.lit(0) if part is None else part
+    own = F.when(F.col(weight) < 0, F.raise_error(F.lit("a weight is negative")).cast("double")).otherwise(F.col(weight))
+    mine = items.select(F.col(key).alias("_k"), part.alias("_part"), F.col(item).alias("_item"), own.alias("_w")).where("_w > 0")
+    sums = mine.groupBy("_k", "_part").agg(F.sum("_w").alias("_w"))
+    before = F.sum("_w").over(Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w")
+    sums = sums.withColumn("_low", before).groupBy(F.col("_k").alias("_lk")).agg(F.sum("_w").alias("_total"), F.array_sort(F.collect_list(F.struct("_low", "_part"))).alias("_parts"))
+    none = F.raise_error(F.lit("a key of draws has no item with a positive weight")).cast("double")
+    rows = draws.where(F.col(key).isNotNull()).join(sums, F.col(key) == F.col("_lk"), "left")
+    rows = rows.withColumn("_at", F.when(F.col("_total").isNull(), none).otherwise(F.col(u) * F.col("_total")))
+    rows = rows.withColumn("_in", F.element_at(F.filter("_parts", lambda x: x["_low"] <= F.col("_at")), -1))
+    rows = rows.withColumns({"_part": F.col("_in._part"), "_rest": F.col("_at") - F.col("_in._low"), "_side": F.lit(1)}).drop("_in", "_at", "_parts", "_total", "_lk")
+    inside = F.sum("_w").over(Window.partitionBy("_k", "_part").orderBy("_item").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w")
+    inside = mine.select(F.col("_k").alias(key), "_part", inside.alias("_rest"), F.lit(0).alias("_side"), "_item")
+    both = rows.unionByName(inside, allowMissingColumns=True)
+    order = Window.partitionBy(key, "_part").orderBy("_rest", "_side", "_item").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("picked", F.last("_item", ignorenulls=True).over(order)).where("_side = 1").drop("_part", "_rest", "_side", "_item")
 
 
 def draws(spark: SparkSession, slots: dict[str, int], batches: int, seed: int, epoch: int = 0) -> DataFrame:

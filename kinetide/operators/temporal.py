@@ -10,6 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetide.shared import stored
+
+#: Parts of a key's events between two cuts that one task walks together (see coincidences).
+CUTS = 1000
+
 
 def _by(keys: list[str], *order) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -121,8 +126,15 @@ def paired(df: DataFrame, keys: list[str], t: str, is_open: Column, is_close: Co
     return rows.where(F.col("_open") & F.col("_next") & (F.col("closed") - F.col(t) <= gap)).drop("_open", "_close", "_next")
 
 
-def sustained(df: DataFrame, keys: list[str], t: str, is_open: Column, is_close: Column) -> DataFrame:
-    """Openings with the nearest later closing of the key (several may share one): ``closed``, null if there is none."""
+def sustained(df: DataFrame, keys: list[str], t: str, is_open: Column, is_close: Column, gap=None) -> DataFrame:
+    """Openings with the nearest later closing of the key (several may share one): ``closed``, null if there is none.
+    With ``gap``, openings and closings that are paired() within it are left out first."""
+    if gap is not None:
+        w = _by(keys, t)
+        rows = df.withColumns({"_open": is_open, "_close": is_close})
+        pair = lambda a, b: F.col("_open" if a else "_close") & b
+        rows = rows.withColumns({"_to": pair(True, F.lead("_close").over(w) & (F.lead(t).over(w) - F.col(t) <= gap)), "_from": pair(False, F.lag("_open").over(w) & (F.col(t) - F.lag(t).over(w) <= gap))})
+        df = rows.where(~F.coalesce("_to", F.lit(False)) & ~F.coalesce("_from", F.lit(False))).drop("_open", "_close", "_to", "_from")
     w = _by(keys, t).rowsBetween(1, Window.unboundedFollowing)
     rows = df.withColumns({"_open": is_open, "_at": F.when(is_close, F.col(t))})
     return rows.withColumn("closed", F.first("_at", ignorenulls=True).over(w)).where("_open").drop("_open", "_at")
@@ -142,6 +154,62 @@ def first_stop(df: DataFrame, keys: list[str], order: str, still: Column, n: int
     return rows.where("_run and _moved").groupBy(*keys).agg(F.min(order).alias("stop"))
 
 
+def stop_starts(frames: DataFrame, keys: list[str], order: str, still: Column, n: int) -> DataFrame:
+    """Keys, ``stop``: frames that are still for ``n`` frames from them on (fewer at the key's end) after one that moves."""
+    rows = frames.select(*keys, F.col(order).alias("stop"), still.alias("_s"))
+    w = _by(keys, "stop")
+    rows = rows.withColumns({"_run": F.min("_s").over(w.rowsBetween(0, n - 1)), "_before": F.lag("_s").over(w)})
+    return rows.where("_run and not _before").select(*keys, "stop")
+
+
+def first_stop_in(segments: DataFrame, frames: DataFrame, keys: list[str], order: str, start: str, end: str, still: Column, n: int, window: int) -> DataFrame:
+    """``segments`` with ``stop``, the first frame from ``start`` on that comes after a moving frame of the segment and
+    is still for ``n`` frames; at the latest ``n`` before max(end + window, start + n) or the key's end; else null.
+
+    Such a frame always starts a run of still ones, so it is the next start of a run after ``start``: one sort of both."""
+    sizes = frames.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(order).alias("_last"))
+    rows = segments.join(sizes, [F.col(k) == F.col(f"_{k}") for k in keys]).drop(*[f"_{k}" for k in keys])
+    rows = rows.withColumn("_from", F.greatest(F.lit(0), F.least(F.col(start), F.col("_last"))))
+    stops = stop_starts(frames, keys, order, still, n).withColumn("_from", F.col("stop"))
+    rows = asof_next(rows, stops, keys, "_from", "stop")
+    limit = F.least(F.col("_last") + 1, F.greatest(F.col(end) + window, F.col("_from") + n)) - n
+    found = F.when(F.col("following") <= F.greatest(F.col("_from"), limit), F.col("following"))
+    return rows.withColumn("stop", found).drop("_last", "_from", "following")
+
+
+def silent_intervals(active: DataFrame, grips: DataFrame, keys: list[str], least, guard, merge, back, follow, width) -> DataFrame:
+    """Keys, side, start, end of arm activity without a grip that follows a release. ``active``: keys, side, start, end;
+    ``grips``: keys, side, t, released (boolean). Times are numbers of one unit.
+
+    Spans of ``least`` or longer without a grip of any side within ``guard`` are merged with the next of their side over
+    ``merge`` at most, if no grip lies between; end where the other side grips or starts to move; must start ``follow`` at
+    most after the last release of their side, and start at it where it is ``back`` at most away."""
+    long = active.where(F.col("end") - F.col("start") >= least).select(*keys, "side", "start", "end")
+    points = grips.select(*keys, F.col("t").alias("_t"))
+    # A span with a grip inside: the grips are the points, so spans that have one are found by their own row.
+    spans = long.withColumn("_id", F.struct("side", "start", "end"))
+    held = range_join(points, spans.select(*keys, "_id", "start", "end"), keys, "_t", "start", "end", guard, width).select(*keys, "_id").distinct()
+    free = spans.join(held.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_id").alias("_hid")), [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_id") == F.col("_hid")], "left_anti").drop("_id")
+    free = asof_previous(free.withColumn("_t", F.col("start")), points.withColumn("_grip", F.col("_t")), keys, "_t", "_grip").withColumnRenamed("previous", "_grip").drop("_t")
+    own = _by([*keys, "side"], "start", "end")
+    gap = F.col("start") - F.lag("end").over(own)
+    joined = (gap <= merge) & (F.col("_grip").isNull() | (F.col("_grip") < F.lag("end").over(own)))
+    free = free.withColumn("_new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
+    free = free.withColumn("_group", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = free.groupBy(*keys, "side", "_group").agg(F.min("start").alias("start"), F.max_by("end", "start").alias("end")).drop("_group")
+    begun = grips.select(*keys, "side", "t").unionByName(active.select(*keys, "side", F.col("start").alias("t")))
+    sides = begun.select(*keys, F.col("side").alias("_other")).unionByName(merged.select(*keys, F.col("side").alias("_other"))).distinct()
+    other = begun.join(sides.select(*[F.col(k).alias(f"_{k}") for k in keys], "_other"), [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("side") != F.col("_other")])
+    other = other.select(*keys, F.col("_other").alias("side"), F.col("t").alias("_t"), F.col("t").alias("_next"))
+    merged = asof_next(merged.withColumn("_t", F.col("start")), other, [*keys, "side"], "_t", "_next")
+    merged = merged.withColumn("end", F.when(F.col("following") < F.col("end"), F.col("following")).otherwise(F.col("end"))).drop("following")
+    freed = grips.where("released").select(*keys, "side", F.col("t").alias("_t"), F.col("t").alias("_freed"))
+    merged = asof_previous(merged, freed, [*keys, "side"], "_t", "_freed").withColumnRenamed("previous", "_freed").drop("_t")
+    merged = merged.where(F.col("start") - F.col("_freed") <= follow)
+    merged = merged.withColumn("start", F.when(F.col("start") - F.col("_freed") <= back, F.col("_freed")).otherwise(F.col("start"))).drop("_freed")
+    return merged.where(F.col("end") - F.col("start") >= least)
+
+
 def action_chunks(segments: DataFrame, start: str, end: str, horizon: int, clamp: str | None = None) -> DataFrame:
     """Every start of a segment [start, end) with its ``horizon`` frames, the last one of the segment (or
     ``clamp`` - 1) repeated: ``anchor``, ``k``, ``frame``, ``padded``."""
@@ -198,7 +266,13 @@ def gaps(df: DataFrame, keys: list[str], order: str, start: str, end: str, toler
 def coincidences(df: DataFrame, keys: list[str], t: str, direction: str, side: str, span: float) -> DataFrame:
     """Runs of same-direction events within ``span`` of the run's first, on two sides or more: keys, t, direction, n.
 
-    Each run depends on where the last one ended, so a key's events are walked in order by one task; keys are episodes."""
+    A run depends on where the last one ended, but no run crosses a change of direction or a gap above ``span``: a key's
+    events are cut there first, by a window that spills, and only what lies between two cuts has to be walked by one task;
+    CUTS such parts are walked together."""
+    w = _by(keys, t, direction, side)
+    cut = (F.lag(direction).over(w) != F.col(direction)) | (F.col(t) - F.lag(t).over(w) > span)
+    rows = df.select(*keys, t, direction, side).withColumn("_cut", F.when(F.coalesce(cut, F.lit(False)), 1).otherwise(0))
+    rows = rows.withColumn("_part", F.floor(F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)) / CUTS)).drop("_cut")
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([t, direction, side], kind="stable").reset_index(drop=True)
@@ -216,30 +290,35 @@ def coincidences(df: DataFrame, keys: list[str], t: str, direction: str, side: s
         return pd.DataFrame(out, columns=[*keys, t, direction, "n"])
 
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(*keys, t, direction, side).groupBy(*keys).applyInPandas(walk, ", ".join(f"`{c}` {types[c]}" for c in [*keys, t, direction]) + ", n long")
+    return rows.groupBy(*keys, "_part").applyInPandas(walk, ", ".join(f"`{c}` {types[c]}" for c in [*keys, t, direction]) + ", n long")
 
 
-def snapped(segments: DataFrame, stops: DataFrame, keys: list[str], order: str, start: str, end: str, look: float, least: float = 1.0, most: float = 4.0) -> DataFrame:
-    """Each segment's end moves to the first stop (column ``stop``) in (start, end + look] if the segment keeps
-    ``least`` and loses ``most`` at most; the next one then starts there, so a key's segments are walked in order."""
-    listed = stops.groupBy(*keys).agg(F.sort_array(F.collect_list("stop")).alias("_stops"))
-    rows = segments.select(*keys, order, start, end).join(listed, keys, "left")
+def snapped(segments: DataFrame, stops: DataFrame, keys: list[str], order: str, start: str, end: str, least: float = 1.0, most: float = 4.0, moves: str | None = None) -> DataFrame:
+    """Keys, order, start, end, moved. The end of each segment that ``moves`` (a boolean column; all without it) goes to
+    the first stop (column ``stop``, see stop_starts) after its start if that lies before its end, ``least`` after the start
+    and ``most`` before the end at most; the next segment of the key, whatever it is, then starts there.
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        first, moved = rows[start].tolist(), []
-        last = rows[end].tolist()
-        stop = rows["_stops"].iloc[0]
-        stop = [] if stop is None else list(stop)
-        for i in range(len(rows)):
-            s = next((x for x in stop if x > first[i]), None)
-            ok = s is not None and s < last[i] and s <= last[i] + look and s - first[i] >= least and last[i] - s <= most
-            moved.append(bool(ok))
-            if ok:
-                if i + 1 < len(rows) and first[i + 1] == last[i]:
-                    first[i + 1] = s
-                last[i] = s
-        return rows[[*keys, order]].assign(**{start: first, end: last, "moved": moved})
-
-    types = {f.name: f.dataType.simpleString() for f in segments.schema}
-    return rows.groupBy(*keys).applyInPandas(walk, ", ".join(f"`{c}` {types[c]}" for c in [*keys, order, start, end]) + ", moved boolean")
+    A segment's start depends on the one before it alone, so the step is repeated until no start changes: as often as
+    segments follow one another that depend on each other. Every repetition is one sort of segments and stops."""
+    w = _by(keys, order)
+    flag = F.coalesce(F.col(moves), F.lit(False)) if moves else F.lit(True)
+    rows = segments.select(*keys, order, F.col(start).alias("_s"), F.col(end).alias("_e"), flag.alias("_m")).withColumn("_t", F.col("_s"))
+    stops = stops.select(*keys, F.col("stop").alias("_t"), F.col("stop").alias("_at"))
+    while True:
+        found = asof_next(rows, stops, keys, "_t", "_at")
+        ok = F.col("_m") & (F.col("following") < F.col("_e")) & (F.col("following") - F.col("_t") >= least) & (F.col("_e") - F.col("following") <= most)
+        found = found.withColumn("_snap", F.when(ok, F.col("following"))).drop("following")
+        found = found.withColumn("_new", F.coalesce(F.lag("_snap").over(w), F.col("_s")))
+        found = stored(found, "snapped")
+        if found.where("_new != _t").isEmpty():
+            return found.select(*keys, order, F.col("_t").alias(start), F.coalesce("_snap", "_e").alias(end), F.col("_snap").isNotNull().alias("moved"))
+        rows = found.withColumn("_t", F.col("_new")).drop("_snap", "_new")
+
+
+def parents_snapped(activities: DataFrame, moved: DataFrame, keys: list[str], activity: str, order: str, start: str, end: str, segment_order: str) -> DataFrame:
+    """``activities`` whose end goes to that of their last segment that was moved (``moved``: keys, activity,
+    segment_order, end), and whose start goes to the end of the activity before them where that one's went."""
+    last = moved.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col(activity).alias("_a")).agg(F.max_by(end, segment_order).alias("_end"))
+    rows = activities.join(last, [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(activity) == F.col("_a")], "left").drop(*[f"_{k}" for k in keys], "_a")
+    before = F.lag("_end").over(_by(keys, order))
+    return rows.withColumns({start: F.coalesce(before, F.col(start)), end: F.coalesce("_end", F.col(end))}).drop("_end")

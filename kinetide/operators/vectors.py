@@ -13,7 +13,8 @@ def long_form(df: DataFrame, ids: list[str], vector: str) -> DataFrame:
     return df.select(*ids, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
 
 
-def _moments() -> list[Column]:
+def moments() -> list[Column]:
+    """n, mean, population std, lo and hi of x."""
     mean, square = F.avg("x"), F.avg(F.col("x") * F.col("x"))
     return [F.count("x").alias("n"), mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"), F.min("x").alias("lo"), F.max("x").alias("hi")]
 
@@ -23,7 +24,7 @@ def vector_stats(df: DataFrame, vector: str, keys: list[str] | None = None, quan
     percentiles). Partial sums merge before the shuffle; exact percentiles keep each distinct value of a component."""
     keys = keys or []
     both = [F.min("x").alias("q01"), F.max("x").alias("q99")] if quantiles == "minmax" else [F.percentile("x", F.lit(q)).alias(n) for q, n in ((0.01, "q01"), (0.99, "q99"))]
-    return long_form(df, keys, vector).groupBy(*keys, "dim").agg(*_moments(), *both)
+    return long_form(df, keys, vector).groupBy(*keys, "dim").agg(*moments(), *both)
 
 
 def grouping_set_stats(df: DataFrame, vector: str, keys: list[str], least: int = 2) -> DataFrame:
@@ -31,7 +32,15 @@ def grouping_set_stats(df: DataFrame, vector: str, keys: list[str], least: int =
     is the total (``total`` tells it from a key that is null)."""
     long = long_form(df, keys, vector)
     sets = long.groupingSets([[F.col("dim")], [F.col("dim"), *map(F.col, keys)]], F.col("dim"), *map(F.col, keys))
-    return sets.agg(F.grouping(keys[0]).cast("boolean").alias("total"), *_moments()).where(F.col("n") >= least)
+    return sets.agg(F.grouping(keys[0]).cast("boolean").alias("total"), *moments()).where(F.col("n") >= least)
+
+
+def timestamp_set_stats(long: DataFrame, t: str, keys: list[str], least: int = 2) -> DataFrame:
+    """Statistics of components (dim, x) over all rows, over each timestamp, over each key and over both, in one pass;
+    ``all_t`` and ``total`` tell totals from null timestamps and keys; groups below ``least`` rows are dropped."""
+    dim, by, at = F.col("dim"), [F.col(k) for k in keys], F.col(t)
+    sets = long.groupingSets([[dim], [dim, at], [dim, *by], [dim, at, *by]], dim, at, *by)
+    return sets.agg(F.grouping(t).cast("boolean").alias("all_t"), F.grouping(keys[0]).cast("boolean").alias("total"), *moments()).where(F.col("n") >= least)
 
 
 def z_score(x: Column, mean: Column, std: Column) -> Column:

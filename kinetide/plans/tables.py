@@ -99,15 +99,6 @@ REASONS_SQL = """SELECT CASE WHEN quality IS NULL THEN 'unlabelled' WHEN toxic =
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"""
 
 
-def lookup_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers, nations = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "nation").where("n_nationkey < 20")
-    found = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return found.select("c_custkey", F.coalesce("n_name", F.lit("UNMAPPED")).alias("nation"))
-
-
-LOOKUP_SQL = "SELECT c_custkey, coalesce(n_name, 'UNMAPPED') AS nation FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey"
-
-
 def lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nation of every customer, from all nations."""
     customers, nations = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "nation")
@@ -184,7 +175,7 @@ def weighted_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every user one customer order of its bucket, drawn by price; the draws are a fixed function of the key."""
     orders = _read(spark, sf_dir, "orders").select(F.pmod("o_custkey", F.lit(50)).alias("bucket"), "o_orderkey", F.round("o_totalprice").alias("w"))
     draws = spark.range(200).select((F.col("id") % 50).alias("bucket"), "id", ((F.col("id") * 37 % 101) / 101.5 + 0.001).alias("u"))
-    return S.weighted_pick(orders, "bucket", "o_orderkey", "w", draws, "u").select("id", F.col("picked").alias("o_orderkey"))
+    return S.weighted_pick(orders, "bucket", "o_orderkey", "w", draws, "u", F.floor(F.col("o_orderkey") / 20_000)).select("id", F.col("picked").alias("o_orderkey"))
 
 
 PICK_SQL = """WITH o AS (SELECT o_custkey % 50 AS bucket, o_orderkey, round(o_totalprice) AS w FROM orders),
@@ -236,7 +227,7 @@ def stratified_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = dict(zip(counts, S.apportion([float(n) for n in counts.values()], 48), strict=True))
     draws = S.draws(spark, slots, 100, seed=7)
     items = _read(spark, sf_dir, "events").select(F.col("event_type").alias("key"), "event_id", "value")
-    return S.weighted_pick(items, "key", "event_id", "value", draws, "u").select("batch", "key", "slot", F.col("picked").alias("event_id"))
+    return S.weighted_pick(items, "key", "event_id", "value", draws, "u", F.floor(F.col("event_id") / 20_000)).select("batch", "key", "slot", F.col("picked").alias("event_id"))
 
 
 def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +279,6 @@ QUERIES = {
     "shard_manifest": (shard_manifest, MANIFEST_SQL),
     "rollup_counts": (rollup_counts, ROLLUP_SQL),
     "drop_reasons": (drop_reasons, REASONS_SQL),
-    "lookup_left": (lookup_left, LOOKUP_SQL),
     "lookup_all": (lookup_all, LOOKUP_ALL_SQL),
     "semi_filter": (semi_filter, SEMI_SQL),
     "anti_missing": (anti_missing, ANTI_MISSING_SQL),

@@ -131,18 +131,6 @@ ASOF_SQL = f"""WITH {E} SELECT user_id, event_id, us, click_us FROM (SELECT *, m
 (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS click_us FROM e) WHERE event_type = 'purchase'"""
 
 
-def next_other_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir)
-    pair = F.floor(F.col("user_id") / 2)
-    left = rows.where("event_type = 'purchase' and user_id % 2 = 0").select(pair.alias("pair"), "event_id", "us")
-    right = rows.where("event_type = 'click' and user_id % 2 = 1").select(pair.alias("pair"), "us", F.col("us").alias("next_us"))
-    return T.asof_next(left, right, ["pair"], "us", "next_us").withColumnRenamed("following", "next_us")
-
-
-NEXT_SQL = f"""WITH {E} SELECT CAST(user_id // 2 AS BIGINT) AS pair, event_id, us, (SELECT min(o.us) FROM e o WHERE o.event_type = 'click' AND o.user_id = e.user_id + 1 AND o.us > e.us) AS next_us
-FROM e WHERE event_type = 'purchase' AND user_id % 2 = 0"""
-
-
 def next_of_either_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every purchase, the next click of the other side of its pair; the side is a column."""
     rows = events(spark, sf_dir).select(F.floor(F.col("user_id") / 2).alias("pair"), F.pmod("user_id", F.lit(2)).alias("side"), "event_id", "event_type", "us")
@@ -265,7 +253,7 @@ def snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = T.islands(rows, ["user_id"], "us", _high(), least=2)
     segments = runs.select("user_id", F.col("first").alias("k"), (F.col("first") / HOUR).alias("s"), (F.col("last") / HOUR).alias("t"))
     stops = rows.where("event_type = 'purchase'").select("user_id", (F.col("us") / HOUR).alias("stop"))
-    return T.snapped(segments, stops, ["user_id"], "k", "s", "t", 2.0, 1.0, 48.0)
+    return T.snapped(segments, stops, ["user_id"], "k", "s", "t", 1.0, 48.0)
 
 
 QUERIES = {
@@ -279,7 +267,6 @@ QUERIES = {
     "paired_events": (paired_events, PAIRED_SQL),
     "sustained_match": (sustained_match, SUSTAINED_SQL),
     "asof_prev_release": (asof_prev_release, ASOF_SQL),
-    "next_other_side": (next_other_side, NEXT_SQL),
     "next_of_either_side": (next_of_either_side, EITHER_SQL),
     "range_join": (range_join, RANGE_SQL),
     "anti_range": (anti_range, ANTI_SQL),

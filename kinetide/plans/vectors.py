@@ -104,14 +104,6 @@ def discretize_256(spark: SparkSession, sf_dir: str) -> DataFrame:
 BINS_SQL = """SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(greatest(-1, least(255, CAST(floor((CAST(x AS DOUBLE) * 4 + 1) * 128) AS BIGINT))) AS VARCHAR)), ',') AS bins FROM embeddings"""
 
 
-def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select("vec_id", _text(V.resample(F.slice("v", 1, 9), 17)).alias("chunk"))
-
-
-RESAMPLED_SQL = f"""WITH v AS (SELECT vec_id, list_transform(embedding[1:9], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
-SELECT vec_id, {TEXT.format('list_transform(range(17), lambda k: v[k // 2 + 1] + (v[least(k // 2 + 2, 9)] - v[k // 2 + 1]) * ((k % 2) * 0.5))')} AS chunk FROM v"""
-
-
 def resampled_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All components of each vector, at twice as many places less one."""
     return vectors(spark, sf_dir).select("vec_id", _text(V.resample(F.col("v"), 127)).alias("chunk"))
@@ -181,7 +173,6 @@ QUERIES = {
     "delta_actions": (delta_actions, DELTA_SQL),
     "state_slices": (state_slices, SLICES_SQL),
     "discretize_256": (discretize_256, BINS_SQL),
-    "resampled": (resampled, RESAMPLED_SQL),
     "resampled_whole": (resampled_whole, WHOLE_SQL),
     "finite_vectors": (finite_vectors, FINITE_SQL),
     "action_chunks": (action_chunks, CHUNK_SQL),

@@ -93,7 +93,7 @@ def test_contact_fires_once_after_five():
 
 def _log(spark):
     rows = [("r1", i, v, f) for i, (v, f) in enumerate([("incomplete", None), ("complete", None), ("error", None), ("incomplete", None), ("incomplete", None), ("incomplete", None)])]
-    return spark.createDataFrame([*rows, ("r2", 0, "complete", "retry"), ("r2", 1, "incomplete", "replan")], "key string, seq long, verdict string, followup string")
+    return spark.createDataFrame([*rows, ("r2", 0, "complete", "retry"), ("r2", 1, "incomplete", "replan_plan_deviated")], "key string, seq long, verdict string, followup string")
 
 
 WANT = [("r1", 0, "retry"), ("r1", 1, "complete"), ("r1", 2, "failed"), ("r1", 3, "retry"), ("r1", 4, "retry"), ("r1", 5, "failed"), ("r2", 0, "retry"), ("r2", 1, "failed")]
