@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import KeyFilter, key_filter, keyed_text, stored
 
 #: Words that a worker process keeps, and slots of the table that tells which it has met.
-CACHE_WORDS, MET = 500_000, 1 << 22
+CACHE_WORDS, MET = 150_000, 1 << 22
 #: Fixed values of the cutter: mean chunk 2**CUT_BITS bytes, none below LEAST but a text's last, none above MOST.
 CUT_BITS, LEAST, MOST = 10, 64, 1 << 16
 #: Most chunks of the book, as its filter is broadcast (16 bits each), and chunks that a task remembers to have handed on.

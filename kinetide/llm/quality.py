@@ -40,7 +40,7 @@ ALL = "*"
 CHI_75, CHI_FAR, BINS = 5.385, 33.377, 64
 #: Starts besides the medians, rows of a cell that each draws, C-steps before one start is chosen, and after that at most;
 #: a fall of a determinant's logarithm by less than STILL is none.
-DRAWS, DRAWN, EARLY, LATE, STILL = 4, 24, 2, 12, 1e-3
+DRAWS, DRAWN, EARLY, LATE, STILL = 3, 24, 2, 12, 1e-3
 #: Fewest rows that give an estimate, where the whole table has no more.
 FEWEST = 20
 
@@ -154,7 +154,8 @@ def _distances(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 def _edges(near: DataFrame, share: float) -> DataFrame:
     """The bin of each cell and trial up to which ``share`` of its rows lie."""
-    return near.groupBy(F.col("cell").alias("ec"), F.col("trial").alias("et")).agg(F.percentile("bin", F.lit(share)).alias("edge"))
+    bins = near.groupBy("cell", "trial", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return bins.groupBy(F.col("cell").alias("ec"), F.col("trial").alias("et")).agg(F.percentile("bin", F.lit(share), F.col("n")).alias("edge"))
 
 
 def _step(rows: DataFrame, model: DataFrame, share: float) -> DataFrame:
