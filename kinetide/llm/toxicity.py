@@ -1,13 +1,21 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Positives are texts labelled toxic, everything else is unlabelled text, whatever its label. A linear classifier over the
-presence of words and of letter runs within words is trained with numpy on the non-negative estimate of the risk: with the
-class prior c, c * risk(positives as 1) + max(0, risk(unlabelled as 0) - c * risk(positives as 0)); where the difference
-is negative, a step is taken against it. The prior is the share of toxic among the labelled rows that may be learned from.
+Positives are texts labelled toxic; every text that may be learned from is unlabelled text, whatever its label. A linear
+classifier over the presence of words and of letter runs within words is trained with numpy on the non-negative estimate of
+the risk: with the class prior c, c * risk(positives as 1) + max(0, risk(unlabelled as 0) - c * risk(positives as 0)). The
+prior is the share of toxic among the labelled rows that may be learned from.
+  candidates   words and runs of the positives (a bounded sample of labelled rows), counted in all unlabelled texts
+  features     candidates whose share among positives is far from that among unlabelled texts, in either direction
+  steps        all unlabelled texts as short lists of features, equal ones as one row with its number; each Newton step is
+               one job in which tasks sum their share of the risk, its gradient and its curvature
+  choice       a fifth of all rows is left out of the steps: the iterate with the least non-negative risk there is kept; a
+               score of 0.5 is then put where the same risk of zero-one loss is least, and scores are spread so that the mean
+               score of unlabelled texts is the prior
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -19,11 +27,14 @@ from .bpe import _texts
 from .common import stored
 from .lang import held_out
 
-#: Bounds of the samples: positives, unlabelled rows; of the features kept; hashed slots; letter runs.
-POSITIVES, UNLABELLED, FEATURES, SLOTS, RUNS = 4000, 12_000, 500, 1 << 20, (5, 6, 7)
-#: A feature is kept if its share among positives is so many times that among unlabelled rows, and so many errors above it.
-LIFT, LEAST_Z = 5.0, 6.0
-CACHE_WORDS = 250_000
+#: Bound of the sample of positives (labelled rows); features kept; hashed slots; letter runs.
+POSITIVES, FEATURES, SLOTS, RUNS = 4000, 500, 1 << 20, (5, 6, 7)
+#: A feature is kept if its share among positives is so many times that among unlabelled rows or as many times less, and so
+#: many errors away from it; a candidate occurs in so many positives, and in this share of them.
+LIFT, LEAST_Z, LEAST, SHARE = 5.0, 6.0, 3, 0.01
+#: Newton steps at most, and rows that a task handles at once.
+STEPS, ROWS = 12, 2000
+CACHE_WORDS = 100_000
 #: ASCII that separates words.
 APART = bytes(b if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(256))
 
@@ -39,6 +50,16 @@ def slots_of(word: bytes) -> list[int]:
     return [zlib.crc32(x.encode()) % SLOTS for x in found]
 
 
+@functools.lru_cache(2)
+def _known(kept: bytes) -> Reader:
+    return Reader(np.frombuffer(kept, np.int64))
+
+
+def _reader(kept: np.ndarray) -> Reader:
+    """One for each worker process and set of features."""
+    return _known(kept.tobytes())
+
+
 class Reader:
     """Texts to the sorted numbers of kept features they hold; of each word, only kept features are remembered."""
 
@@ -59,70 +80,204 @@ class Reader:
         return sorted(out)
 
 
-def fit(positive: list[list[int]], unlabelled: list[list[int]], width: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk of logistic loss, by Adam over the whole sample."""
-    def flat(rows):
-        n = np.array([len(r) for r in rows], np.int64)
-        return np.repeat(np.arange(len(rows)), n), np.array([k for r in rows for k in r], np.int64), len(rows)
-
-    pr, pc, pn = flat(positive)
-    ur, uc, un = flat(unlabelled)
-    w, b = np.zeros(width), -2.0
-    m, v = np.zeros(width + 1), np.zeros(width + 1)
-    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    for t in range(1, steps + 1):
-        zp = np.bincount(pr, w[pc], pn) + b
-        zu = np.bincount(ur, w[uc], un) + b
-        sp, su = sig(zp), sig(zu)
-        as_one, as_zero, all_zero = (sp - 1) * prior / pn, sp * prior / pn, su / un  # derivatives of the three risks by z
-        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp, gu = (as_one - as_zero, all_zero) if rest >= 0 else (as_zero, -all_zero)
-        g = np.append(np.bincount(pc, gp[pr], width) + np.bincount(uc, gu[ur], width) + decay * w, gp.sum() + gu.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+def _softplus(z: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, z)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def sums(rows: list, n: np.ndarray, w: np.ndarray, b: float, curved: bool = True) -> np.ndarray:
+    """Of rows (lists of features) with numbers: their number, the sum of softplus(z), of sigmoid(z) times (features, 1) and,
+    if ``curved``, of its derivative by (weights, bias), as one flat array."""
+    d = len(w) + 1
+    total, loss, first, second = 0.0, 0.0, np.zeros(d), np.zeros((d, d)) if curved else None
+    for k in range(0, len(rows), ROWS):
+        part, m = rows[k : k + ROWS], n[k : k + ROWS].astype(float)
+        size = np.array([len(x) for x in part], np.int64)
+        x = np.zeros((len(part), d))
+        x[:, -1] = 1
+        x[np.repeat(np.arange(len(part)), size), np.fromiter((j for r in part for j in r), np.int64, int(size.sum()))] = 1
+        z = x[:, :-1] @ w + b
+        p = _sigmoid(z)
+        total, loss, first = total + m.sum(), loss + m @ _softplus(z), first + (m * p) @ x
+        if curved:
+            second += (x * (m * p * (1 - p))[:, None]).T @ x
+    return np.concatenate([[total, loss], first, second.ravel() if curved else []])
+
+
+def minimised(evaluate, share: np.ndarray, held: np.ndarray, prior: float, decay: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and bias by Newton steps. ``evaluate(w, b)`` gives the sums() of unlabelled and positive rows that are learned
+    from, and those (without curvature) of unlabelled and positive rows that are held back; ``share`` and ``held`` are the
+    mean features of positives of either kind.
+
+    The loss of a positive as 1 less that as 0 is -z, so while the second part of the risk is positive, the risk is convex:
+    softplus over unlabelled rows less the prior times the mean z of positives. A step that makes that part negative, or the
+    risk larger, is halved, so the risk can't be pushed below what the data can have."""
+    d = len(share)
+    w, b = np.zeros(d), float(np.log(prior / (1 - prior)))
+
+    def parts(w, b):
+        un, po, hu, hp = evaluate(w, b)
+        rest = un[1] / un[0] - prior * po[1] / po[0]
+        risk = un[1] / un[0] - prior * (share @ w + b) + decay / 2 * w @ w
+        hold = max(0.0, hu[1] / max(hu[0], 1) - prior * hp[1] / max(hp[0], 1)) + prior * (hp[1] / max(hp[0], 1) - (held @ w + b)) if hp[0] else risk
+        return risk, rest, hold, un
+
+    risk, rest, hold, un = parts(w, b)
+    best = hold, w, b
+    for _ in range(steps):
+        grad = un[2 : d + 3] / un[0] - prior * np.append(share, 1) + decay * np.append(w, 0)
+        curve = un[d + 3 :].reshape(d + 1, d + 1) / un[0] + decay * np.diag(np.append(np.ones(d), 1e-3))
+        step, size = np.linalg.solve(curve, grad), 1.0
+        if np.abs(grad).max() < 1e-6:
+            break
+        while size > 1e-3:
+            new = parts(w - size * step[:-1], b - size * step[-1])
+            if new[1] >= 0 and new[0] <= risk + 1e-12:
+                break
+            size /= 2
+        else:
+            break
+        w, b, done = w - size * step[:-1], b - size * step[-1], risk - new[0] < 1e-7
+        risk, rest, hold, un = new
+        if hold < best[0]:
+            best = hold, w, b
+        if done:
+            break
+    return best[1], best[2]
+
+
+def scaled(w: np.ndarray, unlabelled: np.ndarray, positive: np.ndarray, edges: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and bias so that a score of 0.5 is the place with the least non-negative risk of zero-one loss, and the mean
+    score of unlabelled rows is the prior, from a histogram of z of unlabelled rows and z of positives, without bias."""
+    mids = np.concatenate([[edges[0]], (edges[:-1] + edges[1:]) / 2, [edges[-1]]])
+    said_u = 1 - np.cumsum(unlabelled)[:-1] / max(1, unlabelled.sum())  # at or above each edge
+    said_p = 1 - np.searchsorted(np.sort(positive), edges) / len(positive)
+    risk = prior * (1 - said_p) + np.maximum(0, said_u - prior * said_p)
+    best = np.flatnonzero(risk <= risk.min() + 1e-12)
+    cut = float(edges[best[len(best) // 2]])
+    low, high = 0.25, 50.0
+    for _ in range(60):
+        k = (low + high) / 2
+        low, high = (k, high) if unlabelled @ _sigmoid(k * (mids - cut)) > prior * unlabelled.sum() else (low, k)
+    return w * k, -k * cut
+
+
+def fit(positive: list[list[int]], unlabelled: list[list[int]], width: int, prior: float, steps: int = STEPS, decay: float | None = None) -> tuple[np.ndarray, float]:
+    """minimised() for lists; every fifth row is held back."""
+    def halves(rows):
+        return [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if i % 5 == 0]
+
+    (lp, hp), (lu, hu) = halves(positive), halves(unlabelled)
+    mean = lambda rows: np.bincount([k for r in rows for k in r], minlength=width)[:width] / max(1, len(rows))
+    one = lambda rows, w, b, curved: sums(rows, np.ones(len(rows)), w, b, curved)
+    return minimised(lambda w, b: (one(lu, w, b, True), one(lp, w, b, False), one(hu, w, b, False), one(hp, w, b, False)), mean(lp), mean(hp), prior, decay or prior / max(1, len(positive)), steps)
+
+
+def _added(df: DataFrame, body, width: int) -> np.ndarray:
+    """The sum of ``body(list of batches)`` (an array of ``width`` numbers) over all tasks, of which each sends one array."""
+    def each(batches):
+        total = np.zeros(width)
+        for batch in batches:
+            total += body(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+    def pair(batches):  # arrays are added by groups of tasks before they come to the driver
+        total = np.zeros(width)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total += np.frombuffer(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+    parts = df.mapInArrow(each, "part binary").repartition(8).mapInArrow(pair, "part binary").toArrow().column(0).to_pylist()
+    return sum((np.frombuffer(x) for x in parts), np.zeros(width))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
-    """Kept slots, their weights and the bias. Held-out rows are never read for it; the samples are the rows of the
-    POSITIVES and UNLABELLED ids that hash lowest, with whole texts. Null labels are no labels, repeated ones count as
-    toxic if any is; without a toxic row there are no features and every score is near the prior."""
+    """Kept slots, their weights and the bias. Held-out rows are never read for it. Positives are the rows of the POSITIVES
+    toxic ids that hash lowest, with whole texts; unlabelled are all rows. Null labels are no labels, repeated ones count as
+    toxic if any is; without a toxic row there are no features and every score is the prior."""
     marks = labels.where(~held_out(id_col)).groupBy(F.col(id_col).alias("k")).agg(F.max(F.col(toxic_col).cast("int")).alias("toxic")).where("toxic is not null")
     n, ones = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = min(0.9, max(0.001, ones / n)) if n else 0.001
+    none = np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior)))
     rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    first = lambda ids, n: F.broadcast(ids.orderBy(F.xxhash64("k"), "k").limit(n))  # noqa: E731  at most n ids
-    picked = first(marks.where("toxic = 1").select("k"), POSITIVES), first(docs.where(~held_out(id_col)).select(F.col(id_col).alias("k")), UNLABELLED)
-    both = [rows.join(ids, F.col("key") == F.col("k"), "left_semi").select("text", F.lit(flag).alias("p")) for ids, flag in zip(picked, (True, False), strict=True)]
-    sample = stored(both[0].unionByName(both[1]), "toxic-sample")
+    ids = marks.where("toxic = 1").select("k").orderBy(F.xxhash64("k"), "k").limit(POSITIVES)
+    positive = stored(rows.join(F.broadcast(ids), F.col("key") == F.col("k"), "left_semi"), "toxic-positive")
+    pn = positive.count()
+    if not pn:
+        return none
 
     def slots(batches):
         for batch in batches:
-            p = batch.column(1).to_numpy(zero_copy_only=False)
-            found: list[dict[int, int]] = [{}, {}]
-            for t, is_p in zip(_texts(batch), p, strict=True):
-                into = found[int(is_p)]
+            into: dict[int, int] = {}
+            for t in _texts(batch):
                 for s in {s for w in words_of(t) for s in slots_of(w)}:
                     into[s] = into.get(s, 0) + 1
-            for flag, into in zip((False, True), found, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.int32()), pa.array([flag] * len(into), pa.bool_()), pa.array(list(into.values()), pa.int64())], ["slot", "p", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.int32()), pa.array(list(into.values()), pa.int64())], ["slot", "n"])
+
+    found = positive.select("text").mapInArrow(slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("a")).where(F.col("a") >= max(LEAST, SHARE * pn)).orderBy("slot").toArrow()  # of the sample of positives
+    candidates, a = found.column("slot").to_numpy().astype(np.int64), found.column("a").to_numpy().astype(float)
+    if not len(candidates):
+        return none
+    shared = docs.sparkSession.sparkContext.broadcast(candidates)
+    width = len(candidates)
 
-    pn, un = sample.where("p").count(), sample.where("not p").count()
-    each = sample.mapInArrow(slots, "slot int, p boolean, n long").groupBy("slot").agg(F.sum(F.when(F.col("p"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("p"), 0).otherwise(F.col("n"))).alias("b"))
-    share_p, share_u = F.col("a") / max(pn, 1), (F.col("b") + 0.5) / max(un, 1)
-    each = each.where("a >= 3").withColumn("z", (share_p - share_u) * pn ** 0.5 / F.sqrt(share_u)).where((share_p > LIFT * share_u) & (F.col("z") > LEAST_Z))
-    kept = np.array([r["slot"] for r in each.orderBy(F.desc("z"), "slot").limit(FEATURES).select("slot").collect()], np.int64)  # a sample's best features
+    def counted(batch):
+        own = _reader(shared.value)
+        out = np.zeros(width + 1)
+        for t in _texts(batch):
+            out[own(t)] += 1
+        out[-1] = batch.num_rows
+        return out
+
+    b = _added(rows.select("text"), counted, width + 1)
+    share_p, share_u, un = a / pn, (b[:-1] + 0.5) / max(b[-1], 1), b[-1]
+    z = (share_p - share_u) * np.sqrt(pn / share_u)
+    good = ((share_p > LIFT * share_u) & (z > LEAST_Z)) | ((LIFT * share_p < share_u) & (z < -LEAST_Z))
+    order = np.lexsort((candidates, -np.abs(z)))
+    kept = np.sort(candidates[order[good[order]][:FEATURES]])
+    if not len(kept):
+        return none
+    known = docs.sparkSession.sparkContext.broadcast(kept)
 
     def read(batches):
-        own = Reader(kept)
+        own = _reader(known.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([own(t) for t in _texts(batch)], pa.list_(pa.int32()))], ["p", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own(t) for t in _texts(batch)], pa.list_(pa.int32()))], ["held", "x"])
 
-    found = sample.mapInArrow(read, "p boolean, x array<int>").toPandas()  # bounded by the samples and FEATURES
-    if not len(kept):
-        return kept, np.zeros(0), float(np.log(prior / (1 - prior)))
-    w, b = fit([list(x) for x in found.x[found.p]], [list(x) for x in found.x[~found.p]], len(kept), prior)
+    fifth = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(5)) == 0
+    lists = lambda df: df.select(fifth.alias("held"), "text").mapInArrow(read, "held boolean, x array<int>")
+    vectors = lists(rows).groupBy("held", "x").agg(F.count(F.lit(1)).alias("n"))
+    vectors = stored(vectors, "toxic-vectors")
+    sample = lists(positive).toPandas()  # POSITIVES rows of FEATURES numbers at most
+    lp, hp = ([list(x) for x in sample.x[sample.held == k]] for k in (False, True))
+    if not lp:
+        lp, hp = hp, []
+    d = len(kept)
+    mean = lambda rows: np.bincount([k for r in rows for k in r], minlength=d)[:d] / max(1, len(rows))
+    size = 2 + (d + 1) + (d + 1) ** 2
+
+    def evaluate(w, b):
+        def body(batch):
+            flag, x, m = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            mine = [r for r, h in zip(x, flag, strict=True) if not h]
+            back = [r for r, h in zip(x, flag, strict=True) if h]
+            return np.concatenate([sums(mine, m[~flag], w, b), sums(back, m[flag], w, b, False)])
+
+        total = _added(vectors, body, size + d + 3)
+        return total[:size], sums(lp, np.ones(len(lp)), w, b, False), total[size:], sums(hp, np.ones(len(hp)), w, b, False)
+
+    w, b = minimised(evaluate, mean(lp), mean(hp), prior, prior / pn)
+    edges = np.linspace(-40, 40, 8001)
+
+    def histogram(batch):
+        z = np.array([w[x].sum() for x in batch.column(1).to_pylist()], float)
+        return np.bincount(np.clip(np.digitize(z, edges), 0, 8001), batch.column(2).to_numpy(), 8002)
+
+    w, b = scaled(w, _added(vectors, histogram, 8002), np.array([w[list(x)].sum() for x in sample.x], float), edges, prior)
     return kept, w, b
 
 
@@ -134,7 +289,7 @@ def predict(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col
 
     def score(batches):
         kept, w, b = shared.value
-        own = Reader(kept)
+        own = _reader(kept)
         for batch in batches:
             z = np.array([b + w[own(t)].sum() for t in _texts(batch)], float)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
