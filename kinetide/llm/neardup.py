@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _texts
-from .common import among, keyed_text, stored
+from .common import key_filter, keyed_text, stored
 from .shingle import mix, shingles
 
 #: A pair shares no band with probability (1 - 0.85**5)**32 = 7e-9 at a similarity of 0.85, 3e-6 at 0.8.
@@ -86,20 +86,24 @@ def sets_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node and its set for the rows (key, text) whose xxhash64 of key and text's hash is a ``row`` of ``wanted``. A few
     others may be with them, and equal rows give a set each."""
 
+    found = key_filter(wanted, "row")
+    shared = rows.sparkSession.sparkContext.broadcast(found)
+
     def sets(batches):
         for batch in batches:
-            found: dict[bytes, bytes] = {}
+            if shared.value is not None:
+                batch = batch.filter(pa.array(shared.value.has(batch.column(0).to_numpy())))
+            made: dict[bytes, bytes] = {}
             for t in _texts(batch):
                 s = shingles(t, words)
                 if len(s):
-                    found[_digest(s)] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["node", "set"])
-
-    own = F.xxhash64("key", F.xxhash64("text"))
-    some, others = among(rows, own, wanted, "row")
-    if others is None:
-        some = some.withColumn("own", own).join(wanted.select("row"), F.col("own") == F.col("row"), "left_semi")
-    return some.select("text").mapInArrow(sets, "node binary, set binary")
+                    made[_digest(s)] = s.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.binary()), pa.array(list(made.values()), pa.binary())], ["node", "set"])
+
+    some = rows.select(F.xxhash64("key", F.xxhash64("text")).alias("own"), "text")
+    if found is None:
+        some = some.join(wanted.select("row"), F.col("own") == F.col("row"), "left_semi")
+    return some.mapInArrow(sets, "node binary, set binary")
 
 
 def components(edges: DataFrame) -> DataFrame:

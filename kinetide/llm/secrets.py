@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import among, fresh_path, keyed_text, stored
+from .common import among, fresh_path, key_filter, keyed_text, stored
 
 #: Fixed patterns of the base kinds: name, version, pattern, flags, group and least length of that group.
 BASE = (
@@ -67,20 +67,22 @@ def scan(history: DataFrame, ledger: str, rules=RULES, id_col: str = "doc_id", t
     todo = first.join(known, "blob", "left").select("blob", "first", F.array_except(F.array(*map(F.lit, names)), F.coalesce("seen", F.array().cast("array<string>"))).alias("rules")).where("size(rules) > 0")
     todo = stored(todo, "secrets-todo")
 
-    def look(own):
+    def look(own, wanted):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("rule", pa.string()), ("end", pa.int32())]))
         mine = [dict(zip(names, rules, strict=True))[n] for n in own]
 
         def each(batches):
             for batch in batches:
+                if wanted.value is not None:  # else each row is scanned
+                    batch = batch.filter(pa.array(wanted.value.has(batch.column(2).to_numpy())))
                 spans = [find(t, mine) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own] * len(spans), pa.list_(pa.string())), pa.array(spans, kind)], ["blob", "rules", "spans"])
 
         return each
 
     for own in [r["rules"] for r in todo.select("rules").distinct().collect()]:  # as many as sets of rules that blobs lack
-        new, _ = among(texts, F.xxhash64("key", "blob"), todo.where(F.col("rules") == F.array(*map(F.lit, own))), "first")
-        new.select("blob", "text").mapInArrow(look(own), LEDGER).write.mode("append").parquet(ledger)
+        wanted = spark.sparkContext.broadcast(key_filter(todo.where(F.col("rules") == F.array(*map(F.lit, own))), "first"))
+        texts.select("blob", "text", F.xxhash64("key", "blob")).mapInArrow(look(own, wanted), LEDGER).write.mode("append").parquet(ledger)
     listed = F.array(*map(F.lit, names))
     flat = F.filter(F.flatten(F.collect_list("spans")), lambda x: F.array_contains(listed, x["rule"]))
     flat = F.transform(flat, lambda x: F.struct(x["start"], (F.array_position(listed, x["rule"]) - 1).cast("int").alias("kind"), x["end"]))
