@@ -246,7 +246,7 @@ def _matches(rows: DataFrame, bench: DataFrame, window: int, item_col: str, item
             k = batch.schema.get_field_index("text")
             yield batch.set_column(k, "text", pa.array(texts, pa.binary()).cast(pa.string())).append_column("n_words", pa.array(counts, pa.int64()))
 
-    looked = rows.mapInArrow(look, T.StructType([*rows.schema.fields, T.StructField("n_words", T.LongType())]))
+    looked = rows.mapInArrow(look, T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]).add("n_words", T.LongType()))
     looked = stored(looked.withColumn("_place", F.monotonically_increasing_id()), "decontam-looked")
     some = looked.where("text is not null").select("_place", "text")
     found = None

@@ -60,3 +60,25 @@ def test_nulls_and_repeats(spark, sf_dir):
     for name, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
         stage(spark, docs, sf_dir).count()
+
+
+def test_columns_of_any_name_pass_through(spark, sf_dir):
+    good = " ".join(f"w{i}" for i in range(40))
+    names = ["k", "h", "n", "one", "_key", "_blob", "_spans", "row", "key", "hash", "id", "group", "kept", "cell", "spans"]
+    rows = [(1, good, "en", "a", 9), (1, good, "en", "a", 9), (1, good + " token=0123456789abcdef", "en", "a", 9), (2, good, None, None, 9), (3, None, None, "a", 0)]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in names))
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns and all(tuple(r)[5:] == tuple(range(len(names))) for r in got.collect()), name
+    assert pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == 5
+    assert [r["doc_id"] for r in pipeline.near_duplicates(spark, docs, sf_dir).orderBy("doc_id").collect()] == [1, 3]
+
+
+def test_encoding_decodes(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(bpe.tokenizer_file())
+    docs = spark.createDataFrame([(1, "Hello, World"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["decoded_sha256"] for r in pipeline.bpe_encoding(spark, docs, sf_dir).collect()}
+    want = tok.decode(tok.encode("Hello, World", add_special_tokens=False).ids, skip_special_tokens=False)
+    assert got == {1: hashlib.sha256(want.encode()).hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
