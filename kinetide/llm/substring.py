@@ -1,15 +1,17 @@
-"""Substring deduplication: each document is factored against every document with a smaller id.
-
-The reference is all documents' words, in the blocks that tasks read, indexed by anchors: the runs of ANCHOR words that
-are least by hash in some window of WINDOW words. Equal windows have equal anchors at equal places, so a factor of WINDOW
-words or more shares its anchors with the reference, and every window has one.
-  inside a factor      all words around an anchor that a window with it could reach (its context) also lie around the same
-                       anchor in a smaller document: all these windows are duplicates. Runs of such anchors are the
-                       greedy factors, as long as they can be.
-  at its boundaries    an anchor is shared, but its context is not: its windows are checked one by one against those of
-                       the first document with each other context of that anchor.
-Anchors and windows are compared as two independent 64-bit hashes. No group is gathered: least ids are aggregated, which
-merges before the shuffle, and joined back.
+"""Substring deduplication by relative Lempel-Ziv factors of each document against all documents with smaller ids.
+
+Anchors are the runs of ANCHOR words that are least by hash in some window of WINDOW words. Equal windows have equal anchors
+at equal places, so a window that another document has can be found by its anchor.
+  reference    the first document of each anchor gives the passage around it, as far as a window with the anchor reaches.
+               Passages are the reference blocks, dealt out by anchor, and the anchor is their index
+  factors      a document's words are matched with the passage of each of its anchors, as far as they agree to both sides;
+               factors of one source and offset that touch are one. Factors of WINDOW words or more, of a document with a
+               smaller id, are duplicate spans. Where a smaller document has all words around an anchor (its context), as a
+               hash tells, the factor is the whole context and no words are compared
+  boundaries   windows that reach beyond a factor's ends may still be in some other document: they are checked one by one,
+               each against those of the first document that has it
+Anchors and windows are compared as two independent 64-bit hashes, words as one. No group is gathered: least ids are
+aggregated, which merges before the shuffle, and joined back. Only the texts that give or need a passage are moved.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _texts
-from .common import key_filter, keyed_text, stored
+from .common import among, keyed_text, stored
 from .shingle import POWERS, STEPS, mix, word_hashes
 
 WINDOW, ANCHOR = 50, 10
@@ -41,7 +43,7 @@ class Indexed:
     """A document's anchors, and hashes of any of its word runs."""
 
     def __init__(self, data: bytes):
-        w = word_hashes(data, False)
+        self.w = w = word_hashes(data, False)
         self.n = n = len(w)
         self.at = np.zeros(0, np.int64)
         if n < WINDOW:
@@ -94,30 +96,75 @@ def _anchors(rows: DataFrame) -> DataFrame:
     return rows.where("key is not null").mapInArrow(index, "h long, c long, hash long, key long, at long, n long")
 
 
-def _boundary_windows(rows: DataFrame, wanted) -> DataFrame:
-    """h, w, hash, key, at of the windows of those anchors whose (hash, key) is in the filter, or of all without one."""
+def _of_texts(rows: DataFrame, wanted: DataFrame, item) -> DataFrame:
+    """key, hash, text and items (array of ``item``) of the texts that ``wanted`` has rows for; only these are moved."""
+    listed = stored(wanted.groupBy(F.col("key").alias("wk"), F.col("hash").alias("wh")).agg(F.collect_list(item).alias("items")).withColumn("id", F.xxhash64("wk", "wh")), "substring-wanted")
+    some, _ = among(rows, F.xxhash64("key", "hash"), listed, "id")
+    found = some.dropDuplicates(["key", "hash"]).join(listed, (F.col("key") == F.col("wk")) & (F.col("hash") == F.col("wh")))
+    return found.select("key", "hash", "text", "items")
 
-    def check(batches):
+
+def _passages(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """h, left, words: the hashes of the words around each anchor of ``first`` (h, key, hash, at)."""
+
+    def cut(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for r, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), strict=True):
-                d = Indexed(t)
-                if not len(d.at):
-                    continue
-                h = d.v[d.at]
-                for i in np.flatnonzero(wanted.value.has(_pairs(h, k))).tolist() if wanted.value else range(len(h)):
-                    s = d.windows(i)
-                    for x, y in zip(out, (np.full(len(s), h[i]), d.runs(s, s + WINDOW), np.full(len(s), r), np.full(len(s), k), s), strict=True):
-                        x.append(y)
-            flat = lambda x: pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([flat(x) for x in out], ["h", "w", "hash", "key", "at"])
+            h, left, words = [], [], []
+            for t, items in zip(_texts(batch), batch.column(3).to_pylist(), strict=True):
+                w = word_hashes(t, False)
+                for x in items:
+                    a = max(0, x["at"] - PLACES + 1)
+                    h.append(x["h"])
+                    left.append(x["at"] - a)
+                    words.append(w[a : x["at"] + WINDOW].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(left, pa.int32()), pa.array(words, pa.binary())], ["h", "left", "words"])
+
+    return _of_texts(rows, first, F.struct("h", "at")).mapInArrow(cut, "h long, left int, words binary")
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many of the first words are the same."""
+    n = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:n] != b[:n])
+    return int(unlike[0]) if len(unlike) else n
 
-    return rows.where("key is not null").mapInArrow(check, "h long, w long, hash long, key long, at long")
 
+def factor(w: np.ndarray, at: int, passage: np.ndarray, left: int) -> tuple[int, int]:
+    """[start, end) of the words around ``at`` that agree with a passage whose anchor has ``left`` words before it."""
+    return at - _agreeing(w[:at][::-1], passage[:left][::-1]), at + _agreeing(w[at:], passage[left:])
 
-def _pairs(h: np.ndarray, key) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(h ^ np.asarray(key, np.int64).view(np.uint64) * STEPS[62]).view(np.int64)
+
+def _factors(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """For each text of ``items`` (key, hash, h, at, source and origin (the passage's key and text),
+    place, left, words): hash, key, s, e of its factors of WINDOW words
+    or more, and h, w, at (null for factors) of the windows with one of these anchors that its factor doesn't hold."""
+
+    def parse(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for key, own, t, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), batch.column(3).to_pylist(), strict=True):
+                d, found = Indexed(t), {}
+                for x in sorted(items, key=lambda x: x["at"]):
+                    s, e = factor(d.w, x["at"], np.frombuffer(x["words"], np.uint64), x["left"])
+                    runs = found.setdefault((x["source"], x["origin"], x["place"] - x["at"]), [])
+                    if runs and runs[-1][1] >= s:
+                        runs[-1][1] = max(e, runs[-1][1])
+                    else:
+                        runs.append([s, e])
+                    starts = d.windows(int(np.searchsorted(d.at, x["at"])))
+                    starts = starts[(starts < s) | (starts + WINDOW > e)]
+                    n = len(starts)
+                    for column, values in zip(out, (np.full(n, own), np.full(n, key), np.full(n, -1), np.full(n, -1), np.full(n, x["h"]), d.runs(starts, starts + WINDOW).view(np.int64), starts), strict=True):
+                        column.append(values)
+                long = [(s, e) for (source, _, _), runs in found.items() if source < key for s, e in runs if e - s >= WINDOW]
+                for s, e in long:
+                    for column, value in zip(out, (own, key, s, e, 0, 0, -1), strict=True):
+                        column.append(np.array([value]))
+            flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["hash", "key", "s", "e", "h", "w", "at"])
+
+    one = F.struct("h", "at", "source", "origin", "place", "left", "words")
+    return _of_texts(rows, items, one).mapInArrow(parse, "hash long, key long, s long, e long, h long, w long, at long")
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -126,7 +173,6 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``docs`` is read several times, so rows are told apart by what they hold and not by a number that depends on how files
     are split; rows of one id and text have the same spans."""
-    spark = docs.sparkSession
     rows = keyed_text(docs, id_col, text_col).select(F.xxhash64("text").alias("hash"), "key", "text")
     found = stored(_anchors(rows), "substring-anchors")
     shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("m"), (F.min("c") != F.max("c")).alias("many")).where("m > 1").select(F.col("h").alias("sh"), "many")
@@ -134,18 +180,18 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = found.groupBy("h", "c").agg(F.min("key").alias("least")).withColumnsRenamed({"h": "fh", "c": "fc"})
     found = stored(found.join(first, (F.col("h") == F.col("fh")) & (F.col("c") == F.col("fc"))).drop("fh", "fc"), "substring-first")
     inner = found.where("key > least").select("hash", "key", F.greatest(F.col("at") - (PLACES - 1), F.lit(0)).alias("s"), F.least(F.col("at") + WINDOW, "n").alias("e"))
-    edge = found.where("key = least and many").select("h", "key").distinct()
-
-    def pairs(batches):
-        for batch in batches:
-            h, k = (batch.column(i).to_numpy() for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(_pairs(h.view(np.uint64), k))], ["pair"])
-
-    wanted = spark.sparkContext.broadcast(key_filter(stored(edge.mapInArrow(pairs, "pair long"), "substring-edges"), "pair"))
-    windows = stored(_boundary_windows(rows, wanted), "substring-windows")
+    edge = found.where("key = least and many").select("h", "c", "key", "hash", "at").distinct()
+    first = edge.groupBy("h").agg(F.min(F.struct("key", "hash", "at", "c")).alias("r")).select("h", "r.*")
+    first = stored(first, "substring-first-of-anchor")
+    passages = stored(_passages(rows, first), "substring-passages").withColumnRenamed("h", "ph")
+    source = first.select(F.col("h").alias("rh"), F.col("key").alias("source"), F.col("hash").alias("origin"), F.col("at").alias("place"), F.col("c").alias("rc"))
+    items = edge.join(source, (F.col("h") == F.col("rh")) & (F.col("c") != F.col("rc"))).join(passages, F.col("h") == F.col("ph"))
+    parsed = stored(_factors(rows, items.select("key", "hash", "h", "at", "source", "origin", "place", "left", "words")), "substring-factors")
+    windows = parsed.where("at >= 0").select("h", "w", "hash", "key", "at")
     least = windows.groupBy("h", "w").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select(F.col("h").alias("lh"), F.col("w").alias("lw"), "least")
     outer = windows.join(least, (F.col("h") == F.col("lh")) & (F.col("w") == F.col("lw"))).where("key > least").select("hash", "key", F.col("at").alias("s"), (F.col("at") + WINDOW).alias("e"))
-    spans = inner.unionByName(outer).groupBy("hash", "key").agg(F.array_sort(F.collect_set(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))).alias("spans"))
+    spans = inner.unionByName(parsed.where("at < 0").select("hash", "key", "s", "e")).unionByName(outer)
+    spans = spans.groupBy("hash", "key").agg(F.array_sort(F.collect_set(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))).alias("spans"))
     return rows, stored(spans, "substring-spans")
 
 
