@@ -7,7 +7,9 @@ Layout below one path, all written and read by Spark:
   bases/   part, seq, base: ids of all blocks before.
   index/   one row per bucket of about BUCKET_KEYS keys: pilots (uint32 for each group of about four keys), and for each
            slot a fingerprint (uint32), the block and the place and length in it, and how many rows have the key.
-A key's bucket, group and slot follow from its hash and one pilot, so a lookup reads one index row and one block.
+A key's bucket, group and slot follow from its hash and one pilot, so a lookup needs one index row and one block. The index
+is ordered by bucket and blocks by part and place, both in small row groups, so the few buckets and blocks that up to FEW
+keys need are picked by the files' own statistics; for more keys, index and blocks are joined with the request.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import fresh_path, keyed_text
 
 BLOCK_IDS = 1 << 17
 BUCKET_KEYS = 1000
+#: Keys, or blocks, up to which a request is pushed down to the files, and bytes of a row group.
+FEW, ROW_GROUP = 1000, 4 << 20
 END_ID = 1
 BLOCK = "part int, seq int, n int, width int, keys array<bigint>, lens array<int>, ids binary"
 INDEX = "bucket bigint, n int, pilots binary, prints binary, part binary, seq binary, at binary, len binary, rows binary"
@@ -62,7 +66,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             yield row()
 
     order = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
-    order.mapInArrow(blocks, BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    order.mapInArrow(blocks, BLOCK).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
     sizes = spark.read.schema(BLOCK).parquet(f"{path}/blocks").select("part", "seq", "n")
     parts = sizes.groupBy("part").agg(F.sum("n").alias("total"))  # one row per writing task
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -147,7 +151,7 @@ def write_index(spark: SparkSession, path: str) -> None:
     first = directory(spark, path).groupBy("key").agg(F.min(F.struct("part", "seq", "at", "len")).alias("p"), F.count(F.lit(1)).cast("int").alias("rows"))
     n = spark.read.schema(BLOCK).parquet(f"{path}/blocks").agg(F.sum(F.size("keys"))).first()[0] or 0
     buckets = max(1, -(-n // BUCKET_KEYS))
-    rows = first.select(_bucket(buckets).alias("bucket"), F.struct(F.xxhash64("key").alias("h"), "p.*", "rows").alias("e")).groupBy("bucket").agg(F.collect_list("e").alias("e"))
+    rows = first.select(_bucket(buckets).alias("bucket"), F.struct(F.xxhash64("key").alias("h"), "p.*", "rows").alias("e")).repartitionByRange("bucket").groupBy("bucket").agg(F.collect_list("e").alias("e"))
 
     def build(batches):
         for batch in batches:
@@ -162,7 +166,8 @@ def write_index(spark: SparkSession, path: str) -> None:
                     schema=pa.schema([("bucket", pa.int64()), ("n", pa.int32()), *((k, pa.binary()) for k in ("pilots", "prints", "part", "seq", "at", "len", "rows"))]),
                 )
 
-    rows.mapInArrow(build, INDEX).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/index")
+    made = rows.mapInArrow(build, INDEX).withColumn("buckets", F.lit(buckets)).sortWithinPartitions("bucket")
+    made.write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/index")
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
@@ -184,16 +189,22 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
                 out.append(pa.RecordBatch.from_arrays([asked.values.field("key").filter(pa.array(known)), *got], ["key", "part", "seq", "at", "len", "rows"]))
             yield from out
 
+    if keys.limit(FEW + 1).count() <= FEW:
+        index = index.where(F.col("bucket").isin([r[0] for r in asked.select("b").collect()]))
     both = index.join(asked, F.col("bucket") == F.col("b")).select("n", "pilots", "prints", "part", "seq", "at", "len", "rows", "asked")
     return both.mapInArrow(probe, "key long, part int, seq int, at long, len int, rows int")
 
 
-def fetch(spark: SparkSession, path: str, places: DataFrame, result=None, schema: str = "ids array<bigint>") -> DataFrame:
+def fetch(spark: SparkSession, path: str, places: DataFrame, result=None, schema: str = "ids array<bigint>", few: bool = False) -> DataFrame:
     """key, start (ids of all documents before it), n_tokens and the ids at ``places`` (key, part, seq, at, len), or what
-    ``result(list of uint32 arrays)`` makes of them. A block's requests are joined with it, so each is read once."""
+    ``result(list of uint32 arrays)`` makes of them. A block's requests are joined with it, so each is read once; ``few``
+    (FEW places at most) picks the blocks by their statistics."""
     asked = places.groupBy(F.col("part").alias("p"), F.col("seq").alias("s")).agg(F.collect_list(F.struct("key", "at", "len")).alias("asked"))
     blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks").select("part", "seq", "width", "ids")
     bases = spark.read.parquet(f"{path}/bases")
+    if few:
+        some = places.select("part", "seq").distinct().collect()  # FEW at most
+        blocks = blocks.where(F.col("part").isin(sorted({r["part"] for r in some})) & F.col("seq").isin(sorted({r["seq"] for r in some})))
     asked = asked.join(bases, (F.col("p") == F.col("part")) & (F.col("s") == F.col("seq"))).select("p", "s", "base", "asked")
     both = blocks.join(asked, (F.col("p") == F.col("part")) & (F.col("s") == F.col("seq"))).select("base", "width", "ids", "asked")
     made = result or (lambda ids: [pa.array([x.tolist() for x in ids], pa.list_(pa.int64()))])
@@ -224,7 +235,7 @@ def read_all(spark: SparkSession, path: str, keys: DataFrame, result=None, schem
         every = directory(spark, path).alias("d").join(first.alias("f"), F.col("d.key").eqNullSafe(F.col("f.k")))
         later = ~((F.col("d.part") == F.col("f.part")) & (F.col("d.seq") == F.col("f.seq")) & (F.col("d.at") == F.col("f.at")))
         found = found.drop("rows").unionByName(every.where(later).select("d.*"))
-    return fetch(spark, path, found, result, schema)
+    return fetch(spark, path, found, result, schema, few=keys.limit(FEW + 1).count() <= FEW)
 
 
 def op4_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,7 +138,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     if ``payloads``, payload (binary; null for revisits).
 
     Bytes and digest of a response are taken from its payload; those of a revisit are the full payload's, as its header
-    states them. Records that no chain from a file's start reaches are not returned; a file that does not start with a
+    states them. A response whose payload is lost or not that of its digest is an error. Records that no chain from a file's start reaches are not returned; a file that does not start with a
     record gives none. An archive without records gives an empty result.
     """
     found = stored(candidates(spark, path), "warc-found")
@@ -161,6 +161,11 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
         made = F.when(F.col("type") == "response", _payload(F.substring(F.col("bytes_of"), F.col("skip") + 1, F.col("clen").cast("int"))))
         heads = heads.withColumn("payload", made).withColumns({"digest": F.coalesce("digest", F.sha1("payload")), "bytes": F.coalesce("bytes", F.octet_length("payload").cast("bigint"))})
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]+)>', 1) AS bigint)")
+    # A response's bytes and digest come from its payload alone; a part that was not found again, or bytes that are not what
+    # the header states, are an error.
+    lost = (F.col("type") == "response") & (F.col("digest").isNull() | (F.col("said").isNotNull() & (F.col("digest") != F.regexp_replace("said", "^sha1:", ""))))
+    lost = F.when(F.coalesce(lost, F.lit(False)), F.raise_error(F.concat(F.lit("a response's payload is not what its header states: "), F.coalesce("id", F.lit("?")))).cast("string"))
+    heads = heads.withColumn("digest", F.coalesce(lost, "digest"))
     columns = [
         "file", F.col("off").alias("offset"), F.col("type").alias("record_type"), number("id").alias("page_id"), "url", number("target").alias("refers_to"),
         F.coalesce("bytes", F.expr("try_cast(said_bytes AS bigint)")).alias("payload_bytes"), F.coalesce("digest", F.regexp_replace("said", "^sha1:", "")).alias("payload_digest"),

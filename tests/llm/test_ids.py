@@ -36,6 +36,20 @@ def test_nulls_repeats_and_small_blocks(spark, tmp_path, monkeypatch):
     assert ids.lookup(spark, path, absent).count() == 0
 
 
+def test_one_key_reads_its_bucket_and_block(spark, sf_dir, tmp_path):
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), str(tmp_path / "k")
+    ids.write_blocks(docs, path, bpe.tokenizer_file())
+    ids.write_index(spark, path)
+    one = docs.where("doc_id = 7").selectExpr("doc_id key")
+    found = ids.lookup(spark, path, one)
+    got = ids.fetch(spark, path, found.drop("rows"), ids.crcs, "crc long", few=True)
+    for df, column in ((found, "bucket"), (got, "part")):
+        plan = df._jdf.queryExecution().toString()
+        assert any("PushedFilters" in x and column in x.split("PushedFilters")[1] for x in plan.splitlines())
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    assert [tuple(r) for r in got.collect()] == [x for x in truth(rows) if x[0] == 7]
+
+
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     path = str(tmp_path / "e")
