@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,3 +130,26 @@ def resample(a: Column, m: int) -> Column:
         return F.get(a, low) + (F.get(a, high) - F.get(a, low)) * (p - low)
 
     return F.transform(F.sequence(F.lit(0), F.lit(m - 1)), at)
+
+
+def cubic_matrix(n: int, m: int) -> np.ndarray:
+    """The (m, n) matrix that takes ``n`` values at even places to those of their cubic spline (third derivative
+    continuous at the second and last but one) at ``m`` even places."""
+    if n < 4:
+        raise ValueError("a cubic needs four values")
+    a, second = np.zeros((n, n)), np.zeros((n, n))
+    a[0, :3] = a[-1, -3:] = 1, -2, 1
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2] = 1, 4, 1
+        second[i, i - 1 : i + 2] = 6, -12, 6
+    bend, x = np.linalg.solve(a, second), np.linspace(0, n - 1, m)
+    low = np.minimum(x.astype(int), n - 2)
+    t, one = (x - low)[:, None], np.eye(n)
+    return one[low] * (1 - t) + one[low + 1] * t + bend[low] * (((1 - t) ** 3 - (1 - t)) / 6) + bend[low + 1] * ((t**3 - t) / 6)
+
+
+def resample_cubic(a: Column, n: int, m: int, scale: float = 1.0) -> Column:
+    """W21, cubic: an array of ``n`` numbers at ``m`` even places, times ``scale`` (n / m for velocities). The spline is linear
+    in the values, so it is a fixed matrix and stays an expression."""
+    rows = F.array(*[F.array(*map(F.lit, r)) for r in (cubic_matrix(n, m) * scale).tolist()])
+    return F.transform(rows, lambda r: F.aggregate(F.zip_with(r, a, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))

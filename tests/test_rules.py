@@ -181,3 +181,41 @@ def test_segment_helpers(spark):
     both = spark.createDataFrame([("e", 1.0, True, 1), ("e", 1.0, True, 2), ("e", 3.0, False, 3)], "k string, t double, both boolean, i int")
     win = spark.createDataFrame([("e", "w", 0.0, 3.0)], "k string, window_id string, start double, end double")
     assert sorted(r["i"] for r in G.in_window(both, win, ["k"], "t", "i", 10.0).collect()) == [1, 3]
+
+
+def test_cubic_resampling(spark):
+    from kinetide.operators import vectors as V
+
+    x = [k**3 - 2.0 * k for k in range(8)]
+    got = spark.createDataFrame([(x,)], "a array<double>").select(V.resample_cubic(F.col("a"), 8, 15, 0.5).alias("y")).first()["y"]
+    want = [((k / 2) ** 3 - k) / 2 for k in range(15)]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
+def test_packed_frames_and_digests(spark, tmp_path):
+    import hashlib
+
+    from kinetide.sources import records as IO
+
+    frames = spark.createDataFrame([("e", k, bytes([k])) for k in (0, 1, 4)], "k string, f int, d binary")
+    IO.write_packed(frames, str(tmp_path / "p"), "k", "f", "d")
+    wanted = spark.createDataFrame([("e", 1), ("e", 3), ("x", 0)], "key string, frame long")
+    got = IO.read_packed(spark, str(tmp_path / "p"), wanted).orderBy("key", "frame").collect()
+    assert [(r["key"], r["frame"], r["data"] and bytes(r["data"])) for r in got] == [("e", 1, b"\x01"), ("e", 3, b"\x04"), ("x", 0, None)]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.txt").write_bytes(b"abc")
+    r = IO.file_digests(spark, str(tmp_path / "f")).first()
+    assert (r["n_bytes"], r["sha256"]) == (3, hashlib.sha256(b"abc").hexdigest())
+
+
+def test_verbs(spark, tmp_path, capsys):
+    from kinetide import __main__ as verbs
+
+    rows = [("t", f"e{i}", [(str(k), float(k), k + 0.5 + i, "open the door" if k % 2 else "move cup") for k in range(4)], 3000) for i in range(3)]
+    spark.createDataFrame(rows, "task_id string, episode_id string, skill_timeline array<struct<segment_id:string,start_time_sec:double,end_time_sec:double,skill_description:string>>, n_rows long").write.parquet(str(tmp_path / "in"))
+    assert verbs.main(["build", str(tmp_path / "in"), str(tmp_path / "seg")]) == 0 and "12 rows" in capsys.readouterr().out
+    verbs.main(["build", str(tmp_path / "in"), str(tmp_path / "seg"), "--apply"])
+    verbs.main(["weights", str(tmp_path / "seg"), str(tmp_path / "w"), "--apply"])
+    assert spark.read.parquet(str(tmp_path / "w")).agg(F.round(F.sum("weight"), 3)).first()[0] == 12.0
+    verbs.main(["split", str(tmp_path / "seg"), str(tmp_path / "shards"), "--apply"])
+    assert spark.read.parquet(str(tmp_path / "shards" / "shards")).count() == 12
