@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a folder below the warehouse is set.
+    Only where that setting is absent (tests, a laptop) a folder below the warehouse is set. On a cluster whose warehouse is
+    a local folder there is none to set, which is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not spark.sparkContext.master.startswith("local") and (base.startswith("/") or base.startswith("file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"{base}/_shared"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     elif spark.sparkContext.getCheckpointDir() is None:

@@ -53,3 +53,22 @@ def test_redaction(spark, tmp_path):
     got = sorted(map(str, (tuple(r) for r in secrets.redact(docs, str(tmp_path / "l")).collect())))
     want = [(1, "é🙂 [SECRET]' [SECRET]", "a")] * 2 + [(2, "clean", "b"), (3, None, "c"), (4, "[SECRET] z", "d")]
     assert got == sorted(map(str, want))
+
+
+def test_whole_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted((r["doc_id"], *truth(r["text"])[0]) for r in docs.collect())
+    assert sorted(tuple(r)[:5] for r in secrets.op8_secrets(spark, sf_dir).collect()) == want
+
+
+def test_a_kept_ledger_scans_nothing_twice(spark, sf_dir, tmp_path):
+    """A second run with new rows scans only these, and one with a new version of a rule only that rule."""
+    docs, ledger = spark.read.parquet(f"{sf_dir}/documents.parquet"), str(tmp_path / "kept")
+    blobs = docs.selectExpr("coalesce(text, '') t").distinct().count()
+    secrets.scan(docs, ledger)
+    more = docs.unionByName(docs.limit(1).selectExpr("-1L doc_id", "'password = abcdefghijklmnop' text", "lang", "source", "n_chars"))
+    found = secrets.scan(more, ledger)
+    assert spark.read.parquet(ledger).count() == blobs + 1 and found.where("key = -1 and size(spans) = 1").count() == 1
+    newer = tuple((r[0], 2, *r[2:]) if r[0] == "hex" else r for r in secrets.RULES)
+    secrets.scan(more, ledger, rules=newer)
+    assert spark.read.parquet(ledger).where("rules = array('hex@2')").count() == blobs + 1
