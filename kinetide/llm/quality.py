@@ -40,7 +40,7 @@ ALL = "*"
 CHI_75, CHI_FAR, BINS = 5.385, 33.377, 64
 #: Starts besides the medians, rows of a cell that each draws, C-steps before one start is chosen, and after that at most;
 #: a fall of a determinant's logarithm by less than STILL is none.
-DRAWS, DRAWN, EARLY, LATE, STILL = 3, 24, 2, 12, 1e-3
+DRAWS, DRAWN, EARLY, LATE, STILL = 3, 24, 2, 12, 5e-3
 #: Fewest rows that give an estimate, where the whole table has no more.
 FEWEST = 20
 
