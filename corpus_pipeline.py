@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetide.llm import bpe, decontam, neardup, quality, secrets
-from kinetide.llm.common import among, dropped, fresh_path, scratch, stored
+from kinetide.llm.common import among, dropped, fresh_path, scratch, settled, stored
 
 
 def _row(docs: DataFrame, *more: Column) -> DataFrame:
@@ -25,13 +25,19 @@ def _row(docs: DataFrame, *more: Column) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the outlier test of their language and source keep. Null and empty texts have no
     words and go."""
-    return quality.judged(docs, whole=True).where("kept").select("row.*")
+    names = [F.col("draw").alias("bd"), F.col("lang").alias("bl"), F.col("source").alias("bs"), F.xxhash64("draw", "lang", "source").alias("id")]
+    bad = settled(spark, "pipeline-bad", lambda: quality.judged(docs).where("not kept").select(*names).distinct())
+    draw = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("draw")
+    rows = _row(docs, draw, F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    some, others = among(rows, F.xxhash64("draw", "lang", "source"), bad, "id")
+    left = some.join(bad, (F.col("draw") == F.col("bd")) & F.col("lang").eqNullSafe(F.col("bl")) & F.col("source").eqNullSafe(F.col("bs")), "left_anti").select("row")
+    return (left if others is None else left.unionByName(others.select("row"))).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the least id, and of rows that tie at it, one. Texts without words are in no
     group and stay."""
-    found = stored(neardup.clusters(docs, words=5, share=80), "pipeline-clusters")
+    found = settled(spark, "pipeline-clusters", lambda: neardup.clusters(docs, words=5, share=80))
     named = F.xxhash64("key", "hash").alias("id")
     gone = found.where("not kept").select("key", "hash", named)
     # Of a group's rows that tie at the least id, the one with the least hash stays, and of rows that repeat it, one.

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _texts
-from .common import key_filter, keyed_text, stored
+from .common import key_filter, keyed_text, settled, stored
 from .shingle import mix, shingles
 
 #: A pair shares no band with probability (1 - 0.85**5)**32 = 7e-9 at a similarity of 0.85, 3e-6 at 0.8.
@@ -274,7 +274,7 @@ def clusters(docs: DataFrame, words: int = 5, share: int = 80, id_col: str = "do
     one = lambda c: F.max(c).alias(c)  # noqa: E731  equal in all rows of a class that have it
     classes = found.where("node is not null").groupBy("node").agg(F.min("key").alias("least"), one("n"), one("sig"), one("bits"), F.min(F.xxhash64("key", "hash")).alias("row"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes.withColumn("node", _named(F.col("node"), F.col("least"))), "neardup-classes")
-    roots = links(rows, classes, words, share).select(F.col("node").alias("rn"), "root")
+    roots = settled(docs.sparkSession, "neardup-links", lambda: links(rows, classes, words, share)).select(F.col("node").alias("rn"), "root")
     # Rows of a class of one row without links are their own component; only the others are joined.
     many = classes.where("copies > 1").select(F.col("node").alias("mn")).join(roots, F.col("mn") == F.col("rn"), "full_outer")
     many = many.select(F.substring(F.coalesce("mn", "rn"), 10, 16).alias("cn"), _key_of(F.coalesce("root", "mn")).alias("least"), F.substring(F.coalesce("root", "mn"), 10, 16).alias("top"))

@@ -183,9 +183,8 @@ def estimates(rows: DataFrame, share: float) -> DataFrame:
     return stored(model.join(scale, F.col("cell") == F.col("ec")).drop("ec"), "quality-estimates")
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, cutoff: float = CHI_FAR, least: int = 100, whole: bool = False) -> DataFrame:
-    """A row for each of ``docs``: key, lang, source, the counts, base_failed, d2 and kept, and with ``whole`` the row itself
-    (``row``, a struct of all its columns).
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, cutoff: float = CHI_FAR, least: int = 100) -> DataFrame:
+    """A row for each of ``docs``: key, lang, source, draw (xxhash64 of key and text), the counts, base_failed, d2 and kept.
 
     base_failed: fewer than 20 words, or over 30 % of them in repeated windows. Other rows are kept unless their d2 is above
     ``cutoff``. Null languages and sources are values of their own; where not even all small cells together have ``least``
@@ -195,8 +194,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     an empty one.
     """
     columns = [F.col(id_col).cast("bigint").alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")]
-    rows = docs.select(*columns, *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * whole)
-    found = statistics(counts(rows)).withColumn("draw", F.xxhash64("key", "text")).drop("text")
+    found = statistics(counts(docs.select(*columns))).withColumn("draw", F.xxhash64("key", "text")).drop("text")
     found = found.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     found = stored(found, "quality-counts")
     names = stored(_cells(found.where("not base_failed"), least), "quality-cells")
