@@ -16,7 +16,6 @@ prior is the share of toxic among the labelled rows that may be learned from.
 from __future__ import annotations
 
 import functools
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +26,11 @@ from .bpe import _texts
 from .common import stored
 from .lang import held_out
 
-#: Bound of the sample of positives (labelled rows); features kept; hashed slots; letter runs.
-POSITIVES, FEATURES, SLOTS, RUNS = 4000, 500, 1 << 20, (5, 6, 7)
+#: Bound of the sample of positives (labelled rows); features kept; letter runs.
+POSITIVES, FEATURES, RUNS = 4000, 500, (5, 6, 7)
 #: A feature is kept if its share among positives is so many times that among unlabelled rows or as many times less, and so
 #: many errors away from it; a candidate occurs in so many positives, and in this share of them.
-LIFT, LEAST_Z, LEAST, SHARE = 5.0, 6.0, 3, 0.01
+LIFT, LEAST_Z, LEAST, SHARE = 5.0, 8.0, 3, 0.01
 #: Newton steps at most, and rows that a task handles at once.
 STEPS, ROWS = 12, 2000
 CACHE_WORDS = 100_000
@@ -43,28 +42,26 @@ def words_of(text: bytes) -> set[bytes]:
     return set(text.decode("utf-8").lower().encode().translate(APART).split())
 
 
-def slots_of(word: bytes) -> list[int]:
-    """The word itself, and its runs of letters with both ends marked."""
+def runs_of(word: bytes) -> set[str]:
+    """The word itself, and its runs of letters, with both ends marked."""
     text = "<" + word.decode("utf-8") + ">"
-    found = {text} | {text[i : i + n] for n in RUNS for i in range(len(text) - n + 1)}
-    return [zlib.crc32(x.encode()) % SLOTS for x in found]
+    n = len(text)
+    return {text, *[text[i : i + 5] for i in range(n - 4)], *[text[i : i + 6] for i in range(n - 5)], *[text[i : i + 7] for i in range(n - 6)]}
 
 
 @functools.lru_cache(2)
-def _known(kept: bytes) -> Reader:
-    return Reader(np.frombuffer(kept, np.int64))
-
-
-def _reader(kept: np.ndarray) -> Reader:
+def _reader(kept: tuple[str, ...]) -> Reader:
     """One for each worker process and set of features."""
-    return _known(kept.tobytes())
+    return Reader(kept)
 
 
 class Reader:
-    """Texts to the sorted numbers of kept features they hold; of each word, only kept features are remembered."""
+    """Texts to the sorted numbers of kept features they hold. A word's are found by one intersection and remembered if it
+    has any; of the others, some are remembered as having none."""
 
-    def __init__(self, kept: np.ndarray):
-        self.number = {int(s): k for k, s in enumerate(kept)}
+    def __init__(self, kept: tuple[str, ...]):
+        self.number = {s: k for k, s in enumerate(kept)}
+        self.names = frozenset(kept)
         self.words: dict[bytes, tuple[int, ...]] = {}
 
     def __call__(self, text: bytes) -> list[int]:
@@ -74,7 +71,7 @@ class Reader:
         for w in words_of(text):
             own = known.get(w)
             if own is None:
-                own = known[w] = tuple(self.number[s] for s in slots_of(w) if s in self.number)
+                own = known[w] = tuple(self.number[s] for s in self.names & runs_of(w))
             if own:
                 out.update(own)
         return sorted(out)
@@ -157,7 +154,7 @@ def scaled(w: np.ndarray, unlabelled: np.ndarray, positive: np.ndarray, edges: n
     said_p = 1 - np.searchsorted(np.sort(positive), edges) / len(positive)
     risk = prior * (1 - said_p) + np.maximum(0, said_u - prior * said_p)
     best = np.flatnonzero(risk <= risk.min() + 1e-12)
-    cut = float(edges[best[len(best) // 2]])
+    cut = float(edges[best[len(best) // 4]])  # of equal risks, one that lets little toxic text pass and is clear of the clean
     low, high = 0.25, 50.0
     for _ in range(60):
         k = (low + high) / 2
@@ -195,14 +192,20 @@ def _added(df: DataFrame, body, width: int) -> np.ndarray:
     return sum((np.frombuffer(x) for x in parts), np.zeros(width))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
-    """Kept slots, their weights and the bias. Held-out rows are never read for it. Positives are the rows of the POSITIVES
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> tuple[tuple[str, ...], np.ndarray, float]:
+    """Kept features, their weights and the bias (see learned)."""
+    return learned(docs, labels, id_col, text_col, toxic_col)[0]
+
+
+def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> tuple[tuple, DataFrame | None]:
+    """The model (kept features, their weights, the bias) and the features of every row of ``docs`` (key, held_out, x), for
+    scored(); None where there are no features. Held-out rows are never read for it. Positives are the rows of the POSITIVES
     toxic ids that hash lowest, with whole texts; unlabelled are all rows. Null labels are no labels, repeated ones count as
     toxic if any is; without a toxic row there are no features and every score is the prior."""
     marks = labels.where(~held_out(id_col)).groupBy(F.col(id_col).alias("k")).agg(F.max(F.col(toxic_col).cast("int")).alias("toxic")).where("toxic is not null")
     n, ones = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = min(0.9, max(0.001, ones / n)) if n else 0.001
-    none = np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior)))
+    none = ((), np.zeros(0), float(np.log(prior / (1 - prior)))), None
     rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = marks.where("toxic = 1").select("k").orderBy(F.xxhash64("k"), "k").limit(POSITIVES)
     positive = stored(rows.join(F.broadcast(ids), F.col("key") == F.col("k"), "left_semi"), "toxic-positive")
@@ -212,15 +215,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def slots(batches):
         for batch in batches:
-            into: dict[int, int] = {}
+            into: dict[str, int] = {}
             for t in _texts(batch):
-                for s in {s for w in words_of(t) for s in slots_of(w)}:
+                for s in set().union(*map(runs_of, words_of(t))):
                     into[s] = into.get(s, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.int32()), pa.array(list(into.values()), pa.int64())], ["slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.int64())], ["slot", "n"])
 
-    found = positive.select("text").mapInArrow(slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("a")).where(F.col("a") >= max(LEAST, SHARE * pn)).orderBy("slot").toArrow()  # of the sample of positives
-    candidates, a = found.column("slot").to_numpy().astype(np.int64), found.column("a").to_numpy().astype(float)
-    if not len(candidates):
+    found = positive.select("text").mapInArrow(slots, "slot string, n long").groupBy("slot").agg(F.sum("n").alias("a")).where(F.col("a") >= max(LEAST, SHARE * pn)).orderBy("slot").toArrow()  # of the sample of positives
+    candidates, a = tuple(found.column("slot").to_pylist()), found.column("a").to_numpy().astype(float)
+    if not candidates:
         return none
     shared = docs.sparkSession.sparkContext.broadcast(candidates)
     width = len(candidates)
@@ -237,22 +240,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share_p, share_u, un = a / pn, (b[:-1] + 0.5) / max(b[-1], 1), b[-1]
     z = (share_p - share_u) * np.sqrt(pn / share_u)
     good = ((share_p > LIFT * share_u) & (z > LEAST_Z)) | ((LIFT * share_p < share_u) & (z < -LEAST_Z))
-    order = np.lexsort((candidates, -np.abs(z)))
-    kept = np.sort(candidates[order[good[order]][:FEATURES]])
-    if not len(kept):
+    order = np.argsort(-np.abs(z), kind="stable")  # candidates are in order
+    kept = tuple(candidates[k] for k in sorted(order[good[order]][:FEATURES]))
+    if not kept:
         return none
     known = docs.sparkSession.sparkContext.broadcast(kept)
 
     def read(batches):
         own = _reader(known.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own(t) for t in _texts(batch)], pa.list_(pa.int32()))], ["held", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([own(t) for t in _texts(batch)], pa.list_(pa.int32()))], ["key", "held_out", "held", "x"])
 
     fifth = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(5)) == 0
-    lists = lambda df: df.select(fifth.alias("held"), "text").mapInArrow(read, "held boolean, x array<int>")
-    vectors = lists(rows).groupBy("held", "x").agg(F.count(F.lit(1)).alias("n"))
-    vectors = stored(vectors, "toxic-vectors")
-    sample = lists(positive).toPandas()  # POSITIVES rows of FEATURES numbers at most
+    every = docs.select(F.col(id_col).cast("bigint").alias("key"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    lists = stored(every.select("key", "held_out", fifth.alias("held"), "text").mapInArrow(read, "key long, held_out boolean, held boolean, x array<int>"), "toxic-lists")
+    vectors = stored(lists.where("not held_out").groupBy("held", "x").agg(F.count(F.lit(1)).alias("n")), "toxic-vectors")
+    sample = lists.where("not held_out").join(F.broadcast(ids), F.col("key") == F.col("k").cast("bigint"), "left_semi").select("held", "x").toPandas()  # the sample's lists
     lp, hp = ([list(x) for x in sample.x[sample.held == k]] for k in (False, True))
     if not lp:
         lp, hp = hp, []
@@ -278,26 +281,38 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return np.bincount(np.clip(np.digitize(z, edges), 0, 8001), batch.column(2).to_numpy(), 8002)
 
     w, b = scaled(w, _added(vectors, histogram, 8002), np.array([w[list(x)].sum() for x in sample.x], float), edges, prior)
-    return kept, w, b
+    return (kept, w, b), lists
 
 
-def predict(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, held_out, score (0 to 1) and predicted for each row of ``docs``; null and empty texts have the score of no
-    feature; repeated rows get a result each; other columns are not read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("key"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def scored(lists: DataFrame, model: tuple) -> DataFrame:
+    """key, held_out, score (0 to 1) and predicted for each row of ``lists`` (key, held_out, x)."""
+    shared = lists.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        kept, w, b = shared.value
-        own = _reader(kept)
+        _, w, b = shared.value
         for batch in batches:
-            z = np.array([b + w[own(t)].sum() for t in _texts(batch)], float)
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            p = _sigmoid(np.array([b + w[x].sum() for x in batch.column(2).to_pylist()], float))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["key", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(score, "key long, held_out boolean, score double, predicted int")
+    return lists.select("key", "held_out", "x").mapInArrow(score, "key long, held_out boolean, score double, predicted int")
+
+
+def predict(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, held_out, score (0 to 1) and predicted for each row of ``docs``; null and empty texts have the score of no
+    feature, texts of any length are read whole; repeated rows get a result each; other columns are not read; an empty table
+    gives an empty one."""
+    kept = docs.sparkSession.sparkContext.broadcast(model[0])
+    rows = docs.select(F.col(id_col).cast("bigint").alias("key"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def read(batches):
+        own = _reader(kept.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([own(t) for t in _texts(batch)], pa.list_(pa.int32()))], ["key", "held_out", "x"])
+
+    return scored(rows.mapInArrow(read, "key long, held_out boolean, x array<int>"), model)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return predict(docs, learn(docs, labels)).withColumnRenamed("key", "doc_id")
+    model, lists = learned(docs, labels)
+    return (predict(docs, model) if lists is None else scored(lists, model)).withColumnRenamed("key", "doc_id")
