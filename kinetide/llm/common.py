@@ -157,3 +157,14 @@ def among(docs: DataFrame, key: Column, keys: DataFrame, column: str) -> tuple[D
 
     maybe = has(key)
     return docs.where(maybe), docs.where(~maybe)
+
+
+def pieces(batch: pa.RecordBatch, column: int, most: int):
+    """``batch`` in runs of rows whose texts (``column``) have about ``most`` bytes in all; a longer text is alone."""
+    if batch.num_rows == 0:
+        return
+    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = (np.cumsum(size) - size) // most
+    cut = np.flatnonzero(np.diff(run, prepend=-1))
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
