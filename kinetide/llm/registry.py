@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, fim, ids, lang, licence, neardup, quality, secrets, substring, toxicity, warc
+from . import bpe, decontam, fim, ids, lang, licence, neardup, phrases, quality, secrets, substring, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_lang": lang.op9_lang,
         "op10_neardup": neardup.op10_neardup,
         "op11_licence": licence.op11_licence,
+        "op12_phrases": phrases.op12_phrases,
         "op13_fim": fim.op13_fim,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op6_decontam": decontam.OP6_SQL, "op7_substring": substring.OP7_SQL, "op11_licence": licence.OP11_SQL, "op13_fim": fim.OP13_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op6_decontam": decontam.OP6_SQL, "op7_substring": substring.OP7_SQL, "op11_licence": licence.OP11_SQL, "op12_phrases": phrases.OP12_SQL, "op13_fim": fim.OP13_SQL}
