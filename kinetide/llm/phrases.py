@@ -31,6 +31,8 @@ LEAST, SHARE, TOP = 10, 50, 2000
 #: Rows of the sketch, cells of a row (powers of two), bytes of text for a cell, cells of a block.
 DEPTH, FEWEST, MOST, EACH, BLOCK = 2, 16, 27, 16, 1 << 20
 PIECE = 6 << 20
+#: Bytes of text that a task may have, so that a lost one is soon done again.
+TASK = 1 << 30
 #: Candidates of a language that one task ranks.
 RANKED = 20_000
 
@@ -137,6 +139,8 @@ def counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col
     rows = texts_of(docs, text_col, lang_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST, max(FEWEST, (size // EACH).bit_length()))
+    # What a task sends does not grow with its texts as they do, so a core has two tasks, not one for each split of a file.
+    rows = rows.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // TASK))
     shared = docs.sparkSession.sparkContext.broadcast(sketch(rows, bits, least))
 
     def survivors(batches):
