@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetide.operators.quantiles import order_statistics, percentiles
 from kinetide.shared import stored
 
 #: Parts of a key's events between two cuts that one task walks together (see coincidences).
@@ -64,8 +65,12 @@ def differences(df: DataFrame, keys: list[str], order: str, value: str, out: str
 
 
 def adaptive_threshold(df: DataFrame, keys: list[str], value: str, q: float = 0.3, floor: float = 1e-4) -> DataFrame:
-    """For each key, the linear ``q`` percentile of the values above zero, ``floor`` at least."""
-    return df.groupBy(*keys).agg(F.greatest(F.coalesce(F.percentile(F.when(F.col(value) > 0, F.col(value)), F.lit(q)), F.lit(floor)), F.lit(floor)).alias("threshold"))
+    """For each key, the linear ``q`` percentile of the values above zero, ``floor`` at least. Exact, by ranges that are
+    refined, so no task holds a key's values."""
+    names = df.select(*keys).distinct()
+    found = percentiles(df.where(F.col(value) > 0), keys, value, {"_p": q}).withColumnsRenamed({k: f"_s_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys]
+    return names.join(found, on, "left").select(*keys, F.greatest(F.coalesce("_p", F.lit(floor)), F.lit(floor)).alias("threshold"))
 
 
 def active_intervals(df: DataFrame, keys: list[str], order: str, value: str, least, gap, q: float = 0.3) -> DataFrame:
@@ -79,10 +84,8 @@ def active_intervals(df: DataFrame, keys: list[str], order: str, value: str, lea
 def index_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """A3: for each share the value at place floor(n * share) of the sorted values (0.5: the upper median).
 
-    Values are ranked by a window, so a key of any size is sorted with spilling and never gathered in an array."""
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    rows = rows.withColumns({"_r": F.row_number().over(_by(keys, value)), "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-    return rows.groupBy(*keys).agg(F.max("_n").alias("n"), *[F.max(F.when(F.col("_r") == F.floor(F.col("_n") * q).cast("int") + 1, F.col(value))).alias(name) for name, q in shares.items()])
+    Places are found by ranges that are refined, so a key of any size is counted by all tasks and never sorted in one."""
+    return order_statistics(df, keys, value, shares)
 
 
 def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], t: str, start: str, end: str, guard, width, how: str = "inner") -> DataFrame:

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetide.operators.quantiles import percentiles
+
 
 def long_form(df: DataFrame, ids: list[str], vector: str) -> DataFrame:
     """A row for each component: ids, dim, x."""
@@ -22,10 +24,14 @@ def moments() -> list[Column]:
 
 def vector_stats(df: DataFrame, vector: str, keys: list[str] | None = None, quantiles: str = "minmax") -> DataFrame:
     """For each key and component n, mean, population std, lo, hi, q01, q99 (least and greatest, or exact
-    percentiles). Partial sums merge before the shuffle; exact percentiles keep each distinct value of a component."""
+    percentiles by ranges that are refined). Partial sums merge before the shuffle; no values are gathered."""
     keys = keys or []
-    both = [F.min("x").alias("q01"), F.max("x").alias("q99")] if quantiles == "minmax" else [F.percentile("x", F.lit(q)).alias(n) for q, n in ((0.01, "q01"), (0.99, "q99"))]
-    return long_form(df, keys, vector).groupBy(*keys, "dim").agg(*moments(), *both)
+    long = long_form(df, keys, vector)
+    if quantiles == "minmax":
+        return long.groupBy(*keys, "dim").agg(*moments(), F.min("x").alias("q01"), F.max("x").alias("q99"))
+    by = [*keys, "dim"]
+    found = percentiles(long, by, "x", {"q01": 0.01, "q99": 0.99}).drop("n").withColumnsRenamed({k: f"_s_{k}" for k in by})
+    return long.groupBy(*by).agg(*moments()).join(found, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in by], "left").drop(*[f"_s_{k}" for k in by])
 
 
 def grouping_set_stats(df: DataFrame, vector: str, keys: list[str], least: int = 2) -> DataFrame:

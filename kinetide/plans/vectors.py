@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinetide.operators import quantiles as Q
 from kinetide.operators import temporal as T
 from kinetide.operators import vectors as V
 
@@ -36,6 +37,36 @@ def vector_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUANTILES_SQL = f"WITH {L} SELECT label, dim, round(quantile_cont(x, 0.01), 6) AS q01, round(quantile_cont(x, 0.99), 6) AS q99 FROM l GROUP BY label, dim"
 
 
+def running_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components as they come in batches of 50 vectors, each twice as wide as the one before in turn."""
+    rows = V.long_form(vectors(spark, sf_dir).withColumn("batch", F.floor(F.col("vec_id") / 50)), ["vec_id", "batch"], "v")
+    found = Q.running_quantiles(rows.withColumn("x", F.col("x") * (1 + F.col("batch") % 3)), ["dim"], "batch")
+    return _rounded(found, "mean", "std", "lo", "hi", "q01", "q99")
+
+
+def _sql_edge(i: str, side: str = "") -> str:
+    return f"CASE WHEN {i} >= 5000 THEN {side}hi ELSE ({i}) * (({side}hi - {side}lo) / 5000) + {side}lo END"
+
+
+def _sql_bin(x: str, side: str = "") -> str:
+    guess = f"greatest(0, least(4999, CAST(floor(({x} - {side}lo) / (({side}hi - {side}lo) / 5000)) AS BIGINT)))"
+    return f"{guess} + CASE WHEN {x} < {_sql_edge(guess, side)} THEN -1 WHEN {guess} < 4999 AND {x} >= {_sql_edge(guess + ' + 1', side)} THEN 1 ELSE 0 END"
+
+
+#: Counts of each epoch move on by themselves, one step of the recursion for each later epoch.
+RUNNING_SQL = f"""WITH RECURSIVE {L}, x AS MATERIALIZED (SELECT dim, vec_id // 50 AS b, x * (1 + vec_id // 50 % 3) AS x FROM l),
+m AS (SELECT dim, b, min(min(x)) OVER w AS lo, max(max(x)) OVER w AS hi FROM x GROUP BY dim, b WINDOW w AS (PARTITION BY dim ORDER BY b)),
+e AS MATERIALIZED (SELECT dim, b, lo, hi, CAST(sum(CASE WHEN lo < plo OR hi > phi THEN 1 ELSE 0 END) OVER (PARTITION BY dim ORDER BY b) AS BIGINT) AS epoch FROM (SELECT *, lag(lo) OVER w AS plo, lag(hi) OVER w AS phi FROM m WINDOW w AS (PARTITION BY dim ORDER BY b))),
+g AS MATERIALIZED (SELECT dim, epoch, min(lo) - CASE WHEN epoch = 0 THEN 1e-10 ELSE 0 END AS lo, max(hi) + CASE WHEN epoch = 0 THEN 1e-10 ELSE 0 END AS hi FROM e GROUP BY dim, epoch),
+v AS MATERIALIZED (SELECT dim, epoch, idx, count(*) AS c FROM (SELECT x.dim, e.epoch, {_sql_bin("x.x", "g.")} AS idx FROM x JOIN e ON e.dim = x.dim AND e.b = x.b JOIN g ON g.dim = e.dim AND g.epoch = e.epoch) GROUP BY ALL),
+r AS (SELECT dim, epoch, idx, c FROM v UNION ALL SELECT dim, epoch, {_sql_bin("pos")} AS idx, c FROM (SELECT r.dim, n.epoch, n.lo, n.hi, r.c, {_sql_edge("r.idx", "o.")} AS pos FROM r JOIN g o ON o.dim = r.dim AND o.epoch = r.epoch JOIN g n ON n.dim = r.dim AND n.epoch = r.epoch + 1) WHERE pos >= lo),
+z AS MATERIALIZED (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY dim ORDER BY epoch DESC) = 1),
+h AS (SELECT r.dim, r.idx, sum(sum(r.c)) OVER (PARTITION BY r.dim ORDER BY r.idx) AS upto FROM r JOIN z ON z.dim = r.dim AND z.epoch = r.epoch GROUP BY r.dim, r.idx),
+n AS (SELECT dim, {STATS} FROM x GROUP BY dim HAVING count(x) >= 2),
+p AS (SELECT n.dim, coalesce(min(h.idx) FILTER (WHERE h.upto >= 0.01::DOUBLE * n.n), 5000) AS i01, coalesce(min(h.idx) FILTER (WHERE h.upto >= 0.99::DOUBLE * n.n), 5000) AS i99 FROM n JOIN h ON h.dim = n.dim GROUP BY n.dim)
+SELECT n.dim, n.n, n.mean, n.std, round(n.lo, 6) AS lo, round(n.hi, 6) AS hi, round({_sql_edge("i01", "z.")}, 6) AS q01, round({_sql_edge("i99", "z.")}, 6) AS q99 FROM n JOIN p ON p.dim = n.dim JOIN z ON z.dim = n.dim"""
+
+
 def vector_stats_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(V.grouping_set_stats(vectors(spark, sf_dir), "v", ["label"]), "mean", "std")
 
@@ -165,6 +196,7 @@ def sampled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "vector_stats": (vector_stats, STATS_SQL),
+    "running_quantiles": (running_quantiles, RUNNING_SQL),
     "vector_quantiles": (vector_quantiles, QUANTILES_SQL),
     "vector_stats_grouping_sets": (vector_stats_grouping_sets, SETS_SQL),
     "normalize_z": (normalize_z, Z_SQL),
