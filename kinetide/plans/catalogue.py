@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import instructions, runs, segments, tables, temporal, vectors
+from . import instructions, recovery, runs, segments, tables, temporal, vectors
 
 FLAGSHIP = "interval_report"
-ALL = temporal.QUERIES | vectors.QUERIES | tables.QUERIES | segments.QUERIES | runs.QUERIES | instructions.QUERIES
+ALL = temporal.QUERIES | vectors.QUERIES | tables.QUERIES | segments.QUERIES | runs.QUERIES | instructions.QUERIES | recovery.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
