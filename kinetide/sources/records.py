@@ -8,6 +8,8 @@ from pyspark.sql.types import StructType
 
 from kinetide.operators.relational import counts_of, first_of, require_none
 
+from .packed import read_packed, write_packed  # noqa: F401  (S12)
+
 
 def of_width(c: Column, n: int, name: str) -> Column:
     """An array column that must have ``n`` components; another length is an error when it is read."""
@@ -151,20 +153,3 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """File, n_bytes and SHA-256 of every file below ``path``; each is read by one task, as its digest needs."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.col("path").alias("file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
-
-
-def write_packed(frames: DataFrame, path: str, key: str, frame: str, data: str) -> None:
-    """Frames as rows of (key, frame, data), near one another by key, in row groups that a lookup can skip."""
-    frames.select(F.col(key).alias("key"), F.col(frame).cast("bigint").alias("frame"), F.col(data).alias("data")).repartitionByRange("key", "frame").sortWithinPartitions("key", "frame").write.option("parquet.block.size", 8 << 20).parquet(path)
-
-
-def read_packed(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """Key, frame and the data of each wanted frame; of the key's last frame where it has no such frame, null where the
-    key has none."""
-    have = spark.read.schema("key string, frame long, data binary").parquet(path)
-    last = have.groupBy(F.col("key").alias("lk")).agg(F.max("frame").alias("last"))
-    asked = wanted.select("key", "frame").join(last, F.col("key") == F.col("lk"), "left")
-    there = have.select(F.col("key").alias("hk"), F.col("frame").alias("hf"))
-    asked = asked.join(there, (F.col("key") == F.col("hk")) & (F.col("frame") == F.col("hf")), "left").withColumn("at", F.coalesce("hf", "last")).drop("hk", "hf", "lk", "last")
-    found = have.select(F.col("key").alias("hk"), F.col("frame").alias("hf"), "data")
-    return asked.join(found, (F.col("key") == F.col("hk")) & (F.col("at") == F.col("hf")), "left").select("key", "frame", "data")
