@@ -180,8 +180,8 @@ def _windows(segments: DataFrame, window: int) -> DataFrame:
     return stored(segments.select("words").mapInArrow(each, "size int, h long").distinct(), "decontam-windows")
 
 
-def _scanned(rows: DataFrame, block: DataFrame, window: int) -> DataFrame:
-    """``rows`` without text, but with n_words, spans and items of one block."""
+def _scanned(rows: DataFrame, block: DataFrame, window: int, keep: bool = False) -> DataFrame:
+    """``rows`` without text (with it if ``keep``), but with n_words, spans and items of one block."""
     words = pickle.dumps([(r["item"], bytes(r["words"]).split()) for r in block.select("item", "words").collect()])  # about BLOCK_WORDS words
     shared = rows.sparkSession.sparkContext.broadcast(words)
     pair = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
@@ -191,15 +191,15 @@ def _scanned(rows: DataFrame, block: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             sizes, spans, items = [], [], []
             for t in _texts(batch):
-                words = words_of(t)
+                words = words_of(t or b"")
                 s, i = own.scan(words)
                 sizes.append(len(words))
                 spans.append([{"s": x, "e": y} for x, y in s])
                 items.append(sorted(i - {None}))
-            left = batch.drop_columns(["text"])
+            left = batch if keep else batch.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*left.columns, pa.array(sizes, pa.int64()), pa.array(spans, pair), pa.array(items, pa.list_(pa.int64()))], [*left.schema.names, "n_words", "spans", "items"])
 
-    kept = T.StructType([f for f in rows.schema if f.name != "text"]).add("n_words", T.LongType()).add("spans", SPANS).add("items", T.ArrayType(T.LongType()))
+    kept = T.StructType([f for f in rows.schema if keep or f.name != "text"]).add("n_words", T.LongType()).add("spans", SPANS).add("items", T.ArrayType(T.LongType()))
     return rows.mapInArrow(scan, kept)
 
 
@@ -223,13 +223,22 @@ def _merged(found: DataFrame) -> DataFrame:
     return found.mapInArrow(merge, found.schema)
 
 
-def _matches(rows: DataFrame, bench: DataFrame, window: int, item_col: str, item_text: str) -> DataFrame:
-    """``rows`` (text, and what is to be kept) with n_words, spans and items instead of text."""
-    spark = rows.sparkSession
+def _matches(rows: DataFrame, bench: DataFrame, window: int, item_col: str, item_text: str, keep: bool = False) -> DataFrame:
+    """``rows`` (text, and what is to be kept) with n_words, spans and items instead of text; beside it if ``keep``, so that it
+    goes through Python once."""
     segments = _segments(bench, window, item_col, item_text)
     blocks = max(1, -(-(segments.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS))
     if blocks == 1:
-        return _scanned(rows, segments, window)
+        return _scanned(rows, segments, window, keep)
+    if keep:
+        rows = rows.withColumns({"_text": F.col("text"), "text": F.coalesce("text", F.lit(""))})
+        return _in_blocks(rows, segments, blocks, window).withColumnRenamed("_text", "text")
+    return _in_blocks(rows, segments, blocks, window)
+
+
+def _in_blocks(rows: DataFrame, segments: DataFrame, blocks: int, window: int) -> DataFrame:
+    """``rows`` with n_words, spans and items of several blocks instead of text."""
+    spark = rows.sparkSession
     segments = segments.withColumn("block", F.pmod(F.xxhash64("item", "at"), F.lit(blocks)))
     windows = _windows(segments, window)
     sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # ``window`` at most
@@ -275,8 +284,11 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = 13, id_col: str = "
 def clean(docs: DataFrame, bench: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated (see verdicts), as they are and whatever their columns' names. Odd rows
     are as in matches(); null texts stay."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return verdicts(_matches(rows, bench, window, item_col, item_text)).where(~F.col("contaminated")).select("row.*")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    spare = F.lit(0).alias("_".join(docs.columns))  # a struct has one field at least; no column has this name
+    rows = docs.select(F.struct(*others, spare).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    left = verdicts(_matches(rows, bench, window, item_col, item_text, keep=True)).where(~F.col("contaminated"))
+    return left.select(*[F.col("text").cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def verdicts(found: DataFrame) -> DataFrame:

@@ -88,3 +88,20 @@ def test_nothing_is_found_in_what_is_left(spark):
     left = [(k, t) for k, (_, t) in cleaned(spark, docs, items).items()]
     assert len(left) == len(docs) and not any("True" in r for r in truth(left, items))
     assert all(eval(r)[2] == 0 for r in truth(left, items))
+
+
+def test_clean_keeps_rows_as_they_are(spark, monkeypatch):
+    """In one block and in several: other columns, null texts and repeated rows stay; only contaminated rows go."""
+    docs, items = random_case(3)
+    rows = [(k, t, f"s{k}", 1, None) for k, t in docs] + [(None, None, "null", 2, None), (1, "", "empty", 3, None), (7, docs[0][1], "again", 4, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_words int, _text string").repartition(3)
+    b = spark.createDataFrame([(k, t, 0) for k, t in items], "item_id long, text string, n int")
+    gone = {key for key, *_, bad in map(eval, truth([(k, t) for k, (_, t, *_) in enumerate(rows)], items)) if bad}
+    want = sorted(str(r) for k, r in enumerate(rows) if k not in gone)
+    assert gone and len(want) < len(rows)
+    for words in (100_000, 60):
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", words)
+        got = decontam.clean(d, b)
+        assert got.columns == d.columns and sorted(str(tuple(r)) for r in got.collect()) == want
+    only = decontam.clean(d.select("text"), b)
+    assert only.columns == ["text"] and only.count() == len(want)
