@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinetide.shared import stored
+
 
 def uniform(*parts) -> Column:
     """A number in [0, 1) from the hash of its parts."""
@@ -99,7 +105,8 @@ def hierarchical(plan: DataFrame, pools: DataFrame, episodes: DataFrame, seed: i
 
 def mixed(parts: dict[str, tuple[DataFrame, float]], id_col: str, seed: int, n: int) -> DataFrame:
     """A mixture of tables by weight, in an order that a hash draws: name, id, place (0 to n - 1). Weights must sum to
-    one. Each place draws its table, and the table's rows follow in hash order, over again when they are used up."""
+    one. Each place draws its table, and the table's rows follow in hash order, over again when they are used up. Both are
+    numbered by ranges, so no task holds a table."""
     if abs(sum(w for _, w in parts.values()) - 1) > 1e-9:
         raise ValueError("weights must sum to one")
     spark = next(iter(parts.values()))[0].sparkSession
@@ -109,18 +116,69 @@ def mixed(parts: dict[str, tuple[DataFrame, float]], id_col: str, seed: int, n:
         upto += w
         name = F.when(u < upto, F.lit(k)) if name is None else name.when(u < upto, F.lit(k))
     places = spark.range(n).withColumnRenamed("id", "place").withColumn("name", name.otherwise(F.lit(list(parts)[-1])))
-    places = places.withColumn("_i", F.row_number().over(Window.partitionBy("name").orderBy("place")) - 1)
+    places = numbered(places, ["name"], ["place"], "_i")
     rows = None
     for k, (df, _) in parts.items():
         one = df.select(F.lit(k).alias("_name"), F.col(id_col).alias("id"))
         rows = one if rows is None else rows.unionByName(one)
-    w = Window.partitionBy("_name")
-    rows = rows.withColumns({"_r": F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "id"), "id")) - 1, "_n": F.count(F.lit(1)).over(w)})
-    sizes = rows.groupBy(F.col("_name").alias("_sn")).agg(F.max("_n").alias("_size"))
+    rows = numbered(rows.withColumn("_h", F.xxhash64(F.lit(seed), "id")), ["_name"], ["_h", "id"], "_r")
+    sizes = rows.groupBy(F.col("_name").alias("_sn")).agg(F.count(F.lit(1)).alias("_size"))
     places = places.join(sizes, F.col("name") == F.col("_sn")).withColumn("_at", F.pmod("_i", "_size"))
     return places.join(rows, (F.col("name") == F.col("_name")) & (F.col("_at") == F.col("_r"))).select("name", "id", "place")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with each row's place (from 0) among those of its keys by ``order``, which must tell rows of a key apart. Rows
+    are dealt by ranges of keys and order and counted by range; a place is that of its range and the one within it, so a key
+    that has most of the rows is many tasks."""
+    ranged = stored(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "numbered")
+    counted = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_c")  # a row for each range
+    starts = counted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_kr"), before.alias("_before"))
+    found = ranged.join(starts, [*[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_range") == F.col("_kr")])
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
+    return found.withColumn(out, (F.col("_before") + own).cast("bigint")).drop("_range", "_kr", "_before", *[f"_k{i}" for i in range(len(keys))])
+
+
+@functools.lru_cache(4)
+def buffer_turns(seed: int, block: int, n: int, size: int) -> np.ndarray:
+    """For each of ``n`` places of a block the turn at which a buffer of ``size`` gives it out."""
+    draws, turns = np.random.Generator(np.random.PCG64([seed, block])).random(n).tolist(), np.empty(n, np.int64)
+    held, coming = list(range(min(size, n))), size
+    for turn, u in enumerate(draws):
+        at = int(u * len(held))
+        turns[held[at]] = turn
+        if coming < n:
+            held[at], coming = coming, coming + 1
+        else:
+            held[at] = held[-1]
+            held.pop()
+    return turns
+
+
+def buffered(df: DataFrame, order: str, size: int, seed: int, block: int = 1 << 20) -> DataFrame:
+    """``df`` with ``turn``, its place after a shuffle with a bounded buffer: rows come by ``order`` (0 to n - 1, each
+    once), the buffer is filled, and each turn gives out one of it, drawn by seed and turn, whose place the next row takes.
+
+    Each ``block`` of rows has a buffer of its own, so blocks are spread over tasks. Turns depend on places alone: a task works
+    them out for its blocks (a number for each place of a block) and holds no row; a lost one gives the same again."""
+    if size < 1 or block < 1:
+        raise ValueError("a buffer has one row at least")
+    n = df.count()
+
+    @F.arrow_udf("bigint")
+    def turn(places: pa.Array) -> pa.Array:
+        at = places.to_numpy()
+        out = np.empty(len(at), np.int64)
+        for b in np.unique(at // block).tolist():
+            mine = at // block == b
+            out[mine] = buffer_turns(seed, b, min(block, n - b * block), size)[at[mine] - b * block] + b * block
+        return pa.array(out)
+
+    rows = df.withColumn("_block", F.floor(F.col(order) / block)).repartition("_block").sortWithinPartitions("_block")
+    return rows.withColumn("turn", turn(F.col(order).cast("bigint"))).drop("_block")
+
+
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows by several keys; each task keeps its own first ones, so no table is sorted as a whole."""
     return df.orderBy(*order).limit(n)

@@ -301,21 +301,38 @@ def snapped(segments: DataFrame, stops: DataFrame, keys: list[str], order: str,
     the first stop (column ``stop``, see stop_starts) after its start if that lies before its end, ``least`` after the start
     and ``most`` before the end at most; the next segment of the key, whatever it is, then starts there.
 
-    A segment's start depends on the one before it alone, so the step is repeated until no start changes: as often as
-    segments follow one another that depend on each other. Every repetition is one sort of segments and stops."""
+    A segment's start depends on the one before it alone, and can only be its own or a stop in the last ``most`` of that one.
+    So each segment is a function of few starts, a row for each. Where all starts of a segment lead to the same next one,
+    that is sure at once; only between such places chains have to be followed, and functions are composed pairwise: each round
+    doubles the reach, so there are as many as the logarithm of the longest chain."""
     w = _by(keys, order)
     flag = F.coalesce(F.col(moves), F.lit(False)) if moves else F.lit(True)
-    rows = segments.select(*keys, order, F.col(start).alias("_s"), F.col(end).alias("_e"), flag.alias("_m")).withColumn("_t", F.col("_s"))
-    stops = stops.select(*keys, F.col("stop").alias("_t"), F.col("stop").alias("_at"))
-    while True:
-        found = asof_next(rows, stops, keys, "_t", "_at")
-        ok = F.col("_m") & (F.col("following") < F.col("_e")) & (F.col("following") - F.col("_t") >= least) & (F.col("_e") - F.col("following") <= most)
-        found = found.withColumn("_snap", F.when(ok, F.col("following"))).drop("following")
-        found = found.withColumn("_new", F.coalesce(F.lag("_snap").over(w), F.col("_s")))
-        found = stored(found, "snapped")
-        if found.where("_new != _t").isEmpty():
-            return found.select(*keys, order, F.col("_t").alias(start), F.coalesce("_snap", "_e").alias(end), F.col("_snap").isNotNull().alias("moved"))
-        rows = found.withColumn("_t", F.col("_new")).drop("_snap", "_new")
+    segs = segments.select(*keys, order, F.col(start).alias("_s"), F.col(end).alias("_e"), flag.alias("_m"))
+    segs = segs.withColumns({"_i": F.row_number().over(w), "_next": F.lead("_s").over(w), "_pe": F.lag("_e").over(w), "_pm": F.lag("_m").over(w)})
+    segs = stored(segs.withColumn("_low", F.col("_pe") - most), "snap-segments")
+    halts = stops.select(*keys, F.col("stop").alias("_at")).distinct()
+    tails = range_join(halts, segs.where("_pm and _pe is not null"), keys, "_at", "_low", "_pe", 0, max(most, 1e-9)).where("_at < _pe and _at != _s")
+    nodes = segs.withColumn("_t", F.col("_s")).unionByName(tails.withColumnRenamed("_at", "_t"))
+    nodes = asof_next(nodes, halts.withColumn("_t", F.col("_at")), keys, "_t", "_at")
+    ok = F.col("_m") & (F.col("following") < F.col("_e")) & (F.col("following") - F.col("_t") >= least) & (F.col("_e") - F.col("following") <= most)
+    nodes = nodes.withColumn("_snap", F.when(ok, F.col("following"))).select(*keys, order, "_i", "_t", "_s", "_e", "_snap", F.when(F.col("_next").isNotNull(), F.coalesce("_snap", "_next")).alias("_to"))
+    nodes = stored(nodes, "snap-nodes")
+    here = lambda df, names: df.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], *names)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)]
+    drop = [f"_k{n}" for n in range(len(keys))]
+    sure = nodes.where("_to is not null").groupBy(*keys, "_i").agg(F.min("_to").alias("_t"), F.max("_to").alias("_most")).where("_t = _most")
+    reached = sure.select(*keys, (F.col("_i") + 1).alias("_i"), "_t").unionByName(nodes.where("_i = 1").select(*keys, "_i", "_t"))
+    reached = stored(reached, "snap-reached")
+    steps = nodes.where("_to is not null").select(*keys, "_i", "_t", (F.col("_i") + 1).alias("_j"), "_to")
+    steps = stored(steps.join(here(reached, [F.col("_i").alias("_known")]), [*same, F.col("_j") == F.col("_known")], "left_anti"), "snap-steps")
+    while not steps.isEmpty():
+        ahead = here(steps, [F.col("_i").alias("_bi"), F.col("_t").alias("_bt"), F.col("_j").alias("_bj"), F.col("_to").alias("_bto")])
+        found = reached.join(ahead, [*same, F.col("_i") == F.col("_bi"), F.col("_t") == F.col("_bt")]).select(*keys, F.col("_bj").alias("_i"), F.col("_bto").alias("_t"))
+        reached = stored(reached.unionByName(found), "snap-reached")
+        steps = stored(steps.join(ahead, [*same, F.col("_j") == F.col("_bi"), F.col("_to") == F.col("_bt")]).select(*keys, "_i", "_t", F.col("_bj").alias("_j"), F.col("_bto").alias("_to")), "snap-steps")
+    chosen = here(reached, [F.col("_i").alias("_ri"), F.col("_t").alias("_rt")])
+    made = nodes.join(chosen, [*same, F.col("_i") == F.col("_ri"), F.col("_t") == F.col("_rt")]).drop(*drop)
+    return made.select(*keys, order, F.col("_t").alias(start), F.coalesce("_snap", "_e").alias(end), F.col("_snap").isNotNull().alias("moved"))
 
 
 def parents_snapped(activities: DataFrame, moved: DataFrame, keys: list[str], activity: str, order: str, start: str, end: str, segment_order: str) -> DataFrame:
