@@ -10,6 +10,11 @@ from .text import half_even, strip
 # Stages and the kind of action they are, retries by kind and at most, verdicts and followups of a judge.
 KINDS = {"pick_up_from": "pick", "pick": "pick", "place_in": "place", "place_on": "place", "place": "place", "move_to": "navigate", "manipulate": "action"}
 ACTION_WORDS = ("move ", "stir ", "scrub ", "wash ")
+WINDOWS = {"pick": 50, "place": 43, "navigate": 27, "open": 83, "close": 61, "switch": 72, "action": 98}
+LONGER = {"pick up the bread from the toaster.": 65, "wait for the toaster to finish and the lever to pop up": 120}
+#: A placing with jaws at least this wide in mm takes so few steps at once.
+WIDE, FEW_STEPS, CAREFUL = 25.0, 3, "KettleBoiling"
+STAGES = {"action", "navigate", "switch", "open", "close", *KINDS}
 RETRIES, MOST_RETRIES = {"navigate": 1, "switch": 2, "action": 1}, 2
 VERDICTS = ("complete", "incomplete", "error")
 FOLLOWUPS = ("next", "retry", "replan_keep_pose", "replan_plan_deviated", "")
@@ -45,6 +50,25 @@ def step_budget(chunks: Column, steps: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(chunks * 5 / steps)).cast("bigint")
 
 
+def window_budget(stage: Column, prompt: Column, steps: Column, windows: dict[str, int] | None = None) -> Column:
+    """how many chunks of ``steps`` actions a stage may take: those of its kind, more for some prompts. A kind without
+    any is an error."""
+    kind, own = action_kind(stage, prompt), WINDOWS | (windows or {})
+    chunks = F.when(F.lit(False), F.lit(0))
+    for name, n in own.items():
+        chunks = chunks.when(kind == name, F.lit(n))
+    chunks = chunks.otherwise(F.raise_error(F.concat(F.lit("no window for "), F.coalesce(kind, F.lit("null")))).cast("int"))
+    for text, least in LONGER.items():
+        chunks = F.when(F.lower(prompt) == text, F.greatest(chunks, F.lit(least))).otherwise(chunks)
+    return step_budget(chunks, steps)
+
+
+def steps_at_once(task: Column, stage: Column, state: Column, steps: Column) -> Column:
+    """actions of a chunk that are carried out: fewer for a careful placing with wide jaws."""
+    careful = (task == CAREFUL) & (action_kind(stage, F.lit("")) == "place") & (jaw_gap(state) >= WIDE)
+    return F.when(F.coalesce(careful, F.lit(False)), F.least(steps, F.lit(FEW_STEPS))).otherwise(steps)
+
+
 def retry_budget(kind: Column, requested: Column) -> Column:
     """retries that were asked for, at most those of the kind; those of the kind where none were."""
     cap = F.lit(MOST_RETRIES)
@@ -58,6 +82,18 @@ def deltas(state: Column, before: Column, start: int, n: int) -> Column:
     return F.when(before.isNotNull(), F.zip_with(F.slice(state, start + 1, n), F.slice(before, start + 1, n), lambda a, b: a - b))
 
 
+def robot_info(state: Column, before: Column) -> Column:
+    """F32: what a state of 16 finite numbers says, and its changes since one before, null without it; null for another state."""
+    good = lambda s: jaw_gap(s).isNotNull()
+    part = lambda a, n: F.slice(state, a + 1, n)
+    prior = F.when(good(before), before)
+    made = F.struct(
+        part(0, 3).alias("end_effector_position_relative"), part(3, 4).alias("end_effector_rotation_relative"), part(7, 3).alias("base_position"), part(10, 4).alias("base_rotation"), part(14, 2).alias("gripper_finger_positions"),
+        jaw_gap(state).alias("jaw_gap_mm"), deltas(state, prior, 0, 3).alias("delta_end_effector_position"), deltas(state, prior, 7, 3).alias("delta_base_position"), (jaw_gap(state) - jaw_gap(prior)).alias("delta_jaw_gap_mm"),
+    )
+    return F.when(good(state), made)
+
+
 def carrying(outcome: Column, stage: Column, prompt: Column, window) -> Column:
     """the prompt of the last completed pick that no completed place follows, over a window of the history so far."""
     done = outcome == "complete"
@@ -127,6 +163,19 @@ def policy_input(state: Column, images: dict[str, Column], actions: Column | Non
     return F.struct(*parts, *([actions.alias("actions")] if actions is not None else []), *([prompt.alias("prompt")] if prompt is not None else []))
 
 
+def rgb(pixels: Column) -> Column:
+    """an image (rows of pixels of channels) with three channels and bytes: a fourth channel is dropped, one channel is
+    repeated, and numbers of [0, 1] become bytes."""
+    three = F.transform(pixels, lambda row: F.transform(row, lambda p: F.when(F.size(p) == 1, F.array_repeat(F.get(p, F.lit(0)), 3)).otherwise(F.slice(p, 1, 3))))
+    most = F.array_max(F.flatten(F.flatten(three)))
+    return F.transform(three, lambda row: F.transform(row, lambda p: F.transform(p, lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.when(most <= 1.0, x * 255).otherwise(x)))).cast("int"))))
+
+
+def first_of_fields(obs: Column, names: list[str]) -> Column:
+    """the first field that is there, of a map."""
+    return F.coalesce(*[F.try_element_at(obs, F.lit(n)) for n in names])
+
+
 def expert_of(hint: Column, given: Column, experts: dict[str, int]) -> Column:
     """The expert of a stage, only where none is given."""
     table = F.create_map(*[F.lit(x) for pair in experts.items() for x in pair])

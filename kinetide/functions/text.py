@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,6 +92,54 @@ def half_even(c: Column, digits: int = 0) -> Column:
     return F.rint(c) if digits == 0 else F.bround(c, digits)
 
 
+def half_even_exact(c: Column, digits: int) -> Column:
+    """to ``digits`` decimals by the exact value of the binary number, as it is seldom halfway although its decimals are;
+    halves to even. For sizes below 2**52 / 10**digits.
+
+    The product with the power of ten has an error, which splitting both factors gives exactly; it decides where the rounded
+    product lies halfway or on an integer's far side."""
+    scale = float(10**digits)
+    split = lambda x: (x * 134217729.0) - ((x * 134217729.0) - x)
+    product, high = c * scale, split(c)
+    top = 134217729.0 * scale - (134217729.0 * scale - scale)
+    low, rest = c - high, scale - top
+    error = ((high * top - product) + high * rest + low * top) + low * rest
+    floor = F.floor(product)
+    over = product - floor - 0.5  # exact
+    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (floor % 2 != 0))))
+    return (floor + F.when(up, 1).otherwise(0)) / scale
+
+
+def now_prompt(task: Column, skill: Column, style: str = "task_then_now", bare: bool = True) -> Column:
+    """"<task>. Now: <skill>.", both without full stops and blanks at their end; or only the skill, as it is unless ``bare``.
+    Null texts are empty."""
+    skill, task = F.coalesce(skill, F.lit("")), F.coalesce(task, F.lit(""))
+    if style == "skill_only":
+        return bare_end(skill) if bare else skill
+    if style != "task_then_now":
+        raise ValueError(f"no such style: {style}")
+    return F.concat(bare_end(task), F.lit(". Now: "), bare_end(skill), F.lit("."))
+
+
+def frame_path(task: Column, episode: Column, view: Column, frame: Column, suffix: str = "jpg") -> Column:
+    """a frame's place below a cache: task, episode, view and frame, padded with zeros."""
+    return F.concat_ws("/", F.format_string("task-%04d", task), F.format_string("episode_%08d", episode), view, F.format_string(f"dataset_%08d.{suffix}", frame))
+
+
+def episode_path(pattern: str, episode: Column, chunk_size: int = 1000, **more: Column) -> Column:
+    """a pattern with {episode_chunk:03d}, {episode_index:06d} and further names, filled in; an episode's chunk is its
+    number over ``chunk_size``. A path that leads out of its folder is an error."""
+    values = {"episode_index": episode, "episode_chunk": F.floor(episode / chunk_size), **more}
+    parts = []
+    for literal, name, spec, _ in Formatter().parse(pattern):
+        parts.append(F.lit(literal))
+        if name is not None:
+            parts.append(F.format_string(f"%{spec}", values[name]) if spec else values[name].cast("string"))
+    path = F.concat(*parts)
+    outside = F.startswith(path, F.lit("/")) | F.exists(F.split(path, "/"), lambda x: x == "..")
+    return F.when(outside, F.raise_error(F.concat(F.lit("a path leaves its folder: "), path)).cast("string")).otherwise(path)
+
+
 def _first_json(text: str | None) -> str | None:
     """The first balanced {...} or [...] outside which nothing of it is quoted."""
     if text is None:

@@ -80,6 +80,18 @@ def global_offsets(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return inside.join(offsets, on).withColumn("place", F.col("_offset") + F.col("_i")).drop("_i", "_offset", *[f"_{k}" for k in keys])
 
 
+def located(manifest: DataFrame, index: str, sizes: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """``manifest`` rows (keys, ``index``: a place in all episodes one after another) with ``local``, their place in their
+    own episode. ``sizes``: keys and each episode's number of rows. An index outside its episode is an error when it is read,
+    and so is one of an episode that is not known."""
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # a row for each key
+    starts = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(F.sum(rows).over(before), F.lit(0)).alias("_start"), F.col(rows).alias("_rows"))
+    found = manifest.join(starts, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left")
+    local = F.col(index) - F.col("_start")
+    wrong = F.raise_error(F.concat(F.lit("row index out of range for episode "), F.to_json(F.struct(*keys)))).cast("bigint")
+    return found.withColumn("local", F.when((local >= 0) & (local < F.col("_rows")), local).otherwise(wrong)).drop("_start", "_rows", *[f"_{k}" for k in keys])
+
+
 def path_lengths(df: DataFrame, keys: list[str], order: str, value: str, first: int) -> DataFrame:
     """Over the first rows of each key, the sum of changes of a number (``path``) and its mean."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -179,6 +179,12 @@ def buffered(df: DataFrame, order: str, size: int, seed: int, block: int = 1 <<
     return rows.withColumn("turn", turn(F.col(order).cast("bigint"))).drop("_block")
 
 
+def curriculum(budgets: DataFrame, expert: str, budget: str, slots: int) -> DataFrame:
+    """Expert, step, slot: at every step ``slots`` rows of each expert whose budget of steps is not used up."""
+    rows = budgets.where(F.col(budget) > 0).select(expert, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(budget).cast("bigint") - 1)).alias("step"))
+    return rows.select(expert, "step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))).alias("slot"))
+
+
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows by several keys; each task keeps its own first ones, so no table is sorted as a whole."""
     return df.orderBy(*order).limit(n)

@@ -129,17 +129,29 @@ def cluster_faults(named: DataFrame, items: DataFrame, item: str) -> DataFrame:
     return both.select(fault.alias("fault"), F.coalesce(item, "_i").alias(item)).where("fault is not null")
 
 
-def clusters_merged(named: DataFrame, name: str, kind: str, item: str, description: str, aliases: dict[str, str], drop: list[str]) -> DataFrame:
-    """Clusters of one normal name and type as one: name, kind, n, members (ascending). A release or dropped name goes
-    by its description, and to ``other`` where that says nothing. Members of a cluster are listed, as the feature asks."""
+def _cluster(name: str, description: str, aliases: dict[str, str], drop: list[str]) -> Column:
+    """The normal name of a cluster."""
     folded = X.aliased(X.folded(F.col(name)), aliases)
     gone = folded.isin(*drop, "release")
     routed = F.when(gone & F.col(description).rlike(r"(?i)\b(into|inside|in)\b"), "place in").when(gone & F.col(description).rlike(r"(?i)\b(onto|on)\b"), "place on").otherwise(folded)
-    final = F.when(routed.isin(*drop) | (routed == "") | routed.isNull(), "other").otherwise(routed)
-    rows = named.select(final.alias(name), kind, item)
+    return F.when(routed.isin(*drop) | (routed == "") | routed.isNull(), "other").otherwise(routed)
+
+
+def clusters_merged(named: DataFrame, name: str, kind: str, item: str, description: str, aliases: dict[str, str], drop: list[str]) -> DataFrame:
+    """Clusters of one normal name and type as one: name, kind, n, members (ascending). A release or dropped name goes
+    by its description, and to ``other`` where that says nothing. Members of a cluster are listed, as the feature asks."""
+    rows = named.select(_cluster(name, description, aliases, drop).alias(name), kind, item)
     return rows.groupBy(name, kind).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(item)).alias("members"))
 
 
+def cluster_members(named: DataFrame, name: str, kind: str, item: str, description: str, aliases: dict[str, str], drop: list[str]) -> DataFrame:
+    """The same as a row for each member: name, kind, item, n (of its cluster). Clusters are counted before the join, so
+    one that has most of the items is never in one task."""
+    rows = named.select(_cluster(name, description, aliases, drop).alias(name), kind, item)
+    sizes = rows.groupBy(F.col(name).alias("_n"), F.col(kind).alias("_k")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(sizes, F.col(name).eqNullSafe(F.col("_n")) & F.col(kind).eqNullSafe(F.col("_k"))).drop("_n", "_k")
+
+
 def fallback_cluster(description: Column, kind: Column) -> tuple[Column, Column]:
     """name and type for an item that no cluster names, by the first words of its description, else by its type."""
     said = X.folded(F.coalesce(description, F.lit("")))

@@ -15,16 +15,18 @@ from .temporal import HOUR, E, events
 DAY = 24 * HOUR
 
 
-def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps in mm that move slowly: a saw of the place within the run, and the value's tenths."""
+def _gaps(spark: SparkSession, sf_dir: str, later: int = 0) -> DataFrame:
+    """Gaps in mm that move slowly: a saw of the place within the run, which begins ``later``, and the value's tenths."""
     r = F.row_number().over(Window.partitionBy("user_id").orderBy("us")) - 1
     rows = events(spark, sf_dir).withColumn("r", r)
-    saw = F.when(F.pmod("r", F.lit(20)) < 4, F.lit(80.0)).when(F.pmod("r", F.lit(20)) < 14, F.lit(30.0)).otherwise(F.lit(60.0))
+    at = F.pmod(F.col("r") + later, F.lit(20))
+    saw = F.when(at < 4, F.lit(80.0)).when(at < 14, F.lit(30.0)).otherwise(F.lit(60.0))
     return rows.select("user_id", F.col("r").cast("bigint").alias("seq"), (saw + F.floor(F.col("value") / 10) / 4).alias("gap"))
 
 
 GAPS = f"""{E}, g AS (SELECT user_id, r AS seq, (CASE WHEN r % 20 < 4 THEN 80.0 WHEN r % 20 < 14 THEN 30.0 ELSE 60.0 END)::DOUBLE + floor(value / 10) / 4 AS gap
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us) - 1 AS r FROM e))"""
+LATER = GAPS.replace("r % 20", "(r + 4) % 20")
 
 
 def contact_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +48,11 @@ SELECT user_id, min(seq) AS held FROM n WHERE n = 5 GROUP BY user_id"""
 
 
 def place_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T5: the log starts at each run's fifth gap, so that jaws hold something at first."""
-    return A.releases(_gaps(spark, sf_dir).where("seq >= 4"), ["user_id"], "seq", "gap")
+    """T5: jaws hold something at first."""
+    return A.releases(_gaps(spark, sf_dir, 4), ["user_id"], "seq", "gap")
 
 
-RELEASES_SQL = f"""WITH {GAPS}, w AS (SELECT *, first_value(gap) OVER (PARTITION BY user_id ORDER BY seq) AS start FROM g WHERE seq >= 4),
+RELEASES_SQL = f"""WITH {LATER}, w AS (SELECT *, first_value(gap) OVER (PARTITION BY user_id ORDER BY seq) AS start FROM g),
 x AS (SELECT *, start <= 62 AND gap >= 45 AND gap - start >= 10 AS wide, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS r FROM w),
 y AS (SELECT *, r - row_number() OVER (PARTITION BY user_id ORDER BY seq) AS part FROM x WHERE wide),
 z AS (SELECT *, row_number() OVER (PARTITION BY user_id, part ORDER BY seq) AS n FROM y)
@@ -59,10 +61,10 @@ SELECT user_id, min(seq) AS released FROM z WHERE n = 5 GROUP BY user_id"""
 
 def release_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T6."""
-    return A.guarded(_gaps(spark, sf_dir).where("seq >= 4"), ["user_id"], "seq", "gap")
+    return A.guarded(_gaps(spark, sf_dir, 4), ["user_id"], "seq", "gap")
 
 
-GUARD_SQL = f"""WITH {GAPS}, w AS (SELECT *, row_number() OVER v AS n, lag(gap) OVER v AS p, min(gap) OVER k AS lo, max(gap) OVER k AS hi, avg(gap) OVER k AS mean FROM g WHERE seq >= 4
+GUARD_SQL = f"""WITH {LATER}, w AS (SELECT *, row_number() OVER v AS n, lag(gap) OVER v AS p, min(gap) OVER k AS lo, max(gap) OVER k AS hi, avg(gap) OVER k AS mean FROM g
 WINDOW v AS (PARTITION BY user_id ORDER BY seq), k AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
 h AS (SELECT *, first_value(CASE WHEN n >= 3 AND lo >= 5 AND hi <= 68 AND hi - lo <= 2.5 THEN mean END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS hold FROM w)
 SELECT user_id, min(seq) AS opened FROM h WHERE n >= 12 AND hold IS NOT NULL AND (gap - hold >= 5 OR gap - p >= 4) GROUP BY user_id"""
@@ -92,6 +94,11 @@ def attempt_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESULTS_SQL = f"WITH RECURSIVE {ATTEMPTS} SELECT user_id, seq, event FROM o"
 
 
+def attempt_results_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2, by windows, for logs of any length."""
+    return A.outcomes(_attempts(spark, sf_dir), ["user_id"], "seq").select("user_id", "seq", "event")
+
+
 def failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T13."""
     rows = _attempts(spark, sf_dir)
@@ -247,6 +254,7 @@ QUERIES = {
     "place_releases": (place_releases, RELEASES_SQL),
     "release_guard": (release_guard, GUARD_SQL),
     "attempt_results": (attempt_results, RESULTS_SQL),
+    "attempt_results_windowed": (attempt_results_windowed, RESULTS_SQL),
     "failure_runs": (failure_runs, FAILURES_SQL),
     "third_retries": (third_retries, THIRD_SQL),
     "stall_phases": (stall_phases, STALL_SQL),

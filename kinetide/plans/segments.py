@@ -85,11 +85,11 @@ SELECT o_custkey, o_orderkey, expected, abs(n - expected) <= 2 AS ok FROM f"""
 
 def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P12, P14, P15."""
-    rows = _read(spark, sf_dir, "part").withColumn("flag", F.col("p_retailprice") > 1000)
-    return G.selected(rows, {"p_brand": ["Brand#11", "Brand#12", "Brand#13", "Brand#21"]}, {"p_type": ".*[AEIOU].*"}, "flag").select("p_partkey", "p_brand", "p_type")
+    rows = _read(spark, sf_dir, "part").withColumn("flag", F.col("p_retailprice") > 905)
+    return G.selected(rows, {"p_brand": ["Brand#2", "Brand#11", "Brand#12", "Brand#13", "Brand#21"]}, {"p_type": "[A-P].*[AEIOU]?."}, "flag").select("p_partkey", "p_brand", "p_type")
 
 
-MANIFEST_ROWS_SQL = "SELECT p_partkey, p_brand, p_type FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21') AND regexp_full_match(p_type, '.*[AEIOU].*') AND p_retailprice > 1000"
+MANIFEST_ROWS_SQL = "SELECT p_partkey, p_brand, p_type FROM part WHERE p_brand IN ('Brand#2', 'Brand#11', 'Brand#12', 'Brand#13', 'Brand#21') AND regexp_full_match(p_type, '[A-P].*[AEIOU]?.') AND p_retailprice > 905"
 
 
 def ordered_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,12 +179,13 @@ SELECT vec_id, t, dim, round((x - avg(x) OVER w) / (sqrt(greatest(avg(x * x) OVE
 
 
 def cluster_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts are items; suppliers' lines name them, some twice, some never, and one that does not exist."""
-    named = _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item")).where("item > 3").unionByName(spark.createDataFrame([(-1,)], "item long"))
+    """Parts are items; lines name them, some twice. Lines of every seventh part name one that does not exist instead, so
+    those are never named."""
+    named = _read(spark, sf_dir, "lineitem").select(F.when(F.col("l_partkey") % 7 == 0, -1 - F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("item"))
     return G.cluster_faults(named, _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item")), "item")
 
 
-FAULTS_SQL = """WITH n AS (SELECT item, count(*) AS n FROM (SELECT l_partkey AS item FROM lineitem WHERE l_partkey > 3 UNION ALL SELECT -1) GROUP BY item)
+FAULTS_SQL = """WITH n AS (SELECT item, count(*) AS n FROM (SELECT CASE WHEN l_partkey % 7 = 0 THEN -1 - l_partkey ELSE l_partkey END AS item FROM lineitem) GROUP BY item)
 SELECT CASE WHEN p_partkey IS NULL THEN 'unknown' WHEN item IS NULL THEN 'missing' ELSE 'duplicate' END AS fault, coalesce(item, p_partkey) AS item
 FROM n FULL JOIN part ON item = p_partkey WHERE p_partkey IS NULL OR item IS NULL OR n > 1"""
 
@@ -208,10 +209,19 @@ def clusters_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", "kind", "n", F.sha2(F.array_join(F.transform("members", lambda x: x.cast("string")), ","), 256).alias("members"))
 
 
+def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each member of a cluster, with the cluster's size."""
+    return G.cluster_members(_named(spark, sf_dir), "name", "kind", "p_partkey", "said", {"grab": "pick up from"}, ["noise"])
+
+
 MERGED_SQL = f"""WITH {NAMED}, m AS (SELECT p_partkey, kind, CASE lower(trim(name)) WHEN 'release' THEN 'place in' WHEN 'noise' THEN 'place on' WHEN 'grab' THEN 'pick up from' WHEN '' THEN 'other' ELSE lower(trim(name)) END AS name FROM p)
 SELECT name, kind, count(*) AS n, sha256(string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey)) AS members FROM m GROUP BY name, kind"""
 
 
+MEMBERS_SQL = f"""WITH {NAMED}, m AS (SELECT p_partkey, kind, CASE lower(trim(name)) WHEN 'release' THEN 'place in' WHEN 'noise' THEN 'place on' WHEN 'grab' THEN 'pick up from' WHEN '' THEN 'other' ELSE lower(trim(name)) END AS name FROM p)
+SELECT name, kind, p_partkey, count(*) OVER (PARTITION BY name, kind) AS n FROM m"""
+
+
 def fallback_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, kind = G.fallback_cluster(F.col("said"), F.col("kind"))
     return _named(spark, sf_dir).select("p_partkey", name.alias("cluster"), kind.alias("type"))
@@ -233,16 +243,22 @@ GUARD_SQL = """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY
 SELECT user_id, CAST(slot // 8 AS INT) AS expected, count(*) AS bad FROM r WHERE slot < 24 AND slot // 8 <> CASE WHEN value > 90 THEN 2 ELSE slot // 8 END GROUP BY 1, 2"""
 
 
+RECIPES = (*[f"NATION_{k}" for k in range(20)], "MARS")
+
+
 def recipe_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations are the sources of regions' recipes."""
-    rows = _read(spark, sf_dir, "nation").join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = rows.select("r_name", F.col("n_nationkey").cast("string").alias("source"), F.when(F.col("n_nationkey") != 7, F.col("n_name")).alias("path"), F.lit("b").alias("base"), (F.col("r_regionkey") > 1).alias("mode"))
-    return G.recipe_faults(rows, "r_name", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MARS"], ["base", "mode"], ["path"], "source")
+    """Suppliers are the sources of nations' recipes, some of them without an account, and share their tens of a balance."""
+    rows = _read(spark, sf_dir, "supplier").join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    source = F.floor(F.col("s_acctbal") / 10).cast("string")
+    rows = rows.select("n_name", source.alias("source"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("path"), F.lit("b").alias("base"), F.col("n_regionkey").alias("mode"))
+    return G.recipe_faults(rows, "n_name", RECIPES, ["base", "mode"], ["path"], "source")
 
 
-RECIPE_SQL = """SELECT 'unknown' AS fault, r_name AS what FROM region WHERE r_name NOT IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MARS')
-UNION ALL SELECT 'missing', 'MARS' UNION ALL SELECT 'differs', 'mode'
-UNION ALL SELECT 'null', r_name || '.path' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 7"""
+RECIPE_SQL = f"""WITH r AS (SELECT n_name, CAST(CAST(floor(s_acctbal / 10) AS BIGINT) AS VARCHAR) AS source, CASE WHEN s_acctbal > 0 THEN s_name END AS path, 'b' AS base, CAST(n_regionkey AS VARCHAR) AS mode FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+k AS (SELECT unnest({_listed(RECIPES)}) AS name)
+SELECT 'unknown' AS fault, n_name AS what FROM r WHERE n_name NOT IN (SELECT name FROM k) GROUP BY n_name UNION ALL SELECT 'missing', name FROM k WHERE name NOT IN (SELECT n_name FROM r)
+UNION ALL SELECT 'null', n_name || '.path' FROM r WHERE path IS NULL UNION ALL SELECT 'differs', c FROM (SELECT unnest(['base', 'mode']) AS c, unnest([base, mode]) AS v FROM r) GROUP BY c HAVING count(DISTINCT v) > 1
+UNION ALL SELECT 'shared', source FROM r GROUP BY source HAVING count(DISTINCT n_name) > 1"""
 
 
 def first_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,13 +315,17 @@ CAST(CASE WHEN value > 50 THEN 9 WHEN k = 3 THEN 0 WHEN k = 5 THEN 5 END AS INT)
 
 def subtasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """subtasks from JSON, flat or wrapped, by turn."""
-    flat = F.concat(F.lit('{"id": "t'), F.col("turn"), F.lit('", "prompt": " go '), F.col("role"), F.lit(' ", "stage_hint": " MOVE_to", "plan_sketch": [" a ", "", "b"]}'))
+    flat = F.concat(F.lit('{"id": "t'), F.col("turn"), F.lit('", "prompt": " go '), F.col("role"), F.lit(' ", "stage_hint": " MOVE_to", "plan_sketch": [" a ", "", "'), F.col("role"), F.lit('"]}'))
     c = F.when(F.col("turn") % 2 == 0, flat).otherwise(F.concat(F.lit('{"subtask": '), flat, F.lit("}")))
     s = C.subtask(c)
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", s["id"].alias("id"), s["prompt"].alias("prompt"), s["stage_hint"].alias("stage_hint"), F.array_join(s["plan_sketch"], "|").alias("sketch"))
 
 
-SUBTASK_SQL = "SELECT conv_id, turn, 't' || turn AS id, 'go ' || role AS prompt, 'move_to' AS stage_hint, 'a|b' AS sketch FROM conversations"
+#: Its JSON as text, read by the other engine's own JSON functions.
+SUBTASK_SQL = """WITH j AS (SELECT conv_id, turn, '{"id": "t' || turn || '", "prompt": " go ' || role || ' ", "stage_hint": " MOVE_to", "plan_sketch": [" a ", "", "' || role || '"]}' AS flat FROM conversations),
+w AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN flat ELSE '{"subtask": ' || flat || '}' END AS c FROM j),
+s AS (SELECT conv_id, turn, coalesce(json_extract(c, '$.subtask'), json(c)) AS s FROM w)
+SELECT conv_id, turn, s->>'$.id' AS id, trim(s->>'$.prompt') AS prompt, lower(trim(s->>'$.stage_hint')) AS stage_hint, array_to_string(list_filter(list_transform(CAST(s->'$.plan_sketch' AS VARCHAR[]), lambda x: trim(x)), lambda x: x <> ''), '|') AS sketch FROM s"""
 
 
 def video_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,6 +355,7 @@ QUERIES = {
     "clusters_merged": (clusters_merged, MERGED_SQL),
     "fallback_assigned": (fallback_assigned, FALLBACK_SQL),
     "slot_guard": (slot_guard, GUARD_SQL),
+    "cluster_members": (cluster_members, MEMBERS_SQL),
     "recipe_faults": (recipe_faults, RECIPE_SQL),
     "first_parts": (first_parts, FIRST_SQL),
     "timeline_faults": (timeline_faults, TIMELINE_SQL),

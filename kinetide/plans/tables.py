@@ -185,10 +185,12 @@ SELECT id, arg_max(o_orderkey, high) AS o_orderkey FROM d JOIN c ON d.bucket = c
 
 
 def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.batch_plan(spark, {"a": 300, "b": 300, "c": 350, "d": 300, "e": 250, "f": 450}, 8).groupBy("expert").agg(F.count(F.lit(1)).alias("n"), F.max("step").alias("last"))
+    """Brands are experts, their parts' number the budget of steps, with eight slots a step."""
+    budgets = _read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("expert")).agg(F.count(F.lit(1)).alias("budget"))
+    return S.curriculum(budgets, "expert", "budget", 8)
 
 
-PLAN_SQL = "SELECT CAST(e AS INT) AS expert, b * 8 AS n, b - 1 AS last FROM (VALUES (0, 300::BIGINT), (1, 300), (2, 350), (3, 300), (4, 250), (5, 450)) v(e, b)"
+PLAN_SQL = "SELECT p_brand AS expert, step, slot FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand), unnest(range(0, n)) s(step), range(0, 8) t(slot)"
 
 
 def whole_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,14 +202,15 @@ WHERE r < n // 16 * 16"""
 
 
 def half_even_2dp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "events").select("event_id", X.half_even(F.col("value") * 10).alias("tenths"))
+    """quarters of values, many of which lie halfway in decimals, to two digits, and tenths to none."""
+    return _read(spark, sf_dir, "events").select("event_id", X.half_even(F.col("value") * 10).alias("tenths"), X.half_even_exact(F.col("value") / 4, 2).alias("quarters"))
 
 
-HALF_SQL = "SELECT event_id, round_even(value * 10, 0) AS tenths FROM events"
+HALF_SQL = "SELECT event_id, round_even(value * 10, 0) AS tenths, CAST(printf('%.2f', value / 4) AS DOUBLE) AS quarters FROM events"
 
 
 def attempt_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T2, T13 in batch: runs of consecutive turns of a role by conversation, as runs of failures are."""
+    """Runs of consecutive turns of a role by conversation."""
     rows = _read(spark, sf_dir, "conversations")
     return T.islands(rows, ["conv_id"], "turn", F.col("role") == "user").select("conv_id", "first", "last", "n")
 
@@ -258,6 +261,17 @@ def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 OFFSETS_SQL = "SELECT event_id, row_number() OVER (ORDER BY user_id, event_id) - 1 AS place FROM events"
 
 
+def located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are episodes of their lines; each line's place among all leads back to its place in its order."""
+    lines = R.global_offsets(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], "l_linenumber").withColumn("place", F.col("place").cast("bigint"))
+    sizes = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return R.located(lines, "place", sizes, ["l_orderkey"], "n").groupBy("l_orderkey").agg(F.max("local").alias("last"), F.sum("local").alias("total"), F.min("place").alias("start"))
+
+
+LOCATED_SQL = """WITH s AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, n - 1 AS last, n * (n - 1) // 2 AS total, CAST(coalesce(sum(n) OVER (ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s"""
+
+
 def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length of each user's path through the first 60 values, and its mean."""
     rows = _read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("at"), "value")
@@ -295,6 +309,7 @@ QUERIES = {
     "validated": (validated, FAULTS_SQL),
     "same_sets": (same_sets, SETS_SQL),
     "offsets": (offsets, OFFSETS_SQL),
+    "located": (located, LOCATED_SQL),
     "path_length": (path_length, PATH_SQL),
     "subset": (subset, None),
     "stratified_draws": (stratified_draws, None),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetide.operators import temporal as T
@@ -217,12 +217,12 @@ SELECT user_id, min(us) AS stop FROM m WHERE still = 1 AND moved = 1 GROUP BY us
 
 
 def debounced_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4, T5 in batch: where a run of high values reaches three, once for each run."""
+    """Where a run of high values reaches three, once for each run."""
     runs = T.islands(events(spark, sf_dir), ["user_id"], "us", _high(), least=3)
     rows = events(spark, sf_dir).select("user_id", "us")
-    place = T.range_join(rows, runs.select("user_id", F.col("first").alias("s"), F.col("last").alias("t")), ["user_id"], "us", "s", "t", 0, 7 * 24 * HOUR)
-    nth = place.groupBy("user_id", "s").agg(F.element_at(F.sort_array(F.collect_list("us")), 3).alias("confirmed_us"))
-    return nth.select("user_id", F.col("s").alias("start_us"), "confirmed_us")
+    inside = T.range_join(rows, runs.select("user_id", F.col("first").alias("s"), F.col("last").alias("t")), ["user_id"], "us", "s", "t", 0, 7 * 24 * HOUR)
+    nth = inside.withColumn("k", F.row_number().over(Window.partitionBy("user_id", "s").orderBy("us"))).where("k = 3")
+    return nth.select("user_id", F.col("s").alias("start_us"), F.col("us").alias("confirmed_us"))
 
 
 CONTACT_SQL = f"""WITH {ISLANDS}, c AS (SELECT user_id, g, us, row_number() OVER (PARTITION BY user_id, g ORDER BY us) AS k, min(us) OVER (PARTITION BY user_id, g) AS start_us FROM b)

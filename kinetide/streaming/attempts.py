@@ -108,6 +108,23 @@ def contacts(df: DataFrame, key: list[str], order: str, gap: str) -> DataFrame:
     return rows.where(F.col("_n") == CONFIRMATIONS).groupBy(*key).agg(F.min("_o").alias("held"))
 
 
+def outcomes(df: DataFrame, key: list[str], order: str) -> DataFrame:
+    """T2 over a finished log of any length, by windows: ``df`` with ``event``. Columns verdict, followup and retries (null:
+    RETRIES), which must be the same for all rows of a key.
+
+    Attempts are counted since the last one that ended the subtask. Some end it by what they are (complete, an error, a plan
+    that no longer fits); between two of these every (retries + 1)-th fails, so its place there says what it is."""
+    limit = F.coalesce(F.col("retries"), F.lit(RETRIES)) if "retries" in df.columns else F.lit(RETRIES)
+    done = F.coalesce((F.col("verdict") == "complete") & (F.coalesce("followup", F.lit("")) != "retry"), F.lit(False))
+    fatal = F.coalesce((F.col("verdict") == "error") | F.col("followup").isin(*DEVIATED), F.lit(False))
+    rows = df.withColumns({"_done": done, "_fatal": fatal & ~done})
+    ends = F.sum(F.when(F.col("_done") | F.col("_fatal"), 1).otherwise(0)).over(_run(key, order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_part", F.coalesce(ends, F.lit(0)))
+    rows = rows.withColumn("_n", F.row_number().over(_run([*key, "_part"], order)))
+    event = F.when(F.col("_done"), "complete").when(F.col("_fatal") | (F.pmod("_n", limit + 1) == 0), "failed").otherwise("retry")
+    return rows.withColumn("event", event).drop("_done", "_fatal", "_part", "_n")
+
+
 def releases(df: DataFrame, key: list[str], order: str, gap: str) -> DataFrame:
     """T5 over a finished log: key, ``released``: the order of the fifth gap in a row that is wide, and wider than the key's
     first, which must have held something."""
@@ -133,7 +150,7 @@ def guarded(df: DataFrame, key: list[str], order: str, gap: str) -> DataFrame:
     return rows.where(fires).groupBy(*key).agg(F.min("_o").alias("opened"))
 
 
-def stalls(df: DataFrame, key: list[str], order: str, place: str, command: str, rows: int = 60, least_command: float = 0.05, ratio: float = 0.1) -> DataFrame:
+def stalls(df: DataFrame, key: list[str], order: str, place: str, command: str, rows: int = 60, least_command: float = 0.05, ratio: float = 0.12) -> DataFrame:
     """For each key one phase, from the first ``rows`` rows: ``low_command`` where the mean length of the command arrays
     is ``least_command`` at most, ``nav_pending`` where the path of the place arrays over it is below ``ratio``, else
     ``clear``. Keys with fewer rows are ``waiting``; with numbers that are not finite, ``invalid_robot_data``."""
