@@ -8,7 +8,7 @@ follows reads only the integers of this table:
               last pool that is still too small is judged against all rows
   starts      medians and quartile distances, and small subsets that a hash draws, so a run is repeatable
   C-steps     distance of every row, the nearest ``share`` of a cell's rows, their mean and covariance; two for every start,
-              then the start with the least determinant is kept for each cell and carried on until no determinant falls further
+              then the start with the least determinant is kept for each cell and carried on until it falls no further
   verdict     a squared Mahalanobis distance above ``cutoff``, after a factor that makes the distance at ``share`` that of a
               chi-squared distribution, and times n / (n + SHORT), as statistics of few words vary more
 Statistics are integers (thousandths), so sums are exact and a result doesn't depend on how rows are partitioned. The share
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import let, stored
@@ -38,9 +38,8 @@ SHORT_WORD, MARKS, SHORT = 3, ".,;:!?", 30
 ALL = "*"
 #: Chi-squared with four degrees of freedom at 0.75 and at 1 - 1e-6, and the bins for each doubling of a squared distance.
 CHI_75, CHI_FAR, BINS = 5.385, 33.377, 64
-#: Starts besides the medians, rows of a cell that each draws, C-steps before one start is chosen, and after that at most;
-#: a fall of a determinant's logarithm by less than STILL is none.
-DRAWS, DRAWN, EARLY, LATE, STILL = 3, 24, 2, 12, 5e-3
+#: Starts besides the medians, rows of a cell that each draws, and C-steps before one start is chosen.
+DRAWS, DRAWN, EARLY = 3, 24, 2
 #: Fewest rows that give an estimate, where the whole table has no more.
 FEWEST = 20
 
@@ -120,14 +119,18 @@ def _starts(rows: DataFrame) -> DataFrame:
     mids = stored(mids.withColumns({f"m{k}": F.get(f"q{k}", F.lit(1)) for k in range(D)} | {f"v{i}{j}": sd(i) * sd(i) if i == j else F.lit(0.0) for i in range(D) for j in range(i + 1)}), "quality-medians")
     drawn = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(DRAWS)))).join(mids.select(F.col("cell").alias("mc"), "n"), F.col("cell") == F.col("mc"))
     drawn = drawn.where(F.pmod(F.xxhash64("draw", "trial"), F.lit(1 << 30)) * F.col("n") < F.lit(DRAWN << 30)).groupBy("cell", "trial")
-    return _roots(mids.withColumn("trial", F.lit(0))).unionByName(_roots(_moments(drawn)))
+    return _roots(mids.withColumn("trial", F.lit(0))).unionByName(_roots(_moments(drawn.agg(*_sums()))))
 
 
-def _moments(groups) -> DataFrame:
-    """The keys of ``groups``, means m and covariances v, from exact sums."""
-    sums = {f"m{i}": F.col(NAMES[i]) for i in range(D)} | {f"v{i}{j}": F.col(NAMES[i]) * F.col(NAMES[j]) for i in range(D) for j in range(i + 1)}
-    flat = groups.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
-    flat = flat.select("cell", "trial", *[(F.col(k) / F.col("n")).alias(k) for k in sums])
+def _sums() -> list[Column]:
+    """What moments are made of: the number of rows, sums of the statistics and of their products; all integers, so exact."""
+    return [F.count(F.lit(1)).alias("n"), *[F.sum(NAMES[i]).alias(f"m{i}") for i in range(D)], *[F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"v{i}{j}") for i in range(D) for j in range(i + 1)]]
+
+
+def _moments(flat: DataFrame) -> DataFrame:
+    """cell, trial, means m and covariances v, from the sums."""
+    names = [*[f"m{i}" for i in range(D)], *[f"v{i}{j}" for i in range(D) for j in range(i + 1)]]
+    flat = flat.select("cell", "trial", *[(F.col(k) / F.col("n")).alias(k) for k in names])
     return flat.withColumns({f"v{i}{j}": F.col(f"v{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i in range(D) for j in range(i + 1)})
 
 
@@ -159,26 +162,35 @@ def _edges(near: DataFrame, share: float) -> DataFrame:
 
 
 def _step(rows: DataFrame, model: DataFrame, share: float) -> DataFrame:
-    """The models of the rows that are nearest to ``model``."""
-    near = _distances(rows, model)
-    near = near.join(stored(_edges(near, share), "quality-edges"), (F.col("cell") == F.col("ec")) & (F.col("trial") == F.col("et"))).where("bin <= edge")
-    return stored(_roots(_moments(near.groupBy("cell", "trial"))), "quality-model")
+    """The models of the ``share`` of rows that are nearest to ``model``, for its cells alone. One pass: rows are counted and
+    summed by bin, before and after the shuffle, and the nearest bins are added up."""
+    bins = _distances(rows, model).groupBy("cell", "trial", "bin").agg(*_sums())
+    w = Window.partitionBy("cell", "trial")  # as many rows as there are bins
+    first = F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    bins = bins.withColumns({"_first": first, "_all": F.sum("n").over(w)}).where(F.col("_first") <= F.floor((F.col("_all") - 1) * F.lit(share)))
+    near = bins.groupBy("cell", "trial").agg(*[F.sum(c).alias(c) for c in bins.columns if c not in ("cell", "trial", "bin", "_first", "_all")])
+    return stored(_roots(_moments(near)), "quality-model")
 
 
 def estimates(rows: DataFrame, share: float) -> DataFrame:
     """cell, means, Cholesky factor and scale of each cell's minimum-covariance-determinant estimate, from ``rows`` (cell,
-    draw, statistics); ``draw`` is any number of a row's own."""
+    draw, statistics); ``draw`` is any number of a row's own. Cells whose determinant no longer falls are done, and only the
+    rows of the others are read on; as each fall leads to another set of bins' rows, it ends."""
     model = stored(_starts(rows), "quality-model")
     for _ in range(EARLY):
         model = _step(rows, model, share)
     best = model.groupBy(F.col("cell").alias("bc")).agg(F.min_by("trial", F.struct("det", "trial")).alias("bt"))
-    model = stored(model.join(best, (F.col("cell") == F.col("bc")) & (F.col("trial") == F.col("bt"))).drop("bc", "bt"), "quality-model")
-    for _ in range(LATE):
-        new = _step(rows, model, share)
-        was = model.select(F.col("cell").alias("wc"), F.col("det").alias("was"))
-        if new.join(was, F.col("cell") == F.col("wc")).where(F.col("det") < F.col("was") - STILL).isEmpty():
+    going = stored(model.join(best, (F.col("cell") == F.col("bc")) & (F.col("trial") == F.col("bt"))).drop("bc", "bt"), "quality-model")
+    done = []
+    while True:
+        new = _step(rows, going, share)
+        both = new.join(going.select(F.col("cell").alias("wc"), F.col("det").alias("was")), F.col("cell") == F.col("wc"))
+        fell = stored(both.where(F.col("det") < F.col("was")).drop("wc", "was"), "quality-model")
+        done.append(going.join(fell.select(F.col("cell").alias("fc")), F.col("cell") == F.col("fc"), "left_anti"))
+        if fell.isEmpty():
             break
-        model = new
+        going = fell
+    model = stored(reduce(DataFrame.unionByName, done), "quality-model")
     scale = _edges(_distances(rows, model), share).select("ec", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("edge") + 1) / F.lit(float(BINS))) / CHI_75).alias("scale"))
     return stored(model.join(scale, F.col("cell") == F.col("ec")).drop("ec"), "quality-estimates")
 
