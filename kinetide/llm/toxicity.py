@@ -19,12 +19,13 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import _texts
-from .common import stored
+from .common import pieces, stored
 from .lang import held_out
+from .words import as_arrow, cut
 
 #: Bound of the sample of positives (labelled rows); features kept; letter runs.
 POSITIVES, FEATURES, RUNS = 4000, 500, (5, 6, 7)
@@ -33,13 +34,16 @@ POSITIVES, FEATURES, RUNS = 4000, 500, (5, 6, 7)
 LIFT, LEAST_Z, LEAST, SHARE = 5.0, 8.0, 3, 0.01
 #: Newton steps at most, and rows that a task handles at once.
 STEPS, ROWS = 12, 2000
-CACHE_WORDS = 100_000
-#: ASCII that separates words.
-APART = bytes(b if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(256))
+CACHE_WORDS, PIECE = 200_000, 8 << 20
+#: Bytes of words: letters and digits of ASCII and all of other characters.
+INSIDE = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 
 
-def words_of(text: bytes) -> set[bytes]:
-    return set(text.decode("utf-8").lower().encode().translate(APART).split())
+def words_of(texts: pa.Array) -> list[set[bytes]]:
+    """The distinct words of each text, in lower case."""
+    w = cut(pa.compute.utf8_lower(texts), INSIDE)
+    begin = np.searchsorted(w.row, np.arange(len(texts) + 1)).tolist()
+    return [{w.bytes(i) for i in range(a, b)} for a, b in zip(begin, begin[1:], strict=False)]
 
 
 def runs_of(word: bytes) -> set[str]:
@@ -56,25 +60,43 @@ def _reader(kept: tuple[str, ...]) -> Reader:
 
 
 class Reader:
-    """Texts to the sorted numbers of kept features they hold. A word's are found by one intersection and remembered if it
-    has any; of the others, some are remembered as having none."""
+    """Texts to the kept features they hold. A batch's words are numbered by Arrow; each distinct one is looked at once, by one
+    intersection, and remembered for later batches."""
 
     def __init__(self, kept: tuple[str, ...]):
         self.number = {s: k for k, s in enumerate(kept)}
         self.names = frozenset(kept)
         self.words: dict[bytes, tuple[int, ...]] = {}
 
-    def __call__(self, text: bytes) -> list[int]:
+    def of(self, word: bytes) -> tuple[int, ...]:
+        own = self.words.get(word)
+        if own is None:
+            own = self.words[word] = tuple(self.number[s] for s in self.names & runs_of(word))
+        return own
+
+    def found(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Row and feature of each, in order and once."""
         if len(self.words) > CACHE_WORDS:
             self.words = {}
-        known, out = self.words, set()
-        for w in words_of(text):
-            own = known.get(w)
-            if own is None:
-                own = known[w] = tuple(self.number[s] for s in self.names & runs_of(w))
-            if own:
-                out.update(own)
-        return sorted(out)
+        w = cut(pa.compute.utf8_lower(texts), INSIDE)
+        coded = as_arrow(w).dictionary_encode()
+        each = [self.of(x) for x in coded.dictionary.to_pylist()]
+        size = np.array([len(x) for x in each], np.int64)
+        flat = np.fromiter((k for x in each for k in x), np.int64, int(size.sum()))
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        there = size[word] > 0 if len(word) else np.zeros(0, bool)
+        pairs = np.unique(w.row[there] * max(1, len(each)) + word[there])
+        row, word = np.divmod(pairs, max(1, len(each)))
+        many = size[word]
+        place = np.repeat((np.cumsum(size) - size)[word], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        both = np.unique(np.repeat(row, many) * max(1, len(self.names)) + flat[place])
+        return np.divmod(both, max(1, len(self.names)))
+
+    def lists(self, texts: pa.Array) -> pa.Array:
+        """Each text's features, ascending."""
+        row, feature = self.found(texts)
+        offsets = np.searchsorted(row, np.arange(len(texts) + 1))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(feature, pa.int32()))
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -216,8 +238,8 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     def slots(batches):
         for batch in batches:
             into: dict[str, int] = {}
-            for t in _texts(batch):
-                for s in set().union(*map(runs_of, words_of(t))):
+            for words in words_of(batch.column(0)):
+                for s in set().union(*map(runs_of, words)):
                     into[s] = into.get(s, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.int64())], ["slot", "n"])
 
@@ -231,8 +253,8 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     def counted(batch):
         own = _reader(shared.value)
         out = np.zeros(width + 1)
-        for t in _texts(batch):
-            out[own(t)] += 1
+        for part in pieces(batch, 0, PIECE):
+            out[:-1] += np.bincount(own.found(part.column(0))[1], minlength=width)
         out[-1] = batch.num_rows
         return out
 
@@ -249,7 +271,8 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     def read(batches):
         own = _reader(known.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([own(t) for t in _texts(batch)], pa.list_(pa.int32()))], ["key", "held_out", "held", "x"])
+            for part in pieces(batch, 3, PIECE):
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], own.lists(part.column(3))], ["key", "held_out", "held", "x"])
 
     fifth = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(5)) == 0
     every = docs.select(F.col(id_col).cast("bigint").alias("key"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -307,7 +330,8 @@ def predict(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str
     def read(batches):
         own = _reader(kept.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([own(t) for t in _texts(batch)], pa.list_(pa.int32()))], ["key", "held_out", "x"])
+            for part in pieces(batch, 2, PIECE):
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], own.lists(part.column(2))], ["key", "held_out", "x"])
 
     return scored(rows.mapInArrow(read, "key long, held_out boolean, x array<int>"), model)
 

@@ -63,3 +63,20 @@ def test_an_empty_text_is_near_the_prior(spark):
     docs, labels = make(spark, 120)
     kept, w, b = toxicity.learn(docs, labels)
     assert 1 / (1 + np.exp(-b)) < 0.3
+
+
+def test_reader_finds_what_a_plain_one_does():
+    """Features of each text against sets of runs, in batches and alone; case, marks, other scripts and repeats."""
+    import pyarrow as pa
+
+    r = np.random.RandomState(7)
+    stems = ["Rotten", "vile", "ÉÇole", "straße", "x1", "словоСЛОВО", "a", "abcdefghij"]
+    texts = ["", " ", "...", "Rotten-rotten ROTTEN", "é" * 30, *[" ,.\n"[i % 4].join(r.choice(stems, r.randint(0, 12))) for i in range(200)], "vile " * 20_000]
+    plain = lambda t: set().union(*map(toxicity.runs_of, {w.encode() for w in "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()}))
+    kept = tuple(sorted(set().union(*map(plain, texts)))[::3])
+    want = [[k for k, s in enumerate(kept) if s in plain(t)] for t in texts]
+    own = toxicity.Reader(kept)
+    assert own.lists(pa.array(texts)).to_pylist() == want
+    assert [own.lists(pa.array([t])).to_pylist()[0] for t in texts] == want
+    assert own.lists(pa.array(texts).slice(5, 9)).to_pylist() == want[5:14]
+    assert own.lists(pa.array([], pa.string())).to_pylist() == [] and toxicity.Reader(()).lists(pa.array(["a b"])).to_pylist() == [[]]
