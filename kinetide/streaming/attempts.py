@@ -71,8 +71,20 @@ STATES = {"contact": "last long, peak double, before double, count int, done boo
 
 def in_batch(df: DataFrame, kind: str) -> DataFrame:
     """Events (key, seq, event) of a finished log: columns key, seq and gap, or verdict, followup and perhaps retries (of the
-    subtask). The key of outcomes names run and subtask, as attempts are counted by subtask."""
-    return df.groupBy("key").applyInPandas(lambda rows: _walk(rows, kind, START[kind])[0], EVENTS)
+    subtask). The key of outcomes names run and subtask, as attempts are counted by subtask. Keys come in order, and a key's
+    rows by seq, batch by batch: a task holds a batch and one state, however long a run is. Null keys are left out."""
+    rows = df.where("key is not null").repartition("key").sortWithinPartitions("key", "seq")
+
+    def walked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, state = None, START[kind]
+        for frame in frames:
+            for key, part in frame.groupby("key", sort=False):
+                if key != own:
+                    own, state = key, START[kind]
+                out, state = _walk(part, kind, state)
+                yield out
+
+    return rows.mapInPandas(walked, EVENTS)
 
 
 def in_stream(df: DataFrame, kind: str) -> DataFrame:
