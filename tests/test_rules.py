@@ -218,4 +218,18 @@ def test_verbs(spark, tmp_path, capsys):
     verbs.main(["weights", str(tmp_path / "seg"), str(tmp_path / "w"), "--apply"])
     assert spark.read.parquet(str(tmp_path / "w")).agg(F.round(F.sum("weight"), 3)).first()[0] == 12.0
     verbs.main(["split", str(tmp_path / "seg"), str(tmp_path / "shards"), "--apply"])
-    assert spark.read.parquet(str(tmp_path / "shards" / "shards")).count() == 12
+    from kinetide.sources import packed, shards
+
+    assert shards.read_sealed(spark, str(tmp_path / "shards"), "skill_canonical").count() == 12
+    assert shards.damaged(spark, str(tmp_path / "shards"), "skill_canonical").count() == 0
+    frames = spark.createDataFrame([(k, f, f"{k}{f}".encode()) for k in "ab" for f in range(5)], "key string, frame long, data binary")
+    frames.where("key = 'a'").write.parquet(str(tmp_path / "f1"))
+    frames.write.parquet(str(tmp_path / "f2"))
+    verbs.main(["pack", str(tmp_path / "f1"), str(tmp_path / "packed"), "--apply"])
+    capsys.readouterr()
+    assert verbs.main(["cache", str(tmp_path / "f2"), str(tmp_path / "packed")]) == 0 and "5 frames" in capsys.readouterr().out
+    verbs.main(["cache", str(tmp_path / "f2"), str(tmp_path / "packed"), "--apply"])
+    assert packed.packed_table(spark, str(tmp_path / "packed")).count() == 10
+    spark.createDataFrame([([1.0], [2.0]), ([3.0], [4.0])], "state array<double>, action array<double>").coalesce(1).write.parquet(str(tmp_path / "e"))
+    verbs.main(["prepare", str(tmp_path / "e"), str(tmp_path / "rows"), "--apply"])
+    assert sorted((r["frame"], r["state"]) for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == [(0, [1.0]), (1, [3.0])]
