@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import instructions, recovery, reports, runs, segments, storage, tables, temporal, vectors
+from . import instructions, recovery, reports, runs, segments, sources, storage, tables, temporal, vectors
 
 FLAGSHIP = "interval_report"
-ALL = temporal.QUERIES | vectors.QUERIES | tables.QUERIES | segments.QUERIES | runs.QUERIES | instructions.QUERIES | recovery.QUERIES | storage.QUERIES | reports.QUERIES
+ALL = temporal.QUERIES | vectors.QUERIES | tables.QUERIES | segments.QUERIES | runs.QUERIES | instructions.QUERIES | recovery.QUERIES | storage.QUERIES | reports.QUERIES | sources.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
