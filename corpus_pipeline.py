@@ -22,6 +22,11 @@ def _row(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(*more, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows than Spark's default, as texts are long: a batch is held by the JVM and by Python at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the outlier test of their language and source keep. Null and empty texts have no
     words and go."""
@@ -37,6 +42,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the least id, and of rows that tie at it, one. Texts without words are in no
     group and stay."""
+    _small_batches(spark)
     found = settled(spark, "pipeline-clusters", lambda: neardup.clusters(docs, words=5, share=80))
     named = F.xxhash64("key", "hash").alias("id")
     gone = found.where("not kept").select("key", "hash", named)
@@ -58,11 +64,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth lies inside windows of the benchmark; texts without words stay."""
+    _small_batches(spark)
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark and n_chars of the new text; null texts stay null."""
+    _small_batches(spark)
     return secrets.redact(docs, fresh_path(spark, "ledger"), count_col="n_chars" if "n_chars" in docs.columns else None)
 
 
@@ -74,6 +82,7 @@ def _encoded(enc: bpe.Encoder, ids: list[bytes]) -> list[pa.Array]:
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian, 16 bits each), ids_sha256 and decoded_sha256 (of the text that the ids decode
     to) of every document; null and empty texts have no ids."""
+    _small_batches(spark)
     return bpe.encode(docs, bpe.tokenizer_file(), result=_encoded, schema="n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", "doc_id")
 
 
