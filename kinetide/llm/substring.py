@@ -1,17 +1,21 @@
-"""Substring deduplication by relative Lempel-Ziv factors of each document against all documents with smaller ids.
+"""Substring deduplication by relative Lempel-Ziv factors of each document against blocks of reference text.
 
 Anchors are the runs of ANCHOR words that are least by hash in some window of WINDOW words. Equal windows have equal anchors
 at equal places, so a window that another document has can be found by its anchor.
-  reference    the first document of each anchor gives the passage around it, as far as a window with the anchor reaches.
-               Passages are the reference blocks, dealt out by anchor, and the anchor is their index
-  factors      a document's words are matched with the passage of each of its anchors, as far as they agree to both sides;
-               factors of one source and offset that touch are one. Factors of WINDOW words or more, of a document with a
-               smaller id, are duplicate spans. Where a smaller document has all words around an anchor (its context), as a
-               hash tells, the factor is the whole context and no words are compared
-  boundaries   windows that reach beyond a factor's ends may still be in some other document: they are checked one by one,
-               each against those of the first document that has it
-Anchors and windows are compared as two independent 64-bit hashes, words as one. No group is gathered: least ids are
-aggregated, which merges before the shuffle, and joined back. Only the texts that give or need a passage are moved.
+  reference    for each anchor that several documents have, the words that windows with it reach in the document with the
+               least id, once for each context of it there. Documents are cut into cells of CUT words; the stretches of a cell
+               go to one of as many blocks as hold BLOCK words each. A block's index is all places of all its runs of ANCHOR
+               words
+  factors      the cells of a document go to each block that has one of their anchors from a smaller id, since no other
+               block can hold a window of them. There a cell is parsed greedily from left to right: at each place the longest
+               run of words that the block has from a smaller id, with ANCHOR words or more, is a factor, and the parse goes
+               on behind it; else one word is passed. Factors of WINDOW words or more are duplicate spans
+  boundaries   windows that reach over a factor's ends are held against all places of their anchor in the block, to both
+               sides; those that the block doesn't have may be in a document that gave no reference, so they are aggregated
+               by hash, each against the least id that has it
+Blocks that many cells meet are copied for parts of them, and anchors and windows that many documents have are joined in
+salted parts. Words, anchors and windows are compared as 64-bit hashes. No group is gathered: least ids are aggregated, which
+merges before the shuffle, and joined back. Only texts that give or need a reference are moved, and a task holds one block.
 """
 
 from __future__ import annotations
@@ -22,12 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _texts
-from .common import among, keyed_text, stored
+from .common import among, key_filter, keyed_text, stored
 from .shingle import POWERS, STEPS, mix, word_hashes
 
 WINDOW, ANCHOR = 50, 10
 #: Anchor places in a window.
 PLACES = WINDOW - ANCHOR + 1
+#: Words of a cell, words of a block, and cells that a copy of a block is for. They set the size of tasks, not the result.
+CUT, BLOCK, PART = 1 << 12, 1 << 18, 2000
+#: A key of more rows is joined in SALTS parts; bytes of words sent together; words compared and places looked at together.
+HOT, SALTS, SENT, AHEAD, TOGETHER = 2000, 64, 8 << 20, 64, 4096
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -40,18 +48,15 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
 
 
 class Indexed:
-    """A document's anchors, and hashes of any of its word runs."""
+    """The anchors of a run of words (as hashes), and hashes of any of its parts."""
 
-    def __init__(self, data: bytes):
-        self.w = w = word_hashes(data, False)
-        self.n = n = len(w)
+    def __init__(self, w: np.ndarray):
+        self.w, self.n = w, len(w)
         self.at = np.zeros(0, np.int64)
+        n = self.n
         if n < WINDOW:
             return
-        v = np.zeros(n - ANCHOR + 1, np.uint64)
-        for j in range(ANCHOR):
-            v += w[j : n - ANCHOR + 1 + j] * STEPS[j]
-        self.v = mix(v)
+        self.v = runs_of_words(w)
         self.least = _sliding(self.v, PLACES, np.minimum)
         pad = np.zeros(PLACES - 1, np.uint64)
         self.at = np.flatnonzero(_sliding(np.concatenate([pad, self.least, pad]), PLACES, np.maximum) == self.v)
@@ -76,95 +81,234 @@ class Indexed:
         return low + np.flatnonzero(self.least[low : high + 1] == self.v[p])
 
 
+def runs_of_words(w: np.ndarray) -> np.ndarray:
+    """A hash of the ANCHOR words from each place."""
+    v = np.zeros(len(w) - ANCHOR + 1, np.uint64)
+    for j in range(ANCHOR):
+        v += w[j : len(w) - ANCHOR + 1 + j] * STEPS[j]
+    return mix(v)
+
+
+def _agreeing(same: np.ndarray) -> np.ndarray:
+    """How many of the first columns of each row are true."""
+    return np.where(same.all(1), same.shape[1], np.argmin(same, 1))
+
+
+def inside(spans: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each [a, b) lies within one of ``spans``."""
+    if not spans:
+        return np.zeros(len(a), bool)
+    s, e = np.array(sorted(spans), np.int64).T
+    at = np.searchsorted(s, a, side="right") - 1
+    return (at >= 0) & (np.maximum.accumulate(e)[np.maximum(at, 0)] >= b)
+
+
+class Block:
+    """Stretches of reference words (source, words), ascending by source, and all places of each run of ANCHOR words."""
+
+    def __init__(self, stretches: list[tuple[int, np.ndarray]]):
+        ends, stop = np.zeros(AHEAD, np.uint64), np.zeros(1, np.uint64)  # no word is 0, so nothing agrees beyond a stretch
+        self.words = np.concatenate([ends, *[x for _, w in stretches for x in (w, stop)], ends])
+        source = np.repeat([k for k, _ in stretches], [len(w) + 1 for _, w in stretches]).astype(np.int64)
+        stops = np.concatenate([[0], np.cumsum(self.words == 0)])
+        place = np.flatnonzero(stops[ANCHOR:] == stops[:-ANCHOR])
+        v = runs_of_words(self.words)[place]
+        order = np.argsort(v, kind="stable")  # of equal runs, the least source is first
+        self.v, self.place = v[order], place[order]
+        self.source = source[self.place - AHEAD]
+
+    def has(self, v: np.ndarray, key: int) -> np.ndarray:
+        """Whether a source below ``key`` has each run."""
+        at = np.minimum(np.searchsorted(self.v, v), max(0, len(self.v) - 1))
+        return (self.v[at] == v) & (self.source[at] < key) if len(self.v) else np.zeros(len(v), bool)
+
+    def places(self, v: np.uint64, key: int):
+        """All places where sources below ``key`` have a run, some at a time."""
+        a, b = np.searchsorted(self.v, v), np.searchsorted(self.v, v, side="right")
+        b = a + np.searchsorted(self.source[a:b], key)
+        for k in range(a, b, TOGETHER):
+            yield self.place[k : min(b, k + TOGETHER)]
+
+    def longest(self, w: np.ndarray, p: int, v: np.uint64, key: int) -> int:
+        """How many words of ``w`` (with AHEAD ones before and behind) from ``p`` some source below ``key`` has, by the longest of all places."""
+        best = 0
+        for at in self.places(v, key):
+            n = ANCHOR
+            while len(at):
+                same = self.words[(at + n)[:, None] + np.arange(AHEAD)] == w[p + n : p + n + AHEAD]
+                whole = same.all(1)
+                if not whole.any():
+                    best = max(best, n + int(_agreeing(same).max()))
+                    break
+                at, n = at[whole], n + AHEAD
+        return best
+
+    def factors(self, w: np.ndarray, v: np.ndarray, key: int) -> list[tuple[int, int]]:
+        """[start, end) of the factors of a greedy parse of words with runs ``v``: each the longest that there is from its start."""
+        padded = _padded(w)
+        starts = np.flatnonzero(self.has(v, key))
+        out, k = [], 0
+        while k < len(starts):
+            p = int(starts[k])
+            e = p + self.longest(padded, p + AHEAD, v[p], key)
+            out.append((p, e))
+            k = int(np.searchsorted(starts, e))
+        return out
+
+    def around(self, w: np.ndarray, p: int, v: np.uint64, key: int) -> set[tuple[int, int]]:
+        """Spans of WINDOW words or more around the anchor at ``p`` of ``w`` (padded) that agree with one of its places."""
+        out: set[tuple[int, int]] = set()
+        step = np.arange(WINDOW - ANCHOR)
+        for at in self.places(v, key):
+            left = _agreeing(self.words[(at - 1)[:, None] - step] == w[p - 1 - step])
+            right = _agreeing(self.words[(at + ANCHOR)[:, None] + step] == w[p + ANCHOR + step]) + ANCHOR
+            long = left + right >= WINDOW
+            out |= set(zip((p - AHEAD - left[long]).tolist(), (p - AHEAD + right[long]).tolist(), strict=True))
+        return out
+
+    def parsed(self, d: Indexed, key: int) -> tuple[list[tuple[int, int]], list[tuple[np.uint64, np.ndarray]]]:
+        """Duplicate spans of a document's words, and (anchor, starts) of windows with an anchor of the block that it doesn't have."""
+        spans = [(s, e) for s, e in self.factors(d.w, d.v, key) if e - s >= WINDOW]
+        mine = np.flatnonzero(self.has(d.v[d.at], key))
+        at = d.at[mine]
+        mine = mine[~inside(spans, np.maximum(at - PLACES + 1, 0), np.minimum(at + WINDOW, d.n))].tolist()
+        padded = _padded(d.w)
+        more = set().union(*[self.around(padded, int(d.at[k]) + AHEAD, d.v[d.at[k]], key) for k in mine])
+        spans = sorted({*spans, *more})
+        rest = []
+        for k in mine:
+            starts = d.windows(k)
+            rest.append((d.v[d.at[k]], starts[~inside(spans, starts, starts + WINDOW)]))
+        return spans, rest
+
+
+def _padded(w: np.ndarray) -> np.ndarray:
+    ends = np.ones(AHEAD, np.uint64)
+    return np.concatenate([ends, w, ends])
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """The union of sorted [s, e) as runs that don't touch."""
+    out: list[list[int]] = []
+    for s, e in spans:
+        if out and out[-1][1] >= s:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
 
 def _anchors(rows: DataFrame) -> DataFrame:
     def index(batches):
         for batch in batches:
-            h, c, text, key, at, n = [], [], [], [], [], []
+            h, c, text, key, at = [], [], [], [], []
             for r, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), strict=True):
-                d = Indexed(t)
+                d = Indexed(word_hashes(t, False))
                 if len(d.at):
                     h.append(d.v[d.at])
                     c.append(d.contexts())
                     at.append(d.at)
                     text.append(np.full(len(d.at), r))
                     key.append(np.full(len(d.at), k))
-                    n.append(np.full(len(d.at), d.n))
             flat = lambda x, t: pa.array(np.concatenate(x).view(t) if x else np.zeros(0, t))
-            yield pa.RecordBatch.from_arrays([flat(x, np.int64) for x in (h, c, text, key, at, n)], ["h", "c", "hash", "key", "at", "n"])
+            yield pa.RecordBatch.from_arrays([flat(x, np.int64) for x in (h, c, text, key, at)], ["h", "c", "hash", "key", "at"])
 
-    return rows.where("key is not null").mapInArrow(index, "h long, c long, hash long, key long, at long, n long")
+    return rows.where("key is not null").mapInArrow(index, "h long, c long, hash long, key long, at long")
 
 
-def _of_texts(rows: DataFrame, wanted: DataFrame, item) -> DataFrame:
-    """key, hash, text and items (array of ``item``) of the texts that ``wanted`` has rows for; only these are moved."""
-    listed = stored(wanted.groupBy(F.col("key").alias("wk"), F.col("hash").alias("wh")).agg(F.collect_list(item).alias("items")).withColumn("id", F.xxhash64("wk", "wh")), "substring-wanted")
-    some, _ = among(rows, F.xxhash64("key", "hash"), listed, "id")
-    found = some.dropDuplicates(["key", "hash"]).join(listed, (F.col("key") == F.col("wk")) & (F.col("hash") == F.col("wh")))
-    return found.select("key", "hash", "text", "items")
+def _spread(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` (with key and hash) joined with ``few``, which has one row for each value of ``on`` and ``n``, the number of
+    rows that may have it. Values of more than HOT rows are dealt out in SALTS parts, of which ``few`` has a copy each."""
+    hot = key_filter(few.where(F.col("n") > HOT).select(F.xxhash64(*on).alias("id")), "id")
+    if hot is None:
+        spread = F.lit(True)
+    else:
+        shared = rows.sparkSession.sparkContext.broadcast(hot)
 
+        @F.arrow_udf("boolean")
+        def among_hot(x: pa.Array) -> pa.Array:
+            return pa.array(shared.value.has(x.to_numpy(zero_copy_only=False)))
 
-def _passages(rows: DataFrame, first: DataFrame) -> DataFrame:
-    """h, left, words: the hashes of the words around each anchor of ``first`` (h, key, hash, at)."""
+        spread = among_hot(F.xxhash64(*on))
+    mine = rows.withColumn("spread", spread).withColumn("salt", F.when(F.col("spread"), F.pmod(F.xxhash64("key", "hash"), F.lit(SALTS)).cast("int")).otherwise(0))
+    copies = few.withColumn("spread", spread).withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("spread"), SALTS - 1).otherwise(0))))
+    return mine.drop("spread").join(copies.drop("spread", "n"), [*on, "salt"]).drop("salt")
+
+
+def _pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """block, part, kind (0: reference, 1: to parse), key, hash, start, words (hashes) of what ``wanted`` (key, hash, kind, block,
+    cell, low, high (parts) and at (places of anchors of a reference)) names. Only these texts are moved."""
+    one = F.struct("kind", "block", "cell", "low", "high", "at")
+    listed = wanted.groupBy(F.col("key").alias("wk"), F.col("hash").alias("wh")).agg(F.collect_list(one).alias("items"))
+    listed = stored(listed.withColumn("id", F.xxhash64("wk", "wh")), "substring-wanted")
+    some, _ = among(rows, F.xxhash64("key", "hash"), listed, "id")
+    found = some.dropDuplicates(["key", "hash"]).join(listed, (F.col("key") == F.col("wk")) & (F.col("hash") == F.col("wh"))).select("key", "hash", "text", "items")
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["block", "low", "high", "kind", "key", "hash", "start", "words"]
 
     def cut(batches):
         for batch in batches:
-            h, left, words = [], [], []
-            for t, items in zip(_texts(batch), batch.column(3).to_pylist(), strict=True):
+            out: list[tuple] = []
+            size = 0
+            for key, own, t, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), batch.column(3).to_pylist(), strict=True):
                 w = word_hashes(t, False)
                 for x in items:
-                    a = max(0, x["at"] - PLACES + 1)
-                    h.append(x["h"])
-                    left.append(x["at"] - a)
-                    words.append(w[a : x["at"] + WINDOW].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(left, pa.int32()), pa.array(words, pa.binary())], ["h", "left", "words"])
-
-    return _of_texts(rows, first, F.struct("h", "at")).mapInArrow(cut, "h long, left int, words binary")
-
-
-def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
-    """How many of the first words are the same."""
-    n = min(len(a), len(b))
-    unlike = np.flatnonzero(a[:n] != b[:n])
-    return int(unlike[0]) if len(unlike) else n
-
+                    if x["kind"]:
+                        spans = [(max(0, x["cell"] * CUT - PLACES + 1), x["cell"] * CUT + CUT + WINDOW)]
+                    else:
+                        spans = _merged([(max(0, p - PLACES + 1), p + WINDOW) for p in sorted(x["at"])])
+                    for s, e in spans:
+                        out.append((x["block"], x["low"], x["high"], x["kind"], key, own, s, w[s:e].tobytes()))
+                        size += len(out[-1][-1])
+                    if size > SENT:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                        out, size = [], 0
+            columns = zip(*out, strict=True) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-def factor(w: np.ndarray, at: int, passage: np.ndarray, left: int) -> tuple[int, int]:
-    """[start, end) of the words around ``at`` that agree with a passage whose anchor has ``left`` words before it."""
-    return at - _agreeing(w[:at][::-1], passage[:left][::-1]), at + _agreeing(w[at:], passage[left:])
+    made = found.mapInArrow(cut, "block long, low int, high int, kind int, key long, hash long, start long, words binary")
+    return made.select("block", F.explode(F.sequence("low", "high")).alias("part"), "kind", "key", "hash", "start", "words")
 
 
-def _factors(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """For each text of ``items`` (key, hash, h, at, source and origin (the passage's key and text),
-    place, left, words): hash, key, s, e of its factors of WINDOW words
-    or more, and h, w, at (null for factors) of the windows with one of these anchors that its factor doesn't hold."""
+def _factors(pieces: DataFrame) -> DataFrame:
+    """key, hash, s, e of duplicate spans, and h, w, at (null s and e) of the windows that are still to be held against others."""
 
     def parse(batches):
+        now, stretches, block = None, [], None
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for key, own, t, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), batch.column(3).to_pylist(), strict=True):
-                d, found = Indexed(t), {}
-                for x in sorted(items, key=lambda x: x["at"]):
-                    s, e = factor(d.w, x["at"], np.frombuffer(x["words"], np.uint64), x["left"])
-                    runs = found.setdefault((x["source"], x["origin"], x["place"] - x["at"]), [])
-                    if runs and runs[-1][1] >= s:
-                        runs[-1][1] = max(e, runs[-1][1])
-                    else:
-                        runs.append([s, e])
-                    starts = d.windows(int(np.searchsorted(d.at, x["at"])))
-                    starts = starts[(starts < s) | (starts + WINDOW > e)]
-                    n = len(starts)
-                    for column, values in zip(out, (np.full(n, own), np.full(n, key), np.full(n, -1), np.full(n, -1), np.full(n, x["h"]), d.runs(starts, starts + WINDOW).view(np.int64), starts), strict=True):
+            spans: list[tuple] = []
+            rest: list[list[np.ndarray]] = [[] for _ in range(5)]
+            heads = zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True)
+            for b, part, kind, key, own, start, words in heads:
+                if (b, part) != now:
+                    now, stretches, block = (b, part), [], None
+                w = np.frombuffer(words, np.uint64)
+                if not kind:
+                    stretches.append((key, w))
+                    continue
+                if block is None:
+                    block = Block(stretches)
+                d = Indexed(w)
+                if not len(d.at):
+                    continue
+                own_spans, windows = block.parsed(d, key)
+                spans += [(key, own, s + start, e + start) for s, e in _merged(own_spans)]
+                for h, x in windows:
+                    for column, values in zip(rest, (np.full(len(x), key), np.full(len(x), own), np.full(len(x), h), d.runs(x, x + WINDOW), x + start), strict=True):
                         column.append(values)
-                long = [(s, e) for (source, _, _), runs in found.items() if source < key for s, e in runs if e - s >= WINDOW]
-                for s, e in long:
-                    for column, value in zip(out, (own, key, s, e, 0, 0, -1), strict=True):
-                        column.append(np.array([value]))
-            flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["hash", "key", "s", "e", "h", "w", "at"])
+            key, own, s, e = zip(*spans, strict=True) if spans else ([], [], [], [])
+            flat = [np.concatenate(x).astype(np.uint64).view(np.int64) if x else np.zeros(0, np.int64) for x in rest]
+            n, m = len(key), len(flat[0])
+            none = lambda k: pa.nulls(k, pa.int64())
+            columns = [
+                *[pa.concat_arrays([pa.array(list(a), pa.int64()), pa.array(b)]) for a, b in ((key, flat[0]), (own, flat[1]))],
+                *[pa.concat_arrays([pa.array(list(a), pa.int64()), none(m)]) for a in (s, e)],
+                *[pa.concat_arrays([none(n), pa.array(b)]) for b in flat[2:]],
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "hash", "s", "e", "h", "w", "at"])
 
-    one = F.struct("h", "at", "source", "origin", "place", "left", "words")
-    return _of_texts(rows, items, one).mapInArrow(parse, "hash long, key long, s long, e long, h long, w long, at long")
+    dealt = pieces.repartition("block", "part").sortWithinPartitions("block", "part", "kind", "key")
+    return dealt.select("block", "part", "kind", "key", "hash", "start", "words").mapInArrow(parse, "key long, hash long, s long, e long, h long, w long, at long")
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -175,22 +319,27 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are split; rows of one id and text have the same spans."""
     rows = keyed_text(docs, id_col, text_col).select(F.xxhash64("text").alias("hash"), "key", "text")
     found = stored(_anchors(rows), "substring-anchors")
-    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("m"), (F.min("c") != F.max("c")).alias("many")).where("m > 1").select(F.col("h").alias("sh"), "many")
-    found = stored(found.join(shared, F.col("h") == F.col("sh")).drop("sh"), "substring-shared")
-    first = found.groupBy("h", "c").agg(F.min("key").alias("least")).withColumnsRenamed({"h": "fh", "c": "fc"})
-    found = stored(found.join(first, (F.col("h") == F.col("fh")) & (F.col("c") == F.col("fc"))).drop("fh", "fc"), "substring-first")
-    inner = found.where("key > least").select("hash", "key", F.greatest(F.col("at") - (PLACES - 1), F.lit(0)).alias("s"), F.least(F.col("at") + WINDOW, "n").alias("e"))
-    edge = found.where("key = least and many").select("h", "c", "key", "hash", "at").distinct()
-    first = edge.groupBy("h").agg(F.min(F.struct("key", "hash", "at", "c")).alias("r")).select("h", "r.*")
-    first = stored(first, "substring-first-of-anchor")
-    passages = stored(_passages(rows, first), "substring-passages").withColumnRenamed("h", "ph")
-    source = first.select(F.col("h").alias("rh"), F.col("key").alias("source"), F.col("hash").alias("origin"), F.col("at").alias("place"), F.col("c").alias("rc"))
-    items = edge.join(source, (F.col("h") == F.col("rh")) & (F.col("c") != F.col("rc"))).join(passages, F.col("h") == F.col("ph"))
-    parsed = stored(_factors(rows, items.select("key", "hash", "h", "at", "source", "origin", "place", "left", "words")), "substring-factors")
-    windows = parsed.where("at >= 0").select("h", "w", "hash", "key", "at")
-    least = windows.groupBy("h", "w").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select(F.col("h").alias("lh"), F.col("w").alias("lw"), "least")
-    outer = windows.join(least, (F.col("h") == F.col("lh")) & (F.col("w") == F.col("lw"))).where("key > least").select("hash", "key", F.col("at").alias("s"), (F.col("at") + WINDOW).alias("e"))
-    spans = inner.unionByName(parsed.where("at < 0").select("hash", "key", "s", "e")).unionByName(outer)
+    per = found.groupBy("h", "c").agg(F.min(F.struct("key", "hash", "at")).alias("r"), F.max("key").alias("most"), F.count(F.lit(1)).alias("n"))
+    per = stored(per, "substring-contexts")
+    low = per.groupBy("h").agg(F.min("r.key").alias("key"), F.max("most").alias("most"), F.sum("n").alias("n")).where("key < most").drop("most")
+    first = stored(per.select("h", "r.key", "r.hash", "r.at").join(low, ["h", "key"]), "substring-first")
+    blocks = max(1, -(-first.count() * (WINDOW // 2) // BLOCK))
+    cell = F.floor(F.col("at") / CUT).alias("cell")
+    first = first.select("h", "key", "hash", "at", "n", cell).withColumn("block", F.pmod(F.xxhash64("key", "hash", "cell"), F.lit(blocks)))
+    load = first.groupBy("block").agg(F.ceil(F.greatest(F.max("n"), F.sum("n") / 16) / PART).cast("int").alias("parts"))
+    first = stored(first.join(load, "block"), "substring-reference")
+    homes = first.groupBy("h").agg(F.min("key").alias("least"), F.max("n").alias("n"), F.collect_set(F.struct("block", "parts")).alias("homes"))
+    uses = _spread(found.select("h", "key", "hash", "at"), stored(homes, "substring-homes"), ["h"]).where("key > least")
+    uses = uses.select("key", "hash", cell, F.explode("homes").alias("home")).distinct()
+    part = F.pmod(F.xxhash64("key", "hash", "cell"), F.col("home.parts")).cast("int")
+    uses = uses.select("key", "hash", F.lit(1).alias("kind"), "home.block", "cell", part.alias("low"), part.alias("high"), F.lit(None).cast("array<bigint>").alias("at"))
+    given = first.groupBy("key", "hash", "block", "cell", "parts").agg(F.collect_list("at").alias("at"))
+    given = given.select("key", "hash", F.lit(0).alias("kind"), "block", "cell", F.lit(0).alias("low"), (F.col("parts") - 1).alias("high"), "at")
+    parsed = stored(_factors(_pieces(rows, given.unionByName(uses))), "substring-factors")
+    windows = parsed.where("at is not null").select("h", "w", "hash", "key", "at")
+    least = windows.groupBy("h", "w").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").drop("most")
+    outer = _spread(windows, stored(least, "substring-windows"), ["h", "w"]).where("key > least").select("hash", "key", F.col("at").alias("s"), (F.col("at") + WINDOW).alias("e"))
+    spans = parsed.where("at is null").select("hash", "key", "s", "e").unionByName(outer)
     spans = spans.groupBy("hash", "key").agg(F.array_sort(F.collect_set(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))).alias("spans"))
     return rows, stored(spans, "substring-spans")
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kinetide.llm import substring
@@ -81,3 +82,54 @@ def test_files_split_otherwise_in_a_later_pass(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == truth(rows)
+
+
+def greedy(reference, words, key):
+    """Left to right: the longest run from each place that a source below ``key`` has, if ANCHOR words or more."""
+    out, i = [], 0
+    while i < len(words):
+        best = 0
+        for source, r in reference:
+            for a in range(len(r) if source < key else 0):
+                n = 0
+                while i + n < len(words) and a + n < len(r) and r[a + n] == words[i + n]:
+                    n += 1
+                best = max(best, n)
+        if best >= substring.ANCHOR:
+            out.append((i, i + best))
+        i += best if best >= substring.ANCHOR else 1
+    return out
+
+
+def test_factors_are_greedy_and_maximal():
+    r, seen = random.Random(1), 0
+    for _ in range(30):
+        say = lambda n, words=r.choice([2, 3, 50]): [r.randrange(1, words + 1) * 7919 for _ in range(n)]
+        reference = sorted([(r.randrange(9), np.array(say(r.randrange(60, 160)), np.uint64)) for _ in range(5)], key=lambda x: x[0])
+        words = []
+        for _ in range(6):
+            x = r.choice(reference)[1].tolist()
+            a = r.randrange(len(x))
+            words += x[a : a + r.randrange(80)] + say(r.randrange(6))
+        d = substring.Indexed(np.array(words + say(50), np.uint64))
+        found = substring.Block(reference).factors(d.w, d.v, 6)
+        assert found == greedy(reference, d.w.tolist(), 6)
+        seen += len(found)
+    assert seen > 60
+    assert not len(substring.Block([]).has(d.v, 6).nonzero()[0])
+
+
+def test_cells_blocks_parts_and_salts(spark, monkeypatch):
+    """Small cells, blocks, parts and salts give what large ones do; so do texts of many cells."""
+    for name, value in (("CUT", 64), ("BLOCK", 200), ("PART", 2), ("HOT", 3), ("SALTS", 3), ("SENT", 500)):
+        monkeypatch.setattr(substring, name, value)
+    rows = corpus(4)
+    rows += [(7000 + k, rows[0][1] + " " + rows[7][1]) for k in range(12)] + [(8000, " ".join(t for _, t in rows)), (8001, " ".join(t for _, t in reversed(rows)))]
+    assert run(spark, rows) == truth(rows)
+
+
+def test_very_long_texts(spark):
+    r = random.Random(5)
+    long = " ".join(f"w{r.randrange(30_000)}" for _ in range(150_000))
+    rows = [(1, long), (2, "start " + long[: len(long) // 2] + " end"), (3, "a " * 60_000), (4, "b " + "a " * 50_000)]
+    assert run(spark, rows) == truth(rows)
