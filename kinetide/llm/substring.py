@@ -94,13 +94,22 @@ def _agreeing(same: np.ndarray) -> np.ndarray:
     return np.where(same.all(1), same.shape[1], np.argmin(same, 1))
 
 
+def maximal(spans) -> list[tuple[int, int]]:
+    """Of [s, e) spans, those that no other holds; starts and ends ascend."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if not out or e > out[-1][1]:
+            out.append((s, e))
+    return out
+
+
 def inside(spans: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether each [a, b) lies within one of ``spans``."""
+    """Whether each [a, b) lies within one of ``spans`` (maximal ones)."""
     if not spans:
         return np.zeros(len(a), bool)
-    s, e = np.array(sorted(spans), np.int64).T
+    s, e = np.array(spans, np.int64).T
     at = np.searchsorted(s, a, side="right") - 1
-    return (at >= 0) & (np.maximum.accumulate(e)[np.maximum(at, 0)] >= b)
+    return (at >= 0) & (e[np.maximum(at, 0)] >= b)
 
 
 class Block:
@@ -163,22 +172,24 @@ class Block:
             left = _agreeing(self.words[(at - 1)[:, None] - step] == w[p - 1 - step])
             right = _agreeing(self.words[(at + ANCHOR)[:, None] + step] == w[p + ANCHOR + step]) + ANCHOR
             long = left + right >= WINDOW
-            out |= set(zip((p - AHEAD - left[long]).tolist(), (p - AHEAD + right[long]).tolist(), strict=True))
-        return out
+            both = np.unique(left[long] * (WINDOW + 1) + right[long])
+            out |= {(p - AHEAD - x // (WINDOW + 1), p - AHEAD + x % (WINDOW + 1)) for x in both.tolist()}
+        return set(maximal(out))
 
-    def parsed(self, d: Indexed, key: int) -> tuple[list[tuple[int, int]], list[tuple[np.uint64, np.ndarray]]]:
-        """Duplicate spans of a document's words, and (anchor, starts) of windows with an anchor of the block that it doesn't have."""
+    def parsed(self, d: Indexed, key: int) -> tuple[list[tuple[int, int]], tuple[np.ndarray, np.ndarray]]:
+        """Duplicate spans of a document's words, and anchors and starts of windows with an anchor of the block that it doesn't have."""
         spans = [(s, e) for s, e in self.factors(d.w, d.v, key) if e - s >= WINDOW]
         mine = np.flatnonzero(self.has(d.v[d.at], key))
         at = d.at[mine]
         mine = mine[~inside(spans, np.maximum(at - PLACES + 1, 0), np.minimum(at + WINDOW, d.n))].tolist()
         padded = _padded(d.w)
-        more = set().union(*[self.around(padded, int(d.at[k]) + AHEAD, d.v[d.at[k]], key) for k in mine])
-        spans = sorted({*spans, *more})
-        rest = []
-        for k in mine:
-            starts = d.windows(k)
-            rest.append((d.v[d.at[k]], starts[~inside(spans, starts, starts + WINDOW)]))
+        more = [self.around(padded, int(d.at[k]) + AHEAD, d.v[d.at[k]], key) for k in mine]
+        spans = maximal(set(spans).union(*more))
+        windows = [d.windows(k) for k in mine]
+        starts = np.concatenate([*windows, np.zeros(0, np.int64)])
+        anchors = np.repeat(d.v[d.at[mine]], [len(x) for x in windows]) if mine else np.zeros(0, np.uint64)
+        open_windows = ~inside(spans, starts, starts + WINDOW)
+        rest = anchors[open_windows], starts[open_windows]
         return spans, rest
 
 
@@ -293,11 +304,11 @@ def _factors(pieces: DataFrame) -> DataFrame:
                     continue
                 own_spans, windows = block.parsed(d, key)
                 spans += [(key, own, s + start, e + start) for s, e in _merged(own_spans)]
-                for h, x in windows:
-                    for column, values in zip(rest, (np.full(len(x), key), np.full(len(x), own), np.full(len(x), h), d.runs(x, x + WINDOW), x + start), strict=True):
-                        column.append(values)
+                h, x = windows
+                for column, values in zip(rest, (np.full(len(x), key), np.full(len(x), own), h.view(np.int64), d.runs(x, x + WINDOW).view(np.int64), x + start), strict=True):
+                    column.append(values)
             key, own, s, e = zip(*spans, strict=True) if spans else ([], [], [], [])
-            flat = [np.concatenate(x).astype(np.uint64).view(np.int64) if x else np.zeros(0, np.int64) for x in rest]
+            flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in rest]
             n, m = len(key), len(flat[0])
             none = lambda k: pa.nulls(k, pa.int64())
             columns = [
