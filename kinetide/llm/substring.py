@@ -6,8 +6,8 @@ at equal places, so a window that another document has can be found by its ancho
                least id, once for each context of it there. Documents are cut into cells of CUT words; the stretches of a cell
                go to one of as many blocks as hold BLOCK words each. A block's index is all places of all its runs of ANCHOR
                words
-  factors      the cells of a document go to each block that has one of their anchors from a smaller id, since no other
-               block can hold a window of them. There a cell is parsed greedily from left to right: at each place the longest
+  factors      the stretches of a document around anchors that a smaller id has go to the blocks with these anchors, since
+               no other block can hold a window of them. There they are parsed greedily from left to right: at each place the longest
                run of words that the block has from a smaller id, with ANCHOR words or more, is a factor, and the parse goes
                on behind it; else one word is passed. Factors of WINDOW words or more are duplicate spans
   boundaries   windows that reach over a factor's ends are held against all places of their anchor in the block, to both
@@ -29,7 +29,7 @@ from .bpe import _texts
 from .common import among, key_filter, keyed_text, stored
 from .shingle import POWERS, STEPS, mix, word_hashes
 
-WINDOW, ANCHOR = 50, 10
+WINDOW, ANCHOR = 50, 25
 #: Anchor places in a window.
 PLACES = WINDOW - ANCHOR + 1
 #: Words of a cell, words of a block, and cells that a copy of a block is for. They set the size of tasks, not the result.
@@ -83,10 +83,10 @@ class Indexed:
 
 def runs_of_words(w: np.ndarray) -> np.ndarray:
     """A hash of the ANCHOR words from each place."""
-    v = np.zeros(len(w) - ANCHOR + 1, np.uint64)
-    for j in range(ANCHOR):
-        v += w[j : len(w) - ANCHOR + 1 + j] * STEPS[j]
-    return mix(v)
+    up, down = POWERS[0].to(len(w) + 1)
+    total = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum(w * up[:-1], out=total[1:])
+    return mix((total[ANCHOR:] - total[:-ANCHOR]) * down[: len(w) - ANCHOR + 1])
 
 
 def _agreeing(same: np.ndarray) -> np.ndarray:
@@ -247,9 +247,9 @@ def _spread(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """block, part, kind (0: reference, 1: to parse), key, hash, start, words (hashes) of what ``wanted`` (key, hash, kind, block,
-    cell, low, high (parts) and at (places of anchors of a reference)) names. Only these texts are moved."""
-    one = F.struct("kind", "block", "cell", "low", "high", "at")
+    """block, part, kind (0: reference, 1: to parse), key, hash, start, words (hashes) of the stretches around the anchors that
+    ``wanted`` (key, hash, kind, block, low, high (parts) and at (places in a cell)) names. Only these texts are moved."""
+    one = F.struct("kind", "block", "low", "high", "at")
     listed = wanted.groupBy(F.col("key").alias("wk"), F.col("hash").alias("wh")).agg(F.collect_list(one).alias("items"))
     listed = stored(listed.withColumn("id", F.xxhash64("wk", "wh")), "substring-wanted")
     some, _ = among(rows, F.xxhash64("key", "hash"), listed, "id")
@@ -264,11 +264,7 @@ def _pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             for key, own, t, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), batch.column(3).to_pylist(), strict=True):
                 w = word_hashes(t, False)
                 for x in items:
-                    if x["kind"]:
-                        spans = [(max(0, x["cell"] * CUT - PLACES + 1), x["cell"] * CUT + CUT + WINDOW)]
-                    else:
-                        spans = _merged([(max(0, p - PLACES + 1), p + WINDOW) for p in sorted(x["at"])])
-                    for s, e in spans:
+                    for s, e in _merged([(max(0, p - PLACES + 1), p + WINDOW) for p in sorted(x["at"])]):
                         out.append((x["block"], x["low"], x["high"], x["kind"], key, own, s, w[s:e].tobytes()))
                         size += len(out[-1][-1])
                     if size > SENT:
@@ -330,22 +326,24 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are split; rows of one id and text have the same spans."""
     rows = keyed_text(docs, id_col, text_col).select(F.xxhash64("text").alias("hash"), "key", "text")
     found = stored(_anchors(rows), "substring-anchors")
-    per = found.groupBy("h", "c").agg(F.min(F.struct("key", "hash", "at")).alias("r"), F.max("key").alias("most"), F.count(F.lit(1)).alias("n"))
-    per = stored(per, "substring-contexts")
-    low = per.groupBy("h").agg(F.min("r.key").alias("key"), F.max("most").alias("most"), F.sum("n").alias("n")).where("key < most").drop("most")
-    first = stored(per.select("h", "r.key", "r.hash", "r.at").join(low, ["h", "key"]), "substring-first")
+    low = found.groupBy("h").agg(F.min("key").alias("key"), F.max("key").alias("most"), F.count(F.lit(1)).alias("n")).where("key < most").drop("most")
+    low = stored(low, "substring-shared")
+    some, _ = among(found, F.col("h"), low, "h")
+    first = some.join(low, ["h", "key"]).groupBy("h", "c").agg(F.first("key").alias("key"), F.min(F.struct("hash", "at")).alias("r"), F.first("n").alias("n"))
+    first = stored(first.select("h", "key", "r.*", "n"), "substring-first")
     blocks = max(1, -(-first.count() * (WINDOW // 2) // BLOCK))
     cell = F.floor(F.col("at") / CUT).alias("cell")
     first = first.select("h", "key", "hash", "at", "n", cell).withColumn("block", F.pmod(F.xxhash64("key", "hash", "cell"), F.lit(blocks)))
     load = first.groupBy("block").agg(F.ceil(F.greatest(F.max("n"), F.sum("n") / 16) / PART).cast("int").alias("parts"))
     first = stored(first.join(load, "block"), "substring-reference")
     homes = first.groupBy("h").agg(F.min("key").alias("least"), F.max("n").alias("n"), F.collect_set(F.struct("block", "parts")).alias("homes"))
-    uses = _spread(found.select("h", "key", "hash", "at"), stored(homes, "substring-homes"), ["h"]).where("key > least")
-    uses = uses.select("key", "hash", cell, F.explode("homes").alias("home")).distinct()
-    part = F.pmod(F.xxhash64("key", "hash", "cell"), F.col("home.parts")).cast("int")
-    uses = uses.select("key", "hash", F.lit(1).alias("kind"), "home.block", "cell", part.alias("low"), part.alias("high"), F.lit(None).cast("array<bigint>").alias("at"))
+    uses = _spread(some.select("h", "key", "hash", "at"), stored(homes, "substring-homes"), ["h"]).where("key > least")
+    uses = uses.select("key", "hash", "at", cell, F.explode("homes").alias("home"))
+    part = F.pmod(F.xxhash64("key", "hash", "cell"), F.col("parts")).cast("int")
+    uses = uses.groupBy("key", "hash", "home.block", "cell", "home.parts").agg(F.collect_set("at").alias("at"))
+    uses = uses.select("key", "hash", F.lit(1).alias("kind"), "block", part.alias("low"), part.alias("high"), "at")
     given = first.groupBy("key", "hash", "block", "cell", "parts").agg(F.collect_list("at").alias("at"))
-    given = given.select("key", "hash", F.lit(0).alias("kind"), "block", "cell", F.lit(0).alias("low"), (F.col("parts") - 1).alias("high"), "at")
+    given = given.select("key", "hash", F.lit(0).alias("kind"), "block", F.lit(0).alias("low"), (F.col("parts") - 1).alias("high"), "at")
     parsed = stored(_factors(_pieces(rows, given.unionByName(uses))), "substring-factors")
     windows = parsed.where("at is not null").select("h", "w", "hash", "key", "at")
     least = windows.groupBy("h", "w").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").drop("most")
