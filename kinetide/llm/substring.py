@@ -33,7 +33,7 @@ WINDOW, ANCHOR = 50, 25
 #: Anchor places in a window.
 PLACES = WINDOW - ANCHOR + 1
 #: Words of a cell, words of a block, and cells that a copy of a block is for. They set the size of tasks, not the result.
-CUT, BLOCK, PART = 1 << 12, 1 << 18, 2000
+CUT, BLOCK, PART = 1 << 12, 1 << 18, 30_000
 #: A key of more rows is joined in SALTS parts; bytes of words sent together; words compared and places looked at together.
 HOT, SALTS, SENT, AHEAD, TOGETHER = 2000, 64, 8 << 20, 64, 4096
 
