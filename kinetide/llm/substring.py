@@ -358,8 +358,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     a space).
 
     Null texts have no words; texts below WINDOW words lose none; rows that repeat an id lose nothing to each other, and
-    each loses what smaller ids have; rows with a null id lose nothing and nothing is lost to them; an empty table gives an
-    empty one.
+    each loses what smaller ids have; rows with a null id lose nothing and nothing is lost to them; texts of any length are
+    read whole and parsed by cells; other columns are not read; an empty table gives an empty one.
     """
     rows, spans = duplicate_spans(docs, id_col, text_col)
     kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
