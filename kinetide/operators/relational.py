@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetide.shared import stored
+
 
 def counts_of(df: DataFrame, label: str, names: list[str], **more: Column) -> DataFrame:
     """Label, n (and ``more`` aggregates) for each of a fixed list of names, 0 (null) where no row has it. Rows of
@@ -69,24 +71,33 @@ def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return only(a, b, "left").unionByName(only(b, a, "right"))
 
 
+def _starts(sizes: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """``_`` and each key's name, ``_start`` and ``_rows``: where each key starts when keys follow one another in order.
+    Keys are dealt by ranges; a start is the sum of the ranges before and of the keys before within its own, so no task has
+    more than a range."""
+    ranged = stored(sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(rows).alias("_rows")).repartitionByRange(*[f"_{k}" for k in keys]).withColumn("_range", F.spark_partition_id()), "starts")
+    totals = ranged.groupBy(F.col("_range").alias("_r")).agg(F.sum("_rows").alias("_total"))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = totals.select("_r", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy("_range").orderBy(*[f"_{k}" for k in keys]).rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.withColumn("_before", F.coalesce(F.sum("_rows").over(inside), F.lit(0))).join(totals, F.col("_range") == F.col("_r"))
+    return found.select(*[f"_{k}" for k in keys], (F.col("_first") + F.col("_before")).alias("_start"), "_rows")
+
+
 def global_offsets(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``place`` of each row when keys follow one another in order. Rows are counted by key; offsets are a running
-    sum over keys only, joined back."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # a row for each key
-    offsets = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    """``place`` of each row when keys follow one another in order. Rows are counted by key; offsets are running sums
+    over ranges of keys, joined back."""
+    offsets = _starts(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n").drop("_rows")
     inside = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
     on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return inside.join(offsets, on).withColumn("place", F.col("_offset") + F.col("_i")).drop("_i", "_offset", *[f"_{k}" for k in keys])
+    return inside.join(offsets, on).withColumn("place", F.col("_start") + F.col("_i")).drop("_i", "_start", *[f"_{k}" for k in keys])
 
 
 def located(manifest: DataFrame, index: str, sizes: DataFrame, keys: list[str], rows: str) -> DataFrame:
     """``manifest`` rows (keys, ``index``: a place in all episodes one after another) with ``local``, their place in their
     own episode. ``sizes``: keys and each episode's number of rows. An index outside its episode is an error when it is read,
     and so is one of an episode that is not known."""
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # a row for each key
-    starts = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(F.sum(rows).over(before), F.lit(0)).alias("_start"), F.col(rows).alias("_rows"))
-    found = manifest.join(starts, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left")
+    found = manifest.join(_starts(sizes, keys, rows), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left")
     local = F.col(index) - F.col("_start")
     wrong = F.raise_error(F.concat(F.lit("row index out of range for episode "), F.to_json(F.struct(*keys)))).cast("bigint")
     return found.withColumn("local", F.when((local >= 0) & (local < F.col("_rows")), local).otherwise(wrong)).drop("_start", "_rows", *[f"_{k}" for k in keys])

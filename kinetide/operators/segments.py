@@ -81,12 +81,26 @@ def parent_types(segments: DataFrame, activities: DataFrame, keys: list[str], pa
 
 def frame_jobs(segments: DataFrame, videos: list[str], start: str, end: str, horizon: int, done: DataFrame | None = None) -> DataFrame:
     """Video, frame: every frame from which a window of a segment may start, once for each video; without those
-    that are ``done``. Frames are made in the tasks and counted as distinct rows, never as lists."""
+    that are ``done``. Frames are bits of blocks of 64; wanted and done ones meet in one aggregate by block, never in lists, and
+    not in a join: a planner takes frames for as few as the rows they are made of, and would broadcast them by the driver."""
     high = F.greatest(F.col(start), F.col(end) - horizon)
     rows = segments.select(F.explode(F.array(*videos)).alias("video"), F.col(start).alias("_low"), high.alias("_high"))
-    rows = rows.select("video", F.explode(F.sequence("_low", "_high")).alias("frame"))
-    rows = rows.distinct()
-    return rows if done is None else rows.join(done.select("video", "frame"), ["video", "frame"], "left_anti")
+    kind = rows.schema["_high"].dataType
+    rows = rows.withColumns({"_low": F.col("_low").cast("bigint"), "_high": F.col("_high").cast("bigint")})
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.shiftright("_low", 6), F.shiftright("_high", 6))))
+    first = F.greatest(F.col("_low") - F.col("_block") * 64, F.lit(0)).cast("int")
+    last = F.least(F.col("_high") - F.col("_block") * 64, F.lit(63)).cast("int")
+    run = F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), 63 - last + first), first)
+    none = F.lit(0).cast("bigint")
+    rows = rows.select("video", "_block", run.alias("_want"), none.alias("_done"))
+    if done is not None:
+        at = F.col("frame").cast("bigint")
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
+        there = done.where("video is not null and frame is not null").select("video", F.shiftright(at, 6).alias("_block"), none.alias("_want"), bit.alias("_done"))
+        rows = rows.unionByName(there)
+    left = rows.groupBy("video", "_block").agg(F.bit_or("_want").bitwiseAND(F.bitwise_not(F.bit_or("_done"))).alias("_bits")).where("_bits != 0")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", F.col("_bits"), i).bitwiseAND(F.lit(1)) == 1)
+    return left.select("video", "_block", F.explode(bits).alias("_i")).select("video", (F.col("_block") * 64 + F.col("_i")).cast(kind).alias("frame"))
 
 
 def length_stats(df: DataFrame, label: str, n: str, windows: int) -> DataFrame:
