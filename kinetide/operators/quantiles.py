@@ -87,7 +87,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, fl
     rows = found.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("target") == t, F.col("x"))).alias(t) for t in both])
     part = lambda q: (F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q))
     for name, q in shares.items():
-        rows = _between(rows.withColumn("_part", part(q)), f"-{name}", f"+{name}", name)
+        rows = _between(rows.withColumn("_b_part", part(q)), f"-{name}", f"+{name}", name)
     return rows.select(*keys, "n", *shares)
 
 
@@ -95,15 +95,15 @@ def _between(rows: DataFrame, low: str, high: str, out: str) -> DataFrame:
     """``rows`` with low * (1 - _part) + high * _part as ``out``, where only the second product and the sum are rounded, as a
     fused multiplication does: a value next to the percentile is above or below it by the last bit. What the first product
     loses is found by halves of its factors (Dekker), what the sum loses by Knuth's two-sum."""
-    x, y = F.col(f"`{low}`"), 1 - F.col("_part")
+    x, y = F.col(f"`{low}`"), 1 - F.col("_b_part")
     half = lambda c: c * F.lit(134217729.0) - (c * F.lit(134217729.0) - c)
-    rows = rows.withColumns({"_p": x * y, "_c": F.col(f"`{high}`") * F.col("_part"), "_x": half(x), "_y": half(y)})
-    lost = ((F.col("_x") * F.col("_y") - F.col("_p")) + F.col("_x") * (y - F.col("_y")) + (x - F.col("_x")) * F.col("_y")) + (x - F.col("_x")) * (y - F.col("_y"))
-    rows = rows.withColumns({"_e": lost, "_s": F.col("_p") + F.col("_c")})
-    other = F.col("_s") - F.col("_p")
-    rows = rows.withColumn("_t", (F.col("_p") - (F.col("_s") - other)) + (F.col("_c") - other))
-    exact = F.nanvl(F.col("_s") + (F.col("_t") + F.col("_e")), F.col("_s"))  # halves of the largest doubles overflow
-    return rows.withColumn(out, F.when(F.col("_part") == 0, x).otherwise(exact)).drop("_part", "_p", "_c", "_x", "_y", "_e", "_s", "_t")
+    rows = rows.withColumns({"_b_p": x * y, "_b_c": F.col(f"`{high}`") * F.col("_b_part"), "_b_x": half(x), "_b_y": half(y)})
+    lost = ((F.col("_b_x") * F.col("_b_y") - F.col("_b_p")) + F.col("_b_x") * (y - F.col("_b_y")) + (x - F.col("_b_x")) * F.col("_b_y")) + (x - F.col("_b_x")) * (y - F.col("_b_y"))
+    rows = rows.withColumns({"_b_e": lost, "_b_s": F.col("_b_p") + F.col("_b_c")})
+    other = F.col("_b_s") - F.col("_b_p")
+    rows = rows.withColumn("_b_t", (F.col("_b_p") - (F.col("_b_s") - other)) + (F.col("_b_c") - other))
+    exact = F.nanvl(F.col("_b_s") + (F.col("_b_t") + F.col("_b_e")), F.col("_b_s"))  # halves of the largest doubles overflow
+    return rows.withColumn(out, F.when(F.col("_b_part") == 0, x).otherwise(exact)).drop("_b_part", "_b_p", "_b_c", "_b_x", "_b_y", "_b_e", "_b_s", "_b_t")
 
 
 def _edge(i: Column, lo: Column, hi: Column) -> Column:

@@ -51,6 +51,19 @@ def test_without_keys_and_rows(spark):
     assert Q.order_statistics(df.limit(0).selectExpr("1 k", "x"), ["k"], "x", {"p": 0.5}).collect() == []
 
 
+def test_percentiles_are_fused_whatever_their_names(spark):
+    r = random.Random(8)
+    data = {k: [r.gauss(0, 10) for _ in range(r.randrange(2, 90))] for k in range(60)}
+    df = spark.createDataFrame([(k, x) for k, xs in data.items() for x in xs], "k int, x double")
+    shares = {"_p": 0.3, "_x": 0.7, "_part": 0.5}
+    for row in Q.percentiles(df, ["k"], "x", shares).collect():
+        xs = sorted(data[row["k"]])
+        for name, q in shares.items():
+            place = (len(xs) - 1) * q
+            part = place - math.floor(place)
+            assert row[name] == math.fma(xs[math.floor(place)], 1 - part, xs[math.ceil(place)] * part), (row["k"], name)
+
+
 def fold(batches):
     """Quantiles of a histogram kept batch by batch."""
     edges = counts = None
