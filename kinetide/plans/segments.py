@@ -18,12 +18,13 @@ HORIZON = 50
 
 
 def timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A prediction for each order: its lines in order as segments of the compressed clock; frames by price."""
+    """A prediction for each order: its lines in order as segments of the compressed clock; frames by price. Orders grow as
+    lines do, but two of their columns look small to the planner, which would broadcast them by the driver; so both are sorted."""
     said = F.element_at(F.array(*map(F.lit, SAID)), (F.pmod("l_partkey", F.lit(7)) + 1).cast("int"))
     start = F.col("l_linenumber") * F.lit(2.0)
     seg = F.struct(F.col("l_linenumber").alias("segment_id"), start.alias("start_time_sec"), (start + F.col("l_quantity") / 10).alias("end_time_sec"), said.alias("skill_description"))
     lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(seg).alias("skill_timeline"))
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") / 400).alias("n_rows"))
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") / 400).alias("n_rows")).hint("merge")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
 
 

@@ -130,3 +130,9 @@ def test_streams_are_appended_and_joined(spark, tmp_path):
     pairs = A.joined_within(read("one"), read("two"), "key", "ts", 10)
     pairs.writeStream.format("parquet").option("path", str(tmp_path / "pairs")).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(90)
     assert [(r["key"], r["then"] - r["at"]) for r in spark.read.parquet(str(tmp_path / "pairs")).collect()] == [("a", dt.timedelta(seconds=3))]
+
+
+def test_timelines_are_not_broadcast_by_the_driver(spark, sf_dir):
+    from kinetide.plans import segments as P
+
+    assert "Broadcast" not in P.frame_jobs(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
