@@ -59,6 +59,12 @@ def _reader(kept: tuple[str, ...]) -> Reader:
     return Reader(kept)
 
 
+def _once(x: np.ndarray) -> np.ndarray:
+    """Distinct numbers (none negative), ascending. Sorted in place, which is quicker than what np.unique does with hashes."""
+    x.sort()
+    return x[np.diff(x, prepend=-1) != 0]
+
+
 class Reader:
     """Texts to the kept features they hold. A batch's words are numbered by Arrow; each distinct one is looked at once, by one
     intersection, and remembered for later batches."""
@@ -66,12 +72,16 @@ class Reader:
     def __init__(self, kept: tuple[str, ...]):
         self.number = {s: k for k, s in enumerate(kept)}
         self.names = frozenset(kept)
+        self.begin = frozenset(s[:5] for s in kept if len(s) >= 5)
         self.words: dict[bytes, tuple[int, ...]] = {}
 
     def of(self, word: bytes) -> tuple[int, ...]:
         own = self.words.get(word)
         if own is None:
-            own = self.words[word] = tuple(self.number[s] for s in self.names & runs_of(word))
+            text = "<" + word.decode("utf-8") + ">"
+            at = [i for i in range(len(text) - 4) if text[i : i + 5] in self.begin]  # no other run of its can be kept
+            runs = {text, *[text[i : i + n] for n in RUNS for i in at]}
+            own = self.words[word] = tuple(self.number[s] for s in self.names & runs)
         return own
 
     def found(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,11 +95,11 @@ class Reader:
         flat = np.fromiter((k for x in each for k in x), np.int64, int(size.sum()))
         word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         there = size[word] > 0 if len(word) else np.zeros(0, bool)
-        pairs = np.unique(w.row[there] * max(1, len(each)) + word[there])
+        pairs = _once(w.row[there] * max(1, len(each)) + word[there])
         row, word = np.divmod(pairs, max(1, len(each)))
         many = size[word]
         place = np.repeat((np.cumsum(size) - size)[word], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        both = np.unique(np.repeat(row, many) * max(1, len(self.names)) + flat[place])
+        both = _once(np.repeat(row, many) * max(1, len(self.names)) + flat[place])
         return np.divmod(both, max(1, len(self.names)))
 
     def lists(self, texts: pa.Array) -> pa.Array:

@@ -80,3 +80,16 @@ def test_reader_finds_what_a_plain_one_does():
     assert [own.lists(pa.array([t])).to_pylist()[0] for t in texts] == want
     assert own.lists(pa.array(texts).slice(5, 9)).to_pylist() == want[5:14]
     assert own.lists(pa.array([], pa.string())).to_pylist() == [] and toxicity.Reader(()).lists(pa.array(["a b"])).to_pylist() == [[]]
+
+
+def test_runs_are_made_only_where_a_kept_one_begins(monkeypatch):
+    import pyarrow as pa
+
+    r = np.random.RandomState(4)
+    texts = [" ".join("".join(r.choice(list("abé"), r.randint(1, 10))) for _ in range(30)) for _ in range(20)] + [""]
+    runs = sorted(set().union(*[toxicity.runs_of(x) for words in toxicity.words_of(pa.array(texts)) for x in words]))
+    kept = tuple(runs[k] for k in sorted(r.choice(len(runs), 200, replace=False)))
+    number = {s: k for k, s in enumerate(kept)}
+    every = [sorted(number[s] for s in set().union(*map(toxicity.runs_of, words)) & number.keys()) if words else [] for words in toxicity.words_of(pa.array(texts))]
+    monkeypatch.setattr(toxicity, "runs_of", None)
+    assert toxicity.Reader(kept).lists(pa.array(texts)).to_pylist() == every
