@@ -82,3 +82,20 @@ def test_encoding_decodes(spark, sf_dir):
     got = {r["doc_id"]: r["decoded_sha256"] for r in pipeline.bpe_encoding(spark, docs, sf_dir).collect()}
     want = tok.decode(tok.encode("Hello, World", add_special_tokens=False).ids, skip_special_tokens=False)
     assert got == {1: hashlib.sha256(want.encode()).hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+def test_quality_rules_run_no_python(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from kinetide.llm.common import among_bits
+
+    one = pipeline.quality_rules(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    rows = spark.range(-5000, 5000).selectExpr("xxhash64(id) h", "id")
+    keys = rows.where("id % 5 = 0").selectExpr("h k")
+    some, others = among_bits(rows, F.col("h"), keys, "k")
+    assert others.where("id % 5 = 0").isEmpty() and some.columns == ["h", "id"]
+    assert 2000 <= some.count() < 2800 and some.unionByName(others).distinct().count() == 10_000
+    some, others = among_bits(rows, F.col("h"), keys.limit(0), "k")
+    assert some.isEmpty() and others.count() == 10_000
