@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import KeyFilter, key_filter, keyed_text, stored
 
-#: Words that a worker process keeps, and slots of the table that tells which it has met.
-CACHE_WORDS, MET = 150_000, 1 << 22
+#: Words that a worker process keeps in its table, and of others; ids of all of them.
+CACHE_WORDS, CACHE_OTHER, CACHE_IDS = 1 << 19, 100_000, 1 << 23
+#: Bytes of text that are looked up together, up to which words are looked up one by one, and of the table's longest word.
+PIECE, FEW_BYTES, LONGEST = 1 << 20, 1 << 13, 24
 #: Fixed values of the cutter: mean chunk 2**CUT_BITS bytes, none below LEAST but a text's last, none above MOST.
 CUT_BITS, LEAST, MOST = 10, 64, 1 << 16
 #: Most chunks of the book, as its filter is broadcast (16 bits each), and chunks that a task remembers to have handed on.
@@ -38,20 +40,15 @@ GEAR = np.random.RandomState(7).randint(0, 2**32, 256, dtype=np.uint64).astype(n
 MARKS = b".,;:!?#*$%&|)"
 
 
-def _plain_words() -> re.Pattern:
-    """Words, in words joined by a space, that are lower-case letters below U+0250 and then MARKS; each as (letters, marks)."""
-    tails: dict[bytes, bytes] = {}
-    for c in map(chr, range(0x80, 0x250)):
-        if c.isalpha() and c.lower() == c:
-            b = c.encode()
-            tails[b[:1]] = tails.get(b[:1], b"") + b[1:]
-    other = b"|".join(lead + b"[" + tail + b"]" for lead, tail in tails.items())
-    return re.compile(rb"(?<![^ ])((?:[a-z]+|" + other + rb")+)([" + re.escape(MARKS) + rb"]*)(?![^ ])")
-
-
-PLAIN = _plain_words()
+#: Kinds of bytes: space, lower-case letter, mark, other; and which characters below U+0280 are lower-case letters.
+KIND = np.full(256, 3, np.uint8)
+KIND[list(b" \t\n\r\x0b\x0c")], KIND[97:123], KIND[list(MARKS)] = 0, 1, 2
+LOWER = np.array([0x80 <= k < 0x250 and chr(k).isalpha() and chr(k).lower() == chr(k) for k in range(0x280)])
+#: The first bytes of eight, as a little-endian number.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: ASCII white space, as bytes.split() takes it.
 SPACE = b" \t\n\r\x0b\x0c"
+GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 def _by_word(file: dict) -> bool:
@@ -62,17 +59,70 @@ def _by_word(file: dict) -> bool:
     return first.get("behavior") == "Removed" and bool(first.get("invert")) and regex.endswith(r"[^\s\p{L}\p{N}]+") and r"\s+" not in regex
 
 
+def _parted(text: bytes):
+    """``text`` in parts of about PIECE bytes, cut at white space."""
+    a = 0
+    while a < len(text):
+        cut = GAP.search(text, a + PIECE)
+        b = cut.start() if cut else len(text)
+        yield text[a:b]
+        a = b
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class WordTable:
+    """Words of up to LONGEST bytes, none of them zero, as three numbers each, and their places in a list; open addressing
+    in arrays, so that many words are looked up by a few operations. Words are compared whole, never by hash."""
+
+    def __init__(self, words: int):
+        self.bits = (2 * words - 1).bit_length()
+        self.at = np.full(1 << self.bits, -1, np.int32)
+        self.words = [np.zeros(1 << self.bits, np.uint64) for _ in range(3)]
+
+    def slots(self, key: list[np.ndarray]) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = key[0] * np.uint64(0x9E3779B97F4A7C15)
+            for x, by in ((key[1], 0xBF58476D1CE4E5B9), (key[2], 0x94D049BB133111EB)):
+                h = ((h ^ (h >> np.uint64(29))) + x) * np.uint64(by)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: list[np.ndarray]) -> np.ndarray:
+        """The place of each word, or -1."""
+        slot = self.slots(key)
+        out = self.at[slot]
+        left = np.flatnonzero((out >= 0) & np.logical_or.reduce([w[slot] != x for w, x in zip(self.words, key, strict=True)]))
+        while len(left):
+            slot[left] = slot[left] + 1 & len(self.at) - 1
+            now = slot[left]
+            out[left] = self.at[now]
+            left = left[(out[left] >= 0) & np.logical_or.reduce([w[now] != x[left] for w, x in zip(self.words, key, strict=True)])]
+        return out
+
+    def add(self, key: list[np.ndarray], places: np.ndarray) -> None:
+        """Words that the table does not have, and their places."""
+        slot, left = self.slots(key), np.arange(len(places))
+        while len(left):
+            now = slot[left]
+            free = self.at[now] < 0
+            self.at[now[free]] = places[left[free]]
+            mine = self.at[now] == places[left]  # of several that took a slot, the last has it
+            for w, x in zip(self.words, key, strict=True):
+                w[now[mine]] = x[left[mine]]
+            left = left[~mine]
+            slot[left] = slot[left] + 1 & len(self.at) - 1
+
+
 class Encoder:
     """A tokenizer file as a map from bytes to ids, which are little-endian and two bytes wide if the vocabulary allows.
 
     Where the file's own pre-tokenizer drops white space, a text's ids are its words' ids in order, so words are looked
-    up in a cache and only new ones are encoded. Other files encode whole texts.
+    up and only new ones are encoded. Words of plain lower-case letters, and the marks at their ends, are found by their
+    bytes' kinds and looked up together in a table; all others one by one. Other files encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -86,9 +136,10 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.by_word = _by_word(file)
-        self.known: dict[bytes, bytes] = {}
-        self.met, self.marked = bytearray(MET), 0
         self.words = None
+        self.few: dict[bytes, bytes] = {}
+        if self.by_word:
+            self._forget()
         if self.by_word and self.tok.model.end_of_word_suffix:
             from tokenizers import Tokenizer, pre_tokenizers
             from tokenizers.models import BPE
@@ -103,75 +154,146 @@ class Encoder:
             for token, k in self.tok.get_vocab().items():
                 self.ends[k] = token.endswith(self.tok.model.end_of_word_suffix)
 
+    def _forget(self) -> None:
+        self.table, self.others = WordTable(CACHE_WORDS), {}
+        # Where each known word's ids begin, how many there are, and the ids.
+        self.start, self.n, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.dtype)
+        self.known, self.used = 0, 0
+
     def _plain(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
 
-    def _letters(self, words: list[bytes], tok) -> list[bytes]:
-        """Words of plain letters, many in one call; each ends where a token has the end-of-word mark."""
-        out: list[bytes] = []
-        size = self.dtype.itemsize
+    def _letters(self, words: list[bytes], tok) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of plain letters, end to end, and how many each has; many words in one call, each ends where a token
+        has the end-of-word mark."""
+        out, counts = [], []
         for k in range(0, len(words), 300):
             some = words[k : k + 300]
             ids = np.array(tok.encode_batch_fast([b" ".join(some).decode("utf-8")], add_special_tokens=False)[0].ids, self.dtype)
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
-            if len(ends) != len(some) or ends[-1] != size * len(ids):
-                out += self._plain(some)
-                continue
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                ids, own = self._whole(some)
+            else:
+                own = np.diff(ends, prepend=0)
+            out.append(ids)
+            counts.append(own)
+        return np.concatenate(out), np.concatenate(counts)
+
+    def _whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._plain(words)
+        return np.frombuffer(b"".join(found), self.dtype), np.array([len(x) // self.dtype.itemsize for x in found], np.int64)
+
+    def _keep(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The places of new words whose ids, end to end, are ``ids``."""
+        a, u = self.known, self.used
+        self.known, self.used = a + len(n), u + len(ids)
+        for name, need in (("start", self.known), ("n", self.known), ("pool", self.used)):
+            old = getattr(self, name)
+            if need > len(old):
+                new = np.zeros(max(need, 2 * len(old)), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        self.start[a : self.known], self.n[a : self.known], self.pool[u : self.used] = u + np.cumsum(n) - n, n, ids
+        return np.arange(a, self.known)
+
+    def _units(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and whether it is looked up in the table, of every unit: plain letters, marks at their end, or a
+        whole other word. ``b`` begins and ends with a space."""
+        kind = KIND[b]
+        lead = np.flatnonzero((b >= 0xC2) & (b < 0xCA))
+        if self.words is None:
+            kind[kind != 0] = 3
+        elif len(lead):
+            lead = lead[LOWER[(b[lead] & 0x1F).astype(np.int64) << 6 | b[lead + 1] & 0x3F]]
+            kind[lead] = kind[lead + 1] = 1
+        run = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1])
+        of, size = kind[run], np.diff(run, append=len(b))
+        gap = np.flatnonzero(of == 0)
+        word = gap[:-1] + 1  # the first run of each word
+        marked = of[word + 1] == 2
+        plain = (of[word] == 1) & (size[word] <= LONGEST) & (word + 1 + marked == gap[1:]) & (~marked | (size[word + 1] <= LONGEST))
+        marked &= plain
+        start, end = run[word], run[np.where(plain, word + 1, gap[1:])]
+        at = np.flatnonzero(marked) + 1
+        more = word[marked] + 1
+        return np.insert(start, at, run[more]), np.insert(end, at, run[more + 1]), np.insert(plain, at, True)
+
+    def _places(self, data: bytes, b: np.ndarray, start: np.ndarray, end: np.ndarray, quick: np.ndarray) -> np.ndarray:
+        """The place of each unit; new ones are encoded."""
+        out = np.empty(len(start), np.int64)
+        s, n = start[quick], (end - start)[quick]
+        eight = np.lib.stride_tricks.as_strided(b.view(np.uint8), (len(b) - 7, 8), (1, 1)).view("<u8")[:, 0]
+        key = [eight[s + k] & FIRST[np.clip(n - k, 0, 8)] for k in (0, 8, 16)]
+        at = self.table.find(key).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            mine = [x[new] for x in key]
+            order = np.lexsort(mine)
+            differs = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in mine])
+            group = np.concatenate([[0], np.cumsum(differs)])
+            one = order[np.concatenate([[0], np.flatnonzero(differs) + 1])]
+            words = [data[i:j] for i, j in zip(s[new[one]].tolist(), (s + n)[new[one]].tolist(), strict=True)]
+            # Marks, words of a to z alone, and words with other letters each have their way.
+            way = np.array([0 if w[0] in MARKS else 1 if w.isascii() else 2 for w in words])
+            place = np.empty(len(words), np.int64)
+            for k, made in enumerate((self._whole, lambda x: self._letters(x, self.ascii), lambda x: self._letters(x, self.words))):
+                some = np.flatnonzero(way == k)
+                if len(some):
+                    place[some] = self._keep(*made([words[i] for i in some.tolist()]))
+            self.table.add([x[one] for x in mine], place)
+            at[new[order]] = place[group]
+        out[quick] = at
+        if not quick.all():
+            slow = np.flatnonzero(~quick)
+            words = [data[i:j] for i, j in zip(start[slow].tolist(), end[slow].tolist(), strict=True)]
+            fresh = list(set(words).difference(self.others))
+            if fresh:
+                self.others.update(zip(fresh, self._keep(*self._whole(fresh)).tolist(), strict=True))
+            out[slow] = [self.others[w] for w in words]
         return out
 
-    def _learn(self, words: set[bytes]) -> list[bytes]:
-        """Have the ids of all ``words``; returns those met for the first time, which are to be forgotten again: most words
-        of a corpus occur once, and a cache without them stays small and quick."""
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = words.difference(known)
-        if self.words is not None:
-            found = PLAIN.findall(b" ".join(new))
-            cores = {c for c, _ in found}.difference(known)
-            for tok, some in ((self.ascii, [c for c in cores if c.isascii()]), (self.words, [c for c in cores if not c.isascii()])):
-                if some:
-                    known.update(zip(some, self._letters(some, tok), strict=True))
-            marks = list({m for _, m in found}.difference(known))
-            known.update(zip(marks, self._plain(marks), strict=True))
-            known.update([(c + m, known[c] + known[m]) for c, m in found if m])  # marks after a letter are a token run of their own
-            rest = list(new.difference(known))
-            new |= cores
-            new.update(marks)
-        else:
-            rest = list(new)
-        if rest:
-            known.update(zip(rest, self._plain(rest), strict=True))
-        met, once = self.met, []
-        for w in new:
-            k = hash(w) & MET - 1
-            if not met[k]:
-                met[k] = 1
-                once.append(w)
-        self.marked += len(once)
-        if self.marked > MET // 2:
-            self.met, self.marked = bytearray(MET), 0
-        return once
+    def _looked_up(self, texts: list[bytes]) -> list[bytes]:
+        if self.known > CACHE_WORDS // 2 or len(self.others) > CACHE_OTHER or self.used > CACHE_IDS:
+            self._forget()
+        first = np.cumsum([1, *[len(t) + 1 for t in texts]])
+        data = b"".join([b" ", *[t + b" " for t in texts], bytes(LONGEST + 8)])
+        b = np.frombuffer(data, np.uint8)
+        start, end, quick = self._units(b[: first[-1]])
+        at = self._places(data, b, start, end, quick)
+        n = self.n[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = self.pool[np.arange(ends[-1]) + np.repeat(self.start[at] - ends[:-1], n)].tobytes()
+        cuts = (ends[np.searchsorted(start, first)] * self.dtype.itemsize).tolist()
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def _one_by_one(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.few) > CACHE_OTHER:
+            self.few.clear()
+        words = [t.split() for t in texts]
+        new = list(set().union(*words).difference(self.few))
+        if new:
+            self.few.update(zip(new, self._plain(new), strict=True))
+        return [b"".join([self.few[w] for w in ws]) for ws in words]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes."""
         if not self.by_word:
             return self._plain(texts)
-        out: list[bytes] = []
-        for k in range(0, len(texts), 200):
-            words = []
-            for t in texts[k : k + 200]:
-                # Letters before combining marks stay as they are: composing comes before lower case.
-                low = t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower()
-                words.append(low.split())
-            once = self._learn(set().union(*words))
-            get = self.known.__getitem__
-            out += [b"".join(map(get, ws)) for ws in words]
-            for w in once:
-                del self.known[w]
-        return out
+        # Letters before combining marks stay as they are: composing comes before lower case.
+        low = [t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower() for t in texts]
+        if sum(map(len, low)) <= FEW_BYTES:
+            return self._one_by_one(low)
+        out, some, size = [], [], 0
+        for t in low:
+            if some and size + len(t) > PIECE:
+                out += self._looked_up(some)
+                some, size = [], 0
+            if len(t) > PIECE:
+                out.append(b"".join(x for part in _parted(t) for x in self._looked_up([part])))
+                continue
+            some.append(t)
+            size += len(t)
+        return out + self._looked_up(some) if some else out
 
     def decode(self, ids: list[bytes]) -> list[str]:
         return self.tok.decode_batch([np.frombuffer(x, self.dtype).tolist() for x in ids], skip_special_tokens=False)

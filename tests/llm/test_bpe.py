@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from kinetide.llm import bpe
@@ -86,3 +87,27 @@ def test_parts_that_disagree_are_encoded_whole(spark, monkeypatch, share):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     got = bpe.encode(docs, bpe.tokenizer_file(), result=bpe.digests, schema="n_tokens long, ids_sha256 string, decoded_sha256 string").collect()
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(str((i, *truth(t))) for i, t in enumerate(texts))
+
+
+def test_words_met_once_are_not_encoded_again_and_pieces_change_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "FEW_BYTES", 0)
+    enc = bpe.Encoder(bpe.tokenizer_file())
+    texts = [(t or "").encode() for t in hard_texts()]
+    plain = enc._plain(texts)
+    assert enc.encode(texts) == plain
+    calls = []
+    for name in ("_whole", "_letters"):
+        monkeypatch.setattr(enc, name, lambda *a, make=getattr(enc, name): calls.append(a) or make(*a))
+    assert enc.encode(texts) == plain and not calls
+    monkeypatch.setattr(bpe, "PIECE", 300)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 200)
+    assert bpe.Encoder(bpe.tokenizer_file()).encode(texts) == plain
+
+
+def test_words_of_one_slot_are_told_apart():
+    table = bpe.WordTable(64)
+    words = [np.array(x, np.uint64) for x in np.random.RandomState(1).randint(0, 2**40, (3, 64))]
+    table.slots = lambda key: np.full(len(key[0]), 127)
+    table.add(words, np.arange(64))
+    assert table.find(words).tolist() == list(range(64))
+    assert table.find([words[0], words[2], words[1]]).tolist() == [-1] * 64
