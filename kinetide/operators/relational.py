@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from kinetide.shared import stored
 
+#: Rows that a task of a range or of some keys has, about.
+ROWS = 1 << 19
 
 def counts_of(df: DataFrame, label: str, names: list[str], **more: Column) -> DataFrame:
     """Label, n (and ``more`` aggregates) for each of a fixed list of names, 0 (null) where no row has it. Rows of
@@ -71,36 +73,56 @@ def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return only(a, b, "left").unionByName(only(b, a, "right"))
 
 
-def _starts(sizes: DataFrame, keys: list[str], rows: str) -> DataFrame:
-    """``_`` and each key's name, ``_start`` and ``_rows``: where each key starts when keys follow one another in order.
-    Keys are dealt by ranges; a start is the sum of the ranges before and of the keys before within its own, so no task has
-    more than a range."""
-    ranged = stored(sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(rows).alias("_rows")).repartitionByRange(*[f"_{k}" for k in keys]).withColumn("_range", F.spark_partition_id()), "starts")
-    totals = ranged.groupBy(F.col("_range").alias("_r")).agg(F.sum("_rows").alias("_total"))
+def tasks(n: int) -> int:
+    """Tasks for ``n`` rows, so that none has much more than ROWS of them, however many there are in all."""
+    return max(1, -(-n // ROWS))
+
+
+def _ranged(df: DataFrame, n: int, order: list[str], tag: str) -> DataFrame:
+    """``df`` (``n`` rows) dealt by ranges of ``order`` and sorted within them, with ``_range`` and ``_i``, a row's place in
+    its range."""
+    made = df.repartitionByRange(tasks(n), *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return stored(made, tag).withColumns({"_range": F.shiftright("_id", 33), "_i": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
+
+
+def _before(ranged: DataFrame, n: Column) -> DataFrame:
+    """``_r`` and ``_first``: the sum of ``n`` over the ranges before each."""
+    totals = ranged.groupBy(F.col("_range").alias("_r")).agg(n.alias("_total"))
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    totals = totals.select("_r", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("_range").orderBy(*[f"_{k}" for k in keys]).rowsBetween(Window.unboundedPreceding, -1)
-    found = ranged.withColumn("_before", F.coalesce(F.sum("_rows").over(inside), F.lit(0))).join(totals, F.col("_range") == F.col("_r"))
-    return found.select(*[f"_{k}" for k in keys], (F.col("_first") + F.col("_before")).alias("_start"), "_rows")
+    return F.broadcast(totals.select("_r", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_first")))
+
+
+def _starts(sizes: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """Each key, ``_start`` and ``_rows``: where each key starts when keys follow one another in order. Keys are dealt by
+    ranges; a start is the sum of the ranges before and of the keys before within its own, so no task has more than a few
+    ranges."""
+    each = stored(sizes.select(*keys, F.col(rows).alias("_rows")), "sizes")
+    n = each.count()
+    ranged = _ranged(each, n, keys, "starts")
+    inside = Window.partitionBy("_range").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.repartition(tasks(n), "_range").withColumn("_inside", F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
+    return found.join(_before(ranged, F.sum("_rows")), F.col("_range") == F.col("_r")).select(*keys, (F.col("_first") + F.col("_inside")).alias("_start"), "_rows")
 
 
 def global_offsets(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``place`` of each row when keys follow one another in order. Rows are counted by key; offsets are running sums
-    over ranges of keys, joined back."""
-    offsets = _starts(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n").drop("_rows")
-    inside = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
-    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return inside.join(offsets, on).withColumn("place", F.col("_start") + F.col("_i")).drop("_i", "_start", *[f"_{k}" for k in keys])
+    """``place`` of each row when keys follow one another in order. Rows are dealt by ranges of keys and order, so a
+    place is the number of rows in the ranges before and the place in its own; no key is gathered in one task."""
+    ranged = _ranged(df, df.count(), [*keys, order], "places")
+    found = ranged.join(_before(ranged, F.count(F.lit(1))), F.col("_range") == F.col("_r"))
+    return found.withColumn("place", F.col("_first") + F.col("_i")).drop("_range", "_i", "_r", "_first")
 
 
 def located(manifest: DataFrame, index: str, sizes: DataFrame, keys: list[str], rows: str) -> DataFrame:
     """``manifest`` rows (keys, ``index``: a place in all episodes one after another) with ``local``, their place in their
     own episode. ``sizes``: keys and each episode's number of rows. An index outside its episode is an error when it is read,
-    and so is one of an episode that is not known."""
-    found = manifest.join(_starts(sizes, keys, rows), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left")
-    local = F.col(index) - F.col("_start")
+    and so is one of an episode that is not known. Episodes and rows are dealt together by key, in tasks of ROWS rows."""
+    both = manifest.unionByName(_starts(sizes, keys, rows), allowMissingColumns=True).repartition(tasks(manifest.count()), *keys)
+    own = Window.partitionBy(*keys)
+    found = both.withColumns({"_s": F.max("_start").over(own), "_n": F.max("_rows").over(own)}).where(F.col("_start").isNull())
+    local = F.col(index) - F.col("_s")
     wrong = F.raise_error(F.concat(F.lit("row index out of range for episode "), F.to_json(F.struct(*keys)))).cast("bigint")
-    return found.withColumn("local", F.when((local >= 0) & (local < F.col("_rows")), local).otherwise(wrong)).drop("_start", "_rows", *[f"_{k}" for k in keys])
+    kinds = {k: F.col(k).cast(manifest.schema[k].dataType) for k in keys if both.schema[k].dataType != manifest.schema[k].dataType}
+    return found.withColumns(kinds | {"local": F.when((local >= 0) & (local < F.col("_n")), local).otherwise(wrong)}).drop("_start", "_rows", "_s", "_n")
 
 
 def path_lengths(df: DataFrame, keys: list[str], order: str, value: str, first: int) -> DataFrame:

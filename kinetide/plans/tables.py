@@ -263,8 +263,10 @@ OFFSETS_SQL = "SELECT event_id, row_number() OVER (ORDER BY user_id, event_id) -
 
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders are episodes of their lines; each line's place among all leads back to its place in its order."""
-    lines = R.global_offsets(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], "l_linenumber").withColumn("place", F.col("place").cast("bigint"))
-    sizes = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    lines = R.global_offsets(rows, ["l_orderkey"], "l_linenumber").withColumn("place", F.col("place").cast("bigint"))
+    dealt = rows.select("l_orderkey").repartition(R.tasks(rows.count()), "l_orderkey")  # a task's counts don't grow with the table
+    sizes = dealt.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     return R.located(lines, "place", sizes, ["l_orderkey"], "n").groupBy("l_orderkey").agg(F.max("local").alias("last"), F.sum("local").alias("total"), F.min("place").alias("start"))
 
 

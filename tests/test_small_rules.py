@@ -86,6 +86,23 @@ def test_curriculum_and_located(spark):
             R.located(spark.createDataFrame([bad], "t int, e int, i long"), "i", sizes, ["t", "e"], "n").collect()
 
 
+def test_places_and_starts_by_many_small_ranges(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROWS", 7)
+    r = random.Random(4)
+    keys = [None, *range(-3, 30)]
+    n = {k: r.randrange(1, 40 if k == 5 else 6) for k in keys}
+    rows = [(k, i * 3) for k in keys for i in range(n[k])]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "k int, o int")
+    placed = R.global_offsets(df, ["k"], "o")
+    assert placed.columns == ["k", "o", "place"]
+    assert sorted((x["place"], x["k"], x["o"]) for x in placed.collect()) == [(i, *x) for i, x in enumerate(rows)]
+    sizes = spark.createDataFrame(list(n.items()), "k long, n long").repartition(2)
+    found = R.located(placed, "place", sizes, ["k"], "n")
+    assert found.schema["k"].dataType == df.schema["k"].dataType
+    assert sorted(str(tuple(x)) for x in found.select("k", "o", "local").collect()) == sorted(str((k, o, o // 3)) for k, o in rows)
+    assert found.rdd.getNumPartitions() == R.tasks(len(rows)) > 10  # by rows, whatever the session deals by
+
+
 def test_outcomes_by_windows_equal_the_walk(spark):
     r = random.Random(2)
     rows = [(f"k{k}", i, r.choice(["complete", "incomplete", "incomplete", "incomplete", "error"]), r.choice([None, "", "retry", "next", "replan_keep_pose"] + [""] * 4), [None, 0, 1, 3][k % 4]) for k in range(40) for i in range(30)]
